@@ -7,6 +7,8 @@ from importlib import import_module
 #: Module, function. A module's SQL, where it has one, is the oracle of its query.
 _QUERIES = {
     "op1_quality_rules": "quality_rules",
+    "op3_simhash": "simhash",
+    "op7_licenses": "licenses",
 }
 
 
