@@ -8,7 +8,9 @@ from importlib import import_module
 _QUERIES = {
     "op1_quality_rules": "quality_rules",
     "op3_simhash": "simhash",
+    "op5_token_counts": "token_counts",
     "op7_licenses": "licenses",
+    "op10_bpe": "bpe",
 }
 
 
