@@ -8,8 +8,10 @@ from importlib import import_module
 _QUERIES = {
     "op1_quality_rules": "quality_rules",
     "op3_simhash": "simhash",
+    "op4_line_crf": "line_crf",
     "op5_token_counts": "token_counts",
     "op7_licenses": "licenses",
+    "op9_mixing": "mixing",
     "op10_bpe": "bpe",
 }
 
