@@ -11,6 +11,7 @@ _QUERIES = {
     "op4_line_crf": "line_crf",
     "op5_token_counts": "token_counts",
     "op7_licenses": "licenses",
+    "op8_suffix_dedup": "suffix_dedup",
     "op9_mixing": "mixing",
     "op10_bpe": "bpe",
 }
