@@ -10,6 +10,7 @@ _QUERIES = {
     "op3_simhash": "simhash",
     "op4_line_crf": "line_crf",
     "op5_token_counts": "token_counts",
+    "op6_lm_mixing": "mixing_lm",
     "op7_licenses": "licenses",
     "op8_suffix_dedup": "suffix_dedup",
     "op9_mixing": "mixing",
