@@ -1,11 +1,114 @@
-"""The queries of the fact extraction operators and the SQL that checks them."""
+"""The queries of the fact extraction operators and the SQL that checks them.
+
+Where text was rendered from a table, the SQL states what must be found from the table itself.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import clean_recognised, safe_name
+from ..operators.admission import admit, totals
+from ..operators.candidates import candidates, running_lines
+from ..operators.checks import check_scores, limited_minutes, selection_problems
+from ..operators.tokens import amounts, dates
+from ..sources import pages
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates(pages.orders(spark, sf_dir)).drop("too_many").withColumns({"value": F.col("value").cast("double"), "date": F.col("date").cast("string")})
+
+
+def order_amounts(spark, sf_dir):
+    return amounts(pages.orders(spark, sf_dir)).filter("currency IS NOT NULL").select("doc_id", F.col("value").cast("double").alias("value"), "currency", "adjacent", "start")
+
+
+def order_dates(spark, sf_dir):
+    return dates(pages.orders(spark, sf_dir)).select("doc_id", "start", F.col("date").cast("string").alias("date"))
+
+
+def admission(spark, sf_dir):
+    return admit(pages.documents(spark, sf_dir)).select("doc_id", "total_chars", "total_letters", "verdict")
+
+
+def page_order(spark, sf_dir):
+    return totals(pages.conversations(spark, sf_dir)).select("doc_id", "n_pages", "total_chars", F.size("pages_without_text").cast("long").alias("blank_pages"), "in_order")
+
+
+def running_footers(spark, sf_dir):
+    return running_lines(pages.conversations(spark, sf_dir, footer=True)).groupBy("doc_id").agg(F.count_distinct("page").alias("n_pages"))
+
+
+def recognised_text(spark, sf_dir):
+    return pages.documents(spark, sf_dir).select("doc_id", F.md5(clean_recognised("text").cast("binary")).alias("digest"))
+
+
+def result_names(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", safe_name(F.col("url")).alias("name"))
+
+
+def selections(spark, sf_dir):
+    found = candidates(pages.orders(spark, sf_dir)).select("doc_id", "candidate_id", "kind")
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"))
+    wanted = F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(c).alias("candidate_id"), F.lit("amount").alias("kind")) for p, c in enumerate([2, 2, 1, 9])])
+    return selection_problems(keys.select("doc_id", F.inline(wanted)), found)
+
+
+def verdict_scores(spark, sf_dir):
+    joined = spark.read.parquet(f"{sf_dir}/labels.parquet").join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    return check_scores(joined.select(F.col("lang").alias("category"), (F.col("quality") == 1).alias("ok")))
+
+
+def rate_limits(spark, sf_dir):
+    return limited_minutes(spark.read.parquet(f"{sf_dir}/events.parquet"), 0)
+
+
+_GROUPED = "format('{:,.2f}', o_totalprice::DECIMAL(18,2)::DOUBLE)"
+_RENDERED = f"""
+r AS (SELECT o_orderkey AS doc_id, round(o_totalprice, 2) AS price, o_orderdate::DATE AS placed, (o_orderdate::DATE + 30)::DATE AS due,
+  'Order ' || o_orderkey || ' of ' AS head,
+  CASE o_orderstatus WHEN 'F' THEN translate({_GROUPED}, ',.', '.,') WHEN 'O' THEN {_GROUPED} ELSE translate({_GROUPED}, ',.', ' ,') END AS number,
+  CASE o_orderstatus WHEN 'F' THEN '' WHEN 'O' THEN 'USD ' ELSE '' END AS pre, CASE o_orderstatus WHEN 'F' THEN ' zł' WHEN 'O' THEN '' ELSE ' EUR' END AS post,
+  CASE o_orderstatus WHEN 'F' THEN 'PLN' WHEN 'O' THEN 'USD' ELSE 'EUR' END AS currency FROM orders),
+p AS (SELECT *, length(head) AS a, length(head) + 10 + length(' amounts to ') + length(pre) AS b FROM r),
+q AS (SELECT *, b + length(number) + length(post) + length(', payable by ') AS c FROM p)"""
+
+_SQL = {
+    "candidates_orders": f"""WITH {_RENDERED}
+SELECT doc_id, 1 AS candidate_id, 'date' AS kind, 1 AS page, a::INT AS start, (a + 10)::INT AS "end", strftime(placed, '%d.%m.%Y') AS text, NULL::DOUBLE AS value, NULL::VARCHAR AS currency, strftime(placed, '%Y-%m-%d') AS date FROM q
+UNION ALL SELECT doc_id, 2, 'amount', 1, b::INT, (b + length(number))::INT, number, price::DECIMAL(18,2)::DOUBLE, currency, NULL FROM q
+UNION ALL SELECT doc_id, 3, 'date', 1, c::INT, (c + 10)::INT, strftime(due, '%Y-%m-%d'), NULL, NULL, strftime(due, '%Y-%m-%d') FROM q""",
+    "amounts_orders": f"WITH {_RENDERED} SELECT doc_id, price::DECIMAL(18,2)::DOUBLE AS value, currency, true AS adjacent, b::INT AS start FROM q",
+    "dates_orders": f"WITH {_RENDERED} SELECT doc_id, a::INT AS start, strftime(placed, '%Y-%m-%d') AS date FROM q UNION ALL SELECT doc_id, c::INT, strftime(due, '%Y-%m-%d') FROM q",
+    "admission_documents": r"""WITH t AS (SELECT doc_id, sum(length(coalesce(text, '')))::BIGINT AS total_chars, sum(length(regexp_replace(coalesce(text, ''), '[^\p{L}]', '', 'g')))::BIGINT AS total_letters FROM documents GROUP BY doc_id)
+SELECT *, CASE WHEN total_chars > 30000 THEN 'DOCUMENT_TOO_LONG' WHEN total_letters = 0 THEN 'NO_TEXT_LAYER' WHEN total_letters < 200 THEN 'INSUFFICIENT_CONTENT' ELSE 'ADMITTED' END AS verdict FROM t""",
+    "page_order_conversations": r"""SELECT conv_id AS doc_id, count(*) AS n_pages, sum(length(coalesce(text, '')))::BIGINT AS total_chars, count(*) FILTER (NOT coalesce(regexp_matches(text, '\p{L}'), false)) AS blank_pages,
+min(turn) = 0 AND max(turn) + 1 = count(*) AND count(DISTINCT turn) = count(*) AS in_order FROM conversations GROUP BY conv_id""",
+    "running_footers_conversations": "SELECT conv_id AS doc_id, count(DISTINCT turn) AS n_pages FROM conversations WHERE text IS NOT NULL GROUP BY conv_id HAVING count(DISTINCT turn) >= 3",
+    "recognised_text_documents": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+\n', chr(10), 'g'), '[ \t]+$', ''), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents""",
+    "result_names_pages": r"""SELECT page_id, coalesce(nullif(substring(regexp_replace(regexp_replace(url, '(?i)\.pdf$', ''), '[^\p{L}\p{N}._-]+', '_', 'g'), 1, 80), ''), 'dokument') || '-analiza.json' AS name FROM pages""",
+    "selections_orders": "SELECT o_orderkey AS doc_id, pos, candidate_id, problem FROM orders, (VALUES (0, 2, NULL), (1, 2, 'repeated'), (2, 1, 'wrong kind'), (3, 9, 'unknown')) v(pos, candidate_id, problem)",
+    "verdict_scores_labels": "SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS category, count(*) FILTER (quality = 1) AS passed, count(*) AS total FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)",
+    "rate_limits_events": "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 0",
+}
+
 
 def queries() -> dict:
-    return {}
+    return {
+        "candidates_orders": flagship,
+        "amounts_orders": order_amounts,
+        "dates_orders": order_dates,
+        "admission_documents": admission,
+        "page_order_conversations": page_order,
+        "running_footers_conversations": running_footers,
+        "recognised_text_documents": recognised_text,
+        "result_names_pages": result_names,
+        "selections_orders": selections,
+        "verdict_scores_labels": verdict_scores,
+        "rate_limits_events": rate_limits,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
