@@ -7,6 +7,7 @@ from importlib import import_module
 #: Module, function. A module's SQL, where it has one, is the oracle of its query.
 _QUERIES = {
     "op1_quality_rules": "quality_rules",
+    "op2_nn_descent": "nn_descent",
     "op3_simhash": "simhash",
     "op4_line_crf": "line_crf",
     "op5_token_counts": "token_counts",
