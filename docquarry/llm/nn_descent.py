@@ -139,7 +139,9 @@ _POOL = "q long, c long, s double, open boolean"
 def search(queries: DataFrame, points: DataFrame, graph: DataFrame, members: DataFrame, top: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score) of queries (query_id, node, v) that are rows of the index themselves."""
     asked = queries.select(F.col("node").alias("q"), F.col("v").alias("qv")).dropDuplicates(["q"])
-    out = graph.groupBy("a").agg(F.collect_list("b").alias("near"))
+    # links are followed both ways, else a long vector that is nobody's neighbour on the lifted sphere is never met
+    back = graph.groupBy(F.col("b").alias("a"), F.pmod(F.xxhash64("a"), F.lit(DEGREE)).alias("slot")).agg(F.max_by("a", "s").alias("b"))
+    out = graph.select("a", "b").union(back.select("a", "b")).groupBy("a").agg(F.collect_set("b").alias("near"))
     out = materialize(out, "lists")
     score = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     v = points.select(F.col("node").alias("c"), "v")
