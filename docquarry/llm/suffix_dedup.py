@@ -10,7 +10,8 @@ WIDTH. Neighbours whose common extension reaches WIDTH are equal; their bytes ar
 with a collision is sorted again by its bytes. Each run of equal strings gives its smallest document to its
 segments, segments give it to their places, and places to ranges of bytes of each text.
 
-Only suffixes whose hash stands twice in a block can be equal to another, so only they are sorted. Segments are about a
+Bytes of segments are shuffled only for names with more than one segment; a name with one segment is settled by its 128
+bits of name and print. Only suffixes whose hash stands twice in a block can be equal to another, so only they are sorted. Segments are about a
 sixteenth of the positions. Places meet their segments by a join that adaptive execution can split, so a passage
 that a third of the corpus holds is split over tasks. A name whose distinct segments exceed BLOCK_BYTES is
 met by more than one block: such a name is dealt again by string, in rows that fold on the map side (see `_wide`).
@@ -22,7 +23,7 @@ An empty table gives an empty result. Any other columns are carried whole, whate
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
 WIDTH = 50
 GRAM = 20
@@ -39,6 +40,8 @@ SPAN = WIDTH - GRAM + 1
 WIDE = 2_000
 #: Bytes of segments that are sorted together, and bytes of text that are cut together.
 BLOCK_BYTES = 4_000_000
+#: Bits of the filters of names that tasks get, whatever the input, and the slices that build them.
+FILTER_BITS, FILTER_SLICES = 1 << 27, 16
 _NONE = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -184,18 +187,56 @@ def cut_segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, n
         yield cut(owners, bases, parts)
 
 
-def _segments(with_bytes: bool):
+def name_filter(names: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS bits over a column of names: what it lets through too much costs work, never results."""
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            for at in _filter_places(np.asarray(batch.column(0))):
+                bits[at] = True
+        if bits.any():
+            parts = np.split(np.packbits(bits), FILTER_SLICES)
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(FILTER_SLICES), pa.int32()), "bits": pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())})
+
+    def unite(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(FILTER_BITS // 8 // FILTER_SLICES, np.uint8)
+        for batch in rows:
+            for x in batch.column("bits"):
+                found |= np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([found.tobytes()], pa.binary())})
+
+    rows = names.mapInArrow(fill, "slice int, bits binary").repartition(FILTER_SLICES, "slice").groupBy("slice").applyInArrow(unite, "slice int, bits binary").collect()
+    out = np.zeros((FILTER_SLICES, FILTER_BITS // 8 // FILTER_SLICES), np.uint8)
+    for r in rows:  # FILTER_BITS / 8 bytes in all
+        out[r["slice"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.ravel()
+
+
+def _filter_places(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = names.view(np.uint64)
+    return (n % np.uint64(FILTER_BITS)).astype(np.int64), ((n >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _passes(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
+    a, b = _filter_places(names)
+    return (bits[a >> 3] >> (7 - (a & 7)) & bits[b >> 3] >> (7 - (b & 7)) & 1).astype(bool)
+
+
+def _segments(columns: tuple[str, ...], wanted=None):
+    """Segments with some of id, name, print, len, key, at, seg; wanted: a broadcast filter of names."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for owner, local, length, name, prints, start, data in cut_segments([t.as_py() for t in batch.column(2)]):
-                columns = {"id": pa.array(ids[owner]), "name": pa.array(name), "print": pa.array(prints)}
-                if with_bytes:
+                if wanted is not None:
+                    k = _passes(wanted.value, name)
+                    owner, local, length, name, prints, start = (x[k] for x in (owner, local, length, name, prints, start))
+                made = {"id": ids[owner], "name": name, "print": prints, "len": length.astype(np.int32), "key": keys[owner], "at": local}
+                if "seg" in columns:
                     raw = data.tobytes()
-                    columns["seg"] = pa.array([raw[s : s + n] for s, n in zip(start.tolist(), length.tolist())], pa.binary())
-                else:
-                    columns |= {"key": pa.array(keys[owner]), "at": pa.array(local)}
-                whole = pa.RecordBatch.from_pydict(columns)
+                    made["seg"] = pa.array([raw[s : s + n] for s, n in zip(start.tolist(), length.tolist())], pa.binary())
+                whole = pa.RecordBatch.from_pydict({c: made[c] for c in columns})
                 for k in range(0, whole.num_rows, 65_536):
                     yield whole.slice(k, 65_536)
 
@@ -306,16 +347,25 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     firsts = rows.groupBy("sha").agg(F.min("id").alias("first"))
     marked = materialize(rows.join(firsts, "sha").select("row", "id", F.xxhash64("sha").alias("key"), "raw", (F.col("id") > F.col("first")).alias("copy")), "texts")
     own = marked.filter(f"NOT copy AND octet_length(raw) >= {WIDTH}").select("id", "key", "raw")
-    distinct = own.mapInArrow(_segments(True), "id long, name long, print long, seg binary").groupBy("name", "print", "seg").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    distinct = materialize(distinct, "segments")
+    # first without bytes: a name with one segment is settled, and one in a single text has nothing to settle
+    named = own.mapInArrow(_segments(("id", "name", "print", "len")), "id long, name long, print long, len int")
+    named = named.groupBy("name").agg(F.min("print").alias("print"), F.max("print").alias("other"), F.min("id").alias("least"), F.max("id").alias("most"), F.min("len").alias("len")).filter("least < most")
+    named = materialize(named, "names")
+    settled = named.filter("print = other").select("name", "print", F.lit(0).alias("from"), (F.col("len") - WIDTH).alias("to"), F.col("least").alias("doc"))
+    send = docs.sparkSession.sparkContext.broadcast
+    several = send(name_filter(named.filter("print <> other").select("name")))
+    segments = own.mapInArrow(_segments(("id", "name", "print", "seg"), several), "id long, name long, print long, seg binary")
+    distinct = materialize(segments.groupBy("name", "print", "seg").agg(F.min("id").alias("least"), F.max("id").alias("most")), "segments")
     many = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(f"n > {WIDE}").select(F.col("name").alias("_many"))
     many = materialize(many, "many")
     few = distinct.join(many, F.col("name") == F.col("_many"), "left_anti").repartition("name").sortWithinPartitions("name", "print")
-    hits = few.select("name", "print", "seg", "least", "most").mapInArrow(_solve, _HITS)
+    solved = few.select("name", "print", "seg", "least", "most").mapInArrow(_solve, _HITS)
     if many.head(1):
-        hits = hits.union(_wide(distinct.join(many, F.col("name") == F.col("_many")).drop("_many")))
-    hits = materialize(hits, "hits")
-    places = own.mapInArrow(_segments(False), "id long, name long, print long, key long, at long")
+        solved = solved.union(_wide(distinct.join(many, F.col("name") == F.col("_many")).drop("_many")))
+    solved = materialize(solved, "solved")
+    discard(distinct, many)
+    hits = settled.union(solved)
+    places = own.mapInArrow(_segments(("id", "name", "print", "key", "at"), send(name_filter(hits.select("name")))), "id long, name long, print long, key long, at long")
     ranges = places.join(hits, ["name", "print"]).filter("doc < id").select("id", "key", (F.col("at") + F.col("from")).alias("a"), (F.col("at") + F.col("to") + WIDTH).alias("b"))
     ranges = ranges.groupBy("id", "key").agg(F.collect_list(F.struct(F.col("a").alias("from"), F.col("b").alias("to"))).alias("ranges"))
     joined = marked.join(ranges, ["id", "key"], "left").select("row", "raw", "copy", "ranges")
