@@ -96,16 +96,27 @@ def _before(data: np.ndarray, hashes: PrefixHashes, a: np.ndarray, b: np.ndarray
     return np.where(end, or_equal, data[a + n] < data[b + n])
 
 
-def suffix_sort(data: np.ndarray, hashes: PrefixHashes, at: np.ndarray) -> np.ndarray:
-    """Merge sort of suffixes by their first WIDTH bytes. All pairs of runs of a level are merged together: each
-    suffix finds its rank in the other run by binary search, with hash comparisons."""
-    at, n, run = at.copy(), len(at), 1
-    place = np.arange(n)
-    while run < n:
-        pair = place // (2 * run) * (2 * run)
-        left = place - pair < run
-        low = np.where(left, np.minimum(pair + run, n), pair)
-        high = np.where(left, np.minimum(pair + 2 * run, n), pair + run)
+def suffix_sort(data: np.ndarray, hashes: PrefixHashes, at: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """Merge sort of suffixes by their first WIDTH bytes, each group for itself; group: ascending numbers. All pairs of
+    runs of a level are merged together: each suffix finds its rank in the other run by binary search, with hash
+    comparisons."""
+    at, run = at.copy(), 1
+    if not len(at):
+        return at
+    group = np.zeros(len(at), np.int64) if group is None else group
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    sizes = np.diff(np.r_[first, len(at)])
+    base, size = np.repeat(first, sizes), np.repeat(sizes, sizes)
+    active = np.arange(len(at))
+    while True:
+        active = active[size[active] > run]
+        if not len(active):
+            return at
+        begin, end = base[active], base[active] + size[active]
+        pair = begin + (active - begin) // (2 * run) * (2 * run)
+        left = active - pair < run
+        low = np.where(left, np.minimum(pair + run, end), pair)
+        high = np.where(left, np.minimum(pair + 2 * run, end), pair + run)
         start = low.copy()
         while True:
             open_ = np.flatnonzero(low < high)
@@ -117,35 +128,34 @@ def suffix_sort(data: np.ndarray, hashes: PrefixHashes, at: np.ndarray) -> np.nd
             go = np.empty(len(open_), bool)
             for side in (True, False):
                 k = is_left == side
-                go[k] = _before(data, hashes, at[middle[k]], at[open_[k]], not side)
+                go[k] = _before(data, hashes, at[middle[k]], at[active[open_[k]]], not side)
             low[open_] = np.where(go, middle + 1, low[open_])
             high[open_] = np.where(go, high[open_], middle)
-        own = place - np.where(left, pair, pair + run)
-        out = np.empty_like(at)
-        out[pair + own + low - start] = at
-        at, run = out, 2 * run
-    return at
+        own = active - np.where(left, pair, pair + run)
+        moved = at[active]
+        at[pair + own + low - start] = moved
+        run *= 2
 
 
-def equal_runs(data: np.ndarray, hashes: PrefixHashes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def equal_runs(data: np.ndarray, hashes: PrefixHashes, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes in order, number of the run of equal strings of each)."""
-    order = suffix_sort(data, hashes, at)
+    order = suffix_sort(data, hashes, at, group)
     if len(order) < 2:
         return order, np.zeros(len(order), np.int64)
-    same = common_extension(hashes, order[:-1], order[1:]) >= WIDTH
+    same = (group[1:] == group[:-1]) & (common_extension(hashes, order[:-1], order[1:]) >= WIDTH)
     offsets = np.arange(WIDTH)
     pairs = np.flatnonzero(same)
     for k in range(0, len(pairs), 1 << 16):
         i = pairs[k : k + (1 << 16)]
         if (data[order[i][:, None] + offsets] != data[order[i + 1][:, None] + offsets]).any():  # a collision
-            order = np.array(sorted(at.tolist(), key=lambda p: data[p : p + WIDTH].tobytes()), np.int64)
+            order = np.array(sorted(at.tolist(), key=lambda p: data[p : p + WIDTH].tobytes()), np.int64)  # equal strings are in one group, so groups don't matter here
             same = np.fromiter((np.array_equal(data[p : p + WIDTH], data[q : q + WIDTH]) for p, q in zip(order[:-1], order[1:])), bool, len(order) - 1)
             break
     return order, np.concatenate([[0], np.cumsum(~same)])
 
 
-def cut_segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For pieces of the texts: (text number, start in it, length, name, print, start in the buffer) of segments, and the buffer."""
+def cut_segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """For pieces of the texts: (text number, start in it, length, name, print, place of the named piece in it, start in the buffer) of segments, and the buffer."""
 
     def cut(owners: list[int], bases: list[int], parts: list[bytes]) -> tuple:
         data = np.frombuffer(b"".join(parts), np.uint8)
@@ -171,7 +181,7 @@ def cut_segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, n
         owner = np.searchsorted(ends, start, side="right")
         local = start - (ends - sizes)[owner] + np.array(bases)[owner]
         prints = _mix(hashes.of(start, length) ^ (length.astype(np.uint64) << np.uint64(56)))
-        return np.array(owners)[owner], local, length, value[least[start]].view(np.int64), prints.view(np.int64), start, data
+        return np.array(owners)[owner], local, length, value[least[start]].view(np.int64), prints.view(np.int64), least[start] - start, start, data
 
     owners, bases, parts, held = [], [], [], 0
     for k, text in enumerate(texts):
@@ -228,11 +238,11 @@ def _segments(columns: tuple[str, ...], wanted=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            for owner, local, length, name, prints, start, data in cut_segments([t.as_py() for t in batch.column(2)]):
+            for owner, local, length, name, prints, mark, start, data in cut_segments([t.as_py() for t in batch.column(2)]):
                 if wanted is not None:
                     k = _passes(wanted.value, name)
-                    owner, local, length, name, prints, start = (x[k] for x in (owner, local, length, name, prints, start))
-                made = {"id": ids[owner], "name": name, "print": prints, "len": length.astype(np.int32), "key": keys[owner], "at": local}
+                    owner, local, length, name, prints, mark, start = (x[k] for x in (owner, local, length, name, prints, mark, start))
+                made = {"id": ids[owner], "name": name, "print": prints, "len": length.astype(np.int32), "mark": mark.astype(np.int32), "key": keys[owner], "at": local}
                 if "seg" in columns:
                     raw = data.tobytes()
                     made["seg"] = pa.array([raw[s : s + n] for s, n in zip(start.tolist(), length.tolist())], pa.binary())
@@ -244,11 +254,11 @@ def _segments(columns: tuple[str, ...], wanted=None):
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (name, print, seg, least, most) sorted by name in; (name, print, from, to, doc) out: strings that start at
+    """Rows (name, print, mark, seg, least, most) sorted by name in; (name, print, from, to, doc) out: strings that start at
     from..to of the segment stand in doc, which is smaller than the largest document of the segment."""
 
     def block(rows: pa.Table) -> pa.RecordBatch:
-        name, prints, least, most = (np.asarray(rows.column(c).combine_chunks()) for c in ("name", "print", "least", "most"))
+        name, prints, mark, least, most = (np.asarray(rows.column(c).combine_chunks()) for c in ("name", "print", "mark", "least", "most"))
         segs = rows.column("seg").to_pylist()
         sizes = np.array([len(s) for s in segs])
         starts = np.cumsum(sizes) - sizes
@@ -266,10 +276,15 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(value, kind="stable")
             twice = value[order][1:] == value[order][:-1]
             some = some[order[np.r_[twice, False] | np.r_[False, twice]]]
+            # equal strings have their named piece at the same place, so each place of a name is sorted for itself
+            place = mark[owner[some]] - offset[some]
+            some = some[np.lexsort((place, name[owner[some]]))]
+            place, names = mark[owner[some]] - offset[some], name[owner[some]]
+            group = np.cumsum(np.r_[False, (names[1:] != names[:-1]) | (place[1:] != place[:-1])]) if len(some) else np.zeros(0, np.int64)
             at = starts[owner[some]] + offset[some]
             back = np.empty(len(data), np.int64)
             back[at] = some
-            ordered, run = equal_runs(data, hashes, at)
+            ordered, run = equal_runs(data, hashes, at, group)
             if len(ordered):
                 window = back[ordered]
                 low = np.full(int(run[-1]) + 1, _NONE, np.int64)
@@ -354,12 +369,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     settled = named.filter("print = other").select("name", "print", F.lit(0).alias("from"), (F.col("len") - WIDTH).alias("to"), F.col("least").alias("doc"))
     send = docs.sparkSession.sparkContext.broadcast
     several = send(name_filter(named.filter("print <> other").select("name")))
-    segments = own.mapInArrow(_segments(("id", "name", "print", "seg"), several), "id long, name long, print long, seg binary")
-    distinct = materialize(segments.groupBy("name", "print", "seg").agg(F.min("id").alias("least"), F.max("id").alias("most")), "segments")
+    segments = own.mapInArrow(_segments(("id", "name", "print", "mark", "seg"), several), "id long, name long, print long, mark int, seg binary")
+    distinct = materialize(segments.groupBy("name", "print", "mark", "seg").agg(F.min("id").alias("least"), F.max("id").alias("most")), "segments")
     many = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(f"n > {WIDE}").select(F.col("name").alias("_many"))
     many = materialize(many, "many")
     few = distinct.join(many, F.col("name") == F.col("_many"), "left_anti").repartition("name").sortWithinPartitions("name", "print")
-    solved = few.select("name", "print", "seg", "least", "most").mapInArrow(_solve, _HITS)
+    solved = few.select("name", "print", "mark", "seg", "least", "most").mapInArrow(_solve, _HITS)
     if many.head(1):
         solved = solved.union(_wide(distinct.join(many, F.col("name") == F.col("_many")).drop("_many")))
     solved = materialize(solved, "solved")
