@@ -8,10 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import distinct_organisations, provider_problem
+from ..functions.sentences import ABBREVIATIONS, sentence_interval
 from ..functions.text import clean_recognised, safe_name
 from ..operators.admission import admit, totals
 from ..operators.candidates import candidates, running_lines
 from ..operators.checks import check_scores, limited_minutes, selection_problems
+from ..operators.chunks import CHUNK, chunks, overview_shares
+from ..operators.layout import page_text, with_recognised
+from ..operators.results import first_of_each, kept_results, marked_pages
 from ..operators.tokens import amounts, dates
 from ..sources import pages
 
@@ -64,6 +69,68 @@ def rate_limits(spark, sf_dir):
     return limited_minutes(spark.read.parquet(f"{sf_dir}/events.parquet"), 0)
 
 
+def sentences(spark, sf_dir):
+    found = sentence_interval(F.col("text"))
+    return pages.documents(spark, sf_dir).select("doc_id", found.alias("s")).select("doc_id", "s.least", "s.most", "s.closed")
+
+
+def chunk_cover(spark, sf_dir):
+    """Each chunked document's new text in order, which must be the document's."""
+    pieces = chunks(pages.documents(spark, sf_dir))
+    piece = F.struct("seq", "new_text")
+    sized = pieces.groupBy("doc_id", "chunk").agg(F.sum(F.char_length("overlap") + F.char_length("new_text")).alias("size"), F.collect_list(piece).alias("pieces"))
+    whole = F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("pieces"))), lambda p: p["new_text"]), "")
+    return sized.groupBy("doc_id").agg(F.md5(whole.cast("binary")).alias("digest"), (F.max("size") <= CHUNK).alias("bounded"), (F.count(F.lit(1)) == 1).alias("whole"))
+
+
+def overviews(spark, sf_dir):
+    return overview_shares(pages.conversations(spark, sf_dir), budget=300)
+
+
+def layouts(spark, sf_dir):
+    """The words of each turn as items, eight to a line, rebuilt as lines."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    each = pages.conversations(spark, sf_dir).select("doc_id", "page", F.posexplode(words).alias("n", "str"))
+    item = {"x": F.col("n") % 8 * 100.0, "y": 800.0 - F.floor(F.col("n") / 8) * 12.0 + F.col("n") % 3, "w": F.lit(90.0), "h": F.lit(10.0)}
+    return page_text(each.withColumns(item)).select("doc_id", "page", "text")
+
+
+def recognised_pages(spark, sf_dir):
+    """Every third turn loses its text and gets it back from a recogniser, or from an editor where there is one."""
+    turns = pages.conversations(spark, sf_dir)
+    blank = turns.withColumn("text", F.when(F.col("page") % 3 == 0, " 1 ").otherwise(F.col("text")))
+    read = turns.select("doc_id", "page", F.concat("text", F.lit(" \n\n\n\n x ")).alias("machine"), F.when(F.col("page") % 2 == 0, "edited").alias("edited"))
+    return with_recognised(blank, read).select("doc_id", "page", F.md5(F.col("text").cast("binary")).alias("digest"), "recognised")
+
+
+def marked_orders(spark, sf_dir):
+    rows = pages.orders(spark, sf_dir)
+    return marked_pages(rows, candidates(rows)).select("doc_id", "text")
+
+
+def single_facts(spark, sf_dir):
+    facts = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS doc_id", "l_linenumber AS candidate_id", "'amount' AS kind", "CAST(l_quantity AS DECIMAL(38,2)) AS value", "'PLN' AS currency", "CAST(NULL AS DATE) AS date", "l_returnflag AS context")
+    return first_of_each(facts).select("doc_id", "candidate_id", "context")
+
+
+def results_kept(spark, sf_dir):
+    """Orders as a customer's results: at most four, in at most 1,100 characters."""
+    entry = F.repeat(F.lit("x"), (F.col("o_orderkey") % 1200).cast("int"))
+    history = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("saved_at"), entry.alias("entry"))
+    return kept_results(history, 4, 1100).select("owner", "id", F.col("rank").cast("long").alias("rank"), F.col("chars").cast("long").alias("chars"))
+
+
+def organisations(spark, sf_dir):
+    forms = F.array("n_name", F.lower("n_name"), F.concat(F.lit(" "), "n_name", F.lit("  S.A.")), F.lit("Alfa"), F.lit("Alfa Logistics"), F.lit(" "))
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.array_join(distinct_organisations(forms), "|").alias("names"))
+
+
+def provider_problems(spark, sf_dir):
+    reason = F.when(F.col("o_orderstatus") == "F", "JSON Mode couldn't be met").when(F.col("o_orderstatus") == "O", "daily Quota used").otherwise("timeout")
+    message = F.concat(F.lit("Error 99: "), F.col("o_orderkey") % 8999 + 5000, F.lit(": "), reason)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", provider_problem(message).alias("p")).select("o_orderkey", "p.category", "p.code")
+
+
 _GROUPED = "format('{:,.2f}', o_totalprice::DECIMAL(18,2)::DOUBLE)"
 _RENDERED = f"""
 r AS (SELECT o_orderkey AS doc_id, round(o_totalprice, 2) AS price, o_orderdate::DATE AS placed, (o_orderdate::DATE + 30)::DATE AS due,
@@ -91,6 +158,34 @@ min(turn) = 0 AND max(turn) + 1 = count(*) AND count(DISTINCT turn) = count(*) A
     "selections_orders": "SELECT o_orderkey AS doc_id, pos, candidate_id, problem FROM orders, (VALUES (0, 2, NULL), (1, 2, 'repeated'), (2, 1, 'wrong kind'), (3, 9, 'unknown')) v(pos, candidate_id, problem)",
     "verdict_scores_labels": "SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS category, count(*) FILTER (quality = 1) AS passed, count(*) AS total FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)",
     "rate_limits_events": "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 0",
+    # boundaries are judged between neighbouring words, so no pattern spans a text
+    "sentences_documents": rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w),
+b AS (SELECT doc_id, regexp_extract(ws[i], '([.!?…]+)[\"''”’»)\]]*$', 1) AS run, lower(regexp_replace(regexp_extract(ws[i], '((?:[\p{{L}}.]*\p{{L}})?)[.!?…]+[\"''”’»)\]]*$', 1), '^\.+', '')) AS word,
+  regexp_extract(ws[i + 1], '^[\"''„“«(\[]*(.)', 1) AS c FROM p WHERE regexp_matches(ws[i], '[.!?…][\"''”’»)\]]*$')),
+k AS (SELECT doc_id, CASE WHEN regexp_matches(c, '\p{{Nd}}') THEN 1 WHEN NOT regexp_matches(c, '\p{{Lu}}') THEN 0
+  WHEN run = '.' AND word <> '' AND (length(word) = 1 OR contains(word, '.') OR list_contains(string_split('{ABBREVIATIONS}', ' '), word)) THEN 1 ELSE 2 END AS kind FROM b),
+s AS (SELECT doc_id, count(*) FILTER (kind = 2) AS sure, count(*) FILTER (kind = 1) AS unsure FROM k GROUP BY doc_id)
+SELECT w.doc_id, CASE WHEN len(ws) = 0 THEN 0 ELSE coalesce(sure, 0) + 1 END::INT AS least, CASE WHEN len(ws) = 0 THEN 0 ELSE coalesce(sure + unsure, 0) + 1 END::INT AS most,
+  coalesce(regexp_matches(ws[-1], '[.!?…][\"''”’»)\]]*$'), false) AS closed FROM w LEFT JOIN s USING (doc_id)""",
+    "chunks_documents": r"SELECT doc_id, md5(text) AS digest, true AS bounded, length(text) <= 10000 AS whole FROM documents WHERE regexp_matches(text, '\p{L}') AND length(text) <= 64000",
+    "overviews_conversations": r"""WITH RECURSIVE p AS (SELECT conv_id AS doc_id, (turn + 1)::INT AS page, length(text)::INT AS n_chars, row_number() OVER (PARTITION BY conv_id ORDER BY length(text), turn) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE regexp_matches(text, '\p{L}')),
+t AS (SELECT doc_id, page, n_chars, r, n, least(n_chars, 300 // n) AS share, 300 - least(n_chars, 300 // n) AS budget FROM p WHERE r = 1
+UNION ALL SELECT p.doc_id, p.page, p.n_chars, p.r, p.n, least(p.n_chars, budget // (p.n - p.r + 1)), budget - least(p.n_chars, budget // (p.n - p.r + 1)) FROM t JOIN p ON p.doc_id = t.doc_id AND p.r = t.r + 1)
+SELECT doc_id, page, n_chars, share::BIGINT AS share FROM t""",
+    "layouts_conversations": r"""WITH w AS (SELECT conv_id AS doc_id, (turn + 1)::INT AS page, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM conversations WHERE text IS NOT NULL)
+SELECT doc_id, page, array_to_string(list_transform(range(0, len(ws), 8), lambda k: array_to_string(ws[k + 1:k + 8], ' ')), chr(10)) AS text FROM w WHERE len(ws) > 0""",
+    "recognised_pages_conversations": r"""WITH t AS (SELECT conv_id AS doc_id, (turn + 1)::INT AS page, text FROM conversations)
+SELECT doc_id, page, md5(CASE WHEN page % 3 <> 0 THEN text WHEN page % 2 = 0 THEN 'edited' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) || chr(10) || ' x' END) AS digest, page % 3 = 0 AS recognised FROM t""",
+    "marked_orders": f"""WITH {_RENDERED}
+SELECT doc_id, head || '⟦D1⟧' || strftime(placed, '%d.%m.%Y') || ' amounts to ' || pre || '⟦A2⟧' || number || post || ', payable by ⟦D3⟧' || strftime(due, '%Y-%m-%d') || '.' AS text FROM q""",
+    "single_facts_lineitem": "SELECT l_orderkey AS doc_id, min(l_linenumber) AS candidate_id, l_returnflag AS context FROM lineitem GROUP BY l_orderkey, l_quantity, l_returnflag",
+    "results_kept_orders": """WITH f AS (SELECT o_custkey AS owner, o_orderkey AS id, o_orderdate, o_orderkey % 1200 AS n FROM orders WHERE o_orderkey % 1200 + 26 <= 1100),
+r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY o_orderdate DESC, id) AS rank FROM f),
+c AS (SELECT owner, id, rank, (sum(n + 1) OVER (PARTITION BY owner ORDER BY rank) + 25)::BIGINT AS chars FROM r WHERE rank <= 4)
+SELECT * FROM c WHERE chars <= 1100""",
+    "organisations_nation": "SELECT n_nationkey, n_name || ' S.A.|Alfa|Alfa Logistics' AS names FROM nation",
+    "provider_problems_orders": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'invalid_output' WHEN 'O' THEN 'quota' ELSE 'unavailable' END AS category, CASE WHEN o_orderkey % 8999 + 5000 <= 9999 THEN (o_orderkey % 8999 + 5000)::INT END AS code FROM orders",
 }
 
 
@@ -107,6 +202,16 @@ def queries() -> dict:
         "selections_orders": selections,
         "verdict_scores_labels": verdict_scores,
         "rate_limits_events": rate_limits,
+        "sentences_documents": sentences,
+        "chunks_documents": chunk_cover,
+        "overviews_conversations": overviews,
+        "layouts_conversations": layouts,
+        "recognised_pages_conversations": recognised_pages,
+        "marked_orders": marked_orders,
+        "single_facts_lineitem": single_facts,
+        "results_kept_orders": results_kept,
+        "organisations_nation": organisations,
+        "provider_problems_orders": provider_problems,
     }
 
 
