@@ -6,11 +6,14 @@ mixer. The mixer's weights are gated by the bit's place and by which contexts ha
 mixed probability by what came true after like predictions, and both are averaged. The sum of -log2 over all bits is
 the text's cost: bits per byte, and score = -bits * log10(2).
 
-Learning. Bit counts come from every training row but a sixteenth, which stays apart so that weights are not tuned on
-texts the counts have seen; they are counted in the tasks in tables of a fixed number of slots, and the tables are
-added slice by slice, so a reducer's input is its slice from each task. Mixer and refinement learn online, text by
-text, on at most TUNE_ROWS of the rows kept apart. The finished table has 4 bytes for each of SLOTS, whatever
-the input: that is all that is broadcast. Word counts stay a distributed table that grows with the corpus.
+Learning. Bits are counted in the tasks in tables of a fixed number of slots, and the tables are added slice by slice,
+so a reducer's input is its slice from each task. A sixteenth of the training rows stays apart at first, so that weights
+are not tuned on texts the counts have seen. Mixer and refinement learn in the tasks on all rows kept apart: distinct
+texts, weighted by their copies, are dealt by hash to groups of about GROUP_BYTES; each group finds its weights by Newton
+steps (the loss of a gate is convex) and then its refinement counts. Weights are averaged by the bits that each gate had
+in a group, refinement counts are added, both slice by slice too. At the end the sixteenth is added to the bit counts
+that score. A finished table has 4 bytes for each of SLOTS, whatever the input, and two of them (without and with
+the sixteenth) reach the driver; one at a time is broadcast. Word counts stay a distributed table that grows with the corpus.
 
 Unigram score: tokens are the lower-cased words and one end; sum of log10((c + 1) / (N + V + 1)) over tokens, counts
 from training rows. Texts emit each distinct word once; frequent words are a skewed join key that adaptive execution splits.
@@ -25,14 +28,15 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_bucket, materialize, table
+from .common import discard, id_bucket, materialize, table
 
 FOLDS, HELD_OUT = 7, 2
 ORDERS = (1, 3, 5)
@@ -43,11 +47,12 @@ BASES = (0, 1 << 16, (1 << 16) + (1 << BITS))
 SLOTS = (1 << 16) + 2 * (1 << BITS)
 SLICES = 33
 TUNE_PARTS = 16
-TUNE_ROWS = 600
+#: Bytes of distinct texts that one group of the tuning has, about.
+GROUP_BYTES = 1 << 20
 PRIOR = 0.1
-RATE = 0.1
-#: Bytes of a text between two steps of the mixer.
-STEP = 256
+#: A gate's weights start at START and are held there by RIDGE.
+START, RIDGE = 0.4, 1.0
+NEWTON_STEPS, SETTLED = 6, 0.005
 BUCKETS = 33
 #: Bytes that are worked on together.
 CHUNK = 1 << 20
@@ -100,7 +105,14 @@ def _bits(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarra
         yield place, bit, node, slots
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sliced(arrays: list[np.ndarray], slices: int, **more: tuple) -> Iterator[pa.RecordBatch]:
+    """The arrays, cut into slices; a slice holds its part of each of them."""
+    for k, parts in enumerate(zip(*(np.array_split(a, slices) for a in arrays))):
+        blob = zlib.compress(np.concatenate(parts).tobytes(), 1)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), **{n: pa.array([x], t) for n, (x, t) in more.items()}, "blob": pa.array([blob], pa.binary())})
+
+
+def _count(batches: Iterator[pa.RecordBatch], apart: bool) -> Iterator[pa.RecordBatch]:
     ones, all_ = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
     for batch in batches:
         for data, starts, _ in _pieces([t.as_py() for t in batch.column(0)]):
@@ -110,20 +122,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     all_ += np.bincount(s, minlength=SLOTS)
                     ones += np.bincount(s[hit], minlength=SLOTS)
     if all_.any():
-        for k, (a, b) in enumerate(zip(np.array_split(ones, SLICES), np.array_split(all_, SLICES))):
-            blob = zlib.compress(np.concatenate([a, b]).tobytes(), 1)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "blob": pa.array([blob], pa.binary())})
+        yield from _sliced([ones, all_], SLICES, apart=(apart, pa.bool_()))
+
+
+def _odds(counts: np.ndarray) -> bytes:
+    ones, all_ = np.split(counts, 2)
+    return np.log((ones + PRIOR) / (all_ - ones + PRIOR)).astype(np.float32).tobytes()
 
 
 def _add(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
+    """A slice's log-odds without the rows kept apart, and with them."""
+    total = {}
     for batch in tables:
-        for blob in batch.column("blob"):
+        for apart, blob in zip(batch.column("apart"), batch.column("blob")):
             x = np.frombuffer(zlib.decompress(blob.as_py()), np.int64)
-            total = x.copy() if total is None else total + x
-    ones, all_ = np.split(total, 2)
-    odds = np.log((ones + PRIOR) / (all_ - ones + PRIOR)).astype(np.float32)
-    yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([odds.tobytes()], pa.binary())})
+            total[apart.as_py()] = x + total.get(apart.as_py(), 0)
+    rest = total.get(False, np.zeros_like(x))
+    yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "rest": pa.array([_odds(rest)], pa.binary()), "whole": pa.array([_odds(rest + total.get(True, 0))], pa.binary())})
+
+
+def _add_learned(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = 0.0
+    for batch in tables:
+        for blob in batch.column("blob"):
+            total = total + np.frombuffer(zlib.decompress(blob.as_py()), np.float64)
+    yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([total.tobytes()], pa.binary())})
 
 
 class Mixer:
@@ -131,7 +154,7 @@ class Mixer:
 
     def __init__(self, odds: np.ndarray) -> None:
         self.odds = odds
-        self.weights = np.full((8, 4, len(ORDERS)), 0.4, np.float32)
+        self.weights = np.full((8, 4, len(ORDERS)), START, np.float32)
         self.hits = np.zeros((256, BUCKETS), np.float64)
         self.seen = np.zeros((256, BUCKETS), np.float64)
         self.refined = np.full((256, BUCKETS), 0.5, np.float32)
@@ -146,20 +169,47 @@ class Mixer:
     def _bucket(node: np.ndarray, z: np.ndarray) -> np.ndarray:
         return node.astype(np.intp) * BUCKETS + np.rint(np.clip(z, -8, 8) * 2).astype(np.intp) + BUCKETS // 2
 
-    def learn(self, text: bytes) -> None:
-        """Online steps of the mixer along a text, and the refinement table's counts."""
-        for data, starts, _ in _pieces([text]):
+    def _slopes(self, texts: list[bytes], copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """By place and gate: the bits, their loss, and its first and second derivatives by the weights."""
+        n, loss = np.zeros((8, 4)), np.zeros((8, 4))
+        first, second = np.zeros((8, 4, len(ORDERS))), np.zeros((8, 4, len(ORDERS), len(ORDERS)))
+        for data, starts, owners in _pieces(texts):
+            w = np.repeat(copies[owners], np.diff(np.r_[starts, len(data) + PAD]) - PAD)
+            for place, bit, _, slots in _bits(data, starts):
+                inputs, gate, z = self._mix(place, slots)
+                p = 1 / (1 + np.exp(-z.astype(np.float64)))
+                n[place] += np.bincount(gate, w, 4)
+                loss[place] -= np.bincount(gate, w * np.log(np.where(bit, p, 1 - p)), 4)
+                for j, x in enumerate(inputs):
+                    first[place, :, j] += np.bincount(gate, w * (p - bit) * x, 4)
+                    for k, y in enumerate(inputs[: j + 1]):
+                        second[place, :, j, k] += np.bincount(gate, w * p * (1 - p) * x * y, 4)
+                        second[place, :, k, j] = second[place, :, j, k]
+        away = self.weights.astype(np.float64) - START
+        return n, loss + RIDGE / 2 * (away**2).sum(-1), first + RIDGE * away, second + RIDGE * np.eye(len(ORDERS))
+
+    def learn(self, texts: list[bytes], copies: list[int]) -> np.ndarray:
+        """Newton steps of the weights over the texts, then the refinement table's counts; returns the bits of each gate."""
+        w = np.array(copies, np.float64)
+        best, least, step = self.weights.copy(), np.full((8, 4), np.inf), np.zeros(self.weights.shape)
+        for _ in range(NEWTON_STEPS):
+            n, loss, first, second = self._slopes(texts, w)
+            better = (loss < least)[..., None]
+            best, least = np.where(better, self.weights, best), np.minimum(loss, least)
+            # a gate that went too far goes back half of the way
+            step = np.where(better, -np.linalg.solve(second, first[..., None])[..., 0], step / 2)
+            self.weights = (best + step).astype(np.float32)
+            if np.abs(step).max() < SETTLED:
+                break
+        _, loss, _, _ = self._slopes(texts, w)
+        self.weights = np.where((loss < least)[..., None], self.weights, best).astype(np.float32)
+        for data, starts, owners in _pieces(texts):
+            each = np.repeat(w[owners], np.diff(np.r_[starts, len(data) + PAD]) - PAD)
             for place, bit, node, slots in _bits(data, starts):
-                for k in range(0, len(bit), STEP):
-                    part = slice(k, k + STEP)
-                    inputs, gate, z = self._mix(place, [s[part] for s in slots])
-                    error = bit[part] - 1 / (1 + np.exp(-z))
-                    bucket = self._bucket(node[part], z)
-                    np.add.at(self.seen.reshape(-1), bucket, 1)
-                    np.add.at(self.hits.reshape(-1), bucket, bit[part])
-                    n = np.maximum(np.bincount(gate, minlength=4), 16)
-                    for j, x in enumerate(inputs):
-                        self.weights[place, :, j] += RATE * np.bincount(gate, error * x, 4) / n
+                bucket = self._bucket(node, self._mix(place, slots)[2])
+                self.seen += np.bincount(bucket, each, self.seen.size).reshape(self.seen.shape)
+                self.hits += np.bincount(bucket, each * bit, self.hits.size).reshape(self.hits.shape)
+        return n
 
     def settle(self) -> Mixer:
         centre = 1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2) / 2))
@@ -189,15 +239,57 @@ def _held_out(doc_id: str) -> Column:
     return F.coalesce(id_bucket(F.col(doc_id), FOLDS) == HELD_OUT, F.lit(False))
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tune_rows: int = TUNE_ROWS) -> Mixer:
-    """A mixer over the bit counts of all training rows of docs."""
+def _learned(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (group, raw, copies) sorted by group in; what a task's groups have learned, added up and sliced, out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, texts, copies = None, None, [], []
+
+        def learn() -> np.ndarray:
+            mixer = Mixer(shared.value)
+            n = mixer.learn(texts, copies)
+            return np.concatenate([n.ravel(), (mixer.weights * n[..., None]).ravel(), mixer.seen.ravel(), mixer.hits.ravel()])
+
+        for batch in batches:
+            for group, raw, k in zip(*(c.to_pylist() for c in batch.columns)):
+                if texts and group != held:
+                    total = learn() + (0.0 if total is None else total)
+                    texts, copies = [], []
+                held = group
+                texts.append(raw)
+                copies.append(k)
+        if texts:
+            total = learn() + (0.0 if total is None else total)
+        if total is not None:
+            yield from _sliced([total], SLICES)
+
+    return run
+
+
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Mixer:
+    """A mixer over the bit counts of all training rows of docs, tuned on all of those that are kept apart at first."""
     rows = docs.filter(~_held_out(doc_id)).select(_raw(text).alias("raw"), F.xxhash64(text).alias("h"))
     apart = F.pmod("h", F.lit(TUNE_PARTS)) == 0
-    slices = rows.filter(~apart).select("raw").mapInArrow(_count, "slice int, blob binary").repartition(SLICES, "slice").groupBy("slice").applyInArrow(_add, "slice int, blob binary")
-    found = {r["slice"]: bytes(r["blob"]) for r in slices.collect()}  # SLOTS * 4 bytes in all
-    mixer = Mixer(np.frombuffer(b"".join(found[k] for k in sorted(found)), np.float32) if found else np.zeros(SLOTS, np.float32))
-    for r in rows.filter(apart).orderBy("h", "raw").limit(tune_rows).select("raw").toLocalIterator():
-        mixer.learn(bytes(r["raw"]))
+    counted = "slice int, apart boolean, blob binary"
+    tables = rows.filter(~apart).select("raw").mapInArrow(lambda b: _count(b, False), counted).union(rows.filter(apart).select("raw").mapInArrow(lambda b: _count(b, True), counted))
+    slices = tables.repartition(SLICES, "slice").groupBy("slice").applyInArrow(_add, "slice int, rest binary, whole binary")
+    found = {r["slice"]: (bytes(r["rest"]), bytes(r["whole"])) for r in slices.collect()}  # 2 * SLOTS * 4 bytes in all
+    rest, whole = (np.frombuffer(b"".join(found[k][n] for k in sorted(found)), np.float32) if found else np.zeros(SLOTS, np.float32) for n in range(2))
+
+    mixer = Mixer(whole)
+    texts = materialize(rows.filter(apart).groupBy("raw").agg(F.count(F.lit(1)).alias("copies")), "apart")
+    groups = -(-(texts.agg(F.sum(F.octet_length("raw"))).first()[0] or 0) // GROUP_BYTES)
+    if groups:
+        dealt = texts.filter(F.octet_length("raw") > 0).select(F.pmod(F.xxhash64("raw", F.lit(1)), F.lit(groups)).alias("group"), "raw", "copies")
+        dealt = dealt.repartition(groups, "group").sortWithinPartitions("group", "raw")
+        learned = dealt.mapInArrow(_learned(docs.sparkSession.sparkContext.broadcast(rest)), "slice int, blob binary")
+        parts = learned.repartition(SLICES, "slice").groupBy("slice").applyInArrow(_add_learned, "slice int, blob binary").collect()
+        total = np.frombuffer(b"".join(bytes(r["blob"]) for r in sorted(parts, key=lambda r: r["slice"])))  # a fixed number of parameters
+        n, weights, seen, hits = np.split(total, np.cumsum([32, mixer.weights.size, mixer.seen.size]))
+        n = n.reshape(8, 4, 1)
+        mixer.weights = np.where(n > 0, weights.reshape(mixer.weights.shape) / np.maximum(n, 1), START).astype(np.float32)
+        mixer.seen, mixer.hits = seen.reshape(mixer.seen.shape), hits.reshape(mixer.hits.shape)
+    discard(texts)
     return mixer.settle()
 
 

@@ -36,3 +36,22 @@ def test_bits_of_a_text_do_not_depend_on_its_batch():
     mixer = mixing_lm.Mixer(np.random.default_rng(1).normal(size=mixing_lm.SLOTS).astype(np.float32))
     texts = [b"", b"one text", b"x" * 3000, b"another"]
     assert np.allclose(mixer.bits(texts), [mixer.bits([t])[0] for t in texts], rtol=1e-5)
+
+
+def test_all_training_rows_are_counted_and_all_rows_kept_apart_tune(spark):
+    import numpy as np
+    import xxhash
+
+    from docquarry.llm import mixing_lm
+
+    texts = [f"text number {k} of many" for k in range(14000)] + ["copies of one text"] * 700 + [f"copy {k}" for k in range(40) for _ in range(50)]
+    rows = [(i, t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2] + [(None, None), (None, "")]
+    mixer = mixing_lm.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    raws = [(t or "").encode() for _, t in rows]
+    apart = [r for r in raws if np.int64(np.uint64(xxhash.xxh64_intdigest(r, 42))) % 16 == 0]
+    assert len(apart) > 800 and mixer.seen.sum() == 8 * sum(map(len, apart))
+    # a text's first byte follows a zero byte: node 1 of that context holds the first bit of each text, node 2 or 3 the second
+    second = [r[0] >> 6 & 1 for r in raws if r and r[0] < 128]
+    expected = math.log((sum(second) + mixing_lm.PRIOR) / (len(second) - sum(second) + mixing_lm.PRIOR))
+    assert abs(mixer.odds[2] - expected) < 1e-4
+    assert np.isfinite(mixer.weights).all() and (mixer.weights != np.float32(mixing_lm.START)).any()
