@@ -22,7 +22,7 @@ empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,8 @@ BLOCK = 4_096
 SEED = 42
 
 
-def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", more: Sequence[Column] = ()) -> DataFrame:
+    return docs.select(*more, F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
 
 
 def ranked_sources(units: DataFrame) -> DataFrame:
@@ -194,7 +194,11 @@ def _draw(*of: Column) -> Column:
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, times, taken) for every row of docs."""
-    units = materialize(sizes(docs, doc_id, text, source).withColumn("key", F.monotonically_increasing_id()), "sizes")
+    return _mix(materialize(sizes(docs, doc_id, text, source).withColumn("key", F.monotonically_increasing_id()), "sizes")).drop("key")
+
+
+def _mix(units: DataFrame) -> DataFrame:
+    """The mix of materialized units (key, doc_id, source, size), one row for each key."""
     goal = targets(units).withColumnRenamed("source", "_source")
     rated = units.join(goal, units["source"].eqNullSafe(goal["_source"])).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -203,7 +207,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     chosen = choose(open_units).withColumnRenamed("p", "more").withColumnRenamed("key", "_key")
     out = rated.join(chosen, rated["key"] == chosen["_key"], "left")
     times = F.when(F.col("size") > 0, F.col("sure") + F.coalesce("more", F.lit(0.0))).otherwise(0).cast("long")
-    return out.withColumn("times", times).select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+    return out.withColumn("times", times).select("key", "doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +215,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """docs with each row as often as the mix takes it; rows with a null id or of size 0 are not in a mix."""
-    times = mix(docs).filter("times > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("times").alias("_times")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(times, docs["doc_id"] == times["_id"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    return joined.select(*[docs[c] for c in docs.columns])
+    """docs with each row as often as the mix takes it; rows of size 0 are not in a mix.
+
+    Decisions meet their rows by a key of the row, so that rows without an id and rows that repeat one have their own.
+    """
+    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    units = materialize(sizes(keyed, more=[F.col("_row").alias("key")]), "sizes")
+    times = _mix(units).filter("times > 0").select(F.col("key").alias("_key"), F.col("times").alias("_times"))
+    joined = keyed.join(times, keyed["_row"] == times["_key"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    return joined.select(*[keyed[c] for c in docs.columns])
