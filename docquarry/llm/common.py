@@ -81,7 +81,7 @@ def discard(*frames: DataFrame) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files below a frame by the optimizer's statistics: used only to choose partition counts."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def partitions_for(df: DataFrame, target_bytes: int, least: int = 8, most: int = 100_000) -> int:

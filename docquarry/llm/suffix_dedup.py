@@ -3,48 +3,55 @@
 Method. Rows with equal texts are folded first: a text is worked on once, under the smallest id that has it. A
 string of WIDTH bytes is named by the smallest hash among its GRAM-byte pieces (leftmost on ties), so equal strings
 have equal names wherever they stand. Strings that follow each other under one name form a segment; distinct
-segments are shuffled by name. A task holds whole name groups, block by block, and suffix-sorts the strings in
+segments are shuffled by name. A task holds whole name groups, block by block, and suffix-sorts all strings in
 them: prefix polynomial hashes give the hash of any substring, a binary search over lengths finds the common
 extension of two suffixes, and a merge sort compares suffixes that way, so a comparison costs a logarithm of
 WIDTH. Neighbours whose common extension reaches WIDTH are equal; their bytes are compared as well, and a block
 with a collision is sorted again by its bytes. Each run of equal strings gives its smallest document to its
 segments, segments give it to their places, and places to ranges of bytes of each text.
 
-Bytes of segments are shuffled only for names with more than one segment; a name with one segment is settled by its 128
-bits of name and print. Only suffixes whose hash stands twice in a block can be equal to another, so only they are sorted. Segments are about a
-sixteenth of the positions. Places meet their segments by a join that adaptive execution can split, so a passage
-that a third of the corpus holds is split over tasks. A name whose distinct segments exceed BLOCK_BYTES is
-met by more than one block: such a name is dealt again by string, in rows that fold on the map side (see `_wide`).
+No result hangs on a hash alone: segments are folded by their bytes, and if two different ones ever had one name and one
+print (by which places find their segments), the sort sees them side by side and all is done again with other hashes.
+
+Scale. First only names travel, packed into four bytes each and dealt to shards whose number follows the input. Bytes are
+shuffled for names that stand in two texts or more. A name that stands more often than HOT times would make a
+group that grows with the input: its segments are cut into single strings, which are dealt by name and print, and equal
+ones of which fold before the shuffle. So every group is bounded, and rows stay below the number of bytes of the input. Tasks learn
+which names are wanted and which are hot from filters of FILTER_MOST bits at most; what a full filter lets through too much
+costs bytes shuffled, never results. Places meet their segments by a join that adaptive execution can split, so a
+passage that a third of the corpus holds is split over tasks.
 
 Defined results. Null is the empty text. A null id counts as larger than every id. Rows with equal ids never match
-one another; an id's rows with different texts are treated each on its own. Texts shorter than WIDTH lose nothing.
-An empty table gives an empty result. Any other columns are carried whole, whatever their names.
+one another; an id's rows with different texts are treated each on its own. Texts shorter than WIDTH lose nothing; very long
+ones are cut in pieces that overlap, block by block. An empty table gives an empty result. Any other columns are carried
+whole, whatever their names.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import discard, materialize, table
+from .common import discard, input_bytes, materialize, table
 
 WIDTH = 50
 GRAM = 20
 SPAN = WIDTH - GRAM + 1
-#: Names with more distinct segments than this are dealt again by string.
-WIDE = 2_000
-#: Bytes of segments that are sorted together, and bytes of text that are cut together.
-BLOCK_BYTES = 4_000_000
-#: Bits of the filters of names that tasks get, whatever the input, and the slices that build them.
-FILTER_BITS, FILTER_SLICES = 1 << 27, 16
+#: A name that stands more often than this is dealt string by string.
+HOT = 512
+#: Bytes of text that are cut together, and of segments that are sorted together.
+BLOCK_BYTES = 1 << 19
+#: Names that a task gathers before it sends them, bytes of input for each shard of names, and bits of a filter.
+SENT, SHARD_BYTES, FILTER_LEAST, FILTER_MOST = 1 << 20, 1 << 24, 1 << 20, 1 << 28
 _NONE = (1 << 63) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -63,14 +70,20 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+@lru_cache(maxsize=8)
+def _both_powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(base, size), _powers(pow(base, -1, 1 << 64), size)
+
+
 class PrefixHashes:
     """Polynomial hashes, modulo 2**64, of any substring of a buffer in constant time."""
 
-    def __init__(self, data: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, base: int = _BASES[0]) -> None:
         n = len(data) + 1
+        there, back = _both_powers(base, 1 << max(16, (n - 1).bit_length()))
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n)[:-1], out=self.sums[1:])
-        self.back = _powers(_INVERSE, n)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * there[: n - 1], out=self.sums[1:])
+        self.back = back[:n]
 
     def of(self, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return (self.sums[at + length] - self.sums[at]) * self.back[at]
@@ -154,17 +167,48 @@ def equal_runs(data: np.ndarray, hashes: PrefixHashes, at: np.ndarray, group: np
     return order, np.concatenate([[0], np.cumsum(~same)])
 
 
-def cut_segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """For pieces of the texts: (text number, start in it, length, name, print, place of the named piece in it, start in the buffer) of segments, and the buffer."""
+class Names:
+    """A set of names as a Bloom filter, made of one slice for each shard of names."""
+
+    def __init__(self, bits: np.ndarray, shard_bits: int) -> None:
+        self.bits, self.shard_bits, self.slice_bits = bits, shard_bits, (len(bits) * 8 >> shard_bits).bit_length() - 1
+
+    def has(self, names: np.ndarray) -> np.ndarray:
+        short = names.view(np.uint64) >> np.uint64(32 - self.shard_bits)
+        base = (short >> np.uint64(32)) << np.uint64(self.slice_bits)
+        out = np.ones(len(names), bool)
+        for place in _places(short, self.slice_bits):
+            at = base + place
+            out &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def _places(short: np.ndarray, slice_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h, mask = _mix(short + np.uint64(1)), np.uint64((1 << slice_bits) - 1)
+    return h & mask, (h >> np.uint64(32)) & mask
+
+
+def _slice_of(short: np.ndarray, slice_bits: int) -> bytes:
+    found = np.zeros(1 << (slice_bits - 3), np.uint8)
+    for place in _places(short, slice_bits):
+        np.bitwise_or.at(found, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+    return found.tobytes()
+
+
+def cut_segments(texts: list[bytes], base: int = _BASES[0], wanted: Names | None = None, hot: Names | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Block by block: (text number, start in it, length, name, print, place of the named piece in it, deal, start in the buffer) of segments, and the buffer.
+
+    wanted: only segments of these names. hot: names whose segments are cut into single strings, and dealt by print too.
+    """
 
     def cut(owners: list[int], bases: list[int], parts: list[bytes]) -> tuple:
         data = np.frombuffer(b"".join(parts), np.uint8)
         sizes = np.array([len(p) for p in parts])
         ends = np.cumsum(sizes)
-        hashes = PrefixHashes(data)
+        hashes = PrefixHashes(data, base)
         value = _mix(hashes.all(GRAM))
         # leftmost smallest piece of each string, by doubling
-        least, width = np.arange(len(value)), 1
+        least, width = np.arange(len(value), dtype=np.int32), 1
         while width * 2 <= SPAN:
             a, b = least[:-width], least[width:]
             least, width = np.where(value[b] < value[a], b, a), width * 2
@@ -177,18 +221,30 @@ def cut_segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         last = np.r_[breaks[1:], len(least)]
         ok = whole[breaks]
         start, last = breaks[ok], last[ok]
-        length = last - start - 1 + WIDTH
+        name = value[least[start]].view(np.int64)
+        if wanted is not None:
+            ok = wanted.has(name)
+            start, last, name = start[ok], last[ok], name[ok]
+        length, mark = last - start - 1 + WIDTH, least[start] - start
+        single = np.zeros(len(start), bool)
+        if hot is not None and len(start):
+            single = hot.has(name)
+            times = np.where(single, length - WIDTH + 1, 1)
+            each = np.repeat(np.arange(len(start)), times)
+            step = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+            start, mark, name, single = start[each] + step, mark[each] - step, name[each], single[each]
+            length = np.where(single, WIDTH, length[each])
         owner = np.searchsorted(ends, start, side="right")
         local = start - (ends - sizes)[owner] + np.array(bases)[owner]
-        prints = _mix(hashes.of(start, length) ^ (length.astype(np.uint64) << np.uint64(56)))
-        return np.array(owners)[owner], local, length, value[least[start]].view(np.int64), prints.view(np.int64), least[start] - start, start, data
+        prints = _mix(hashes.of(start, length) ^ (length.astype(np.uint64) << np.uint64(56))).view(np.int64)
+        return np.array(owners)[owner], local, length, name, prints, mark, np.where(single, name ^ prints, name), start, data
 
     owners, bases, parts, held = [], [], [], 0
     for k, text in enumerate(texts):
         step = BLOCK_BYTES
-        for base in range(0, max(0, len(text) - WIDTH + 1), step):
-            part = text[base : base + step + WIDTH - 1]  # pieces overlap, so no string is lost
-            owners.append(k), bases.append(base), parts.append(part)
+        for at in range(0, max(0, len(text) - WIDTH + 1), step):
+            part = text[at : at + step + WIDTH - 1]  # pieces overlap, so no string is lost
+            owners.append(k), bases.append(at), parts.append(part)
             held += len(part)
             if held >= BLOCK_BYTES:
                 yield cut(owners, bases, parts)
@@ -197,135 +253,180 @@ def cut_segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         yield cut(owners, bases, parts)
 
 
-def name_filter(names: DataFrame) -> np.ndarray:
-    """A Bloom filter of FILTER_BITS bits over a column of names: what it lets through too much costs work, never results."""
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            for at in _filter_places(np.asarray(batch.column(0))):
-                bits[at] = True
-        if bits.any():
-            parts = np.split(np.packbits(bits), FILTER_SLICES)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(FILTER_SLICES), pa.int32()), "bits": pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())})
+def _batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows of a batch in parts of about BLOCK_BYTES, so that no worker holds all texts of a batch as Python objects."""
+    begin, held, texts = 0, 0, []
+    for k, t in enumerate(batch.column(column)):
+        texts.append(t.as_py())
+        held += len(texts[-1])
+        if held >= BLOCK_BYTES:
+            yield batch.slice(begin, k + 1 - begin), texts
+            begin, held, texts = k + 1, 0, []
+    if texts:
+        yield batch.slice(begin), texts
+
+
+def _sent(short: np.ndarray) -> pa.RecordBatch:
+    """Ascending shortened names as one row for each shard: the shard, and what tells names apart in it."""
+    shards = (short >> np.uint64(32)).astype(np.int64)
+    cuts = np.r_[0, np.flatnonzero(shards[1:] != shards[:-1]) + 1, len(shards)]
+    low = short.astype(np.uint32)
+    return pa.RecordBatch.from_pydict({"shard": pa.array(shards[cuts[:-1]], pa.int32()), "low": pa.array([low[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
+
+
+def _filters(names: DataFrame, shard_bits: int, bits: int, levels: tuple[int, ...]) -> list[Names]:
+    """Filters of the names that rows (shard, low) hold more often than each of the levels."""
+    slice_bits = bits.bit_length() - 1 - shard_bits
 
     def unite(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(FILTER_BITS // 8 // FILTER_SLICES, np.uint8)
-        for batch in rows:
-            for x in batch.column("bits"):
-                found |= np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([found.tobytes()], pa.binary())})
+        low = np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint32) for batch in rows for x in batch.column("low")]))
+        first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+        times = np.diff(np.r_[first, len(low)])
+        short = low[first].astype(np.uint64) | np.uint64(key[0].as_py() << 32)
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([key[0].as_py()], pa.int32()), **{f"f{k}": [_slice_of(short[times > level], slice_bits)] for k, level in enumerate(levels)}})
+
+    schema = "shard int, " + ", ".join(f"f{k} binary" for k in range(len(levels)))
+    out = [np.zeros((1 << shard_bits, 1 << (slice_bits - 3)), np.uint8) for _ in levels]
+    for r in names.repartition("shard").groupBy("shard").applyInArrow(unite, schema).collect():  # FILTER_MOST bits for each level at most
+        for k, bits_ in enumerate(out):
+            bits_[r["shard"]] = np.frombuffer(bytes(r[f"f{k}"]), np.uint8)
+    return [Names(x.ravel(), shard_bits) for x in out]
+
 
-    rows = names.mapInArrow(fill, "slice int, bits binary").repartition(FILTER_SLICES, "slice").groupBy("slice").applyInArrow(unite, "slice int, bits binary").collect()
-    out = np.zeros((FILTER_SLICES, FILTER_BITS // 8 // FILTER_SLICES), np.uint8)
-    for r in rows:  # FILTER_BITS / 8 bytes in all
-        out[r["slice"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out.ravel()
+def _counted(shard_bits: int, base: int):
+    """Names of all segments, shortened: once for a text that has a name a few times, as often as it has it otherwise."""
+    most_texts = 1 << (32 - shard_bits)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, seen = [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            each, times = np.unique(np.concatenate(held), return_counts=True)
+            short = each >> np.uint64(32 - shard_bits)
+            return _sent(np.repeat(short, np.where(times > HOT // 8, times, 1)))
+
+        for batch in batches:
+            for _, texts in _batches(batch, 0):
+                for owner, _, _, name, *_ in cut_segments(texts, base):
+                    short = name.view(np.uint64) >> np.uint64(32 - shard_bits)
+                    held.append(short << np.uint64(32 - shard_bits) | ((owner + seen) % most_texts).astype(np.uint64))
+                    n += len(name)
+                seen += len(texts)
+                if n >= SENT or seen >= most_texts:
+                    if n:
+                        yield flush()
+                    held, n, seen = [], 0, 0
+        if n:
+            yield flush()
+
+    return run
 
-def _filter_places(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = names.view(np.uint64)
-    return (n % np.uint64(FILTER_BITS)).astype(np.int64), ((n >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
+def _shortened(shard_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _sent(np.unique(np.asarray(batch.column(0)).view(np.uint64) >> np.uint64(32 - shard_bits)))
 
-def _passes(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
-    a, b = _filter_places(names)
-    return (bits[a >> 3] >> (7 - (a & 7)) & bits[b >> 3] >> (7 - (b & 7)) & 1).astype(bool)
+    return run
 
 
-def _segments(columns: tuple[str, ...], wanted=None):
-    """Segments with some of id, name, print, len, key, at, seg; wanted: a broadcast filter of names."""
+def _segments(columns: tuple[str, ...], base: int, wanted, hot):
+    """Segments with some of id, name, print, mark, deal, key, at, seg; wanted and hot: broadcast names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            for owner, local, length, name, prints, mark, start, data in cut_segments([t.as_py() for t in batch.column(2)]):
-                if wanted is not None:
-                    k = _passes(wanted.value, name)
-                    owner, local, length, name, prints, mark, start = (x[k] for x in (owner, local, length, name, prints, mark, start))
-                made = {"id": ids[owner], "name": name, "print": prints, "len": length.astype(np.int32), "mark": mark.astype(np.int32), "key": keys[owner], "at": local}
-                if "seg" in columns:
-                    raw = data.tobytes()
-                    made["seg"] = pa.array([raw[s : s + n] for s, n in zip(start.tolist(), length.tolist())], pa.binary())
-                whole = pa.RecordBatch.from_pydict({c: made[c] for c in columns})
-                for k in range(0, whole.num_rows, 65_536):
-                    yield whole.slice(k, 65_536)
+            for rows, texts in _batches(batch, 2):
+                ids, keys = np.asarray(rows.column(0)), np.asarray(rows.column(1))
+                for owner, local, length, name, prints, mark, deal, start, data in cut_segments(texts, base, wanted.value, hot.value):
+                    made = {"id": ids[owner], "name": name, "print": prints, "mark": mark.astype(np.int32), "deal": deal, "key": keys[owner], "at": local}
+                    if "seg" in columns:
+                        ends = np.cumsum(length)
+                        raw = data[np.repeat(start - (ends - length), length) + np.arange(int(length.sum()))]
+                        made["seg"] = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(raw)])
+                    whole = pa.RecordBatch.from_pydict({c: made[c] for c in columns})
+                    for k in range(0, whole.num_rows, 16_384):
+                        yield whole.slice(k, 16_384)
 
     return run
 
 
-def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (name, print, mark, seg, least, most) sorted by name in; (name, print, from, to, doc) out: strings that start at
-    from..to of the segment stand in doc, which is smaller than the largest document of the segment."""
+#: A row of _solve that only says that two different segments have one name and print.
+_CLASH = -1
+
+
+def _solve(base: int):
+    """Rows (deal, name, print, mark, seg, least, most) sorted by the first three in; (name, print, from, to, doc) out: strings that
+    start at from..to of the segment stand in doc, which is smaller than the largest document of the segment."""
 
     def block(rows: pa.Table) -> pa.RecordBatch:
-        name, prints, mark, least, most = (np.asarray(rows.column(c).combine_chunks()) for c in ("name", "print", "mark", "least", "most"))
-        segs = rows.column("seg").to_pylist()
-        sizes = np.array([len(s) for s in segs])
-        starts = np.cumsum(sizes) - sizes
+        deal, name, prints, mark, least, most = (np.asarray(rows.column(c).combine_chunks()) for c in ("deal", "name", "print", "mark", "least", "most"))
+        seg = rows.column("seg").combine_chunks()
+        seg = pa.concat_arrays(seg.chunks) if isinstance(seg, pa.ChunkedArray) else seg
+        offsets = np.frombuffer(seg.buffers()[1], np.int32)[seg.offset : seg.offset + len(seg) + 1].astype(np.int64)
+        data = np.frombuffer(seg.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
         counts = sizes - WIDTH + 1
         first = np.cumsum(counts) - counts
-        owner = np.repeat(np.arange(len(segs)), counts)
+        owner = np.repeat(np.arange(len(sizes)), counts)
         offset = np.arange(int(counts.sum())) - first[owner]
         doc = least[owner].copy()
-        alone = np.r_[True, name[1:] != name[:-1]] & np.r_[name[1:] != name[:-1], True]
-        if not alone.all():
-            data = np.frombuffer(b"".join(segs), np.uint8)
-            hashes = PrefixHashes(data)
-            some = np.flatnonzero(~alone[owner])
-            value = hashes.of(starts[owner[some]] + offset[some], WIDTH)
-            order = np.argsort(value, kind="stable")
-            twice = value[order][1:] == value[order][:-1]
-            some = some[order[np.r_[twice, False] | np.r_[False, twice]]]
-            # equal strings have their named piece at the same place, so each place of a name is sorted for itself
-            place = mark[owner[some]] - offset[some]
-            some = some[np.lexsort((place, name[owner[some]]))]
-            place, names = mark[owner[some]] - offset[some], name[owner[some]]
-            group = np.cumsum(np.r_[False, (names[1:] != names[:-1]) | (place[1:] != place[:-1])]) if len(some) else np.zeros(0, np.int64)
+        # equal strings have one name, and their named piece at one place: each such group is sorted for itself
+        place = mark[owner] - offset
+        some = np.lexsort((place, name[owner], deal[owner]))
+        o, p = owner[some], place[some]
+        new = np.r_[True, (deal[o[1:]] != deal[o[:-1]]) | (name[o[1:]] != name[o[:-1]]) | (p[1:] != p[:-1])]
+        alone = new & np.r_[new[1:], True]
+        some, group = some[~alone], np.cumsum(new)[~alone]
+        if len(some):
+            hashes = PrefixHashes(data, base)
             at = starts[owner[some]] + offset[some]
-            back = np.empty(len(data), np.int64)
+            back = np.empty(len(data), np.int32)
             back[at] = some
             ordered, run = equal_runs(data, hashes, at, group)
-            if len(ordered):
-                window = back[ordered]
-                low = np.full(int(run[-1]) + 1, _NONE, np.int64)
-                np.minimum.at(low, run, doc[window])
-                doc[window] = low[run]
-        edge = np.r_[True, (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])] if len(owner) else np.zeros(0, bool)
-        begin = np.flatnonzero(edge)
-        end = np.r_[begin[1:], len(owner)] - 1 if len(begin) else begin
+            window = back[ordered]
+            low = np.full(int(run[-1]) + 1, _NONE, np.int64)
+            np.minimum.at(low, run, doc[window])
+            doc[window] = low[run]
+        begin = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])])
+        end = np.r_[begin[1:], len(owner)] - 1
         k = doc[begin] < most[owner[begin]]
         begin, end = begin[k], end[k]
         o = owner[begin]
-        return pa.RecordBatch.from_pydict({"name": name[o], "print": prints[o], "from": offset[begin].astype(np.int32), "to": offset[end].astype(np.int32), "doc": doc[begin]})
-
-    held: list[pa.Table] = []
-    weight = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(pa.Table.from_batches([batch]))
-        weight += batch.column("seg").nbytes
-        if weight < BLOCK_BYTES:
-            continue
-        rows = pa.concat_tables(held)
-        name = np.asarray(rows.column("name").combine_chunks())
-        cut = int(np.searchsorted(name, name[-1]))  # the last name may go on in the next batch
-        if cut:
-            yield block(rows.slice(0, cut))
-        held = [rows.slice(cut)]
-        weight = held[0].column("seg").nbytes
-    if held:
-        yield block(pa.concat_tables(held))
+        out = {"name": name[o], "print": prints[o], "from": offset[begin].astype(np.int32), "to": offset[end].astype(np.int32), "doc": doc[begin]}
+        if ((name[1:] == name[:-1]) & (prints[1:] == prints[:-1])).any():
+            out = {c: np.r_[x, np.array([_CLASH], x.dtype)] for c, x in out.items()}
+        return pa.RecordBatch.from_pydict(out)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        weight = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            weight += batch.column("seg").nbytes
+            if weight < BLOCK_BYTES:
+                continue
+            rows = pa.concat_tables(held)
+            deal, sizes = np.asarray(rows.column("deal").combine_chunks()), np.cumsum(pa.compute.binary_length(rows.column("seg")).to_numpy())
+            done = 0
+            # whole deals, about BLOCK_BYTES of them at a time; the last one may go on in the next batch
+            ends = np.flatnonzero(deal[1:] != deal[:-1]) + 1
+            while len(ends := ends[ends > done]):
+                before = int(sizes[done - 1]) if done else 0
+                cut = int(ends[min(np.searchsorted(sizes[ends - 1], before + BLOCK_BYTES), len(ends) - 1)])
+                yield block(rows.slice(done, cut - done))
+                done = cut
+            held = [rows.slice(done)]
+            weight = held[0].column("seg").nbytes
+        if held:
+            yield block(pa.concat_tables(held))
 
-_HITS = "name long, print long, from int, to int, doc long"
+    return run
 
 
-def _wide(segments: DataFrame) -> DataFrame:
-    """The same for names with very many segments: each string is a row, and equal ones fold on the map side."""
-    strings = segments.select("name", "print", "least", "most", F.posexplode(F.expr(f"transform(sequence(1, octet_length(seg) - {WIDTH - 1}), i -> substring(seg, i, {WIDTH}))")).alias("from", "string"))
-    least = strings.groupBy("string").agg(F.min("least").alias("doc"))
-    return strings.join(least, "string").filter("doc < most").select("name", "print", "from", F.col("from").alias("to"), "doc")
+_HITS = "name long, print long, from int, to int, doc long"
 
 
 def _merge(ranges: list | None, n: int) -> list[tuple[int, int]]:
@@ -359,33 +460,36 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.struct(*rest).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NONE)).alias("id"), raw.alias("raw"), F.sha2(raw, 256).alias("sha"))
-    firsts = rows.groupBy("sha").agg(F.min("id").alias("first"))
-    marked = materialize(rows.join(firsts, "sha").select("row", "id", F.xxhash64("sha").alias("key"), "raw", (F.col("id") > F.col("first")).alias("copy")), "texts")
+    # only texts that stand twice or more have a row here
+    firsts = rows.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
+    copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
+    marked = materialize(rows.join(firsts, "sha", "left").select("row", "id", F.xxhash64("sha").alias("key"), "raw", copy.alias("copy")), "texts")
     own = marked.filter(f"NOT copy AND octet_length(raw) >= {WIDTH}").select("id", "key", "raw")
-    # first without bytes: a name with one segment is settled, and one in a single text has nothing to settle
-    named = own.mapInArrow(_segments(("id", "name", "print", "len")), "id long, name long, print long, len int")
-    named = named.groupBy("name").agg(F.min("print").alias("print"), F.max("print").alias("other"), F.min("id").alias("least"), F.max("id").alias("most"), F.min("len").alias("len")).filter("least < most")
-    named = materialize(named, "names")
-    settled = named.filter("print = other").select("name", "print", F.lit(0).alias("from"), (F.col("len") - WIDTH).alias("to"), F.col("least").alias("doc"))
+    for base in _BASES:
+        wanted, hot, solved = _found(own, input_bytes(marked), base)
+        if not solved.filter(F.col("from") == _CLASH).head(1):
+            break
+        discard(solved)
+    shard_bits = wanted.shard_bits
     send = docs.sparkSession.sparkContext.broadcast
-    several = send(name_filter(named.filter("print <> other").select("name")))
-    segments = own.mapInArrow(_segments(("id", "name", "print", "mark", "seg"), several), "id long, name long, print long, mark int, seg binary")
-    distinct = materialize(segments.groupBy("name", "print", "mark", "seg").agg(F.min("id").alias("least"), F.max("id").alias("most")), "segments")
-    many = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(f"n > {WIDE}").select(F.col("name").alias("_many"))
-    many = materialize(many, "many")
-    few = distinct.join(many, F.col("name") == F.col("_many"), "left_anti").repartition("name").sortWithinPartitions("name", "print")
-    solved = few.select("name", "print", "mark", "seg", "least", "most").mapInArrow(_solve, _HITS)
-    if many.head(1):
-        solved = solved.union(_wide(distinct.join(many, F.col("name") == F.col("_many")).drop("_many")))
-    solved = materialize(solved, "solved")
-    discard(distinct, many)
-    hits = settled.union(solved)
-    places = own.mapInArrow(_segments(("id", "name", "print", "key", "at"), send(name_filter(hits.select("name")))), "id long, name long, print long, key long, at long")
-    ranges = places.join(hits, ["name", "print"]).filter("doc < id").select("id", "key", (F.col("at") + F.col("from")).alias("a"), (F.col("at") + F.col("to") + WIDTH).alias("b"))
+    (known,) = _filters(solved.select("name").mapInArrow(_shortened(shard_bits), "shard int, low binary"), shard_bits, len(wanted.bits) * 8, (0,))
+    places = own.mapInArrow(_segments(("id", "name", "print", "key", "at"), base, send(known), send(hot)), "id long, name long, print long, key long, at long")
+    ranges = places.join(solved, ["name", "print"]).filter("doc < id").select("id", "key", (F.col("at") + F.col("from")).alias("a"), (F.col("at") + F.col("to") + WIDTH).alias("b"))
     ranges = ranges.groupBy("id", "key").agg(F.collect_list(F.struct(F.col("a").alias("from"), F.col("b").alias("to"))).alias("ranges"))
     joined = marked.join(ranges, ["id", "key"], "left").select("row", "raw", "copy", "ranges")
-    schema = f"row {marked.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
-    return joined.mapInArrow(_cut, schema)
+    return joined.mapInArrow(_cut, StructType([marked.schema["row"], *[StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")], StructField("kept", BinaryType())]))
+
+
+def _found(own: DataFrame, size: int, base: int) -> tuple[Names, Names, DataFrame]:
+    """Names that stand twice or more, those that are hot, and the solved strings of the former. size: bytes of the texts as stored."""
+    shard_bits = min(16, max(4, (size // SHARD_BYTES).bit_length()))
+    bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (size // 2).bit_length()))
+    wanted, hot = _filters(own.select("raw").mapInArrow(_counted(shard_bits, base), "shard int, low binary"), shard_bits, bits, (1, HOT))
+    send = own.sparkSession.sparkContext.broadcast
+    segments = own.mapInArrow(_segments(("id", "name", "print", "mark", "deal", "seg"), base, send(wanted), send(hot)), "id long, name long, print long, mark int, deal long, seg binary")
+    distinct = segments.groupBy("deal", "name", "print", "mark", "seg").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    dealt = distinct.repartition("deal").sortWithinPartitions("deal", "name", "print")
+    return wanted, hot, materialize(dealt.mapInArrow(_solve(base), _HITS), "solved")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

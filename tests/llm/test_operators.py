@@ -55,11 +55,11 @@ def brute_repeats(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("wide", [2000, 1])
-def test_suffix_dedup(spark, docs, empty, wide, monkeypatch):
+@pytest.mark.parametrize("hot", [512, 1])
+def test_suffix_dedup(spark, docs, empty, hot, monkeypatch):
     from docquarry.llm import suffix_dedup
 
-    monkeypatch.setattr(suffix_dedup, "WIDE", wide)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     found = [(str(r["row"]["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in suffix_dedup.remove_repeats(docs).collect()]
     assert sorted(found) == brute_repeats(fixture_rows())
     assert suffix_dedup.remove_repeats(empty).count() == 0
@@ -67,6 +67,29 @@ def test_suffix_dedup(spark, docs, empty, wide, monkeypatch):
     assert out.columns == docs.columns and out.count() == docs.count()
 
 
+def test_suffix_dedup_on_columns_with_odd_names(spark):
+    from docquarry.llm import suffix_dedup
+
+    t = " ".join(f"word{k}" for k in range(30))
+    rows = [(1, t, "a", "x"), (2, "head " + t, "b", "y"), (None, t + " tail", None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, _left string")
+    out = suffix_dedup.without_repeats(docs)
+    assert out.columns == docs.columns
+    assert sorted(tuple(r) for r in out.collect() if r["doc_id"]) == [(1, t, "a", "x"), (2, "head ", "b", "y")]
+
+
+def test_two_segments_with_one_print_are_seen():
+    import numpy as np
+    import pyarrow as pa
+
+    from docquarry.llm import suffix_dedup as s
+
+    segs = [b"a" * 25 + b"b" * 30, b"a" * 25 + b"c" * 30]
+    rows = pa.RecordBatch.from_pydict({"deal": [5, 5], "name": [5, 5], "print": [9, 9], "mark": pa.array([3, 3], pa.int32()), "seg": pa.array(segs, pa.binary()), "least": [1, 2], "most": [4, 4]})
+    (out,) = s._solve(s._BASES[0])(iter([rows]))
+    assert s._CLASH in np.asarray(out.column("from"))
+
+
 def test_suffix_sort_finds_every_run():
     import numpy as np
 
