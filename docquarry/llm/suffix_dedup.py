@@ -10,8 +10,8 @@ WIDTH. Neighbours whose common extension reaches WIDTH are equal; their bytes ar
 with a collision is sorted again by its bytes. Each run of equal strings gives its smallest document to its
 segments, segments give it to their places, and places to ranges of bytes of each text.
 
-No result hangs on a hash alone: segments are folded by their bytes, and if two different ones ever had one name and one
-print (by which places find their segments), the sort sees them side by side and all is done again with other hashes.
+No result hangs on a hash alone: segments fold only where their bytes are equal, and if two different ones ever had one name
+and one print (by which places find their segments), the sort sees them side by side and all is done again with other hashes.
 
 Scale. First only names travel, packed into four bytes each and dealt to shards whose number follows the input. Bytes are
 shuffled for names that stand in two texts or more. A name that stands more often than HOT times would make a
@@ -48,8 +48,8 @@ SPAN = WIDTH - GRAM + 1
 HOT = 512
 #: Bytes of text that are cut together, and of segments that are sorted together.
 BLOCK_BYTES = 1 << 19
-#: Names that a task gathers before it sends them, bytes of input for each shard of names, and bits of a filter.
-SENT, SHARD_BYTES, FILTER_LEAST, FILTER_MOST = 1 << 20, 1 << 24, 1 << 20, 1 << 28
+#: Names or segments that a task gathers before it sends them, bytes of input for each shard of names, and bits of a filter.
+SENT, SHARD_BYTES, FILTER_LEAST, FILTER_MOST = 1 << 19, 1 << 24, 1 << 20, 1 << 28
 _NONE = (1 << 63) - 1
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -331,22 +331,73 @@ def _shortened(shard_bits: int):
     return run
 
 
-def _segments(columns: tuple[str, ...], base: int, wanted, hot):
-    """Segments with some of id, name, print, mark, deal, key, at, seg; wanted and hot: broadcast names."""
+def _gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of substrings one after the other, and where each begins in them, with the end as a last entry."""
+    ends = np.cumsum(length)
+    return data[np.repeat(start - (ends - length), length) + np.arange(int(length.sum()))], np.r_[0, ends]
+
+
+def _distinct(base: int, wanted, hot):
+    """Rows (deal, seg, least, most) of a task's segments; wanted and hot: broadcast names. seg: the place of the named piece as one
+    byte, then the segment. Equal ones fold here, about SENT at a time, so a passage that everyone has leaves a task as few rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            deal, prints, ids, length = (np.concatenate(x) for x in zip(*(h[:4] for h in held)))
+            data = np.concatenate([h[4] for h in held])
+            start = np.cumsum(length) - length
+            order, first = _folded(deal, prints, data, start, length)
+            least, most = np.minimum.reduceat(ids[order], first), np.maximum.reduceat(ids[order], first)
+            kept = order[first]
+            for k in range(0, len(kept), 16_384):
+                i = kept[k : k + 16_384]
+                raw, offsets = _gathered(data, start[i], length[i])
+                seg = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_pydict({"deal": deal[i], "seg": seg, "least": least[k : k + 16_384], "most": most[k : k + 16_384]})
+
+        for batch in batches:
+            for rows, texts in _batches(batch, 2):
+                ids = np.asarray(rows.column(0))
+                for owner, _, length, name, prints, mark, deal, start, data in cut_segments(texts, base, wanted.value, hot.value):
+                    if len(owner):
+                        raw, at = _gathered(data, start, length)
+                        held.append((deal, prints, ids[owner], length + 1, np.insert(raw, at[:-1], mark.astype(np.uint8))))
+                        n += len(owner)
+                if n >= SENT:
+                    yield from flush()
+                    held, n = [], 0
+        if n:
+            yield from flush()
+
+    return run
+
+
+def _folded(deal: np.ndarray, prints: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): segments ordered so that equal ones follow each other, and where each distinct one begins. Bytes decide."""
+    order = np.lexsort((prints, deal))
+    same = (deal[order[1:]] == deal[order[:-1]]) & (prints[order[1:]] == prints[order[:-1]])
+    pairs = np.flatnonzero(same)
+    for k in range(0, len(pairs), 1 << 15):
+        a, b = order[pairs[k : k + (1 << 15)]], order[pairs[k : k + (1 << 15)] + 1]
+        even = length[a] == length[b]
+        n = np.where(even, length[a], 0)
+        (x, at), (y, _) = _gathered(data, start[a], n), _gathered(data, start[b], n)
+        differ = np.add.reduceat(np.r_[x != y, False], np.minimum(at[:-1], len(x))) > 0
+        same[pairs[k : k + (1 << 15)]] = even & ~differ
+    return order, np.flatnonzero(np.r_[True, ~same])
+
+
+def _places_of(base: int, wanted, hot):
+    """Rows (id, key, name, print, at) of segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in _batches(batch, 2):
                 ids, keys = np.asarray(rows.column(0)), np.asarray(rows.column(1))
-                for owner, local, length, name, prints, mark, deal, start, data in cut_segments(texts, base, wanted.value, hot.value):
-                    made = {"id": ids[owner], "name": name, "print": prints, "mark": mark.astype(np.int32), "deal": deal, "key": keys[owner], "at": local}
-                    if "seg" in columns:
-                        ends = np.cumsum(length)
-                        raw = data[np.repeat(start - (ends - length), length) + np.arange(int(length.sum()))]
-                        made["seg"] = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(raw)])
-                    whole = pa.RecordBatch.from_pydict({c: made[c] for c in columns})
-                    for k in range(0, whole.num_rows, 16_384):
-                        yield whole.slice(k, 16_384)
+                for owner, local, _, name, prints, *_ in cut_segments(texts, base, wanted.value, hot.value):
+                    yield pa.RecordBatch.from_pydict({"id": ids[owner], "key": keys[owner], "name": name, "print": prints, "at": local})
 
     return run
 
@@ -356,16 +407,28 @@ _CLASH = -1
 
 
 def _solve(base: int):
-    """Rows (deal, name, print, mark, seg, least, most) sorted by the first three in; (name, print, from, to, doc) out: strings that
-    start at from..to of the segment stand in doc, which is smaller than the largest document of the segment."""
+    """Rows (deal, seg, least, most) sorted by deal in; (name, print, from, to, doc) out: strings that start at from..to of
+    the segment stand in doc, which is smaller than the largest document of the segment."""
 
     def block(rows: pa.Table) -> pa.RecordBatch:
-        deal, name, prints, mark, least, most = (np.asarray(rows.column(c).combine_chunks()) for c in ("deal", "name", "print", "mark", "least", "most"))
+        deal, least, most = (np.asarray(rows.column(c).combine_chunks()) for c in ("deal", "least", "most"))
         seg = rows.column("seg").combine_chunks()
         seg = pa.concat_arrays(seg.chunks) if isinstance(seg, pa.ChunkedArray) else seg
         offsets = np.frombuffer(seg.buffers()[1], np.int32)[seg.offset : seg.offset + len(seg) + 1].astype(np.int64)
         data = np.frombuffer(seg.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        hashes = PrefixHashes(data, base)
+
+        def print_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+            return _mix(hashes.of(starts, sizes) ^ (sizes.astype(np.uint64) << np.uint64(56))).view(np.int64)
+
         starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+        prints = print_of(starts + 1, sizes - 1)
+        order, one = _folded(deal, prints, data, starts, sizes)
+        least, most = np.minimum.reduceat(least[order], one), np.maximum.reduceat(most[order], one)
+        kept = order[one]
+        deal, prints, mark, starts, sizes = deal[kept], prints[kept], data[starts[kept]].astype(np.int64), starts[kept] + 1, sizes[kept] - 1
+        clash = ((deal[1:] == deal[:-1]) & (prints[1:] == prints[:-1])).any()
+        name = _mix(hashes.of(starts + mark, GRAM)).view(np.int64)
         counts = sizes - WIDTH + 1
         first = np.cumsum(counts) - counts
         owner = np.repeat(np.arange(len(sizes)), counts)
@@ -373,13 +436,12 @@ def _solve(base: int):
         doc = least[owner].copy()
         # equal strings have one name, and their named piece at one place: each such group is sorted for itself
         place = mark[owner] - offset
-        some = np.lexsort((place, name[owner], deal[owner]))
+        some = np.lexsort((place, deal[owner]))
         o, p = owner[some], place[some]
-        new = np.r_[True, (deal[o[1:]] != deal[o[:-1]]) | (name[o[1:]] != name[o[:-1]]) | (p[1:] != p[:-1])]
+        new = np.r_[True, (deal[o[1:]] != deal[o[:-1]]) | (p[1:] != p[:-1])]
         alone = new & np.r_[new[1:], True]
         some, group = some[~alone], np.cumsum(new)[~alone]
         if len(some):
-            hashes = PrefixHashes(data, base)
             at = starts[owner[some]] + offset[some]
             back = np.empty(len(data), np.int32)
             back[at] = some
@@ -394,7 +456,7 @@ def _solve(base: int):
         begin, end = begin[k], end[k]
         o = owner[begin]
         out = {"name": name[o], "print": prints[o], "from": offset[begin].astype(np.int32), "to": offset[end].astype(np.int32), "doc": doc[begin]}
-        if ((name[1:] == name[:-1]) & (prints[1:] == prints[:-1])).any():
+        if clash:
             out = {c: np.r_[x, np.array([_CLASH], x.dtype)] for c, x in out.items()}
         return pa.RecordBatch.from_pydict(out)
 
@@ -473,7 +535,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     shard_bits = wanted.shard_bits
     send = docs.sparkSession.sparkContext.broadcast
     (known,) = _filters(solved.select("name").mapInArrow(_shortened(shard_bits), "shard int, low binary"), shard_bits, len(wanted.bits) * 8, (0,))
-    places = own.mapInArrow(_segments(("id", "name", "print", "key", "at"), base, send(known), send(hot)), "id long, name long, print long, key long, at long")
+    places = own.mapInArrow(_places_of(base, send(known), send(hot)), "id long, key long, name long, print long, at long")
     ranges = places.join(solved, ["name", "print"]).filter("doc < id").select("id", "key", (F.col("at") + F.col("from")).alias("a"), (F.col("at") + F.col("to") + WIDTH).alias("b"))
     ranges = ranges.groupBy("id", "key").agg(F.collect_list(F.struct(F.col("a").alias("from"), F.col("b").alias("to"))).alias("ranges"))
     joined = marked.join(ranges, ["id", "key"], "left").select("row", "raw", "copy", "ranges")
@@ -486,9 +548,8 @@ def _found(own: DataFrame, size: int, base: int) -> tuple[Names, Names, DataFram
     bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (size // 2).bit_length()))
     wanted, hot = _filters(own.select("raw").mapInArrow(_counted(shard_bits, base), "shard int, low binary"), shard_bits, bits, (1, HOT))
     send = own.sparkSession.sparkContext.broadcast
-    segments = own.mapInArrow(_segments(("id", "name", "print", "mark", "deal", "seg"), base, send(wanted), send(hot)), "id long, name long, print long, mark int, deal long, seg binary")
-    distinct = segments.groupBy("deal", "name", "print", "mark", "seg").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    dealt = distinct.repartition("deal").sortWithinPartitions("deal", "name", "print")
+    segments = own.mapInArrow(_distinct(base, send(wanted), send(hot)), "deal long, seg binary, least long, most long")
+    dealt = segments.repartition("deal").sortWithinPartitions("deal")
     return wanted, hot, materialize(dealt.mapInArrow(_solve(base), _HITS), "solved")
 
 
