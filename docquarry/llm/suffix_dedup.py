@@ -14,7 +14,7 @@ No result hangs on a hash alone: segments fold only where their bytes are equal,
 and one print (by which places find their segments), the sort sees them side by side and all is done again with other hashes.
 
 Scale. First only names travel, packed into four bytes each and dealt to shards whose number follows the input. Bytes are
-shuffled for names that stand in two texts or more. A name that stands more often than HOT times would make a
+shuffled for names that stand in two texts or more. A name that goes on in very many ways (see VARIED) would make a
 group that grows with the input: its segments are cut into single strings, which are dealt by name and print, and equal
 ones of which fold before the shuffle. So every group is bounded, and rows stay below the number of bytes of the input. Tasks learn
 which names are wanted and which are hot from filters of FILTER_MOST bits at most; what a full filter lets through too much
@@ -44,8 +44,8 @@ from .common import discard, input_bytes, materialize, table
 WIDTH = 50
 GRAM = 20
 SPAN = WIDTH - GRAM + 1
-#: A name that stands more often than this is dealt string by string.
-HOT = 512
+#: A name is hot, and dealt string by string, if its segments' prints take so many of the 256 values of a byte: about 1,500 different segments.
+VARIED = 256
 #: Bytes of text that are cut together, and of segments that are sorted together.
 BLOCK_BYTES = 1 << 19
 #: Names or segments that a task gathers before it sends them, bytes of input for each shard of names, and bits of a filter.
@@ -207,25 +207,29 @@ def cut_segments(texts: list[bytes], base: int = _BASES[0], wanted: Names | None
         ends = np.cumsum(sizes)
         hashes = PrefixHashes(data, base)
         value = _mix(hashes.all(GRAM))
-        # leftmost smallest piece of each string, by doubling
-        least, width = np.arange(len(value), dtype=np.int32), 1
+        # hash of the smallest piece of each string, by doubling
+        smallest, width = value, 1
         while width * 2 <= SPAN:
-            a, b = least[:-width], least[width:]
-            least, width = np.where(value[b] < value[a], b, a), width * 2
-        a, b = least[: len(value) - SPAN + 1], least[SPAN - width :][: len(value) - SPAN + 1]
-        least = np.where(value[b] < value[a], b, a)
-        whole = np.ones(len(least), bool)
+            smallest, width = np.minimum(smallest[:-width], smallest[width:]), width * 2
+        n = len(value) - SPAN + 1
+        smallest = np.minimum(smallest[:n], smallest[SPAN - width :][:n])
+        whole = np.ones(n, bool)
         for e in ends[:-1]:
             whole[max(0, e - WIDTH + 1) : e] = False
-        breaks = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (whole[1:] != whole[:-1])])
-        last = np.r_[breaks[1:], len(least)]
+        # the next string has the same piece unless it begins behind that piece, or a smaller one comes in
+        breaks = np.flatnonzero(np.r_[True, (smallest[1:] != smallest[:-1]) | (value[: n - 1] == smallest[:-1]) | (whole[1:] != whole[:-1])])
+        last = np.r_[breaks[1:], n]
         ok = whole[breaks]
         start, last = breaks[ok], last[ok]
-        name = value[least[start]].view(np.int64)
+        name = smallest[start].view(np.int64)
         if wanted is not None:
             ok = wanted.has(name)
             start, last, name = start[ok], last[ok], name[ok]
-        length, mark = last - start - 1 + WIDTH, least[start] - start
+        place, todo = start.copy(), np.flatnonzero(value[start] != name.view(np.uint64))
+        while len(todo):
+            place[todo] += 1
+            todo = todo[value[place[todo]] != name[todo].view(np.uint64)]
+        length, mark = last - start - 1 + WIDTH, place - start
         single = np.zeros(len(start), bool)
         if hot is not None and len(start):
             single = hot.has(name)
@@ -266,50 +270,59 @@ def _batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatc
         yield batch.slice(begin), texts
 
 
-def _sent(short: np.ndarray) -> pa.RecordBatch:
-    """Ascending shortened names as one row for each shard: the shard, and what tells names apart in it."""
+def _sent(short: np.ndarray, some: np.ndarray) -> pa.RecordBatch:
+    """Ascending shortened names as one row for each shard: the shard, what tells names apart in it, and a byte of each print."""
     shards = (short >> np.uint64(32)).astype(np.int64)
     cuts = np.r_[0, np.flatnonzero(shards[1:] != shards[:-1]) + 1, len(shards)]
     low = short.astype(np.uint32)
-    return pa.RecordBatch.from_pydict({"shard": pa.array(shards[cuts[:-1]], pa.int32()), "low": pa.array([low[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
+    parts = list(zip(cuts, cuts[1:]))
+    return pa.RecordBatch.from_pydict({"shard": pa.array(shards[cuts[:-1]], pa.int32()), "low": pa.array([low[a:b].tobytes() for a, b in parts], pa.binary()), "some": pa.array([some[a:b].tobytes() for a, b in parts], pa.binary())})
 
 
-def _filters(names: DataFrame, shard_bits: int, bits: int, levels: tuple[int, ...]) -> list[Names]:
-    """Filters of the names that rows (shard, low) hold more often than each of the levels."""
+_SENT = "shard int, low binary, some binary"
+
+
+def _filters(names: DataFrame, shard_bits: int, bits: int, often: int, varied: int) -> tuple[Names, Names]:
+    """Filters of the names that rows _SENT hold `often` times, and of those that they hold with `varied` different bytes of prints."""
     slice_bits = bits.bit_length() - 1 - shard_bits
 
     def unite(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint32) for batch in rows for x in batch.column("low")]))
+        held = [(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint8)) for batch in rows for x, y in zip(batch.column("low"), batch.column("some"))]
+        both = np.concatenate([x.astype(np.uint64) << np.uint64(8) | y for x, y in held])
+        both.sort()
+        low = both >> np.uint64(8)
         first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
         times = np.diff(np.r_[first, len(low)])
-        short = low[first].astype(np.uint64) | np.uint64(key[0].as_py() << 32)
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([key[0].as_py()], pa.int32()), **{f"f{k}": [_slice_of(short[times > level], slice_bits)] for k, level in enumerate(levels)}})
+        kinds = np.add.reduceat(np.r_[True, both[1:] != both[:-1]].astype(np.int64), first)
+        short = low[first] | np.uint64(key[0].as_py() << 32)
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([key[0].as_py()], pa.int32()), "often": [_slice_of(short[times >= often], slice_bits)], "varied": [_slice_of(short[kinds >= varied], slice_bits)]})
 
-    schema = "shard int, " + ", ".join(f"f{k} binary" for k in range(len(levels)))
-    out = [np.zeros((1 << shard_bits, 1 << (slice_bits - 3)), np.uint8) for _ in levels]
-    for r in names.repartition("shard").groupBy("shard").applyInArrow(unite, schema).collect():  # FILTER_MOST bits for each level at most
-        for k, bits_ in enumerate(out):
-            bits_[r["shard"]] = np.frombuffer(bytes(r[f"f{k}"]), np.uint8)
-    return [Names(x.ravel(), shard_bits) for x in out]
+    out = [np.zeros((1 << shard_bits, 1 << (slice_bits - 3)), np.uint8) for _ in range(2)]
+    for r in names.repartition("shard").groupBy("shard").applyInArrow(unite, "shard int, often binary, varied binary").collect():  # FILTER_MOST bits for each at most
+        out[0][r["shard"]], out[1][r["shard"]] = np.frombuffer(bytes(r["often"]), np.uint8), np.frombuffer(bytes(r["varied"]), np.uint8)
+    return Names(out[0].ravel(), shard_bits), Names(out[1].ravel(), shard_bits)
 
 
 def _counted(shard_bits: int, base: int):
     """Names of all segments, shortened: once for a text that has a name a few times, as often as it has it otherwise."""
-    most_texts = 1 << (32 - shard_bits)
+    most_texts, spare = 1 << (32 - shard_bits), np.uint64(32 - shard_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, seen = [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            each, times = np.unique(np.concatenate(held), return_counts=True)
-            short = each >> np.uint64(32 - shard_bits)
-            return _sent(np.repeat(short, np.where(times > HOT // 8, times, 1)))
+            each, some = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(each, kind="stable")
+            each = each[order]
+            first = np.r_[True, each[1:] != each[:-1]]
+            times = np.diff(np.r_[np.flatnonzero(first), len(each)])
+            keep = first | np.repeat(times > 16, times)
+            return _sent(each[keep] >> spare, some[order[keep]])
 
         for batch in batches:
             for _, texts in _batches(batch, 0):
-                for owner, _, _, name, *_ in cut_segments(texts, base):
-                    short = name.view(np.uint64) >> np.uint64(32 - shard_bits)
-                    held.append(short << np.uint64(32 - shard_bits) | ((owner + seen) % most_texts).astype(np.uint64))
+                for owner, _, _, name, prints, *_ in cut_segments(texts, base):
+                    held.append((name.view(np.uint64) >> spare << spare | ((owner + seen) % most_texts).astype(np.uint64), prints.astype(np.uint8)))
                     n += len(name)
                 seen += len(texts)
                 if n >= SENT or seen >= most_texts:
@@ -326,7 +339,8 @@ def _shortened(shard_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield _sent(np.unique(np.asarray(batch.column(0)).view(np.uint64) >> np.uint64(32 - shard_bits)))
+                short = np.unique(np.asarray(batch.column(0)).view(np.uint64) >> np.uint64(32 - shard_bits))
+                yield _sent(short, np.zeros(len(short), np.uint8))
 
     return run
 
@@ -534,7 +548,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         discard(solved)
     shard_bits = wanted.shard_bits
     send = docs.sparkSession.sparkContext.broadcast
-    (known,) = _filters(solved.select("name").mapInArrow(_shortened(shard_bits), "shard int, low binary"), shard_bits, len(wanted.bits) * 8, (0,))
+    known, _ = _filters(solved.select("name").mapInArrow(_shortened(shard_bits), _SENT), shard_bits, len(wanted.bits) * 8, 1, VARIED)
     places = own.mapInArrow(_places_of(base, send(known), send(hot)), "id long, key long, name long, print long, at long")
     ranges = places.join(solved, ["name", "print"]).filter("doc < id").select("id", "key", (F.col("at") + F.col("from")).alias("a"), (F.col("at") + F.col("to") + WIDTH).alias("b"))
     ranges = ranges.groupBy("id", "key").agg(F.collect_list(F.struct(F.col("a").alias("from"), F.col("b").alias("to"))).alias("ranges"))
@@ -546,7 +560,7 @@ def _found(own: DataFrame, size: int, base: int) -> tuple[Names, Names, DataFram
     """Names that stand twice or more, those that are hot, and the solved strings of the former. size: bytes of the texts as stored."""
     shard_bits = min(16, max(4, (size // SHARD_BYTES).bit_length()))
     bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (size // 2).bit_length()))
-    wanted, hot = _filters(own.select("raw").mapInArrow(_counted(shard_bits, base), "shard int, low binary"), shard_bits, bits, (1, HOT))
+    wanted, hot = _filters(own.select("raw").mapInArrow(_counted(shard_bits, base), _SENT), shard_bits, bits, 2, VARIED)
     send = own.sparkSession.sparkContext.broadcast
     segments = own.mapInArrow(_distinct(base, send(wanted), send(hot)), "deal long, seg binary, least long, most long")
     dealt = segments.repartition("deal").sortWithinPartitions("deal")

@@ -55,11 +55,11 @@ def brute_repeats(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [512, 1])
-def test_suffix_dedup(spark, docs, empty, hot, monkeypatch):
+@pytest.mark.parametrize("varied", [256, 1, 3])
+def test_suffix_dedup(spark, docs, empty, varied, monkeypatch):
     from docquarry.llm import suffix_dedup
 
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "VARIED", varied)
     found = [(str(r["row"]["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in suffix_dedup.remove_repeats(docs).collect()]
     assert sorted(found) == brute_repeats(fixture_rows())
     assert suffix_dedup.remove_repeats(empty).count() == 0
