@@ -50,6 +50,7 @@ VARIED = 256
 BLOCK_BYTES = 1 << 19
 #: Names or segments that a task gathers before it sends them, bytes of input for each shard of names, and bits of a filter.
 SENT, SHARD_BYTES, FILTER_LEAST, FILTER_MOST = 1 << 19, 1 << 24, 1 << 20, 1 << 28
+SALTS = 32
 _NONE = (1 << 63) - 1
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -298,8 +299,10 @@ def _filters(names: DataFrame, shard_bits: int, bits: int, often: int, varied: i
         yield pa.RecordBatch.from_pydict({"shard": pa.array([key[0].as_py()], pa.int32()), "often": [_slice_of(short[times >= often], slice_bits)], "varied": [_slice_of(short[kinds >= varied], slice_bits)]})
 
     out = [np.zeros((1 << shard_bits, 1 << (slice_bits - 3)), np.uint8) for _ in range(2)]
-    for r in names.repartition("shard").groupBy("shard").applyInArrow(unite, "shard int, often binary, varied binary").collect():  # FILTER_MOST bits for each at most
+    slices = materialize(names.repartition("shard").groupBy("shard").applyInArrow(unite, "shard int, often binary, varied binary"), "slices")
+    for r in slices.collect():  # FILTER_MOST bits for each at most
         out[0][r["shard"]], out[1][r["shard"]] = np.frombuffer(bytes(r["often"]), np.uint8), np.frombuffer(bytes(r["varied"]), np.uint8)
+    discard(slices)
     return Names(out[0].ravel(), shard_bits), Names(out[1].ravel(), shard_bits)
 
 
@@ -536,10 +539,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.struct(*rest).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NONE)).alias("id"), raw.alias("raw"), F.sha2(raw, 256).alias("sha"))
-    # only texts that stand twice or more have a row here
-    firsts = rows.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
+    # only texts that stand twice or more have a row here, one for each salt, so that a group of copies is dealt to SALTS places
+    firsts = rows.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    firsts = firsts.select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
-    marked = materialize(rows.join(firsts, "sha", "left").select("row", "id", F.xxhash64("sha").alias("key"), "raw", copy.alias("copy")), "texts")
+    marked = materialize(rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(firsts, ["sha", "salt"], "left").select("row", "id", F.xxhash64("sha").alias("key"), "raw", copy.alias("copy")), "texts")
     own = marked.filter(f"NOT copy AND octet_length(raw) >= {WIDTH}").select("id", "key", "raw")
     for base in _BASES:
         wanted, hot, solved = _found(own, input_bytes(marked), base)
