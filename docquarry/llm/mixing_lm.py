@@ -1,233 +1,335 @@
-"""LM scoring: logistic mixing of hashed-context bit predictors, with a smoothed unigram score beside it.
-
-Method. A text is predicted bit by bit. One predictor for each of ORDERS looks up the bits that followed the same
-last bytes (hashed with the bits already seen of the byte) in the training texts; its log-odds go into a logistic
-mixer. The mixer's weights are gated by the bit's place and by which contexts have been seen; an adaptive table then refines the
-mixed probability by what came true after like predictions, and both are averaged. The sum of -log2 over all bits is
-the text's cost: bits per byte, and score = -bits * log10(2).
-
-Learning. Bits are counted in the tasks in tables of a fixed number of slots, and the tables are added slice by slice,
-so a reducer's input is its slice from each task. A sixteenth of the training rows stays apart at first, so that weights
-are not tuned on texts the counts have seen. Mixer and refinement learn in the tasks on all rows kept apart: distinct
-texts, weighted by their copies, are dealt by hash to groups of about GROUP_BYTES; each group finds its weights by Newton
-steps (the loss of a gate is convex) and then its refinement counts. Weights are averaged by the bits that each gate had
-in a group, refinement counts are added, both slice by slice too. At the end the sixteenth is added to the bit counts
-that score. A finished table has 4 bytes for each of SLOTS, whatever the input, and two of them (without and with
-the sixteenth) reach the driver; one at a time is broadcast. Word counts stay a distributed table that grows with the corpus.
-
-Unigram score: tokens are the lower-cased words and one end; sum of log10((c + 1) / (N + V + 1)) over tokens, counts
-from training rows. Texts emit each distinct word once; frequent words are a skewed join key that adaptive execution splits.
-
-Defined results. Null is the empty text: one end token and a model score of 0. A null id is never held out. Repeated
-rows are counted and scored each. Without training rows every count is 0 and every bit costs one bit. An empty table
-gives an empty result. Other columns are ignored.
+"""LM scoring: online logistic mixing of hashed-context bit predictors, with a smoothed unigram score beside it.
+
+What is scored. A text is its tokens, as the base score has them: lower-cased words, then one end. Words are joined by a
+blank and the end is a line end, and the bytes of that string are predicted bit by bit, in the bits of Huffman codes of
+the training bytes, one for each byte before, so that common letters take few predictions. score = -bits * log10(2); bits per byte is by bytes of the text.
+
+Method. Four predictors look up the bits that followed the same context in the training texts: the last two, four and six bytes,
+and the word so far with the two words before it. A context and the node of the code tree are hashed to a
+slot, whose log-odds go into a logistic mixer. The mixer's weights are gated by which of the two long contexts have been
+seen. A table then refines the mixed probability by what came true after like predictions in training, and both are averaged. While
+a text is scored, its weights learn from it, STEP bits at a time, from the trained state on; the next text starts afresh
+(so does each PIECE of a very long text), so a score depends on the text and the model alone, not on how rows are dealt.
+
+Learning. Every training row is learned from, once, in the tasks. A task predicts each block of texts with the counts of the
+blocks before it, learns weights and refinement from that (a Newton step), and then counts the block. Counts of tasks are added slice by slice,
+weights are averaged by the bits that each gate had, refinement counts are added. The slots of the long contexts follow the input
+(SLOT_BYTES of stored text for each, up to 2**MOST_BITS for a predictor, which is what a worker can hold); what tasks get is a byte
+for each slot. Above that bound slots are shared by more contexts, and the word counts, a distributed table, go on growing.
+
+Unigram score: sum of log10((c + 1) / (N + V + 1)) over tokens, counts from training rows. Words fold in the tasks before
+they are counted. The FREQUENT most frequent words' counts are sent to the tasks, so only rare words of a text are rows of a join.
+
+Defined results. Null is the empty text: one end token. A null id is never held out. Repeated rows are counted and scored
+each. Very long texts go piece by piece, LEAD bytes of context before each. Without training rows every bit costs one bit. An
+empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, id_bucket, materialize, table
+from .common import discard, id_bucket, input_bytes, materialize, table
+from .suffix_dedup import PrefixHashes, _mix
 
 FOLDS, HELD_OUT = 7, 2
-ORDERS = (1, 3, 5)
-PAD = max(ORDERS)
-BITS = 20
-#: Order 1 has a slot for each context and node; the others share out 2**BITS slots each by hash.
-BASES = (0, 1 << 16, (1 << 16) + (1 << BITS))
-SLOTS = (1 << 16) + 2 * (1 << BITS)
-SLICES = 33
-TUNE_PARTS = 16
-#: Bytes of distinct texts that one group of the tuning has, about.
-GROUP_BYTES = 1 << 20
-PRIOR = 0.1
-#: A gate's weights start at START and are held there by RIDGE.
-START, RIDGE = 0.4, 1.0
-NEWTON_STEPS, SETTLED = 6, 0.005
-BUCKETS = 33
-#: Bytes that are worked on together.
-CHUNK = 1 << 20
-END = " "
-
-
-def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(buffer, start of each piece in it, text number of each piece); PAD bytes of context, zero at a text's start, come before each piece."""
-    parts, starts, owners, held = [], [], [], 0
-
-    def done():
-        return np.frombuffer(b"".join(parts), np.uint8), np.array(starts), np.array(owners)
-
-    for k, text in enumerate(texts):
-        for s in range(0, len(text), CHUNK):
-            piece = text[s : s + CHUNK]
-            parts.append(text[max(0, s - PAD) : s].rjust(PAD, b"\0") + piece)
-            starts.append(held + PAD)
-            owners.append(k)
-            held += PAD + len(piece)
-            if held >= CHUNK:
-                yield done()
-                parts, starts, owners, held = [], [], [], 0
-    if parts:
-        yield done()
-
-
-def _bits(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """For each of a byte's eight bits: its place, the bit of every position, the node, and each order's slot."""
-    real = np.ones(len(data), bool)
-    for back in range(1, PAD + 1):
-        real[starts - back] = False
-    at = np.flatnonzero(real)
-    byte = data[at].astype(np.uint32)
-    before = [data[at - k].astype(np.uint32) for k in range(1, PAD + 1)]
-    context = {}
-    h = np.zeros(len(at), np.uint32)
-    for k, b in enumerate(before, 1):
-        h = (h + b + np.uint32(1)) * np.uint32(0x2C1B3C6D)
+PREDICTORS, GATES = 4, 3
+#: Slots of a predictor in powers of two: one for so many stored bytes, and at most these; fewer for short contexts.
+SLOT_BYTES, LEAST_BITS, MOST_BITS = 1, 12, 22
+FEWER = (6, 1, 0, 0)
+#: Slots of all predictors that are added together.
+SLICE = 1 << 16
+#: A count of nothing, the log-odds that a byte holds as one, and their bound.
+PRIOR, UNIT, BOUND = 0.2, 1 / 16, 127
+#: A gate's first weights, how far they go for a bit, and the weight of the refinement's start.
+START, RATE, HOLD = 0.35, 0.003, 400.0
+#: What a block's curvature still counts in the next block.
+KEEP = 0.9
+BUCKETS, WIDEST = 49, 12.0
+STEP = 256
+#: Bytes of a piece of text, of context before it, and of pieces that are worked on together.
+PIECE, LEAD, BLOCK = 1 << 13, 96, 1 << 17
+FREQUENT, FREQUENT_LENGTH = 1 << 16, 64
+END = "\n"
+
+
+def huffman(counts: np.ndarray) -> list[list[tuple[int, int]]]:
+    """The (node, bit) steps from the root of a Huffman tree to each symbol."""
+    heap = [(int(c) + 1, i, i) for i, c in enumerate(counts)]
+    heapq.heapify(heap)
+    parent, n = {}, len(counts)
+    while len(heap) > 1:
+        (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[x], parent[y] = (n, 0), (n, 1)
+        heapq.heappush(heap, (a + b, n, n))
+        n += 1
+    paths = []
+    for i in range(len(counts)):
+        path, at = [], i
+        while at in parent:
+            at, bit = parent[at]
+            path.append((at, bit))
+        paths.append(path[::-1])
+    return paths
+
+
+@dataclass
+class Code:
+    """Huffman codes of bytes, one for each byte before: where the steps of (byte before, byte) begin, and their nodes and bits."""
+
+    start: np.ndarray
+    node: np.ndarray
+    bit: np.ndarray
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Code:
+        paths = [path for row in counts for path in huffman(row)]
+        flat = np.array([step for path in paths for step in path])
+        return cls(np.cumsum([0, *map(len, paths)]), flat[:, 0].astype(np.uint32), flat[:, 1].astype(np.uint8))
+
+
+def token_text(raw: bytes) -> bytes:
+    """The tokens of a text as one string."""
+    return b" ".join(raw.lower().split()) + END.encode()  # bytes: both touch ASCII only
+
+
+def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, bytes, int]]]:
+    """Blocks of (text number, context and piece, bytes of context)."""
+    block, held = [], 0
+    for k, raw in enumerate(texts):
+        text = token_text(raw)
+        for s in range(0, len(text), PIECE):
+            lead = min(s, LEAD)
+            block.append((k, text[s - lead : s + PIECE], lead))
+            held += len(block[-1][1])
+            if held >= BLOCK:
+                yield block
+                block, held = [], 0
+    if block:
+        yield block
+
+
+def contexts(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """The hashed context of each predictor at every byte of pieces that begin at starts."""
+    first = np.zeros(len(data), bool)
+    first[starts] = True
+    blank = (data == 32) | (data == 10)
+    opens = first.copy()
+    opens[1:] |= blank[:-1]
+    at = np.flatnonzero(opens)
+    word = np.cumsum(opens) - 1
+    hashes = PrefixHashes(data)
+    place = np.arange(len(data))
+    prefix = hashes.of(at[word], place - at[word])
+    whole = hashes.of(at, np.diff(np.r_[at, len(data)]))
+    head = first[at]
+    before = np.r_[np.uint64(0), whole[:-1]]
+    before[head] = 0
+    second = np.r_[np.uint64(0), before[:-1]]
+    second[head] = 0
+    m = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+    found, last, piece = {}, np.zeros(len(data), np.uint64), np.cumsum(first, dtype=np.int32)
+    for k in range(1, 7):
+        there = np.zeros(len(data), np.uint64)
+        there[k:] = np.where(piece[k:] == piece[:-k], data[:-k].astype(np.uint64) + np.uint64(1), np.uint64(0))
+        last = last * np.uint64(257) + there
+        found[k] = last
+    words = prefix + (before * m[0] + second * m[1])[word]
+    return [(_mix(x + np.uint64(k + 1) * m[2]) >> np.uint64(32)).astype(np.uint32) for k, x in enumerate((found[2], found[4], found[6], words))]
+
+
+def slot_bits(bits: int) -> list[int]:
+    """Bits of each predictor's slots."""
+    return [max(LEAST_BITS, bits - f) for f in FEWER]
+
+
+def slot_starts(bits: int) -> list[int]:
+    """First slot of each predictor, and the number of all."""
+    return np.cumsum([0, *(1 << b for b in slot_bits(bits))]).tolist()
+
+
+def flattened(block: list[tuple[int, bytes, int]], code: Code, bits: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(bit, slots of each predictor, number of bits of each piece) of a block."""
+    sizes = np.array([len(p) for _, p, _ in block])
+    starts = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(p for _, p, _ in block), np.uint8)
+    found = contexts(data, starts)
+    coded = np.ones(len(data), bool)
+    for s, (_, _, lead) in zip(starts, block):
+        coded[s : s + lead] = False
+    at = np.flatnonzero(coded)
+    before = np.r_[np.uint8(10), data[:-1]]
+    before[starts] = 10
+    pair = before[at].astype(np.intp) << 8 | data[at]
+    begin = code.start[pair]
+    n = code.start[pair + 1] - begin
+    ends = np.cumsum(n)
+    pick = np.arange(int(ends[-1])) + np.repeat(begin - (ends - n), n)
+    spread = code.node[pick] * np.uint32(0x9E3779B1)
+    slots = []
+    for context, b, start in zip(found, slot_bits(bits), slot_starts(bits)):
+        h = (np.repeat(context[at], n) + spread) * np.uint32(0x85EBCA6B)
         h ^= h >> np.uint32(15)
-        context[k] = h
-    first = before[0] << np.uint32(8)
-    for place in range(8):
-        node = (byte >> np.uint32(8 - place)) | np.uint32(1 << place)
-        bit = (byte >> np.uint32(7 - place)) & np.uint32(1)
-        spread = node * np.uint32(0x9E3779B1)
-        slots = [first | node]
-        for order, base in zip(ORDERS[1:], BASES[1:]):
-            slots.append((((context[order] + spread) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)) + np.uint32(base))
-        yield place, bit, node, slots
-
-
-def _sliced(arrays: list[np.ndarray], slices: int, **more: tuple) -> Iterator[pa.RecordBatch]:
-    """The arrays, cut into slices; a slice holds its part of each of them."""
-    for k, parts in enumerate(zip(*(np.array_split(a, slices) for a in arrays))):
-        blob = zlib.compress(np.concatenate(parts).tobytes(), 1)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), **{n: pa.array([x], t) for n, (x, t) in more.items()}, "blob": pa.array([blob], pa.binary())})
-
-
-def _count(batches: Iterator[pa.RecordBatch], apart: bool) -> Iterator[pa.RecordBatch]:
-    ones, all_ = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
-    for batch in batches:
-        for data, starts, _ in _pieces([t.as_py() for t in batch.column(0)]):
-            for _, bit, _, slots in _bits(data, starts):
-                hit = bit.astype(bool)
-                for s in slots:
-                    all_ += np.bincount(s, minlength=SLOTS)
-                    ones += np.bincount(s[hit], minlength=SLOTS)
-    if all_.any():
-        yield from _sliced([ones, all_], SLICES, apart=(apart, pa.bool_()))
-
-
-def _odds(counts: np.ndarray) -> bytes:
-    ones, all_ = np.split(counts, 2)
-    return np.log((ones + PRIOR) / (all_ - ones + PRIOR)).astype(np.float32).tobytes()
-
-
-def _add(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A slice's log-odds without the rows kept apart, and with them."""
-    total = {}
-    for batch in tables:
-        for apart, blob in zip(batch.column("apart"), batch.column("blob")):
-            x = np.frombuffer(zlib.decompress(blob.as_py()), np.int64)
-            total[apart.as_py()] = x + total.get(apart.as_py(), 0)
-    rest = total.get(False, np.zeros_like(x))
-    yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "rest": pa.array([_odds(rest)], pa.binary()), "whole": pa.array([_odds(rest + total.get(True, 0))], pa.binary())})
-
-
-def _add_learned(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = 0.0
-    for batch in tables:
+        h *= np.uint32(0xC2B2AE35)
+        slots.append((h >> np.uint32(32 - b)).astype(np.intp) + start)
+    owner = np.searchsorted(starts, at, side="right") - 1
+    return code.bit[pick], slots, np.bincount(owner, n, len(block)).astype(np.int64)
+
+
+@dataclass
+class State:
+    """What the mixer has learned: weights of each gate, and the refinement table's counts of ones and of all."""
+
+    weights: np.ndarray
+    ones: np.ndarray
+    seen: np.ndarray
+
+    @classmethod
+    def fresh(cls) -> State:
+        return cls(np.full((GATES, PREDICTORS), START, np.float32), np.zeros(BUCKETS), np.zeros(BUCKETS))
+
+    def __post_init__(self) -> None:
+        centre = 1 / (1 + np.exp(-np.linspace(-WIDEST, WIDEST, BUCKETS)))
+        self.refined = ((self.ones + HOLD * centre) / (self.seen + HOLD)).astype(np.float32)
+
+
+def gates_of(inputs: np.ndarray) -> np.ndarray:
+    """0: neither long context has been seen; 1: the last six bytes have; 2: the words have."""
+    return np.where(inputs[3] != 0, np.int8(2), (inputs[2] != 0).astype(np.int8))
+
+
+def bucket_of(z: np.ndarray) -> np.ndarray:
+    return np.rint((z + np.float32(WIDEST)) * np.float32((BUCKETS - 1) / (2 * WIDEST))).astype(np.intp)
+
+
+def mixed(bit: np.ndarray, inputs: np.ndarray, sizes: np.ndarray, state: State) -> np.ndarray:
+    """Cost in bits of each piece; every piece starts from state and learns as it goes.
+
+    inputs has a row for each predictor. Pieces are cut into chunks of STEP bits, the last one filled up with nothing; the
+    k-th chunks of all pieces are worked on together, each with its own piece's weights.
+    """
+    gate = gates_of(inputs)
+    first = np.cumsum(sizes) - sizes
+    chunks = -(-sizes // STEP)
+    chunk = np.cumsum(chunks) - chunks
+    place = np.arange(len(bit)) + np.repeat(chunk * STEP - first, sizes)
+    n = int(chunks.sum())
+    gates, true, x = np.full(n * STEP, -1, np.int8), np.zeros(n * STEP, np.float32), np.empty((n, GATES * PREDICTORS, STEP), np.float32)
+    gates[place], true[place] = gate, bit
+    masks = [(gates == g).astype(np.float32).reshape(n, STEP) for g in range(GATES)]
+    for k in range(PREDICTORS):
+        spread = np.zeros(n * STEP, np.float32)
+        spread[place] = inputs[k]
+        for g in range(GATES):
+            np.multiply(spread.reshape(n, STEP), masks[g], out=x[:, g * PREDICTORS + k])
+    true, z = true.reshape(n, STEP), np.zeros((n, STEP), np.float32)
+    weights = np.tile(state.weights.ravel(), (len(sizes), 1))
+    order = np.argsort(-chunks, kind="stable")
+    for k in range(int(chunks.max(initial=0))):
+        order = order[chunks[order] > k]
+        now = chunk[order] + k
+        xs = x[now]
+        z[now] = zs = np.clip(np.matmul(weights[order][:, None, :], xs)[:, 0], -WIDEST, WIDEST)
+        miss = true[now] - 1 / (1 + np.exp(-zs))
+        weights[order] += np.float32(RATE) * np.matmul(xs, miss[:, :, None])[:, :, 0]
+    z = z.ravel()[place]
+    p = (1 / (1 + np.exp(-z)) + state.refined[bucket_of(z)]) / 2
+    paid = np.log2(np.where(bit > 0, p, 1 - p))
+    return -np.add.reduceat(np.r_[paid.astype(np.float64), 0.0], first) * (sizes > 0)
+
+
+class Learner:
+    """Counts and mixer of one task."""
+
+    def __init__(self, code: Code, bits: int) -> None:
+        self.code, self.bits = code, bits
+        self.counts = np.zeros(2 * slot_starts(bits)[-1], np.uint32)
+        self.state, self.gated = State.fresh(), np.zeros(GATES)
+        self.sums = np.zeros((GATES, PREDICTORS))
+        self.curved = np.zeros((GATES, PREDICTORS, PREDICTORS))
+
+    def learn(self, texts: list[bytes]) -> None:
+        for block in _pieces(texts):
+            bit, slots, sizes = flattened(block, self.code, self.bits)
+            pairs = self.counts.view(np.uint64)
+            inputs = np.empty((PREDICTORS, len(bit)), np.float32)
+            for k, s in enumerate(slots):
+                both = pairs[s]
+                ones = (both >> np.uint64(32)).astype(np.uint32).astype(np.float32) + np.float32(PRIOR)
+                inputs[k] = np.log(ones / (both.astype(np.uint32).astype(np.float32) + np.float32(PRIOR)))
+            np.clip(inputs, -BOUND * UNIT, BOUND * UNIT, out=inputs)
+            self.mix(bit, inputs)
+            for s in slots:
+                np.add.at(self.counts, s * 2 + bit, np.uint32(1))  # of the table's type, which is the fast way
+
+    def mix(self, bit: np.ndarray, inputs: np.ndarray) -> None:
+        """Learns from a block: one step of each gate's weights, scaled by how curved its loss is, and the refinement's counts."""
+        gate, z = gates_of(inputs), np.empty(len(bit), np.float32)
+        gated = np.bincount(gate, minlength=GATES)
+        for g in np.flatnonzero(gated):
+            at = np.flatnonzero(gate == g)
+            x, weights = inputs[:, at], self.state.weights[g]
+            z[at] = zs = np.clip(weights @ x, -WIDEST, WIDEST)
+            p = 1 / (1 + np.exp(-zs))
+            self.curved[g] = KEEP * self.curved[g] + (x * (p * (1 - p))) @ x.T
+            step = np.linalg.solve(self.curved[g] + np.eye(PREDICTORS), x @ (bit[at] - p))
+            self.state.weights[g] = np.clip(weights + step, -4, 4)
+        self.gated += gated
+        self.sums += self.state.weights * gated[:, None]
+        bucket = bucket_of(z)
+        self.state.seen += np.bincount(bucket, minlength=BUCKETS)
+        self.state.ones += np.bincount(bucket[bit > 0], minlength=BUCKETS)
+
+    def parts(self) -> Iterator[pa.RecordBatch]:
+        """The counts slice by slice, and the mixer as slice -1."""
+        mixer = np.concatenate([self.gated, self.sums.ravel(), self.state.ones, self.state.seen])
+        yield _row(-1, mixer)
+        for k in range(0, len(self.counts) // 2, SLICE):
+            part = self.counts[2 * k : 2 * (k + SLICE)]
+            if part.any():
+                yield _row(k // SLICE, part)
+
+
+def _row(k: int, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "blob": pa.array([zlib.compress(values.tobytes(), 1)], pa.binary())})
+
+
+def _united(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A slice's counts added and turned into bytes of log-odds; the mixer's sums added."""
+    k, total = key[0].as_py(), 0
+    for batch in rows:
         for blob in batch.column("blob"):
-            total = total + np.frombuffer(zlib.decompress(blob.as_py()), np.float64)
-    yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([total.tobytes()], pa.binary())})
-
-
-class Mixer:
-    """Gated weights and the refinement table, over a table of log-odds."""
-
-    def __init__(self, odds: np.ndarray) -> None:
-        self.odds = odds
-        self.weights = np.full((8, 4, len(ORDERS)), START, np.float32)
-        self.hits = np.zeros((256, BUCKETS), np.float64)
-        self.seen = np.zeros((256, BUCKETS), np.float64)
-        self.refined = np.full((256, BUCKETS), 0.5, np.float32)
-
-    def _mix(self, place: int, slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        inputs = [self.odds[s] for s in slots]
-        gate = (inputs[1] == 0).astype(np.intp) * 2 + (inputs[2] == 0)
-        z = sum(self.weights[place, :, k][gate] * x for k, x in enumerate(inputs))
-        return inputs, gate, np.clip(z, -12, 12)
-
-    @staticmethod
-    def _bucket(node: np.ndarray, z: np.ndarray) -> np.ndarray:
-        return node.astype(np.intp) * BUCKETS + np.rint(np.clip(z, -8, 8) * 2).astype(np.intp) + BUCKETS // 2
-
-    def _slopes(self, texts: list[bytes], copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """By place and gate: the bits, their loss, and its first and second derivatives by the weights."""
-        n, loss = np.zeros((8, 4)), np.zeros((8, 4))
-        first, second = np.zeros((8, 4, len(ORDERS))), np.zeros((8, 4, len(ORDERS), len(ORDERS)))
-        for data, starts, owners in _pieces(texts):
-            w = np.repeat(copies[owners], np.diff(np.r_[starts, len(data) + PAD]) - PAD)
-            for place, bit, _, slots in _bits(data, starts):
-                inputs, gate, z = self._mix(place, slots)
-                p = 1 / (1 + np.exp(-z.astype(np.float64)))
-                n[place] += np.bincount(gate, w, 4)
-                loss[place] -= np.bincount(gate, w * np.log(np.where(bit, p, 1 - p)), 4)
-                for j, x in enumerate(inputs):
-                    first[place, :, j] += np.bincount(gate, w * (p - bit) * x, 4)
-                    for k, y in enumerate(inputs[: j + 1]):
-                        second[place, :, j, k] += np.bincount(gate, w * p * (1 - p) * x * y, 4)
-                        second[place, :, k, j] = second[place, :, j, k]
-        away = self.weights.astype(np.float64) - START
-        return n, loss + RIDGE / 2 * (away**2).sum(-1), first + RIDGE * away, second + RIDGE * np.eye(len(ORDERS))
-
-    def learn(self, texts: list[bytes], copies: list[int]) -> np.ndarray:
-        """Newton steps of the weights over the texts, then the refinement table's counts; returns the bits of each gate."""
-        w = np.array(copies, np.float64)
-        best, least, step = self.weights.copy(), np.full((8, 4), np.inf), np.zeros(self.weights.shape)
-        for _ in range(NEWTON_STEPS):
-            n, loss, first, second = self._slopes(texts, w)
-            better = (loss < least)[..., None]
-            best, least = np.where(better, self.weights, best), np.minimum(loss, least)
-            # a gate that went too far goes back half of the way
-            step = np.where(better, -np.linalg.solve(second, first[..., None])[..., 0], step / 2)
-            self.weights = (best + step).astype(np.float32)
-            if np.abs(step).max() < SETTLED:
-                break
-        _, loss, _, _ = self._slopes(texts, w)
-        self.weights = np.where((loss < least)[..., None], self.weights, best).astype(np.float32)
-        for data, starts, owners in _pieces(texts):
-            each = np.repeat(w[owners], np.diff(np.r_[starts, len(data) + PAD]) - PAD)
-            for place, bit, node, slots in _bits(data, starts):
-                bucket = self._bucket(node, self._mix(place, slots)[2])
-                self.seen += np.bincount(bucket, each, self.seen.size).reshape(self.seen.shape)
-                self.hits += np.bincount(bucket, each * bit, self.hits.size).reshape(self.hits.shape)
-        return n
-
-    def settle(self) -> Mixer:
-        centre = 1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2) / 2))
-        self.refined = ((self.hits + 8 * centre) / (self.seen + 8)).astype(np.float32)
-        return self
-
-    def bits(self, texts: list[bytes]) -> np.ndarray:
-        """The cost of each text in bits."""
+            raw = zlib.decompress(blob.as_py())
+            total = total + (np.frombuffer(raw, np.float64) if k < 0 else np.frombuffer(raw, np.uint32).astype(np.int64))
+    if k >= 0:
+        total = np.rint(np.clip(np.log((total[1::2] + PRIOR) / (total[::2] + PRIOR)) / UNIT, -BOUND, BOUND)).astype(np.int8)
+    yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "blob": pa.array([total.tobytes()], pa.binary())})
+
+
+@dataclass
+class Model:
+    code: Code
+    bits: int
+    odds: np.ndarray
+    state: State
+
+    def cost(self, texts: list[bytes]) -> np.ndarray:
+        """Bits that each text costs."""
         out = np.zeros(len(texts))
-        refined = self.refined.ravel()
-        for data, starts, owners in _pieces(texts):
-            sizes = np.diff(np.r_[starts, len(data) + PAD]) - PAD
-            cost = np.zeros(int(sizes.sum()), np.float32)
-            for place, bit, node, slots in _bits(data, starts):
-                _, _, z = self._mix(place, slots)
-                p = (1 / (1 + np.exp(-z)) + refined[self._bucket(node, z)]) / 2
-                cost -= np.log2(np.where(bit, p, 1 - p))
-            np.add.at(out, owners, np.add.reduceat(cost.astype(np.float64), np.cumsum(sizes) - sizes))
+        for block in _pieces(texts):
+            bit, slots, sizes = flattened(block, self.code, self.bits)
+            cost = mixed(bit, np.stack([self.odds[s] for s in slots]) * np.float32(UNIT), sizes, self.state)
+            np.add.at(out, [k for k, _, _ in block], cost)
         return out
 
 
@@ -239,105 +341,136 @@ def _held_out(doc_id: str) -> Column:
     return F.coalesce(id_bucket(F.col(doc_id), FOLDS) == HELD_OUT, F.lit(False))
 
 
-def _learned(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (group, raw, copies) sorted by group in; what a task's groups have learned, added up and sliced, out."""
+def _texts(column: pa.Array, most: int = 1 << 22) -> Iterator[list[bytes]]:
+    """Texts of a batch in lists of about `most` bytes."""
+    held, size = [], 0
+    for t in column:
+        held.append(t.as_py())
+        size += len(held[-1])
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a task with their counts, folded about a million at a time."""
+    seen: Counter[bytes] = Counter()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        words = [*seen.items()]
+        for k in range(0, len(words), 65_536):
+            w, n = zip(*words[k : k + 65_536])
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(n, pa.int64())], names=["token", "n"])
+        seen.clear()
+
+    for batch in batches:
+        for texts in _texts(batch.column(0)):
+            for t in texts:
+                seen.update(t.lower().split())
+            seen[END.encode()] += len(texts)
+            if len(seen) > 500_000:
+                yield from flush()
+    yield from flush()
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(token, c) of training rows (raw)."""
+    return rows.mapInArrow(_folded, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, texts, copies = None, None, [], []
 
-        def learn() -> np.ndarray:
-            mixer = Mixer(shared.value)
-            n = mixer.learn(texts, copies)
-            return np.concatenate([n.ravel(), (mixer.weights * n[..., None]).ravel(), mixer.seen.ravel(), mixer.hits.ravel()])
+def pair_counts(counts: DataFrame) -> np.ndarray:
+    """How often each byte follows each in the training texts' tokens, from the word counts: a blank comes before and after a word."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for group, raw, k in zip(*(c.to_pylist() for c in batch.columns)):
-                if texts and group != held:
-                    total = learn() + (0.0 if total is None else total)
-                    texts, copies = [], []
-                held = group
-                texts.append(raw)
-                copies.append(k)
-        if texts:
-            total = learn() + (0.0 if total is None else total)
-        if total is not None:
-            yield from _sliced([total], SLICES)
+            for token, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = np.frombuffer(b" " + token + b" ", np.uint8).astype(np.intp)
+                np.add.at(total, text[:-1] << 8 | text[1:], np.int64(c))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(some, pa.int32()), "n": pa.array(total[some], pa.int64())})
 
-    return run
+    out = np.zeros(1 << 16, np.int64)
+    for r in counts.select("token", "c").mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r["pair"]] = r["n"]
+    return out.reshape(256, 256)
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Mixer:
-    """A mixer over the bit counts of all training rows of docs, tuned on all of those that are kept apart at first."""
-    rows = docs.filter(~_held_out(doc_id)).select(_raw(text).alias("raw"), F.xxhash64(text).alias("h"))
-    apart = F.pmod("h", F.lit(TUNE_PARTS)) == 0
-    counted = "slice int, apart boolean, blob binary"
-    tables = rows.filter(~apart).select("raw").mapInArrow(lambda b: _count(b, False), counted).union(rows.filter(apart).select("raw").mapInArrow(lambda b: _count(b, True), counted))
-    slices = tables.repartition(SLICES, "slice").groupBy("slice").applyInArrow(_add, "slice int, rest binary, whole binary")
-    found = {r["slice"]: (bytes(r["rest"]), bytes(r["whole"])) for r in slices.collect()}  # 2 * SLOTS * 4 bytes in all
-    rest, whole = (np.frombuffer(b"".join(found[k][n] for k in sorted(found)), np.float32) if found else np.zeros(SLOTS, np.float32) for n in range(2))
-
-    mixer = Mixer(whole)
-    texts = materialize(rows.filter(apart).groupBy("raw").agg(F.count(F.lit(1)).alias("copies")), "apart")
-    groups = -(-(texts.agg(F.sum(F.octet_length("raw"))).first()[0] or 0) // GROUP_BYTES)
-    if groups:
-        dealt = texts.filter(F.octet_length("raw") > 0).select(F.pmod(F.xxhash64("raw", F.lit(1)), F.lit(groups)).alias("group"), "raw", "copies")
-        dealt = dealt.repartition(groups, "group").sortWithinPartitions("group", "raw")
-        learned = dealt.mapInArrow(_learned(docs.sparkSession.sparkContext.broadcast(rest)), "slice int, blob binary")
-        parts = learned.repartition(SLICES, "slice").groupBy("slice").applyInArrow(_add_learned, "slice int, blob binary").collect()
-        total = np.frombuffer(b"".join(bytes(r["blob"]) for r in sorted(parts, key=lambda r: r["slice"])))  # a fixed number of parameters
-        n, weights, seen, hits = np.split(total, np.cumsum([32, mixer.weights.size, mixer.seen.size]))
-        n = n.reshape(8, 4, 1)
-        mixer.weights = np.where(n > 0, weights.reshape(mixer.weights.shape) / np.maximum(n, 1), START).astype(np.float32)
-        mixer.seen, mixer.hits = seen.reshape(mixer.seen.shape), hits.reshape(mixer.hits.shape)
-    discard(texts)
-    return mixer.settle()
-
-
-def model_bits(docs: DataFrame, mixer: Mixer, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, print, n_bytes, bits) for every row of docs; print is the hash of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(mixer)
+def train(rows: DataFrame, code: Code, size: int) -> Model:
+    """A model of all training rows (raw); size: bytes of the texts as stored."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // SLOT_BYTES).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, any_ = Learner(code, bits), False
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(2)]
-            sizes, bits = pa.array([len(t) for t in texts], pa.int64()), pa.array(shared.value.bits(texts), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, bits], names=["doc_id", "print", "n_bytes", "bits"])
+            for texts in _texts(batch.column(0)):
+                any_ = True
+                learner.learn(texts)
+        if any_:
+            yield from learner.parts()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(_raw(text)).alias("print"), _raw(text).alias("raw")).mapInArrow(run, "doc_id long, print long, n_bytes long, bits double")
+    slices = materialize(rows.mapInArrow(run, "slice int, blob binary").repartition("slice").groupBy("slice").applyInArrow(_united, "slice int, blob binary"), "slices")
+    odds, state = np.zeros(slot_starts(bits)[-1], np.int8), State.fresh()
+    for r in slices.collect():  # a byte for each slot
+        if r["slice"] >= 0:
+            odds[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(bytes(r["blob"]), np.int8)
+            continue
+        gated, sums, ones, seen = np.split(np.frombuffer(bytes(r["blob"])), np.cumsum([GATES, GATES * PREDICTORS, BUCKETS]))
+        weights = np.where(gated[:, None] > 0, sums.reshape(GATES, PREDICTORS) / np.maximum(gated, 1)[:, None], START)
+        state = State(weights.astype(np.float32), ones, seen)
+    discard(slices)
+    return Model(code, bits, odds, state)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for doc, mark, train_row, raw in zip(*batch.columns):
-            found = Counter(raw.as_py().lower().split())  # bytes: both touch ASCII only
-            found[END.encode()] = 1
-            n = len(found)
-            yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * n, pa.int64()), pa.array([mark.as_py()] * n, pa.int64()), pa.array([train_row.as_py()] * n), pa.array([w.decode() for w in found], pa.string()), pa.array(found.values(), pa.int64())], names=["doc_id", "print", "train", "token", "n"])
-
-
-def unigram_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, print, n_tokens, n_known, train_tokens, base_score), one row for each id and text."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(_raw(text)).alias("print"), (~_held_out(doc_id)).alias("train"), _raw(text).alias("raw"))
-    schema = "doc_id long, print long, train boolean, token string, n long"
-    pairs = rows.mapInArrow(_tokens, schema)
-    counts = materialize(pairs.filter("train").groupBy("token").agg(F.sum("n").alias("c")), "counts")
-    total, distinct = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    total = total or 0
-    # rows that repeat an id and its text are one row here, and are met by each of them later
-    known = pairs.join(counts, "token", "left").select("doc_id", "print", "token", "n", F.coalesce("c", F.lit(0)).alias("c"))
-    copies = F.count_if(F.col("token") == END)
-    value = F.col("n") * F.log10((F.col("c") + 1) / F.lit(float(total + distinct + 1)))
-    summed = known.groupBy("doc_id", "print").agg(copies.alias("k"), F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(value).alias("base_score"))
-    return summed.select("doc_id", "print", (F.col("n_tokens") / F.col("k")).cast("long").alias("n_tokens"), (F.col("n_known") / F.col("k")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") / F.col("k")).alias("base_score"))
+_SCORED = "doc_id long, held_out boolean, n_bytes long, bits double, n_tokens long, n_known long, base double, rare array<struct<token:binary,n:long>>"
+
+
+def _scored(model, frequent):
+    """A row for each text: its cost, what its frequent words add to the base score, and its rare words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frequent.value
+        for batch in batches:
+            done = 0
+            for texts in _texts(batch.column(2)):
+                rows = batch.slice(done, len(texts))
+                done += len(texts)
+                tokens, sure, base, rare = [], [], [], []
+                for t in texts:
+                    found = Counter(t.lower().split())
+                    found[END.encode()] = 1
+                    unknown = [{"token": w, "n": n} for w, n in found.items() if w not in known]
+                    tokens.append(found.total())
+                    sure.append(tokens[-1] - sum(r["n"] for r in unknown))
+                    base.append(math.fsum(n * known[w] for w, n in found.items() if w in known))
+                    rare.append(unknown)
+                made = [pa.array([len(t) for t in texts], pa.int64()), pa.array(model.value.cost(texts)), pa.array(tokens, pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())])))]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *made], names=["doc_id", "held_out", "n_bytes", "bits", "n_tokens", "n_known", "base", "rare"])
+
+    return run
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of docs."""
-    cost = model_bits(docs, train(docs, doc_id, text), doc_id, text)
-    base = unigram_scores(docs, doc_id, text).withColumnsRenamed({"doc_id": "_id", "print": "_print"})
-    both = cost.join(base, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_print")))
-    per_byte = F.when(F.col("n_bytes") > 0, F.col("bits") / F.col("n_bytes"))
-    return both.select("doc_id", _held_out("doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", (F.col("bits") * -math.log10(2)).alias("score"), per_byte.alias("bits_per_byte"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _held_out(doc_id).alias("held_out"), _raw(text).alias("raw"))
+    training = rows.filter("NOT held_out").select("raw")
+    counts = materialize(word_counts(training), "counts")
+    total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
+    most = counts.filter(F.octet_length("token") <= FREQUENT_LENGTH).orderBy(F.desc("c"), "token").limit(FREQUENT)
+    send = docs.sparkSession.sparkContext.broadcast
+    frequent = send({bytes(r["token"]): math.log10((r["c"] + 1) / (total + distinct + 1)) for r in most.collect()})
+    model = send(train(training, Code.of(pair_counts(counts)), input_bytes(docs)))
+    scored = materialize(rows.mapInArrow(_scored(model, frequent), _SCORED).withColumn("key", F.monotonically_increasing_id()), "scored")
+    pairs = scored.select("key", F.explode("rare").alias("r")).select("key", "r.token", "r.n")
+    c = F.coalesce("c", F.lit(0))
+    found = pairs.join(counts, "token", "left").groupBy("key").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10((c + 1) / F.lit(float(total + distinct + 1)))).alias("rest"))
+    whole = scored.drop("rare").join(found, "key", "left")
+    return whole.select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("bits") * -math.log10(2)).alias("score"), F.when(F.col("n_bytes") > 0, F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"),
+    )
 
 
 def op6_lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
