@@ -79,6 +79,19 @@ def discard(*frames: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def send_file(spark: SparkSession, label: str, data: bytes) -> str:
+    """Gives every executor one copy of a file, and returns its name: SparkFiles.get(name) is its path there."""
+    name = f"{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{name}")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+    spark.sparkContext.addFile(path.toString())
+    return name
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files below a frame by the optimizer's statistics: used only to choose partition counts."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

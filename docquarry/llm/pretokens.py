@@ -69,14 +69,23 @@ def load_tokenizer(path: str):
     return tok
 
 
+def some_files(docs: DataFrame, text: str, most: int = 8) -> DataFrame:
+    """docs, or a table of at most `most` of the Parquet files below it, spread evenly over their names, where these have the text column."""
+    files = sorted(docs.inputFiles())
+    if len(files) <= most or not all(f.endswith(".parquet") for f in files):
+        return docs
+    found = docs.sparkSession.read.parquet(*[files[k * len(files) // most] for k in range(most)])
+    return found if text in found.columns else docs
+
+
 def frequent_pretokens(docs: DataFrame, text: str, cut: Callable[[str], list[str] | None], size: int, sample_rows: int) -> list[str]:
     """The most frequent pre-tokens of a sample of about `sample_rows` rows, most frequent first, ties by text.
 
-    This only decides which pre-tokens are looked up in the broadcast tier; results are the same with any list.
-    Each of at most 8 tasks sends its own `size` most frequent, so the driver sees a bounded table.
+    This only decides which pre-tokens are looked up in the broadcast tier; results are the same with any list. Rows come from a
+    few files with all tasks that these have; each task sends its own `size` most frequent, and the driver gets `size` rows.
     """
-    total = docs.count()
-    share = min(1.0, sample_rows / max(total, 1))
+    files = some_files(docs, text)
+    share = min(1.0, sample_rows / max(files.count(), 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -88,8 +97,6 @@ def frequent_pretokens(docs: DataFrame, text: str, cut: Callable[[str], list[str
         top = seen.most_common(size)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
 
-    sample = docs.select(F.col(text).alias("text")).filter("text IS NOT NULL").sample(share, seed=7).coalesce(8)
-    merged: Counter[str] = Counter()
-    for row in sample.mapInArrow(count, "piece string, n long").toLocalIterator():
-        merged[row["piece"]] += row["n"]
-    return [w for w, _ in sorted(merged.items(), key=lambda x: (-x[1], x[0]))[:size]]
+    sample = files.select(F.col(text).alias("text")).filter("text IS NOT NULL").sample(share, seed=7)
+    found = sample.mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return [r["piece"] for r in found.orderBy(F.desc("n"), "piece").limit(size).collect()]
