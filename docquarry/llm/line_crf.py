@@ -210,7 +210,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     # at most `rows` rows are broadcast, so the texts stay where they are
     joined = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select(F.col("_id").cast("long"), "_label", "_text")
-    found = sorted((r["id"], r["label"], bytes(r["bins"])) for r in joined.mapInArrow(features, "id long, label int, bins binary").toLocalIterator())
+    # of rows that repeat an id the smallest text teaches, so at most `rows` come back
+    one = joined.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    found = sorted((r["id"], r["label"], bytes(r["bins"])) for r in one.mapInArrow(features, "id long, label int, bins binary").collect())
     return Chain().fit([np.frombuffer(b, np.uint8).reshape(-1, len(FEATURES)).astype(np.int64) for _, _, b in found], np.array([y for _, y, _ in found], int))
 
 

@@ -60,14 +60,14 @@ def fingerprint(text: bytes | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
-        found = np.fromiter((fingerprint(t.as_py()) for t in texts), dtype=np.uint64, count=len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        prints = np.array([fingerprint(t.as_py()) for t in batch.column(1).cast(pa.binary())], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint's 64 bits as a signed integer."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str | None = None) -> DataFrame:
+    """(doc_id, fp) for every row, and its key (a long) if one is named; fp is the fingerprint's 64 bits as a signed integer."""
+    more = [F.col(key).alias("key")] if key else []
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *more).mapInArrow(_fingerprints, "doc_id long, fp long" + ", key long" * bool(key))
 
 
 def _join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -167,16 +167,20 @@ def near_links(classes: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     return rows.mapInArrow(_links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs; component_id is the smallest id that links can reach."""
-    prints = materialize(fingerprints(docs, doc_id, text), "fingerprints")
+def groups(prints: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """(fp, root, component_id) for each fingerprint of (doc_id, fp): root names its group, component_id is the group's smallest id."""
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     links = near_links(classes.select("fp"), blocks)
     roots = connected_components(links, "a", "b")
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs; component_id is the smallest id that links can reach."""
+    prints = materialize(fingerprints(docs, doc_id, text), "fingerprints")
+    return prints.join(groups(prints, blocks), "fp").select("doc_id", "fp", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,10 +189,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Documents whose id is the smallest of their component; every column of docs is kept.
+    """One row of each group: the one with the smallest id, a row without an id only where no other is there.
 
-    Rows that repeat the kept id are kept as they came. Rows without an id are kept.
+    Of rows that repeat this id, the first one read stays. Every column of docs is kept, whatever its name.
     """
-    found = near_duplicates(docs)
-    firsts = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(firsts, docs["doc_id"] == firsts["_kept"], "left").filter("_kept IS NOT NULL OR doc_id IS NULL").drop("_kept")
+    keyed = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key")), "keyed")
+    prints = materialize(fingerprints(keyed, "row.doc_id", "row.text", "key"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    kept = prints.join(groups(prints), "fp").groupBy("root").agg(first).select(F.col("first.key").alias("key"))
+    return keyed.join(kept, "key", "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

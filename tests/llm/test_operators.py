@@ -137,6 +137,19 @@ def test_simhash(docs, empty):
     assert simhash.keep_one_of_each(docs).columns == docs.columns
 
 
+def test_one_row_of_each_group_stays(spark):
+    from docquarry.llm import simhash
+
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    a, b, c = prose(400), prose(50), prose(60)
+    rows = [(9, a), (4, a), (4, a), (None, a), (None, a + " tail"), (4, b), (7, b), (None, c), (None, c), (2, ""), (None, None), (3, " ")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _kept string")
+    out = simhash.keep_one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in out.collect()) == sorted([("4", a), ("4", b), ("None", c), ("2", "")])
+
+
 def test_token_counts(docs, empty):
     from docquarry.llm import token_counts
 
