@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def matches(text: Column, pattern: str) -> Column:
     return F.aggregate(parts, start, step, lambda acc: acc["found"])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once: inside of lambda functions an expression would be worked out for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def letters(text: Column) -> Column:
     return F.char_length(F.regexp_replace(text, r"[^\p{L}]", ""))
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tokens import amounts, dates
+from ..functions.text import has_letter, let
+from .tokens import amount_tokens, date_tokens
 
 # Marks of a page number or a version in a running line, and limits.
-MARKER = r"(?iU)\b(?:strona|str\.|page|wersja|version|ver\.|v\.)\s*#|#\s*(?:/|z|of)\s*#"
+MARKER = r"(?iuU)\b(?:strona|str\.|page|seite)\s*#+\s*(?:z|of|/|von)\s*#+|\b(?:wersja|version|ver\.|rev\.?)\s*#"
 EDGE_LINES, LEAST_PAGES, MOST_CANDIDATES = 2, 3, 400
 # End of the fixed values.
 
 
+_OWN = ("doc_id", "page", "start", "end", "text", "kind_no", "value", "currency", "date", "spans")
+
+
 def edge_lines(pages: DataFrame) -> DataFrame:
     """(doc_id, page, start, end, line): the first and last non-blank lines of each page, within the row."""
     lines = F.filter(
@@ -26,7 +30,7 @@ def edge_lines(pages: DataFrame) -> DataFrame:
     )
     n = F.size("_lines")
     ends = F.array_distinct(F.concat(F.slice("_lines", 1, EDGE_LINES), F.slice("_lines", F.greatest(n - EDGE_LINES + 1, F.lit(1)), F.lit(EDGE_LINES))))
-    return pages.withColumn("_lines", lines).select("doc_id", "page", F.explode(ends).alias("e")).select("doc_id", "page", "e.start", "e.end", "e.line")
+    return pages.filter(has_letter(F.col("text"))).withColumn("_lines", lines).select("doc_id", "page", F.explode(ends).alias("e")).select("doc_id", "page", "e.start", "e.end", "e.line")
 
 
 def running_lines(pages: DataFrame) -> DataFrame:
@@ -35,9 +39,7 @@ def running_lines(pages: DataFrame) -> DataFrame:
     key = F.regexp_replace(F.trim(F.regexp_replace("line", r"(?U)\s+", " ")), "[0-9]+", "#")
     lines = lines.withColumn("key", key).filter(F.col("key").rlike(MARKER))
     # the dates of a line are found in the line itself, so no join with the page's dates is needed
-    dated = dates(lines.select(F.struct("doc_id", "page", "start").alias("doc_id"), "page", F.col("line").alias("text"))).groupBy("doc_id").agg(F.array_sort(F.collect_set("date")).alias("set"))
-    lines = lines.join(dated.select(F.col("doc_id").alias("_at"), "set"), F.struct("doc_id", "page", "start") == F.col("_at"), "left")
-    lines = lines.withColumn("set", F.concat_ws(",", F.coalesce(F.col("set").cast("array<string>"), F.array().cast("array<string>"))))
+    lines = lines.withColumn("set", F.array_join(F.array_sort(F.array_distinct(F.transform(date_tokens(F.col("line")), lambda d: d["date"].cast("string")))), ","))
     running = lines.groupBy("doc_id", "key").agg(F.count_distinct("page").alias("n"), F.min("set").alias("a"), F.max("set").alias("b")).filter(f"n >= {LEAST_PAGES} AND a = b")
     return lines.join(running.select("doc_id", "key"), ["doc_id", "key"], "left_semi").select("doc_id", "page", "start", "end")
 
@@ -48,14 +50,29 @@ def candidates(pages: DataFrame) -> DataFrame:
     Amounts need a currency beside them, or one that the page declares and two decimals. Tokens in running lines
     are left out. A document with more than MOST_CANDIDATES fails as a whole: too_many is true in all its rows.
     """
-    money = amounts(pages).filter("currency IS NOT NULL AND (adjacent OR text RLIKE '[.,][0-9]{2}$')").selectExpr("doc_id", "page", "start", "end", "text", "0 AS kind_no", "value", "currency", "CAST(NULL AS DATE) AS date")
-    days = dates(pages).selectExpr("doc_id", "page", "start", "end", "text", "1 AS kind_no", "CAST(NULL AS DECIMAL(38,2)) AS value", "CAST(NULL AS STRING) AS currency", "date")
+    return numbered(tokens(pages), pages).drop("before", "after")
+
+
+def tokens(pages: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, page, start, end, text, kind_no, value, currency, date, before, after) and more of the pages: what may become a candidate."""
+    shape = "array<struct<start:int,end:int,text:string,kind_no:int,value:decimal(38,2),currency:string,date:date,before:int,after:int>>"
+    def found(text: Column) -> Column:
+        usable = F.filter(amount_tokens(text), lambda t: t["currency"].isNotNull() & (t["adjacent"] | t["text"].rlike(r"[.,][0-9]{2}\z")))
+        money = F.transform(usable, lambda t: F.struct(t["start"], t["end"], t["text"], F.lit(0), t["value"], t["currency"], F.lit(None).cast("date"), t["before"], t["after"])).cast(shape)
+        days = F.transform(date_tokens(text), lambda t: F.struct(t["start"], t["end"], t["text"], F.lit(1), F.lit(None).cast("decimal(38,2)"), F.lit(None).cast("string"), t["date"], F.lit(0), F.lit(0))).cast(shape)
+        return F.concat(money, days)
+
+    return pages.filter(has_letter(F.col("text"))).select("doc_id", "page", *more, F.inline(let(F.col("text"), found)))
+
+
+def numbered(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """tokens() without those in running lines, as candidates; columns beyond the tokens' own are kept."""
     spans = running_lines(pages).groupBy("doc_id", "page").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    found = money.union(days).join(spans, ["doc_id", "page"], "left")
+    found = found.join(spans, ["doc_id", "page"], "left")
     inside = F.exists("spans", lambda s: (s["start"] <= F.col("start")) & (F.col("start") < s["end"]))
     found = found.filter(~F.coalesce(inside, F.lit(False)))
     order = Window.partitionBy("doc_id").orderBy("page", "start", "kind_no")
     return found.select(
         "doc_id", F.row_number().over(order).alias("candidate_id"), F.when(F.col("kind_no") == 0, "amount").otherwise("date").alias("kind"), "page", "start", "end", "text", "value", "currency", "date",
-        (F.count(F.lit(1)).over(Window.partitionBy("doc_id")) > MOST_CANDIDATES).alias("too_many"),
+        (F.count(F.lit(1)).over(Window.partitionBy("doc_id")) > MOST_CANDIDATES).alias("too_many"), *[c for c in found.columns if c not in _OWN],
     )

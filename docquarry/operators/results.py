@@ -34,7 +34,7 @@ def first_of_each(facts: DataFrame) -> DataFrame:
 
     Amounts are equal by value, currency and context, dates by date and context without marks.
     """
-    plain = F.when(F.col("kind") == "date", collapse(F.translate("context", "»«", ""))).otherwise(F.col("context"))
+    plain = F.when(F.col("kind") == "date", F.translate("context", "»«", "")).otherwise(F.col("context"))
     same = Window.partitionBy("doc_id", "kind", "value", "currency", "date", plain).orderBy("candidate_id")
     return facts.withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_n")
 

@@ -1,13 +1,17 @@
-"""Amounts and dates in page text, with offsets. Pages are rows (doc_id, page, text); nothing is shuffled here."""
+"""Amounts and dates in text, with offsets, as columns and as rows of pages (doc_id, page, text). Nothing is shuffled here.
+
+Each form is only looked for in texts that a cheap pattern finds worth it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import matches
+from ..functions.codes import currency_code
+from ..functions.text import let, matches
 
-# Number forms, currency words, ISO 4217 codes and month names that results depend on.
+# Number forms, currency words and month names that results depend on.
 _TAIL = r"(?![0-9]|[.,][0-9]|[  ]?%)"
 _HEAD = r"(?<![0-9.,])"
 _SPACED = r"[0-9]{1,3}(?:[   ][0-9]{3})"
@@ -17,14 +21,6 @@ REFERENCE = r"(?iU)(?:\b(?:strona|str|s|z|nr|no|page|of|pkt|ust|art|poz|lp)\.?|
 AFTER = r"^[  ]*(?:\n[  ]*)?(zł|złotych|PLN|EUR|euro|€|USD|\$|[A-Z]{3})(?![\p{L}\p{N}_])"
 BEFORE = r"(PLN|EUR|€|USD|\$|[A-Z]{3})[  ]*\n?\z"
 DECLARED = r"(?U)\b(?:Waluta|Currency)\s*:\s*([A-Z]{3})\b"
-ALIASES = {"zł": "PLN", "złotych": "PLN", "euro": "EUR", "€": "EUR", "$": "USD"}
-CURRENCIES = (
-    "AED AFN ALL AMD ANG AOA ARS AUD AWG AZN BAM BBD BDT BGN BHD BIF BMD BND BOB BRL BSD BTN BWP BYN BZD CAD CDF CHF CLP CNY COP CRC CUP CVE CZK "
-    "DJF DKK DOP DZD EGP ERN ETB EUR FJD FKP GBP GEL GHS GIP GMD GNF GTQ GYD HKD HNL HTG HUF IDR ILS INR IQD IRR ISK JMD JOD JPY KES KGS KHR KMF "
-    "KPW KRW KWD KYD KZT LAK LBP LKR LRD LSL LYD MAD MDL MGA MKD MMK MNT MOP MRU MUR MVR MWK MXN MYR MZN NAD NGN NIO NOK NPR NZD OMR PAB PEN PGK "
-    "PHP PKR PLN PYG QAR RON RSD RUB RWF SAR SBD SCR SDG SEK SGD SHP SLE SOS SRD SSP STN SVC SYP SZL THB TJS TMT TND TOP TRY TTD TWD TZS UAH UGX "
-    "USD UYU UZS VED VES VND VUV WST XAF XCD XOF XPF YER ZAR ZMW"
-)
 PL_MONTHS = "stycznia lutego marca kwietnia maja czerwca lipca sierpnia września października listopada grudnia"
 EN_MONTHS = "january february march april may june july august september october november december"
 # End of the fixed values.
@@ -32,11 +28,12 @@ EN_MONTHS = "january february march april may june july august september october
 WRAP_LINE, WRAP_WORDS = 60, 3
 _MONTHS = PL_MONTHS.split() + EN_MONTHS.split()
 _ANY_MONTH = "|".join(_MONTHS)
+#: What a text must hold, the form, its parts, and which of these are year, month and day.
 _DATES = (
-    (r"(?<![0-9])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])", r"([0-9]{4})-([0-9]{2})-([0-9]{2})", (1, 2, 3)),
-    (r"(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9])", r"([0-9]+)\.([0-9]+)\.([0-9]+)", (3, 2, 1)),
-    (rf"(?iuU)(?<![0-9])[0-9]{{1,2}}\s+(?:{_ANY_MONTH})\s+[0-9]{{4}}(?![0-9])", r"(?U)([0-9]+)\s+(\S+)\s+([0-9]+)", (3, 2, 1)),
-    (rf"(?iuU)\b(?:{_ANY_MONTH})\s+[0-9]{{1,2}},\s*[0-9]{{4}}(?![0-9])", r"(?U)(\S+)\s+([0-9]+),\s*([0-9]+)", (3, 1, 2)),
+    (r"[0-9]-[0-9]", r"(?<![0-9])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])", r"([0-9]{4})-([0-9]{2})-([0-9]{2})", (1, 2, 3)),
+    (r"[0-9]\.[0-9]", r"(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9])", r"([0-9]+)\.([0-9]+)\.([0-9]+)", (3, 2, 1)),
+    (r"(?U)[0-9]\s+\p{L}{3,}\s+[0-9]{4}", rf"(?iuU)(?<![0-9])[0-9]{{1,2}}\s+(?:{_ANY_MONTH})\s+[0-9]{{4}}(?![0-9])", r"(?U)([0-9]+)\s+(\S+)\s+([0-9]+)", (3, 2, 1)),
+    (r"(?U)\p{L}{3,}\s+[0-9]{1,2},\s*[0-9]{4}", rf"(?iuU)\b(?:{_ANY_MONTH})\s+[0-9]{{1,2}},\s*[0-9]{{4}}(?![0-9])", r"(?U)(\S+)\s+([0-9]+),\s*([0-9]+)", (3, 1, 2)),
 )
 
 
@@ -47,13 +44,6 @@ def parse_number(raw: Column) -> Column:
     return point.try_cast("decimal(38,2)")
 
 
-def currency_code(marker: Column) -> Column:
-    """ISO code of a currency marker, or null."""
-    names = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    code = F.coalesce(F.element_at(names, marker), F.element_at(names, F.lower(marker)), marker)
-    return F.when(F.array_contains(F.split(F.lit(CURRENCIES), " "), code), code)
-
-
 def _wraps(text: Column) -> Column:
     """Numbers over a line end: (start, end, text, at, joined); at: offset of the suffix."""
 
@@ -64,27 +54,54 @@ def _wraps(text: Column) -> Column:
         words = F.size(F.filter(F.split(line, r"(?U)\s+"), lambda w: w.rlike(r"\p{L}")))
         suffix = F.regexp_extract(m["text"], r"\n[ \t]*(.*)\z", 1)
         joined = (whole >= WRAP_LINE) & (words >= WRAP_WORDS) & ~line.rlike(REFERENCE)
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), (m["end"] - F.char_length(suffix)).alias("at"), joined.alias("joined"))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.concat(prefix, F.lit(" "), suffix).alias("text"), joined.alias("joined"))
 
-    return F.transform(matches(text, WRAPPED), judged)
+    return F.when(text.rlike(r"[0-9][ \t]*\n[ \t]*[0-9]{3}"), F.transform(matches(text, WRAPPED), judged)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,joined:boolean>>"))
 
 
-def amounts(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, start, end, text, value, currency, adjacent): every amount of every page.
+def _joined(wraps: Column) -> Column:
+    return F.transform(F.filter(wraps, lambda w: w["joined"]), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["text"].alias("text")))
+
+
+def wrapped_numbers(text: Column) -> Column:
+    """Array of (start, end, text) of the numbers that go on in the next line."""
+    return let(_wraps(text), _joined)
+
+
+def amount_tokens(text: Column) -> Column:
+    """Array of (start, end, text, value, currency, adjacent, before, after): before and after are the lengths of a currency beside it.
 
     A number that goes on in the next line is one amount where its line is prose; elsewhere both parts are left out.
     """
-    prepared = pages.select("doc_id", "page", F.col("text").alias("body"), _wraps(F.col("text")).alias("wraps"), matches(F.col("text"), NUMBER).alias("numbers"))
-    hidden = lambda n: F.exists("wraps", lambda w: (n["start"] >= w["start"]) & (n["start"] < w["end"]))
-    joined = F.transform(F.filter("wraps", lambda w: w["joined"]), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["text"].alias("text")))
-    tokens = prepared.select("doc_id", "page", "body", F.explode(F.concat(F.filter("numbers", lambda n: ~hidden(n)), joined)).alias("t"))
-    tokens = tokens.filter(~F.col("t.text").rlike("^0[0-9]"))
-    after = currency_code(F.regexp_extract(F.substring(F.col("body"), F.col("t.end") + 1, F.lit(12)), AFTER, 1))
-    before = currency_code(F.regexp_extract(F.substring(F.col("body"), F.greatest(F.col("t.start") - 5, F.lit(1)), F.least(F.col("t.start"), F.lit(6))), BEFORE, 1))
-    declared = currency_code(F.regexp_extract("body", DECLARED, 1))
-    near = F.coalesce(after, before)
-    value = parse_number(F.regexp_replace("t.text", r"[ \t]*\n[ \t]*", " "))
-    return tokens.select("doc_id", "page", "t.start", "t.end", "t.text", value.alias("value"), F.coalesce(near, declared).alias("currency"), near.isNotNull().alias("adjacent"))
+    numbers = F.when(text.rlike("[0-9]"), matches(text, NUMBER)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    declared = F.when(text.rlike("Waluta|Currency"), currency_code(F.regexp_extract(text, DECLARED, 1)))
+
+    def beside(t: Column) -> Column:
+        """The markers behind and before a number, and their codes."""
+        behind, ahead = F.substring(text, t["end"] + 1, F.lit(12)), F.substring(text, F.greatest(t["start"] - 5, F.lit(1)), F.least(t["start"], F.lit(6)))
+        markers = F.struct(F.regexp_extract(behind, AFTER, 0).alias("after"), F.regexp_extract(behind, AFTER, 1).alias("a"), F.regexp_extract(ahead, BEFORE, 0).alias("before"), F.regexp_extract(ahead, BEFORE, 1).alias("b"), t.alias("t"))
+        coded = lambda m: F.struct(m["t"].alias("t"), m["after"].alias("after"), m["before"].alias("before"), F.when(m["a"] != "", currency_code(m["a"])).alias("a"), F.when(m["b"] != "", currency_code(m["b"])).alias("b"))
+        return let(markers, coded)
+
+    def token(m: Column, page: Column) -> Column:
+        t, near = m["t"], F.coalesce(m["a"], m["b"])
+        return F.struct(
+            t["start"].alias("start"), t["end"].alias("end"), t["text"].alias("text"), parse_number(t["text"]).alias("value"), F.coalesce(near, page).alias("currency"), near.isNotNull().alias("adjacent"),
+            F.when(m["a"].isNull() & m["b"].isNotNull(), F.char_length(m["before"])).otherwise(0).alias("before"), F.when(m["a"].isNotNull(), F.char_length(m["after"])).otherwise(0).alias("after"),
+        )
+
+    def found(v: Column) -> Column:
+        alone = F.filter(v["numbers"], lambda n: ~F.exists(v["wraps"], lambda w: (n["start"] >= w["start"]) & (n["start"] < w["end"])))
+        kept = F.filter(F.concat(alone, _joined(v["wraps"])), lambda t: ~t["text"].rlike("^0[0-9]"))
+        return F.transform(F.transform(kept, beside), lambda m: token(m, v["declared"]))
+
+    return let(F.struct(_wraps(text).alias("wraps"), numbers.alias("numbers"), declared.alias("declared")), found)
+
+
+def amounts(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, start, end, text, value, currency, adjacent): every amount of every page."""
+    each = pages.select("doc_id", "page", F.explode(let(F.col("text"), amount_tokens)).alias("t"))
+    return each.select("doc_id", "page", *[f"t.{c}" for c in ("start", "end", "text", "value", "currency", "adjacent")])
 
 
 def _date(text: Column, shape: str, ymd: tuple[int, int, int]) -> Column:
@@ -94,11 +111,26 @@ def _date(text: Column, shape: str, ymd: tuple[int, int, int]) -> Column:
     return F.try_to_date(F.format_string("%s-%02d-%02d", year, month, day.try_cast("int")), "yyyy-MM-dd")
 
 
-def dates(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, start, end, text, date): every calendar date of every page; dates that do not exist are left out."""
-    def valid(pattern: str, shape: str, ymd: tuple[int, int, int]) -> Column:
-        return F.transform(matches(F.col("text"), pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), _date(m["text"], shape, ymd).alias("date")))
+def date_tokens(text: Column) -> Column:
+    """Array of (start, end, text, date) of the calendar dates in a text, from year 1 on; dates that do not exist are left out."""
+    none = F.array().cast("array<struct<start:int,end:int,text:string,date:date>>")
+    first = F.lit("0001-01-01").cast("date")
+
+    def valid(gate: str, pattern: str, shape: str, ymd: tuple[int, int, int]) -> Column:
+        each = F.transform(matches(text, pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), _date(m["text"], shape, ymd).alias("date")))
+        return F.when(text.rlike(gate), F.filter(each, lambda d: d["date"] >= first)).otherwise(none)
 
-    found = [valid(*form) for form in _DATES]
-    each = pages.select("doc_id", "page", F.explode(F.concat(*found)).alias("d")).filter("d.date IS NOT NULL")
+    return F.concat(*[valid(*form) for form in _DATES])
+
+
+def dates(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, start, end, text, date): every calendar date of every page."""
+    each = pages.select("doc_id", "page", F.explode(let(F.col("text"), date_tokens)).alias("d"))
     return each.select("doc_id", "page", "d.start", "d.end", "d.text", "d.date")
+
+
+def stated(facts: DataFrame, found: DataFrame) -> DataFrame:
+    """facts (doc_id, value, currency) or (doc_id, date) that the source states: one of its tokens has the same value, to the cent, or date."""
+    same = facts["doc_id"] == found["doc_id"]
+    same &= facts["date"] == found["date"] if "date" in facts.columns else (F.bround(facts["value"], 2) == F.bround(found["value"], 2)) & (facts["currency"] == found["currency"])
+    return facts.join(found, same, "left_semi")

@@ -22,7 +22,8 @@ from ..sources import pages
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(pages.orders(spark, sf_dir)).drop("too_many").withColumns({"value": F.col("value").cast("double"), "date": F.col("date").cast("string")})
+    found = candidates(pages.orders(spark, sf_dir)).filter("NOT too_many").drop("too_many")
+    return found.withColumns({"value": F.col("value").cast("double"), "date": F.col("date").cast("string")})
 
 
 def order_amounts(spark, sf_dir):
@@ -121,7 +122,7 @@ def results_kept(spark, sf_dir):
 
 
 def organisations(spark, sf_dir):
-    forms = F.array("n_name", F.lower("n_name"), F.concat(F.lit(" "), "n_name", F.lit("  S.A.")), F.lit("Alfa"), F.lit("Alfa Logistics"), F.lit(" "))
+    forms = F.array("n_name", F.lower("n_name"), F.concat(F.lit(" "), "n_name", F.lit("  S.A.")), F.lit("Beta"), F.lit("Beta Transport"), F.lit(" "))
     return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.array_join(distinct_organisations(forms), "|").alias("names"))
 
 
@@ -184,7 +185,7 @@ SELECT doc_id, head || '⟦D1⟧' || strftime(placed, '%d.%m.%Y') || ' amounts t
 r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY o_orderdate DESC, id) AS rank FROM f),
 c AS (SELECT owner, id, rank, (sum(n + 1) OVER (PARTITION BY owner ORDER BY rank) + 25)::BIGINT AS chars FROM r WHERE rank <= 4)
 SELECT * FROM c WHERE chars <= 1100""",
-    "organisations_nation": "SELECT n_nationkey, n_name || ' S.A.|Alfa|Alfa Logistics' AS names FROM nation",
+    "organisations_nation": "SELECT n_nationkey, n_name || ' S.A.|Beta|Beta Transport' AS names FROM nation",
     "provider_problems_orders": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'invalid_output' WHEN 'O' THEN 'quota' ELSE 'unavailable' END AS category, CASE WHEN o_orderkey % 8999 + 5000 <= 9999 THEN (o_orderkey % 8999 + 5000)::INT END AS code FROM orders",
 }
 

@@ -6,15 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a table below which its rows are dealt to all cores first.
+SMALL = 64 << 20
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table. Small ones are often one row group, which one task would read and work on alone; dealing so few rows costs little."""
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return found.repartition(spark.sparkContext.defaultParallelism) if size < SMALL else found
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of one page."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(1).alias("page"), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), "text")
 
 
 def conversations(spark: SparkSession, sf_dir: str, footer: bool = False) -> DataFrame:
     """A conversation is a document, a turn a page; with a running footer on request."""
     text = F.concat("text", F.lit("\nPage "), F.col("turn") + 1, F.lit(" of 99, 12.03.2026")) if footer else F.col("text")
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), text.alias("text"))
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), text.alias("text"))
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,4 +33,4 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
     amount = F.when(F.col("o_orderstatus") == "F", F.concat(F.translate(grouped, ",.", ".,"), F.lit(" zł"))).when(F.col("o_orderstatus") == "O", F.concat(F.lit("USD "), grouped)).otherwise(F.concat(F.translate(grouped, ",.", " ,"), F.lit(" EUR")))
     text = F.concat(F.lit("Order "), "o_orderkey", F.lit(" of "), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" amounts to "), amount, F.lit(", payable by "), F.date_format(F.date_add("o_orderdate", 30), "yyyy-MM-dd"), F.lit("."))
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), text.alias("text"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), text.alias("text"))

@@ -29,8 +29,8 @@ def test_sentences(spark, text, expected):
 
 
 def test_organisations(spark):
-    df = spark.createDataFrame([(["Kwadrat Software", "kwadrat  software", "Kwadrat Software S.A.", "Alfa", "Alfa Logistics", "", None],), ([],), (None,)], "n array<string>")
-    assert [r[0] for r in df.select(names.distinct_organisations(F.col("n"))).collect()] == [["Kwadrat Software S.A.", "Alfa", "Alfa Logistics"], [], []]
+    df = spark.createDataFrame([(["Modra Sowa", "modra  sowa", "Modra Sowa S.A.", "Beta", "Beta Transport", "", None],), ([],), (None,)], "n array<string>")
+    assert [r[0] for r in df.select(names.distinct_organisations(F.col("n"))).collect()] == [["Modra Sowa S.A.", "Beta", "Beta Transport"], [], []]
 
 
 def test_tags_and_messages(spark):
