@@ -15,6 +15,7 @@ from ..operators.admission import admit, totals
 from ..operators.candidates import candidates, running_lines
 from ..operators.checks import check_scores, limited_minutes, selection_problems
 from ..operators.chunks import CHUNK, chunks, overview_shares
+from ..operators.contexts import candidate_contexts
 from ..operators.layout import page_text, with_recognised
 from ..operators.results import first_of_each, kept_results, marked_pages
 from ..operators.tokens import amounts, dates
@@ -54,6 +55,10 @@ def result_names(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", safe_name(F.col("url")).alias("name"))
 
 
+def invoice_contexts(spark, sf_dir):
+    return candidate_contexts(pages.invoices(spark, sf_dir)).select("doc_id", "candidate_id", "kind", "context")
+
+
 def selections(spark, sf_dir):
     found = candidates(pages.orders(spark, sf_dir)).select("doc_id", "candidate_id", "kind")
     keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"))
@@ -156,6 +161,11 @@ min(turn) = 0 AND max(turn) + 1 = count(*) AND count(DISTINCT turn) = count(*) A
     "running_footers_conversations": "SELECT conv_id AS doc_id, count(DISTINCT turn) AS n_pages FROM conversations WHERE text IS NOT NULL GROUP BY conv_id HAVING count(DISTINCT turn) >= 3",
     "recognised_text_documents": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+\n', chr(10), 'g'), '[ \t]+$', ''), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents""",
     "result_names_pages": r"""SELECT page_id, coalesce(nullif(substring(regexp_replace(regexp_replace(url, '(?i)\.pdf$', ''), '[^\p{L}\p{N}._-]+', '_', 'g'), 1, 80), ''), 'dokument') || '-analiza.json' AS name FROM pages""",
+    "contexts_invoices": f"""WITH r AS (SELECT o_orderkey AS k, translate({_GROUPED}, ',.', ' ,') AS price, strftime(o_orderdate::DATE + 30, '%d.%m.%Y') AS due, strftime(o_orderdate::DATE, '%Y-%m-%d') AS placed, (o_orderkey % 900 + 100) || ',50 EUR' AS more FROM orders)
+SELECT k AS doc_id, 1 AS candidate_id, 'date' AS kind, 's. 1: [FAKTURA SPRZEDAŻY nr ' || k || '] Termin płatności: »' || due || '«' AS context FROM r
+UNION ALL SELECT k, 2, 'amount', 's. 1: [Pozycja Wartość Dnia] Towar »' || price || ' zł« ' || placed FROM r
+UNION ALL SELECT k, 3, 'date', 's. 1: [Pozycja Wartość Dnia] Towar ' || price || ' zł »' || placed || '«' FROM r
+UNION ALL SELECT k, 4, 'amount', 's. 1: Strony uznają, że dopłata nie przekroczy »' || more || '« w tym roku.' FROM r""",
     "selections_orders": "SELECT o_orderkey AS doc_id, pos, candidate_id, problem FROM orders, (VALUES (0, 2, NULL), (1, 2, 'repeated'), (2, 1, 'wrong kind'), (3, 9, 'unknown')) v(pos, candidate_id, problem)",
     "verdict_scores_labels": "SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS category, count(*) FILTER (quality = 1) AS passed, count(*) AS total FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)",
     "rate_limits_events": "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 0",
@@ -200,6 +210,7 @@ def queries() -> dict:
         "running_footers_conversations": running_footers,
         "recognised_text_documents": recognised_text,
         "result_names_pages": result_names,
+        "contexts_invoices": invoice_contexts,
         "selections_orders": selections,
         "verdict_scores_labels": verdict_scores,
         "rate_limits_events": rate_limits,

@@ -34,3 +34,14 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount = F.when(F.col("o_orderstatus") == "F", F.concat(F.translate(grouped, ",.", ".,"), F.lit(" zł"))).when(F.col("o_orderstatus") == "O", F.concat(F.lit("USD "), grouped)).otherwise(F.concat(F.translate(grouped, ",.", " ,"), F.lit(" EUR")))
     text = F.concat(F.lit("Order "), "o_orderkey", F.lit(" of "), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" amounts to "), amount, F.lit(", payable by "), F.date_format(F.date_add("o_orderdate", 30), "yyyy-MM-dd"), F.lit("."))
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), text.alias("text"))
+
+
+def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages with a heading, a labelled line, a table of one row and a sentence."""
+    grouped = F.translate(F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2), ",.", " ,")
+    due, placed = F.date_format(F.date_add("o_orderdate", 30), "dd.MM.yyyy"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.concat(
+        F.lit("FAKTURA SPRZEDAŻY nr "), "o_orderkey", F.lit("\nTermin płatności: "), due, F.lit("\nPozycja Wartość Dnia\nTowar  "), grouped, F.lit(" zł "), placed,
+        F.lit("\n\nStrony uznają,\nże dopłata nie przekroczy "), F.col("o_orderkey") % 900 + 100, F.lit(",50 EUR w tym roku. Dalej nic."),
+    )
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), text.alias("text"))
