@@ -16,6 +16,7 @@ from ..operators.candidates import candidates, running_lines
 from ..operators.checks import check_scores, limited_minutes, selection_problems
 from ..operators.chunks import CHUNK, chunks, overview_shares
 from ..operators.contexts import candidate_contexts
+from ..operators import requests, selection, validation
 from ..operators.layout import page_text, with_recognised
 from ..operators.results import first_of_each, kept_results, marked_pages
 from ..operators.tokens import amounts, dates
@@ -59,6 +60,95 @@ def invoice_contexts(spark, sf_dir):
     return candidate_contexts(pages.invoices(spark, sf_dir)).select("doc_id", "candidate_id", "kind", "context")
 
 
+def result_rules(spark, sf_dir):
+    """Orders as results; one rule is broken by each remainder of the key by 16."""
+    k = F.col("o_orderkey") % 16
+    broken = lambda n, bad, good: F.when(k == n, bad).otherwise(good)
+    texts, pages_ = F.array(*map(F.lit, ("one", "two", "three"))), F.array(F.lit(2))
+    made = {
+        "file_name": broken(0, F.lit(" "), F.lit("a.pdf")), "pages": broken(1, F.lit(0), F.lit(3)), "language": broken(2, F.lit("PL"), F.lit("pl")), "type": broken(3, F.lit("list"), F.lit("umowa")),
+        "title": broken(4, F.repeat(F.lit("x"), 301), F.lit("Title")), "date": broken(5, F.lit("2026-02-30"), broken(6, F.lit(None).cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"))),
+        "summary": broken(7, F.lit("One. Two."), F.lit("One is here. Two is here. Three is here.")), "key_points": broken(8, F.slice(texts, 1, 2), texts), "organizations": broken(9, F.array(F.lit("")), texts), "people": texts,
+        "amounts": F.array(F.struct(F.col("o_totalprice").alias("value"), broken(10, F.lit("ANG"), F.lit("PLN")).alias("currency"), F.lit("c").alias("context"))),
+        "dates": F.array(F.struct(broken(11, F.lit("0000-01-01"), F.lit("2026-01-01")).alias("date"), F.lit("c").alias("context"))), "keywords": broken(12, F.array_repeat(F.lit("k"), 21), texts),
+        "complete": k == 13, "pages_without_text": broken(14, F.array(F.lit(4)), pages_), "ocr_pages": broken(15, pages_, F.array(F.lit(3))),
+    }
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").withColumns(made).select("o_orderkey", F.array_join(validation.result_problems(), "|").alias("problems"))
+
+
+def attested_people(spark, sf_dir):
+    """Customers' names as people: every second one is on its page, over a line end; every fourth only as a part of a word."""
+    rows = pages.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("Osoba "), F.translate("c_name", "#", " ")).alias("name"))
+    written = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Podpisał OSOBA\n "), F.substring("name", 7, 100), F.lit("."))).when(F.col("doc_id") % 4 == 1, F.concat("name", F.lit("x"))).otherwise("nikt")
+    return selection.attested(rows.select("doc_id", F.lit(0).alias("pos"), "name"), rows.select("doc_id", F.lit(1).alias("page"), written.alias("text"))).select("doc_id", "attested")
+
+
+def full_names(spark, sf_dir):
+    """Suppliers as organisations: one full name, two, the end of a longer name, or none in the source, by the key's remainder by four."""
+    rows = pages.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.concat(F.lit("Dom "), F.col("s_suppkey").cast("string"), F.lit(" Sowa")).alias("name"))
+    k, n = F.col("doc_id") % 4, F.col("name")
+    text = F.when(k == 0, F.concat(F.lit("przez "), n, F.lit("\nS.A. oraz "), n, F.lit(" S.A."))).when(k == 1, F.concat(n, F.lit(" S.A. i "), n, F.lit(" GmbH"))).when(k == 2, F.concat(F.lit("Nowy "), n, F.lit(" S.A."))).otherwise(n)
+    return selection.full_organisations(rows.select("doc_id", F.lit(0).alias("pos"), "name"), rows.select("doc_id", F.lit(1).alias("page"), text.alias("text"))).select("doc_id", "name")
+
+
+def assembled_orders(spark, sf_dir):
+    """Invoices whose candidates 2 and 4, and 3 twice, are chosen; the narrative has no title for every third."""
+    rows = pages.invoices(spark, sf_dir)
+    facts = selection.chosen_facts(rows.select("doc_id", F.explode(F.array(F.lit(4), F.lit(2), F.lit(3), F.lit(3))).alias("candidate_id")), candidate_contexts(rows))
+    papers = rows.select("doc_id", F.lit("a.pdf").alias("file_name"), F.lit(1).alias("pages"), F.array().cast("array<int>").alias("pages_without_text"), F.lit(None).cast("array<int>").alias("ocr_pages"))
+    words = F.array(F.lit("B"), F.lit("a"), F.lit(" b "))
+    said = {"language": F.lit("de"), "type": F.lit("faktura"), "title": F.when(F.col("doc_id") % 3 > 0, "T"), "date": F.lit(None).cast("string"), "summary": F.lit("s"), "key_points": words, "organizations": words, "people": words, "keywords": words}
+    out = selection.assembled(papers, rows.select("doc_id").withColumns(said), facts)
+    amount = F.array_join(F.transform("amounts", lambda a: F.concat_ws(" ", F.bround(a["value"] * 100, 0).cast("long").cast("string"), a["currency"])), "|")
+    return out.select("doc_id", "title", "title_fallback", F.array_join("people", "|").alias("people"), amount.alias("amounts"), F.array_join("dates.date", "|").alias("dates"))
+
+
+def file_gates(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    size, name = F.when(F.col("page_id") % 5 == 0, 0).otherwise(F.col("page_id") % 5 * 4_000_000), F.when(F.col("page_id") % 3 == 0, "a.PDF").otherwise("a.txt")
+    marked = F.concat(F.repeat(F.lit("x"), (F.col("page_id") % 1100).cast("int")), F.lit("%PDF-1.7"), "html").cast("binary")
+    return rows.select("page_id", requests.file_problem(name, size, F.when(F.col("page_id") % 7 == 0, "application/pdf")).alias("problem"), requests.has_signature(marked).alias("signed"), requests.bounded(F.col("html").cast("binary"), 3000)["too_large"].alias("too_large"))
+
+
+def client_gates(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    each = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(1).alias("n_pages"), F.char_length(text).alias("total_chars"), F.char_length(F.regexp_replace(text, r"[^\p{L}]", "")).alias("total_letters"), F.char_length(text).alias("longest"), F.octet_length(text).alias("bytes"))
+    each = each.withColumn("blank_pages", F.when(F.col("total_letters") == 0, 1).otherwise(0))
+    return requests.client_problem(each, F.col("bytes")).select("doc_id", "problem")
+
+
+def settings_parsed(spark, sf_dir):
+    raw = F.when(F.col("p_partkey") % 3 == 0, "many").when(F.col("p_partkey") % 3 == 1, F.concat(F.lit(" "), F.col("p_partkey") * 50)).otherwise(None)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", requests.setting(raw, "max_tokens").alias("max_tokens"), requests.setting(raw, "timeout_seconds").alias("timeout"))
+
+
+def error_status(spark, sf_dir):
+    code = F.element_at(F.array(*[F.lit(c) for c, _, _ in requests.ERRORS]), (F.col("event_id") % 15 + 1).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(code.alias("code"))
+    return rows.join(F.broadcast(requests.error_codes(spark)), "code").groupBy("status", "retryable").agg(F.count(F.lit(1)).alias("n"))
+
+
+def usage_events(spark, sf_dir):
+    e = F.col("event_id")
+    calls = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("doc_id"), (e % 5 > 0).alias("completed"), F.when(e % 7 > 0, e % 100).alias("prompt_tokens"), (e % 11 - 1).alias("completion_tokens"))
+    return requests.call_usage(calls)
+
+
+def payloads(spark, sf_dir):
+    """A model's answer in three styles and as no JSON; what is read out, and how strictly it is typed."""
+    k, inner = F.col("o_orderkey") % 4, F.concat(F.lit('{"id": '), F.when(F.col("o_orderkey") % 8 < 4, F.col("o_orderkey").cast("string")).otherwise('"7"'), F.lit("}"))
+    raw = F.when(k == 0, F.concat(F.lit('{"response": '), inner, F.lit("}"))).when(k == 1, F.concat(F.lit('{"choices": [{"message": {"content": "'), F.replace(inner, F.lit('"'), F.lit('\\"')), F.lit('"}}]}'))).when(k == 2, inner).otherwise("sorry")
+    read = requests.payload(raw)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.try_variant_get(read, "$.id", "string").alias("id"), (requests.strict_type(read, "$.id") == "BIGINT").alias("whole"))
+
+
+def narrative_marks(spark, sf_dir):
+    text = F.concat(F.lit("kwota ⟦A"), F.col("o_orderkey"), F.lit("⟧ "), F.when(F.col("o_orderkey") % 2 == 0, "15,00 zł").otherwise("zł"))
+    points = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("a"), F.lit("A "), F.lit("b"), F.lit("c"))).otherwise(F.array(F.lit("a"), F.lit(" A"), F.lit("b")))
+    rules = selection.first_problem(F.when(selection.has_mark(text), F.array(F.lit("mark"))).otherwise(F.array().cast("array<string>")), selection.overview_problems(F.lit("One is. Two is. Three is."), points))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", selection.without_copied_marks(text).alias("text"), F.array_join(rules, "|").alias("problems"))
+
+
 def selections(spark, sf_dir):
     found = candidates(pages.orders(spark, sf_dir)).select("doc_id", "candidate_id", "kind")
     keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"))
@@ -166,6 +256,22 @@ SELECT k AS doc_id, 1 AS candidate_id, 'date' AS kind, 's. 1: [FAKTURA SPRZEDAŻ
 UNION ALL SELECT k, 2, 'amount', 's. 1: [Pozycja Wartość Dnia] Towar »' || price || ' zł« ' || placed FROM r
 UNION ALL SELECT k, 3, 'date', 's. 1: [Pozycja Wartość Dnia] Towar ' || price || ' zł »' || placed || '«' FROM r
 UNION ALL SELECT k, 4, 'amount', 's. 1: Strony uznają, że dopłata nie przekroczy »' || more || '« w tym roku.' FROM r""",
+    "result_rules_orders": """SELECT o_orderkey, CASE o_orderkey % 16 WHEN 0 THEN 'document.fileName' WHEN 1 THEN 'document.pages|analysis' WHEN 2 THEN 'document.language' WHEN 3 THEN 'document.type' WHEN 4 THEN 'document.title' WHEN 5 THEN 'document.date'
+WHEN 7 THEN 'summary' WHEN 8 THEN 'keyPoints' WHEN 9 THEN 'entities.organizations' WHEN 10 THEN 'amounts' WHEN 11 THEN 'dates' WHEN 12 THEN 'keywords' WHEN 13 THEN 'analysis' WHEN 14 THEN 'analysis' WHEN 15 THEN 'analysis' ELSE '' END AS problems FROM orders""",
+    "attested_people_customer": "SELECT c_custkey AS doc_id, c_custkey % 2 = 0 AS attested FROM customer",
+    "full_names_supplier": r"SELECT s_suppkey AS doc_id, 'Dom ' || s_suppkey || ' Sowa' || CASE s_suppkey % 4 WHEN 0 THEN ' S.A.' ELSE '' END AS name FROM supplier",
+    "assembled_orders": """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 > 0 THEN 'T' ELSE 'Dokument ohne Titel' END AS title, o_orderkey % 3 = 0 AS title_fallback, 'B|a' AS people,
+round(o_totalprice::DECIMAL(18,2) * 100)::BIGINT || ' PLN|' || ((o_orderkey % 900 + 100) * 100 + 50) || ' EUR' AS amounts, strftime(o_orderdate::DATE, '%Y-%m-%d') AS dates FROM orders""",
+    "file_gates_pages": """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'empty' WHEN page_id % 3 > 0 AND page_id % 7 > 0 THEN 'not-pdf' WHEN page_id % 5 * 4000000 > 10485760 THEN 'too-large' END AS problem,
+page_id % 1100 <= 1019 AS signed, strlen(html) > 3000 AS too_large FROM pages""",
+    "client_gates_documents": r"""SELECT doc_id, CASE WHEN NOT regexp_matches(coalesce(text, ''), '\p{L}') THEN 'no-text-layer' WHEN length(text) > 20000 THEN 'page-too-long' WHEN strlen(text) > 262144 THEN 'document-too-long'
+WHEN length(regexp_replace(text, '[^\p{L}]', '', 'g')) < 200 THEN 'insufficient-content' END AS problem FROM documents""",
+    "settings_part": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN greatest(256, least(4096, p_partkey * 50)) ELSE 2048 END::INT AS max_tokens, CASE WHEN p_partkey % 3 = 1 THEN least(60, p_partkey * 50) ELSE 40 END::DOUBLE AS timeout FROM part",
+    "error_status_events": """WITH c AS (SELECT event_id % 15 AS k FROM events) SELECT [400, 403, 413, 413, 415, 422, 422, 422, 429, 502, 502, 503, 503, 504, 500][k + 1] AS status, k IN (8, 9, 10, 11, 13, 14) AS retryable, count(*) AS n FROM c GROUP BY ALL""",
+    "usage_events": """WITH c AS (SELECT user_id AS doc_id, event_id % 5 > 0 AS done, event_id % 100 AS p, event_id % 11 - 1 AS q, event_id % 5 > 0 AND event_id % 7 > 0 AND event_id % 11 > 0 AS told FROM events)
+SELECT doc_id, count(*) AS started, count(*) FILTER (done) AS completed, count(*) FILTER (told) AS reported, count(*) = count(*) FILTER (told) AS complete, coalesce(sum(p) FILTER (told), 0)::BIGINT AS prompt_tokens, coalesce(sum(q) FILTER (told), 0)::BIGINT AS completion_tokens FROM c GROUP BY doc_id""",
+    "payloads_orders": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL WHEN o_orderkey % 8 < 4 THEN o_orderkey::VARCHAR ELSE '7' END AS id, CASE WHEN o_orderkey % 4 < 3 THEN o_orderkey % 8 < 4 END AS whole FROM orders",
+    "narrative_marks_orders": """SELECT o_orderkey, 'kwota ' || CASE WHEN o_orderkey % 2 = 0 THEN ' 15,00 zł' ELSE '⟦A' || o_orderkey || '⟧ zł' END AS text, CASE WHEN o_orderkey % 2 = 1 THEN 'mark' WHEN o_orderkey % 3 > 0 THEN 'keyPoints' ELSE '' END AS problems FROM orders""",
     "selections_orders": "SELECT o_orderkey AS doc_id, pos, candidate_id, problem FROM orders, (VALUES (0, 2, NULL), (1, 2, 'repeated'), (2, 1, 'wrong kind'), (3, 9, 'unknown')) v(pos, candidate_id, problem)",
     "verdict_scores_labels": "SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS category, count(*) FILTER (quality = 1) AS passed, count(*) AS total FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)",
     "rate_limits_events": "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 0",
@@ -211,6 +317,17 @@ def queries() -> dict:
         "recognised_text_documents": recognised_text,
         "result_names_pages": result_names,
         "contexts_invoices": invoice_contexts,
+        "result_rules_orders": result_rules,
+        "attested_people_customer": attested_people,
+        "full_names_supplier": full_names,
+        "assembled_orders": assembled_orders,
+        "file_gates_pages": file_gates,
+        "client_gates_documents": client_gates,
+        "settings_part": settings_parsed,
+        "error_status_events": error_status,
+        "usage_events": usage_events,
+        "payloads_orders": payloads,
+        "narrative_marks_orders": narrative_marks,
         "selections_orders": selections,
         "verdict_scores_labels": verdict_scores,
         "rate_limits_events": rate_limits,
