@@ -1 +1 @@
-"""Placeholder."""
+"""Column functions."""

@@ -1 +1 @@
-"""Placeholder."""
+"""Operators on pages, candidates, selections and results."""

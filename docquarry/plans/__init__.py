@@ -1 +1 @@
-"""Placeholder."""
+"""The registered queries."""

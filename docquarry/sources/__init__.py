@@ -1 +1 @@
-"""Placeholder."""
+"""Tables as pages."""

@@ -1 +1 @@
-"""Placeholder."""
+"""Operators on streams."""
