@@ -14,7 +14,7 @@ from ..functions.text import clean_recognised, safe_name
 from ..operators.admission import admit, totals
 from ..operators.candidates import candidates, running_lines
 from ..operators.checks import check_scores, limited_minutes, selection_problems
-from ..operators.chunks import CHUNK, chunks, overview_shares
+from ..operators.chunks import CHUNK, chunks, overview_shares, too_long
 from ..operators.contexts import candidate_contexts
 from ..operators import requests, selection, validation
 from ..operators.layout import page_text, with_recognised
@@ -179,6 +179,11 @@ def chunk_cover(spark, sf_dir):
     return sized.groupBy("doc_id").agg(F.md5(whole.cast("binary")).alias("digest"), (F.max("size") <= CHUNK).alias("bounded"), (F.count(F.lit(1)) == 1).alias("whole"))
 
 
+def long_documents(spark, sf_dir):
+    """With a lower limit than documents have, so that there are some."""
+    return too_long(pages.documents(spark, sf_dir), 10_000)
+
+
 def overviews(spark, sf_dir):
     return overview_shares(pages.conversations(spark, sf_dir), budget=300)
 
@@ -286,6 +291,7 @@ s AS (SELECT doc_id, count(*) FILTER (kind = 2) AS sure, count(*) FILTER (kind =
 SELECT w.doc_id, CASE WHEN len(ws) = 0 THEN 0 ELSE coalesce(sure, 0) + 1 END::INT AS least, CASE WHEN len(ws) = 0 THEN 0 ELSE coalesce(sure + unsure, 0) + 1 END::INT AS most,
   coalesce(regexp_matches(ws[-1], '[.!?…][\"''”’»)\]]*$'), false) AS closed FROM w LEFT JOIN s USING (doc_id)""",
     "chunks_documents": r"SELECT doc_id, md5(text) AS digest, true AS bounded, length(text) <= 10000 AS whole FROM documents WHERE regexp_matches(text, '\p{L}') AND length(text) <= 64000",
+    "too_long_documents": r"SELECT doc_id, sum(length(text))::BIGINT AS n_chars FROM documents WHERE regexp_matches(text, '\p{L}') GROUP BY doc_id HAVING sum(length(text)) > 10000",
     "overviews_conversations": r"""WITH RECURSIVE p AS (SELECT conv_id AS doc_id, (turn + 1)::INT AS page, length(text)::INT AS n_chars, row_number() OVER (PARTITION BY conv_id ORDER BY length(text), turn) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE regexp_matches(text, '\p{L}')),
 t AS (SELECT doc_id, page, n_chars, r, n, least(n_chars, 300 // n) AS share, 300 - least(n_chars, 300 // n) AS budget FROM p WHERE r = 1
 UNION ALL SELECT p.doc_id, p.page, p.n_chars, p.r, p.n, least(p.n_chars, budget // (p.n - p.r + 1)), budget - least(p.n_chars, budget // (p.n - p.r + 1)) FROM t JOIN p ON p.doc_id = t.doc_id AND p.r = t.r + 1)
@@ -333,6 +339,7 @@ def queries() -> dict:
         "rate_limits_events": rate_limits,
         "sentences_documents": sentences,
         "chunks_documents": chunk_cover,
+        "too_long_documents": long_documents,
         "overviews_conversations": overviews,
         "layouts_conversations": layouts,
         "recognised_pages_conversations": recognised_pages,
