@@ -39,7 +39,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("mix", mix), ("tokens", tokens)]
 
-#: The classifier and the mix cannot be written in SQL; tests compare the stages with brute force.
+#: The classifier and the mix cannot be written in SQL. Tests hold the stages' operators against brute force, held-out labels or totals.
 ORACLE_SQL = None
 
 

@@ -27,3 +27,8 @@ def check_scores(checks: DataFrame) -> DataFrame:
 def limited_minutes(events: DataFrame, limit: int = 5) -> DataFrame:
     """(user_id, minute, n): users' whole minutes with more than `limit` requests. Works on streams with a watermark too."""
     return events.groupBy("user_id", F.window("ts", "60 seconds").alias("w")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("user_id", F.col("w.start").alias("minute"), "n")
+
+
+def crowded_minutes(events: DataFrame, limit: int = 30) -> DataFrame:
+    """(minute, n): whole minutes with more than `limit` requests of all users. Counts fold on the map side first."""
+    return events.groupBy(F.window("ts", "60 seconds").alias("w")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select(F.col("w.start").alias("minute"), "n")

@@ -13,7 +13,7 @@ from ..functions.sentences import ABBREVIATIONS, sentence_interval
 from ..functions.text import clean_recognised, safe_name
 from ..operators.admission import admit, totals
 from ..operators.candidates import candidates, running_lines
-from ..operators.checks import check_scores, limited_minutes, selection_problems
+from ..operators.checks import check_scores, crowded_minutes, limited_minutes, selection_problems
 from ..operators.chunks import CHUNK, chunks, overview_shares, too_long
 from ..operators.contexts import candidate_contexts
 from ..operators import requests, selection, validation
@@ -162,7 +162,12 @@ def verdict_scores(spark, sf_dir):
 
 
 def rate_limits(spark, sf_dir):
-    return limited_minutes(spark.read.parquet(f"{sf_dir}/events.parquet"), 0)
+    """With a limit that some users exceed."""
+    return limited_minutes(spark.read.parquet(f"{sf_dir}/events.parquet"), 1)
+
+
+def crowded(spark, sf_dir):
+    return crowded_minutes(spark.read.parquet(f"{sf_dir}/events.parquet"), 1)
 
 
 def sentences(spark, sf_dir):
@@ -279,7 +284,8 @@ SELECT doc_id, count(*) AS started, count(*) FILTER (done) AS completed, count(*
     "narrative_marks_orders": """SELECT o_orderkey, 'kwota ' || CASE WHEN o_orderkey % 2 = 0 THEN ' 15,00 zł' ELSE '⟦A' || o_orderkey || '⟧ zł' END AS text, CASE WHEN o_orderkey % 2 = 1 THEN 'mark' WHEN o_orderkey % 3 > 0 THEN 'keyPoints' ELSE '' END AS problems FROM orders""",
     "selections_orders": "SELECT o_orderkey AS doc_id, pos, candidate_id, problem FROM orders, (VALUES (0, 2, NULL), (1, 2, 'repeated'), (2, 1, 'wrong kind'), (3, 9, 'unknown')) v(pos, candidate_id, problem)",
     "verdict_scores_labels": "SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS category, count(*) FILTER (quality = 1) AS passed, count(*) AS total FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)",
-    "rate_limits_events": "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 0",
+    "rate_limits_events": "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1",
+    "crowded_minutes_events": "SELECT date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1",
     # boundaries are judged between neighbouring words, so no pattern spans a text
     "sentences_documents": rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws FROM documents),
 p AS (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w),
@@ -337,6 +343,7 @@ def queries() -> dict:
         "selections_orders": selections,
         "verdict_scores_labels": verdict_scores,
         "rate_limits_events": rate_limits,
+        "crowded_minutes_events": crowded,
         "sentences_documents": sentences,
         "chunks_documents": chunk_cover,
         "too_long_documents": long_documents,
