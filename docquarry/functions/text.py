@@ -27,6 +27,13 @@ def matches(text: Column, pattern: str) -> Column:
     return F.aggregate(parts, start, step, lambda acc: acc["found"])
 
 
+def first_place(text: Column, shape: Column) -> Column:
+    """Struct (start, end) of the first match of a pattern that is itself a column and never matches the empty string, or null."""
+    whole = F.concat(F.lit(r"(?s)\A(.*?)("), shape, F.lit(")"))
+    part = lambda k: F.char_length(F.call_function("regexp_extract", text, whole, F.lit(k)))
+    return let(F.struct(part(1).alias("a"), part(2).alias("n")), lambda m: F.when(m["n"] > 0, F.struct(m["a"].alias("start"), (m["a"] + m["n"]).alias("end"))))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value worked out once: inside of lambda functions an expression would be worked out for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.normal import composed
 from ..functions.text import clean_recognised, has_letter
 
 # Parts of an item's height within which it is on a line, and beyond which a gap is a blank.
@@ -52,7 +53,7 @@ def page_text(items: DataFrame) -> DataFrame:
         )
 
     lines = F.aggregate("items", start, step, flushed)
-    return sheets.select("doc_id", "page", F.array_join(F.filter(lines, lambda x: x != ""), "\n").alias("text"))
+    return sheets.select("doc_id", "page", composed(F.array_join(F.filter(lines, lambda x: x != ""), "\n")).alias("text"))
 
 
 def with_recognised(pages: DataFrame, recognised: DataFrame) -> DataFrame:

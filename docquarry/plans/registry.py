@@ -21,6 +21,7 @@ from ..operators.layout import page_text, with_recognised
 from ..operators.results import first_of_each, kept_results, marked_pages
 from ..operators.tokens import amounts, dates
 from ..sources import pages
+from . import reviews
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,8 +356,9 @@ def queries() -> dict:
         "results_kept_orders": results_kept,
         "organisations_nation": organisations,
         "provider_problems_orders": provider_problems,
+        **reviews.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {**_SQL, **reviews.oracle_sql(_RENDERED)}
