@@ -1,25 +1,27 @@
 """Approximate nearest neighbours: NN-descent builds a neighbour graph, queries search it greedily.
 
 Nearness is the inner product. The graph is built on lifted vectors: one more component makes all lengths equal, so the nearest
-by inner product are the nearest by angle too, whatever the vectors' lengths.
+by inner product are the nearest by angle too, whatever the vectors' lengths. Lifted distances are worked out from the vectors and
+their lengths in double precision, without the lift's own cancellation, so one very long vector does not make all others alike.
 
 Method. Equal vectors are folded into one node. Nodes are dealt to groups by random hyperplanes for a first graph.
 Then, in each round, a node gathers the nodes around it (its neighbours, and nodes whose neighbour it is), scores those
 that are neighbours of neighbours with each other, and offers each the best that it met; offers and the old graph are merged to
-the DEGREE nearest. Rounds are Spark joins and end when few links change. A query begins at its own node's neighbours;
+the DEGREE nearest. Rounds are Spark joins and end when few links change. A query begins at its own node;
 each round opens its EXPAND best nodes that are not open yet, joins their neighbours, scores them in
-double precision and keeps the POOL best, until no query has a closed node among its best.
+double precision and keeps the POOL best, until no query has a closed node among its best. For the search, rings through
+random groups of nodes add long links, so that tight groups of vectors, which only link among themselves, are left again.
 
 Scale. A gathering holds at most 2 * DEGREE nodes: reverse links fold on the map side to one for each of DEGREE hash
-slots, and offers to one for each of OFFER_SLOTS, so a node that everyone is near to stays a bounded group. A
-vector travels once for each gathering that it is in. Members of a node beyond TOP + 1 can never be among the TOP
-nearest of anyone (ties go to smaller ids), so that many members are kept for each node. Recall is measured against brute
-force in the tests.
+slots, and offers are cut to the nearest DEGREE of a node within each task before they are shuffled, so a node that everyone is
+near to stays bounded. Some BATCH gatherings are scored in one call. A vector travels once for each gathering that it is in.
+Members of a node beyond TOP + 1 can never be among the TOP nearest of anyone (ties go to smaller ids), so that many are kept for
+each node, and a query meets members only of nodes that can reach its TOP. Recall is measured against brute force in the tests.
 
 Defined results. Vectors that are null, zero, or hold null or non-finite components take no part, as queries either; so do
-rows without an id. Of rows that repeat an id, the smallest vector takes part. Vectors have one length, that of most
-rows' arrays (the shorter on ties); others take no part. With TOP or fewer candidates all are found. An empty table
-gives an empty result. Other columns are ignored.
+rows without an id. Rows that repeat an id are all candidates; of their vectors the smallest is the query, and its own row alone is
+left out. Vectors have one length, that of most rows' arrays (the shorter on ties); others take no part. With TOP or fewer
+candidates all are found. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,10 +39,10 @@ TOP = 20
 EVERY = 20
 DEGREE = 24
 OFFERS = 6
-OFFER_SLOTS = 128
+BATCH = 64
 ROUNDS, ENOUGH = 8, 0.02
 PLANES, GROUP = 4, 64
-POOL, EXPAND, SEARCH_ROUNDS = 48, 6, 24
+POOL, EXPAND, RINGS = 48, 12, 2
 SEED = 42
 
 
@@ -51,43 +53,69 @@ def vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
     usable = usable.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
     width = usable.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     usable = usable.filter(F.size("v") == (width["w"] if width else 0))
-    return usable.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return usable
 
 
 def nodes(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, v, lift) with one node for each distinct vector, and (node, members); a node is its smallest id."""
+    """(node, v, x) with one node for each distinct vector, and (node, members); x: v over the greatest length. Nodes are numbered by hash."""
     slot = F.pmod(F.xxhash64("vec_id"), F.lit(64))
     # the smallest TOP + 1 ids: sorted within parts of a vector's rows first, then over the parts
     hashed = found.withColumn("h", F.xxhash64("v")).withColumn("slot", slot)
     ranked = hashed.select("vec_id", "h", "slot", "v", F.row_number().over(Window.partitionBy("h", "slot", "v").orderBy("vec_id")).alias("n")).filter(f"n <= {TOP + 1}")
-    folded = ranked.groupBy("v").agg(F.min("vec_id").alias("node"), F.slice(F.array_sort(F.collect_list("vec_id")), 1, TOP + 1).alias("members"))
+    folded = ranked.groupBy("h", "v").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, TOP + 1).alias("members"))
+    # two vectors may share a hash, and two an id: the smaller vector of a hash keeps it, others go on from there
+    again = F.row_number().over(Window.partitionBy("h").orderBy("v")) - 1
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    folded = materialize(folded.withColumn("norm", norm), "nodes")
+    folded = materialize(folded.withColumn("node", F.xxhash64("h", again)).withColumn("norm", norm), "nodes")
     most = folded.agg(F.max("norm")).first()[0] or 1.0
-    lifted = folded.select("node", "v", F.transform("v", lambda x: (x / F.lit(most**0.5)).cast("float")).alias("x"), F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("norm") / F.lit(most))).cast("float").alias("lift"))
-    return lifted.select("node", "v", F.concat("x", F.array("lift")).alias("x")), folded.select("node", "members")
+    return folded.select("node", "v", F.transform("v", lambda x: (x / F.lit(most**0.5)).cast("float")).alias("x")), folded.select("node", "members")
 
 
 def _nearest(links: DataFrame, degree: int = DEGREE) -> DataFrame:
-    """The nearest `degree` of each node, from at most one link for each hash slot."""
-    folded = links.filter("a <> b").groupBy("a", "b").agg(F.max("s").alias("s")).groupBy("a", F.pmod(F.xxhash64("b"), F.lit(OFFER_SLOTS)).alias("slot")).agg(F.max(F.struct("s", "b")).alias("m"))
-    ranked = folded.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("m"))))
-    return ranked.filter(f"n <= {degree}").select("a", F.col("m.b").alias("b"), F.col("m.s").alias("s"))
+    """The nearest `degree` of each node. Spark cuts each task's rows of a node to as many before it shuffles them."""
+    each = links.filter("a <> b").groupBy("a", "b").agg(F.max("s").alias("s"))
+    ranked = each.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b")))
+    return ranked.filter(f"n <= {degree}").select("a", "b", "s")
 
 
 _LINK = "a long, b long, s float"
 
 
-def _meet(key: tuple, group: pd.DataFrame, offers: int) -> pd.DataFrame:
-    ids, x = group["b"].to_numpy(), np.stack(group["x"].to_numpy())
-    s = x @ x.T
-    np.fill_diagonal(s, -2)
-    k = min(offers, len(ids) - 1)
+def _offers(ids: np.ndarray, x: np.ndarray, there: np.ndarray, offers: int) -> pd.DataFrame:
+    """For each of the nodes ids[g, m] that meet in gathering g, the nearest `offers` that it meets; s: minus the squared lifted distance."""
+    n = (x * x).sum(axis=2)
+    lift = np.sqrt(np.maximum(0.0, 1.0 - n))
+    both = lift[:, :, None] + lift[:, None, :]
+    # the difference of two lifts, from the difference of their squares
+    gap = np.divide(n[:, :, None] - n[:, None, :], both, out=np.zeros_like(both), where=both > 0)
+    s = 2 * (x @ x.transpose(0, 2, 1)) - n[:, :, None] - n[:, None, :] - gap * gap
+    s[~(there[:, :, None] & there[:, None, :]) | np.eye(ids.shape[1], dtype=bool)] = -np.inf
+    k = min(offers, ids.shape[1] - 1)
     if k < 1:
         return pd.DataFrame({"a": [], "b": [], "s": []})
-    best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    a = np.repeat(np.arange(len(ids)), k)
-    return pd.DataFrame({"a": ids[a], "b": ids[best.ravel()], "s": s[a, best.ravel()]})
+    best = np.argpartition(-s, k - 1, axis=2)[:, :, :k]
+    near = np.take_along_axis(s, best, 2)
+    kept = np.isfinite(near)
+    a, b = np.broadcast_to(ids[:, :, None], near.shape), np.take_along_axis(np.broadcast_to(ids[:, None, :], s.shape), best, 2)
+    return pd.DataFrame({"a": a[kept], "b": b[kept], "s": near[kept].astype(np.float32)})
+
+
+def _meet(key: tuple, group: pd.DataFrame, offers: int) -> pd.DataFrame:
+    """The nodes of one group meet."""
+    ids, x = group["b"].to_numpy()[None], np.stack(group["x"].to_numpy()).astype(np.float64)[None]
+    return _offers(ids, x, np.ones(ids.shape, bool), offers)
+
+
+def _gather(key: tuple, group: pd.DataFrame, offers: int) -> pd.DataFrame:
+    """The nodes (b, x) around each node a meet; all gatherings of the call at once, filled up to the largest."""
+    group = group.sort_values("a", kind="stable")
+    _, first, number, size = np.unique(group["a"].to_numpy(), return_index=True, return_inverse=True, return_counts=True)
+    place = np.arange(len(group)) - first[number]
+    x = np.stack(group["x"].to_numpy())
+    ids, there = np.zeros((len(size), size.max()), np.int64), np.zeros((len(size), size.max()), bool)
+    full = np.zeros((*ids.shape, x.shape[1]))
+    ids[number, place], there[number, place], full[number, place] = group["b"].to_numpy(), True, x
+    return _offers(ids, full, there, offers)
 
 
 def first_graph(points: DataFrame) -> DataFrame:
@@ -118,11 +146,12 @@ def neighbour_graph(points: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(a, b, s): the DEGREE nearest nodes of each node, after NN-descent."""
     graph = materialize(first_graph(points), "graph")
     x = points.select(F.col("node").alias("b"), "x")
+    batches = -(-points.count() // BATCH) or 1
     for k in range(rounds):
         slot = F.pmod(F.xxhash64("a", F.lit(k)), F.lit(DEGREE))
         back = graph.groupBy(F.col("b").alias("a"), slot.alias("slot")).agg(F.min_by("a", F.xxhash64("a", F.lit(-k - 1))).alias("b")).select("a", "b")
         around = graph.select("a", "b").union(back).distinct()
-        met = around.join(x, "b").groupBy("a").applyInPandas(lambda key, d: _meet(key, d, OFFERS), _LINK)
+        met = around.join(x, "b").groupBy(F.pmod(F.xxhash64("a", F.lit(SEED)), F.lit(batches)).alias("batch")).applyInPandas(lambda key, d: _gather(key, d, OFFERS), _LINK)
         new = materialize(_nearest(graph.union(met)), "graph")
         changed = new.join(graph.select("a", "b"), ["a", "b"], "left_anti").count()
         total = new.count()
@@ -133,7 +162,20 @@ def neighbour_graph(points: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return graph
 
 
-_POOL = "q long, c long, s double, open boolean"
+def long_links(points: DataFrame) -> DataFrame:
+    """(a, b) both ways: RINGS times, nodes are dealt to groups of some GROUP by hash, and each links to the next of its group."""
+    groups = -(-points.count() // GROUP) or 1
+    out = points.selectExpr("node AS a", "node AS b")
+    for k in range(RINGS):
+        h = F.xxhash64("node", F.lit(SEED + k))
+        ring = points.select("node", h.alias("h"), F.pmod(h, F.lit(groups)).alias("g"))
+        order = Window.partitionBy("g").orderBy("h", "node")
+        # the last of a ring goes back to its first
+        first = F.min_by("node", F.struct("h", "node")).over(Window.partitionBy("g"))
+        following = F.coalesce(F.lead("node").over(order), first)
+        linked = ring.select(F.col("node").alias("a"), following.alias("b"))
+        out = out.union(linked).union(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return out.filter("a <> b")
 
 
 def search(queries: DataFrame, points: DataFrame, graph: DataFrame, members: DataFrame, top: int = TOP) -> DataFrame:
@@ -141,7 +183,7 @@ def search(queries: DataFrame, points: DataFrame, graph: DataFrame, members: Dat
     asked = queries.select(F.col("node").alias("q"), F.col("v").alias("qv")).dropDuplicates(["q"])
     # links are followed both ways, else a long vector that is nobody's neighbour on the lifted sphere is never met
     back = graph.groupBy(F.col("b").alias("a"), F.pmod(F.xxhash64("a"), F.lit(DEGREE)).alias("slot")).agg(F.max_by("a", "s").alias("b"))
-    out = graph.select("a", "b").union(back.select("a", "b")).groupBy("a").agg(F.collect_set("b").alias("near"))
+    out = graph.select("a", "b").union(back.select("a", "b")).union(long_links(points)).groupBy("a").agg(F.collect_set("b").alias("near"))
     out = materialize(out, "lists")
     score = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     v = points.select(F.col("node").alias("c"), "v")
@@ -150,7 +192,7 @@ def search(queries: DataFrame, points: DataFrame, graph: DataFrame, members: Dat
         return pairs.join(v, "c").join(asked, "q").select("q", "c", score.alias("s"), F.lit(False).alias("open"))
 
     pool = materialize(scored(asked.select("q", F.col("q").alias("c"))), "pool")
-    for _ in range(SEARCH_ROUNDS):
+    while True:  # the POOL best only get better, and each round opens some, so it ends
         order = Window.partitionBy("q").orderBy("open", F.desc("s"), "c")
         marked = pool.withColumn("now", (F.row_number().over(order) <= EXPAND) & ~F.col("open"))
         marked = materialize(marked, "marked")
@@ -163,9 +205,13 @@ def search(queries: DataFrame, points: DataFrame, graph: DataFrame, members: Dat
         following = materialize(best, "pool")
         discard(pool, marked)
         pool = following
-    hits = pool.join(members, F.col("c") == F.col("node")).select("q", "s", F.explode("members").alias("vec_id"))
+    held = pool.join(members, F.col("c") == F.col("node")).select("q", "c", "s", "members", F.size("members").alias("k"))
+    # members of nearer nodes; a node matters only where these are at most `top`, the query's own row included
+    nearer = F.sum("k").over(Window.partitionBy("q").orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, 0)) - F.sum("k").over(Window.partitionBy("q", "s"))
+    hits = held.withColumn("nearer", nearer).filter(F.col("nearer") <= top)
     ids = queries.select(F.col("node").alias("q"), "query_id")
-    found = ids.join(hits, "q").filter("vec_id <> query_id")
+    each = ids.join(hits, "q").withColumn("own", F.when(F.col("q") == F.col("c"), F.array_position("members", F.col("query_id"))).otherwise(0))
+    found = each.select("query_id", "s", "own", F.posexplode("members").alias("at", "vec_id")).filter("at + 1 <> own")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id"))
     return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", F.col("s").alias("score")).filter(f"rank <= {top}")
 
@@ -176,7 +222,7 @@ def nearest(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
     points, members = nodes(found)
     points = materialize(points, "points")
     graph = neighbour_graph(points)
-    asked = found.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "v")
+    asked = found.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     asked = asked.join(points.select("node", "v"), "v").select("query_id", "node", "v")
     return search(asked, points, graph, members)
 

@@ -35,9 +35,30 @@ def test_awkward_rows(spark):
     found = {}
     for r in nn_descent.nearest(docs).orderBy("query_id", "rank").collect():
         found.setdefault(r["query_id"], []).append(r["vec_id"])
-    good = [(i, np.array(e, np.float32).tolist()) for i, e, *_ in rows]
+    # two rows repeat an id with its vector: each is a candidate, the query's own row alone is not
+    good = [(i, np.array(e, np.float32).tolist()) for i, e, *_ in rows + rows[:2]]
     expected = brute(good)
     assert found.keys() == expected.keys()
     assert np.mean([len(set(found[q]) & set(expected[q])) / 20 for q in expected]) >= 0.9
     assert found[60] == expected[60]
     assert nn_descent.nearest(spark.createDataFrame([], schema)).count() == 0
+
+
+def recall_of(spark, rows):
+    from docquarry.llm import nn_descent
+
+    found = {}
+    for r in nn_descent.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    expected = brute(rows)
+    assert found.keys() == expected.keys() and all(len(v) == 20 for v in found.values())
+    return np.mean([len(set(found[q]) & set(expected[q])) / 20 for q in expected])
+
+
+def test_tight_groups_and_one_long_vector(spark):
+    """Groups of 13 near-equal vectors, which link among themselves only, and one vector ten thousand times as long as the others."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 12))
+    rows = [(k, (centres[k % 60] + 1e-3 * rng.normal(size=12)).tolist()) for k in range(780)]
+    assert recall_of(spark, rows) >= 0.9
+    assert recall_of(spark, [*rows, (781, (1e4 * centres[0]).tolist())]) >= 0.9
