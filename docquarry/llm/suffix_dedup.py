@@ -544,7 +544,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     firsts = firsts.select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
     marked = materialize(rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(firsts, ["sha", "salt"], "left").select("row", "id", F.xxhash64("sha").alias("key"), "raw", copy.alias("copy")), "texts")
-    own = marked.filter(f"NOT copy AND octet_length(raw) >= {WIDTH}").select("id", "key", "raw")
+    may_lose = f"NOT copy AND octet_length(raw) >= {WIDTH}"
+    own = marked.filter(may_lose).select("id", "key", "raw")
     for base in _BASES:
         wanted, hot, solved = _found(own, input_bytes(marked), base)
         if not solved.filter(F.col("from") == _CLASH).head(1):
@@ -556,7 +557,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     places = own.mapInArrow(_places_of(base, send(known), send(hot)), "id long, key long, name long, print long, at long")
     ranges = places.join(solved, ["name", "print"]).filter("doc < id").select("id", "key", (F.col("at") + F.col("from")).alias("a"), (F.col("at") + F.col("to") + WIDTH).alias("b"))
     ranges = ranges.groupBy("id", "key").agg(F.collect_list(F.struct(F.col("a").alias("from"), F.col("b").alias("to"))).alias("ranges"))
-    joined = marked.join(ranges, ["id", "key"], "left").select("row", "raw", "copy", "ranges")
+    # written first, so that the shuffle of places is freed before texts are shuffled; copies and short texts have no ranges and stay where they are
+    ranges = materialize(ranges, "ranges")
+    joined = marked.filter(may_lose).join(ranges, ["id", "key"], "left").select("row", "raw", "copy", "ranges")
+    joined = joined.union(marked.filter(f"NOT ({may_lose})").select("row", "raw", "copy", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges")))
     return joined.mapInArrow(_cut, StructType([marked.schema["row"], *[StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")], StructField("kept", BinaryType())]))
 
 
