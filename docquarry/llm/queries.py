@@ -16,6 +16,9 @@ _QUERIES = {
     "op8_suffix_dedup": "suffix_dedup",
     "op9_mixing": "mixing",
     "op10_bpe": "bpe",
+    "op11_vector_codes": "vector_codes",
+    "op12_alignment": "token_alignment",
+    "op13_decontamination": "decontamination",
 }
 
 
