@@ -92,6 +92,17 @@ def send_file(spark: SparkSession, label: str, data: bytes) -> str:
     return name
 
 
+def send_parts(written: DataFrame) -> tuple[str, ...]:
+    """Gives every executor the files of a table that materialize() wrote, and returns their names: SparkFiles.get(name) is a file's path there."""
+    spark = written.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(written._shared_path)
+    found = [s.getPath() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    files = [p for p in found if p.getName().endswith(".parquet")]
+    for p in files:
+        spark.sparkContext.addFile(p.toString())
+    return tuple(sorted(p.getName() for p in files))
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files below a frame by the optimizer's statistics: used only to choose partition counts."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import token_bytes
-from .common import materialize, table
+from .common import materialize, send_parts, table
 from .pretokens import load_tokenizer
 
 #: Chunks that a worker keeps, and characters of text that it works on together: bounds of its memory.
@@ -267,39 +267,36 @@ def _counts(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 @cache
-def _mapped(folder: str) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """The shards below a fetched folder: their first keys, and keys and counts as mapped arrays. The first worker that comes unpacks them."""
+def _mapped(names: tuple[str, ...]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The shards of fetched files: their first keys, and keys and counts as mapped arrays. An executor's first worker that comes unpacks them."""
     import fcntl
 
-    done = f"{folder}.shards"
-    with open(f"{folder}.lock", "w") as lock:
+    done = f"{SparkFiles.get(names[0])}.shards"
+    with open(f"{done}.lock", "w") as lock:
         fcntl.flock(lock, fcntl.LOCK_EX)
         if not os.path.isdir(done):
             making = f"{done}-{os.getpid()}"
             os.makedirs(making)
-            files = (os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet"))
-            for path in files:
-                parts = pq.ParquetFile(path)
-                if not parts.metadata.num_rows:
-                    continue
+            for name in names:
                 first = None
                 with open(f"{making}/key", "wb") as keys, open(f"{making}/n", "wb") as counts:
-                    for batch in parts.iter_batches(columns=["key", "n"]):
+                    for batch in pq.ParquetFile(SparkFiles.get(name)).iter_batches(columns=["key", "n"]):
                         key = batch.column(0).to_numpy(zero_copy_only=False)
-                        first = int(key[0]) if first is None else first
+                        first = int(key[0]) if first is None and len(key) else first
                         keys.write(key.tobytes())
                         counts.write(batch.column(1).to_numpy(zero_copy_only=False).tobytes())
-                for name in ("key", "n"):
-                    os.rename(f"{making}/{name}", f"{making}/{first:020d}.{name}")
+                if first is not None:
+                    for what in ("key", "n"):
+                        os.rename(f"{making}/{what}", f"{making}/{first:020d}.{what}")
             os.rename(making, done)
-    names = sorted(f.removesuffix(".key") for f in os.listdir(done) if f.endswith(".key"))
-    shards = [tuple(np.memmap(f"{done}/{x}.{what}", np.int64, "r") for what in ("key", "n")) for x in names]
-    return np.array([int(x) for x in names], np.int64), shards
+    firsts = sorted(f.removesuffix(".key") for f in os.listdir(done) if f.endswith(".key"))
+    shards = [tuple(np.memmap(f"{done}/{x}.{what}", np.int64, "r") for what in ("key", "n")) for x in firsts]
+    return np.array([int(x) for x in firsts], np.int64), shards
 
 
-def look_up(keys: np.ndarray, folder: str) -> np.ndarray:
+def look_up(keys: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
     """Counts of keys that all are in the shards."""
-    firsts, shards = _mapped(folder)
+    firsts, shards = _mapped(names)
     shard = np.searchsorted(firsts, keys, side="right") - 1
     out = np.zeros(len(keys), np.int64)
     for s in np.unique(shard).tolist():
@@ -321,11 +318,9 @@ def scored(rows: DataFrame, counts: DataFrame, most_mapped: int = MOST_MAPPED) -
             top = np.append(top, np.zeros(r["a"] + 1, np.int64))
         top[r["a"]] = r["n"]
     sent = spark.sparkContext.broadcast(top)
-    spark.sparkContext.addFile(counts._shared_path, recursive=True)
-    name = os.path.basename(counts._shared_path.rstrip("/"))
+    names = send_parts(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder = SparkFiles.get(name)
         for batch in batches:
             n_best, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             keys = [np.frombuffer(b.as_buffer() or b"", np.int64) for b in batch.column(batch.num_columns - 2)]
@@ -333,7 +328,7 @@ def scored(rows: DataFrame, counts: DataFrame, most_mapped: int = MOST_MAPPED) -
             key, weight = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int32), *times]).astype(np.int64)
             if len(key):
                 different, where = np.unique(key, return_inverse=True)
-                count = look_up(different, folder)
+                count = look_up(different, names)
                 is_best = count == sent.value[different >> 32]
                 sizes = np.fromiter(map(len, keys), np.int64, len(keys))
                 has = np.flatnonzero(sizes)
