@@ -34,6 +34,8 @@ from .common import materialize, table
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: Vectors that are searched together: bounds a worker's memory.
 BLOCK = 4_096
+#: A search goes on over single pairs once fewer than one in so many are left.
+SPARSE = 24
 _LONG = 2**63
 
 
@@ -53,7 +55,8 @@ class Codebooks:
 
 def integers(rows: np.ndarray) -> np.ndarray:
     """floor(256 x) of doubles, exactly: as int64 where every distance and sum of a block fits, else as Python's integers."""
-    scaled = np.floor(rows.astype(np.float64) * SCALE) if np.abs(rows).max(initial=0) < 2.0**900 else None
+    rows = rows.astype(np.float64)
+    scaled = np.floor(rows * SCALE) if np.abs(rows).max(initial=0) < 2.0**900 else None
     if scaled is not None and np.abs(scaled).max(initial=0) < 2.0**24:
         return scaled.astype(np.int64)
     exact = [[(lambda n, d: n * SCALE // d)(*float(x).as_integer_ratio()) for x in row] for row in rows]
@@ -70,34 +73,42 @@ def nearest(vectors: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     spread = [(len(book) * sum(x * x for x in c) - sum(c) ** 2) for c in book.T.tolist()]
     order = sorted(range(width), key=lambda j: (-spread[j], j))
-    squared = lambda rows, entries, j: (vectors[rows, j] - book[entries, j]) ** 2
-    first = (vectors[:, order[0], None] - book[None, :, order[0]]) ** 2
-    lead = first.argmin(axis=1)
-    rows = np.arange(n)
-    best = first[rows, lead]
-    for j in order[1:]:
-        best = best + squared(rows, lead, j)
-    # pairs stay sorted by vector, then entry
-    row, entry = np.nonzero(first <= best[:, None])
-    so_far = first[row, entry]
-    for k, j in enumerate(order[1:], 2):
-        so_far = so_far + squared(row, entry, j)
+    if object not in (vectors.dtype, book.dtype) and width * (2 * int(max(abs(vectors).max(), abs(book).max()))) ** 2 < 2**31:
+        vectors, book = vectors.astype(np.int32), book.astype(np.int32)
+    rows, best = np.arange(n), None
+    so_far = np.zeros((n, len(book)), np.result_type(vectors, book))
+    alive = np.ones(so_far.shape, bool)
+    for k, j in enumerate(order, 1):
+        step = vectors[:, j, None] - book[None, :, j]
+        np.add(so_far, step * step, out=so_far, where=alive)
+        if k == width:
+            # what was dropped stands above the best, so the first of the smallest is a complete one
+            found = so_far.argmin(axis=1)
+            return found, so_far[rows, found].astype(np.int64 if so_far.dtype != object else object)
+        # the entry that is ahead is completed first; what lies above the best complete distance is dropped
+        ahead = so_far.argmin(axis=1)
+        full = so_far[rows, ahead]
+        for later in order[k:]:
+            full = full + (vectors[:, later] - book[ahead, later]) ** 2
+        best = full if best is None else np.minimum(best, full)
+        alive &= so_far <= best[:, None]
+        if np.count_nonzero(alive) * SPARSE < alive.size:
+            return _few_left(vectors, book, order[k:], so_far, alive, best)
+    raise AssertionError("a part has at least one dimension")
+
+
+def _few_left(vectors: np.ndarray, book: np.ndarray, order: list[int], dense: np.ndarray, alive: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rest of nearest() over the pairs that are left, sorted by vector, then entry."""
+    rows = np.arange(len(vectors))
+    row, entry = np.nonzero(alive)
+    so_far = dense[row, entry]
+    for j in order:
+        so_far = so_far + (vectors[row, j] - book[entry, j]) ** 2
         keep = so_far <= best[row]
         row, entry, so_far = row[keep], entry[keep], so_far[keep]
-        if k < width and len(row) > 2 * n:
-            # complete the entry that is ahead now, where it does better than the best so far
-            starts = np.searchsorted(row, rows)
-            ahead = np.lexsort((entry, so_far, row))[starts] if so_far.dtype != object else starts
-            full = so_far[ahead]
-            for later in order[k:]:
-                full = full + squared(rows, entry[ahead], later)
-            best = np.minimum(best, full)
-            keep = so_far <= best[row]
-            row, entry, so_far = row[keep], entry[keep], so_far[keep]
-    starts = np.searchsorted(row, rows)
-    best = np.minimum.reduceat(so_far, starts)
+    best = np.minimum.reduceat(so_far, np.searchsorted(row, rows))
     hit = np.flatnonzero(so_far == best[row])
-    return entry[hit[np.searchsorted(row[hit], rows)]], best
+    return entry[hit[np.searchsorted(row[hit], rows)]], best.astype(np.int64 if best.dtype != object else object)
 
 
 def assign(vectors: np.ndarray, books: Codebooks) -> tuple[np.ndarray, np.ndarray]:
