@@ -21,8 +21,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import send_file, table
 from .pretokens import as_letters, byte_letters, cut_byte_level, frequent_pretokens, load_tokenizer
@@ -236,7 +237,8 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
         yield group
 
 
-def _map_texts(docs: DataFrame, tokenizer_path: str, text: str, columns: list[str], schema: str, fields, **options) -> DataFrame:
+def _map_texts(docs: DataFrame, tokenizer_path: str, text: str, column: Column, schema: str, fields, **options) -> DataFrame:
+    """A column of docs as `kept`, and what fields() gives of the texts."""
     lexicon = send_file(docs.sparkSession, "lexicon", build_lexicon(docs, tokenizer_path, text, **options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,20 +251,21 @@ def _map_texts(docs: DataFrame, tokenizer_path: str, text: str, columns: list[st
                 arrays, names = fields(codec, codec.encode(group))
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *arrays], names=[*rows.schema.names[:-1], *names])
 
-    kept = docs.select(*columns, F.col(text).alias("__text_to_encode"))
-    declared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{declared}, {schema}" if declared else schema)
+    kept = docs.select(column.alias("kept"), F.col(f"`{text}`").alias("text"))
+    return kept.mapInArrow(run, StructType([kept.schema["kept"], *StructType.fromDDL(schema).fields]))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", **options) -> DataFrame:
     """Every row of docs without its text, with n_tokens, ids (array) and decoded, the text that the ids give back."""
     added = {"n_tokens", "ids", "decoded"}
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in added]
+    columns = [c for c in docs.columns if c != text and c not in added]
+    kept = F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.lit(0)
 
     def fields(codec: Codec, ids: list[np.ndarray]):
         return [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([codec.decode(x).decode() for x in ids], pa.string())], ["n_tokens", "ids", "decoded"]
 
-    return _map_texts(docs, tokenizer_path, text, columns, "n_tokens long, ids array<int>, decoded string", fields, **options)
+    out = _map_texts(docs, tokenizer_path, text, kept, "n_tokens long, ids array<int>, decoded string", fields, **options)
+    return out.select(*[F.col("kept").getField(c).alias(c) for c in columns], *sorted(added, key=out.columns.index))
 
 
 def encode_digests(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -272,7 +275,7 @@ def encode_digests(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
         digest = lambda b: hashlib.sha256(b).hexdigest()
         return [pa.array([len(x) for x in ids], pa.int64()), pa.array([digest(x.astype("<u4").tobytes()) for x in ids]), pa.array([digest(codec.decode(x)) for x in ids])], ["n_tokens", "ids_sha256", "decoded_sha256"]
 
-    return _map_texts(docs, tokenizer_path, text, [F.col(doc_id).cast("long").alias("doc_id")], "n_tokens long, ids_sha256 string, decoded_sha256 string", fields, **options)
+    return _map_texts(docs, tokenizer_path, text, F.col(f"`{doc_id}`").cast("long"), "n_tokens long, ids_sha256 string, decoded_sha256 string", fields, **options).withColumnRenamed("kept", "doc_id")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

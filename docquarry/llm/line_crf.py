@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import id_bucket, table
 
@@ -229,14 +230,15 @@ def score(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "te
 
 def keep_good(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose score is at least 0.5."""
-    at = docs.columns.index(text)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = chain.score([t.as_py() for t in batch.column(at).cast(pa.binary())]) >= 0.5
-            yield batch.filter(pa.array(good))
+            good = chain.score([t.as_py() for t in batch.column(1).cast(pa.binary())]) >= 0.5
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good))], names=["row"])
 
-    return docs.mapInArrow(run, docs.schema)
+    kept = rows.mapInArrow(run, StructType([rows.schema["row"]]))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

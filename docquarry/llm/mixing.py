@@ -219,8 +219,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Decisions meet their rows by a key of the row, so that rows without an id and rows that repeat one have their own.
     """
-    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    units = materialize(sizes(keyed, more=[F.col("_row").alias("key")]), "sizes")
-    times = _mix(units).filter("times > 0").select(F.col("key").alias("_key"), F.col("times").alias("_times"))
-    joined = keyed.join(times, keyed["_row"] == times["_key"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    return joined.select(*[keyed[c] for c in docs.columns])
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key"))
+    keyed = materialize(held, "keyed")
+    units = materialize(sizes(keyed, "row.doc_id", "row.text", "row.source", more=[F.col("key")]), "sizes")
+    times = _mix(units).filter("times > 0").select("key", F.col("times").cast("int").alias("times"))
+    taken = keyed.join(times, "key").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
