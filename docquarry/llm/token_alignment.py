@@ -23,8 +23,10 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,9 @@ from .common import materialize, send_parts, table
 from .pretokens import load_tokenizer
 
 #: Chunks that a worker keeps, and characters of text that it works on together: bounds of its memory.
-KEPT_CHUNKS, CHARS = 150_000, 4_000_000
+KEPT_CHUNKS, CHARS = 200_000, 1_000_000
+#: New chunks that are encoded as one text, and aligned at once.
+JOINED, AT_ONCE = 128, 20_000
 #: Distinct keys that a partition counts before it passes them on.
 MOST_COUNTED = 4_000_000
 #: Keys up to which executors map the counts (16 bytes each).
@@ -48,6 +52,7 @@ MOST_MAPPED = 200_000_000
 #: White space and what might pass for it: no chunk begins behind one of these.
 _BLANK = r"\s\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯▁　﻿"
 _CHUNK = re.compile(rf" [^ ]*(?:(?<=[{_BLANK}]) [^ ]*)*")
+_OPEN = re.compile(rf"[{_BLANK}]\Z")
 _MASK = (1 << 32) - 1
 
 
@@ -68,47 +73,70 @@ class Pair:
         self.a_bytes = token_bytes(self.a)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_text, self.b_text = (list(map(str, range(len(x)))) for x in (self.a_bytes, self.b_bytes))
         self.a_len, self.b_len = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
         #: Whether a piece goes on behind a word's end, so that texts must not be cut.
         self.whole = any(re.search("[^▁]▁", p) for p in pieces)
         #: A space that ends a text: alone, the second tokenizer would take it for nothing.
         self.last_space = self.b.encode("a ")[len(self.b.encode("a")) :]
 
-    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        second = self.b.encode([p[1:] for p in parts], num_threads=1)
-        return [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)], [self.last_space if p == " " else ids for p, ids in zip(parts, second)]
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts by both tokenizers, one text behind the other."""
+        b = [self.last_space if t == " " else ids for t, ids in zip(texts, self.b.encode([t[1:] for t in texts], num_threads=1))]
+        flat = lambda rows: np.fromiter(chain.from_iterable(rows), np.int64)
+        return flat(e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)), flat(b)
+
+
+def _split(ends: np.ndarray, bounds: np.ndarray) -> np.ndarray | None:
+    """Number of tokens of each chunk, of tokens and chunks that end at these bytes; None where they do not fit together."""
+    last = np.searchsorted(ends, bounds, side="right")
+    closed = last > 0
+    fits = (len(ends) == 0 or ends[-1] == bounds[-1]) and closed.all() and (ends[last - 1] == bounds).all()
+    return np.diff(last, prepend=0) if fits else None
 
 
 class Aligned:
     """Chunks side by side: numbers of tokens, groups and links, each chunk's groups as text, and its links' keys."""
 
     def __init__(self, pair: Pair, parts: list[str]) -> None:
-        ids_a, ids_b = pair.encode(parts)
-        spells = lambda ids, of: b"".join(map(of.__getitem__, ids))
-        self.valid = np.array([spells(x, pair.a_bytes) == (p := t.encode()) == spells(y, pair.b_bytes) for t, x, y in zip(parts, ids_a, ids_b)], bool)
-        none: list[int] = []
-        ids_a, ids_b = ([x if ok else none for x, ok in zip(ids, self.valid)] for ids in (ids_a, ids_b))
-        self.n_a, self.n_b = (np.fromiter(map(len, x), np.int64, len(parts)) for x in (ids_a, ids_b))
-        flat_a, flat_b = (np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())) for ids, n in ((ids_a, self.n_a), (ids_b, self.n_b)))
+        # chunks that end in white space would run into the next one
+        joined = ["".join(parts[i : i + JOINED]) for i in range(0, len(parts), JOINED)] if not any(map(_OPEN.search, parts)) else parts
+        flat_a, flat_b = pair.encode(joined)
+        bounds = np.cumsum(np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)))
         end_a, end_b = np.cumsum(pair.a_len[flat_a]), np.cumsum(pair.b_len[flat_b])
+        n_a, n_b = _split(end_a, bounds), _split(end_b, bounds)
+        whole = "".join(parts).encode()
+        spelled = n_a is not None and n_b is not None and whole == b"".join(map(pair.a_bytes.__getitem__, flat_a.tolist())) == b"".join(map(pair.b_bytes.__getitem__, flat_b.tolist()))
+        self.valid = np.ones(len(parts), bool)
+        if not spelled and len(parts) > 1:
+            self._join([Aligned(pair, parts[: len(parts) // 2]), Aligned(pair, parts[len(parts) // 2 :])])
+            return
+        if not spelled:
+            self.valid[0] = False
+            flat_a = flat_b = end_a = end_b = np.zeros(0, np.int64)
+            n_a = n_b = np.zeros(1, np.int64)
+        self.n_a, self.n_b = n_a, n_b
         start_a = end_a - pair.a_len[flat_a]
         # tokens of b that overlap a token of a: from the first that ends behind its start to the first that reaches its end
         low = np.searchsorted(end_b, start_a, side="right")
         high = np.searchsorted(end_b, end_a, side="left")
         links = high - low + 1
         row = np.repeat(np.arange(len(flat_a)), links)
-        other = np.arange(len(row)) - np.repeat(np.cumsum(links) - links, links) + np.repeat(low, links)
-        self.keys = flat_a[row] << 32 | flat_b[other]
+        self.keys = flat_a[row] << 32 | flat_b[_spans(low, links)]
         per_chunk = lambda values, counts: np.add.reduceat(np.append(values, 0), np.minimum(np.cumsum(counts) - counts, len(values))) * (counts > 0)
         self.n_links = per_chunk(links, self.n_a)
-        closes = end_b[np.minimum(high, len(end_b) - 1)] == end_a if len(flat_a) else np.zeros(0, bool)
+        closes = end_b[high] == end_a
         self.n_groups = per_chunk(closes.astype(np.int64), self.n_a)
-        self.starts = np.cumsum(self.n_links) - self.n_links
-        self.texts = self._texts(flat_a, flat_b, closes, high)
+        self.texts = self._texts(pair, flat_a, flat_b, closes, high)
 
-    def _texts(self, flat_a: np.ndarray, flat_b: np.ndarray, closes: np.ndarray, high: np.ndarray) -> list[str]:
+    def _join(self, halves: list[Aligned]) -> None:
+        for name in ("valid", "n_a", "n_b", "n_links", "n_groups", "keys"):
+            setattr(self, name, np.concatenate([getattr(h, name) for h in halves]))
+        self.texts = [t for h in halves for t in h.texts]
+
+    def _texts(self, pair: Pair, flat_a: np.ndarray, flat_b: np.ndarray, closes: np.ndarray, high: np.ndarray) -> list[str]:
         """Groups of each chunk, as `a1,a2|b1;...`."""
-        a, b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
+        a, b = list(map(pair.a_text.__getitem__, flat_a.tolist())), list(map(pair.b_text.__getitem__, flat_b.tolist()))
         stops = np.flatnonzero(closes)
         groups, at_a, at_b = [], 0, 0
         for to_a, to_b in zip((stops + 1).tolist(), (high[stops] + 1).tolist()):
@@ -122,33 +150,67 @@ class Aligned:
 
 
 class _Kept:
-    """The chunks that a worker has aligned, by number; it starts anew when full."""
+    """The chunks that a worker has aligned, by number. When full, it keeps those that came again."""
 
     def __init__(self, pair: Pair, most: int) -> None:
         self.pair, self.most = pair, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[str, int] = defaultdict(count().__next__)
         self.texts: list[str] = []
         self.table = np.zeros((0, 6), np.int64)  # valid, n_a, n_b, n_groups, n_links, start of the keys
         self.keys = np.zeros(0, np.int64)
+        self.times = np.zeros(0, np.int64)
+
+    def shrink(self) -> None:
+        again = np.flatnonzero(self.times > 1)
+        if len(again) > self.most * 3 // 4:
+            again = again[np.argsort(-self.times[again], kind="stable")[: self.most * 3 // 4]]
+            again.sort()
+        chunk = list(self.number)
+        self.number = defaultdict(count(len(again)).__next__, {chunk[i]: k for k, i in enumerate(again.tolist())})
+        self.texts = [self.texts[i] for i in again.tolist()]
+        table = self.table[again]
+        self.keys = self.keys[_spans(table[:, 5], table[:, 4])]
+        table[:, 5] = np.cumsum(table[:, 4]) - table[:, 4]
+        self.table, self.times = table, np.zeros(len(again), np.int64)
 
     def numbers(self, cut: list[list[str]]) -> list[np.ndarray]:
         if len(self.number) > self.most:
-            self.clear()
+            self.shrink()
         known = len(self.number)
-        number = self.number
-        out = [np.fromiter((number.setdefault(c, len(number)) for c in parts), np.int64, len(parts)) for parts in cut]
-        fresh = list(number)[known:] if len(number) > known else []
-        for at in range(0, len(fresh), 20_000):
-            new = Aligned(self.pair, fresh[at : at + 20_000])
-            self.texts += new.texts
-            self.table = np.concatenate([self.table, np.stack([new.valid, new.n_a, new.n_b, new.n_groups, new.n_links, new.starts + len(self.keys)], 1)])
-            self.keys = np.concatenate([self.keys, new.keys])
+        out = [np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts)) for parts in cut]
+        fresh = list(islice(self.number, known, None))
+        tables, keys, size = [self.table], [self.keys], len(self.keys)
+        for at in range(0, len(fresh), AT_ONCE):
+            some = fresh[at : at + AT_ONCE]
+            # those that end in white space go apart, each as a text of its own
+            closed = np.array([_OPEN.search(c) is None for c in some], bool)
+            order = np.argsort(~closed, kind="stable")
+            ordered, n = [some[i] for i in order.tolist()], int(closed.sum())
+            new = Aligned(self.pair, ordered[:n]) if n else None
+            rest = Aligned(self.pair, ordered[n:]) if n < len(ordered) else None
+            both = [x for x in (new, rest) if x is not None]
+            part = np.concatenate([np.stack([x.valid, x.n_a, x.n_b, x.n_groups, x.n_links, np.cumsum(x.n_links) - x.n_links], 1) for x in both])
+            part[n:, 5] += len(new.keys) if new is not None else 0
+            part[:, 5] += size
+            keys += [x.keys for x in both]
+            size += sum(len(x.keys) for x in both)
+            back = np.argsort(order, kind="stable")
+            texts = [t for x in both for t in x.texts]
+            tables.append(part[back])
+            self.texts += [texts[i] for i in back.tolist()]
+        self.table, self.keys = np.concatenate(tables), np.concatenate(keys)
+        self.times = np.concatenate([self.times, np.zeros(len(fresh), np.int64)])
+        if out:
+            self.times += np.bincount(np.concatenate(out), minlength=len(self.times))
         return out
 
 
+@cache
+def _kept(first: str, second: str, most: int) -> _Kept:
+    """One for all tasks of a worker."""
+    return _Kept(Pair(first, second), most)
+
+
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indexes of runs, one run behind the other."""
     before = np.cumsum(sizes) - sizes
@@ -188,7 +250,7 @@ def aligned(docs: DataFrame, first: str, second: str, doc_id: str = "doc_id", te
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _Kept(Pair(first, second), kept_chunks)
+        kept = _kept(first, second, kept_chunks)
         for batch in batches:
             for low, high in _runs(batch.column(1), CHARS):
                 yield _rows(kept, batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low).to_pylist(), with_groups)
