@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapse
+from .text import collapse, let
 
 # Legal forms of organisations, tag names, marks of an exhausted quota and of unusable output.
 LEGAL_FORM = r"^(sp\. ?z ?o\.? ?o\.?|sp\. ?k\.|sp\. ?j\.|s\.a\.|s\.k\.a\.|gmbh|ltd\.?|inc\.?|llc|ag)$"
@@ -15,6 +15,22 @@ UNUSABLE = ("json mode couldn't be met", "json mode could not be met")
 # End of the fixed values.
 
 
+def strip(text: Column) -> Column:
+    """Text without blanks, line ends and separators at both ends."""
+    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
+def fold(text: Column) -> Column:
+    """Text as it is compared in any case."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
+def clean_list(names: Column) -> Column:
+    """Names in order, stripped; blank ones and those equal to an earlier one but for case are dropped."""
+    clean = F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), strip), lambda x: x != "")
+    return let(clean, lambda own: let(F.transform(own, fold), lambda low: F.filter(own, lambda x, i: F.array_position(low, fold(x)) == i + 1)))
+
+
 def distinct_names(names: Column) -> Column:
     """Names in order, blanks collapsed; blank ones and those equal to an earlier one but for case are dropped."""
     clean = F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda x: collapse(x)), lambda x: x != "")

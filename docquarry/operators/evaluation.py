@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import strip
 from ..functions.text import collapse, first_place, let, matches
 from .selection import attested
 from .tokens import amount_tokens, amounts, date_tokens, dates, stated
@@ -165,7 +166,7 @@ def grounding_checks(results: DataFrame, pages: DataFrame) -> DataFrame:
 def result_checks(results: DataFrame, documents: DataFrame, cases: DataFrame) -> DataFrame:
     """Checks of a result's own fields, in one pass. documents: (doc_id, file_name, pages, pages_without_text); cases: (doc_id, expect), expect a struct of
     type, language, date, title_contains, organizations, people, legal_forms, forbidden_narrative; nulls ask for nothing."""
-    d, e = F.struct(F.trim("file_name").alias("file_name"), "pages", "pages_without_text").alias("_d"), F.col("expect")
+    d, e = F.struct(strip(F.col("file_name")).alias("file_name"), "pages", "pages_without_text").alias("_d"), F.col("expect")
     joined = results.join(documents.select("doc_id", d), "doc_id").join(cases.select("doc_id", "expect"), "doc_id", "left")
     check = lambda category, name, ok: F.struct(F.lit(category).alias("category"), (F.lit(name) if isinstance(name, str) else name).alias("name"), F.coalesce(ok, F.lit(False)).alias("ok"))
     plain = lambda names: F.transform(names, lambda n: _folded(collapse(n)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import distinct_names, distinct_organisations
+from ..functions.names import distinct_names, distinct_organisations, strip
 from ..functions.normal import comparable, spelled
 from ..functions.text import first_place, let, matches
 from .selection import CHUNK_KEYWORDS, assembled
@@ -112,7 +112,7 @@ def merged_facts(judged: DataFrame) -> DataFrame:
     held = judged.join(invalid_chunks(judged), ["doc_id", "chunk"], "left_anti")
     key = {"_value": F.col("value").cast("decimal(38,2)"), "_currency": F.upper("currency"), "_context": comparable(F.col("context")), "_date": F.col("date").try_cast("date")}
     same = ["doc_id", "kind", "found_page", "start", "end", "basis", "period", "status", *key]
-    kept = F.struct("chunk", "pos", F.trim("context").alias("context"))
+    kept = F.struct("chunk", "pos", strip(F.col("context")).alias("context"))
     out = held.withColumns(key).groupBy(*same).agg(F.min(kept).alias("_kept"), (F.count(F.lit(1)) - 1).alias("duplicates"))
     return out.select("doc_id", "kind", F.col("found_page").alias("page"), "start", "end", F.col("_value").alias("value"), F.col("_currency").alias("currency"), "basis", "period", "status", F.col("_date").alias("date"), "_kept.chunk", "_kept.pos", "_kept.context", "duplicates")
 

@@ -44,9 +44,10 @@ def consistent(pages: Column, complete: Column, without_text: Column, ocr: Colum
     return _page_list(without_text, pages) & (complete == (F.size(without_text) == 0)) & read
 
 
-def result_problems() -> Column:
-    """Array of the fields of a row in SCHEMA that break a rule."""
-    c, fact = F.col, lambda v: is_text(v, MOST_FACT)
+def result_problems(row: Column | None = None) -> Column:
+    """Array of the fields of a row in SCHEMA, or of a struct with its fields, that break a rule."""
+    c = F.col if row is None else row.getField
+    fact = lambda v: is_text(v, MOST_FACT)
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     rules = {
         "document.fileName": is_text(c("file_name"), MOST_NAME),
@@ -56,12 +57,12 @@ def result_problems() -> Column:
         "document.title": is_text(c("title"), MOST_TITLE),
         "document.date": c("date").isNull() | is_iso_date(c("date")),
         "summary": is_text(c("summary"), MOST_SUMMARY) & sentences_within(c("summary"), *SENTENCES),
-        "keyPoints": _all(c("key_points"), fact) & F.size("key_points").between(*KEY_POINTS),
+        "keyPoints": _all(c("key_points"), fact) & F.size(c("key_points")).between(*KEY_POINTS),
         "entities.organizations": _all(c("organizations"), fact),
         "entities.people": _all(c("people"), fact),
         "amounts": _all(c("amounts"), lambda a: finite(a["value"]) & is_currency(a["currency"]) & fact(a["context"])),
         "dates": _all(c("dates"), lambda d: is_iso_date(d["date"]) & fact(d["context"])),
-        "keywords": _all(c("keywords"), fact) & (F.size("keywords") <= MOST_KEYWORDS),
+        "keywords": _all(c("keywords"), fact) & (F.size(c("keywords")) <= MOST_KEYWORDS),
         # a result need not say anything of its pages
         "analysis": c("complete").isNull() | consistent(c("pages"), c("complete"), c("pages_without_text"), c("ocr_pages")),
     }
