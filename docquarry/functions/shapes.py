@@ -235,7 +235,11 @@ def number_text(x: Column, least_exponent: int = 16, point: bool = True, most_ze
 
     negative = F.when(x.cast("string").startswith("-"), "-").otherwise("")
     sign = negative if point else F.when(x < 0, "-").otherwise("")
-    return F.when(F.isnan(x), "NaN").otherwise(F.concat(sign, F.when(F.abs(x) == float("inf"), "Infinity").otherwise(let(parts, written))))
+    any_ = F.when(F.isnan(x), "NaN").otherwise(F.concat(sign, F.when(F.abs(x) == float("inf"), "Infinity").otherwise(let(parts, written))))
+    # up to 15 digits, no other number of so few reads back as the same double
+    cents = F.when((F.abs(x) < 1e12) & (x != 0), x).try_cast("decimal(20,2)")
+    plain = F.regexp_replace(cents.cast("string"), r"(?<=\.\d)0\z" if point else r"\.?0+\z", "")
+    return F.when(cents.cast("double") == x, plain).otherwise(any_)
 
 
 _ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\f": "\\f", "\b": "\\b"}

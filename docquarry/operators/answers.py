@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import is_language
 from ..functions.names import clean_list, fold, strip
-from ..functions.shapes import child, kind_of, problems, strict_json
+from ..functions.shapes import child, kind_of, problems
 from ..functions.normal import composed
 from ..functions.text import collapse, let
 from .contract import COMPACT, NO_LANGUAGE, SINGLE
-from .requests import MOST_CHARS
+from .requests import MOST_CHARS, answer
 from .selection import HAS_LEGAL_FORM, KEYWORDS, fallback_title, full_name_pattern, has_mark, normal_name, overview_problems, without_copied_marks
 from .validation import TYPES, result_problems
 
 # Messages of problems, the time that a correction needs, fields of text, and codes of what a document ends with.
-NO_JSON, NO_OBJECT, NO_ANSWER = "response is not valid JSON", "response must be a JSON object", "the model could not produce JSON matching the schema"
+NO_ANSWER = "the model could not produce JSON matching the schema"
 MARK = "contains an internal marker; write plain text"
 SENTENCES_SAID, POINTS_SAID = "summary: must contain 3-5 sentences ending with punctuation", "keyPoints: need 3-7 non-empty distinct items"
 NOT_WRITTEN = "not written in the document; copy the name exactly as one occurrence spells it, or leave it out"
@@ -40,33 +40,6 @@ def _none() -> Column:
     return F.array().cast(_NONE)
 
 
-def answer(raw: Column) -> Column:
-    """Struct (payload, problem) of a provider's answer: the JSON object that it holds, in either style or as it is, or why there is none.
-
-    An answer with a response is that, whatever it is; without one, it is the content of its first choice's message, where there is such a message.
-    Text inside is read as JSON once more. Anything but an object is refused.
-    """
-
-    def told(whole: Column) -> Column:
-        response, message = child(whole, "response"), child(whole, "choices[0].message")
-        said = F.when(response.isNotNull(), response).when(kind_of(message).startswith("OBJECT"), child(message, "content")).otherwise(whole)
-        return F.when(kind_of(whole).startswith("OBJECT"), said).otherwise(whole)
-
-    def read(found: Column) -> Column:
-        inner = F.when(kind_of(found) == "STRING", strict_json(child(found, "", "string"))).otherwise(found)
-        lost = F.when((kind_of(found) == "STRING") & inner.isNull(), NO_JSON)
-        return F.struct(inner.alias("inner"), lost.alias("lost"))
-
-    def judged(r: Column) -> Column:
-        whole = F.coalesce(kind_of(r["inner"]).startswith("OBJECT"), F.lit(False))
-        return F.struct(F.when(whole, r["inner"]).alias("payload"), F.coalesce(r["lost"], F.when(~whole, NO_OBJECT)).alias("problem"))
-
-    def of(whole: Column) -> Column:
-        return F.when(whole.isNull(), F.struct(F.lit(None).cast("variant").alias("payload"), F.lit(NO_JSON).alias("problem"))).otherwise(let(let(told(whole), read), judged))
-
-    return let(strict_json(raw), of)
-
-
 def _narrative(v: Column, clean=lambda c: c) -> list[Column]:
     """The texts of an answer of the right shape, as columns."""
     texts = [clean(child(v, c, "string")).alias(c) for c in ("title", "summary")]

@@ -131,11 +131,14 @@ def fact_checks(expected: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def event_checks(expected: DataFrame, results: DataFrame) -> DataFrame:
-    asked = expected.filter("kind = 'date' AND size(event) > 0").select("doc_id", "pos", "label", F.col("date").cast("string").alias("date"), "event")
+    """Checks of dates' events. With event_review "manual" (an optional column), an event that a date's entries do not name is asked of a reviewer."""
+    review = F.col("event_review") if "event_review" in expected.columns else F.lit(None).cast("string")
+    asked = expected.filter("kind = 'date' AND size(event) > 0").select("doc_id", "pos", "label", F.col("date").cast("string").alias("date"), "event", review.alias("_review"))
     entries = results.select("doc_id", F.inline("dates")).select("doc_id", "date", _folded(F.col("context")).alias("_context"))
     named = F.forall("event", lambda group: F.exists(group, lambda shape: F.regexp_like(F.col("_context"), F.concat(F.lit("(?U)"), shape))))
     met = asked.join(entries, ["doc_id", "date"], "left")
-    return met.groupBy("doc_id", "pos", "label").agg(F.max(F.coalesce(named, F.lit(False))).alias("_ok")).select(*_row("dates", F.concat("label", F.lit(": event")), F.col("_ok")))
+    judged = met.groupBy("doc_id", "pos", "label").agg(F.max(F.coalesce(named, F.lit(False))).alias("_ok"), F.max(F.col("_context").isNotNull() & F.coalesce(F.col("_review") == "manual", F.lit(False))).alias("_asked"))
+    return judged.select(*_row("dates", F.concat("label", F.lit(": event")), F.col("_ok"), F.col("_asked") & ~F.col("_ok")))
 
 
 def forbidden_checks(forbidden: DataFrame, results: DataFrame) -> DataFrame:
@@ -152,7 +155,10 @@ def ungrounded(results: DataFrame, pages: DataFrame) -> DataFrame:
     people = results.select("doc_id", F.posexplode("people").alias("pos", "name"))
     lost = money.join(stated(money, amounts(pages)), ["doc_id", "value", "currency"], "left_anti").select("doc_id", F.lit("amount").alias("kind"), F.concat_ws(" ", F.col("value").cast("string"), "currency").alias("fact"))
     late = days.join(stated(days, dates(pages)).select("doc_id", "raw"), ["doc_id", "raw"], "left_anti").select("doc_id", F.lit("date").alias("kind"), F.col("raw").alias("fact"))
-    unknown = attested(people, pages).filter("NOT attested").select("doc_id", F.lit("person").alias("kind"), F.col("name").alias("fact"))
+    # a name may go on over the end of a page
+    parts = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("_p"))
+    whole = parts.select("doc_id", F.lit(1).alias("page"), F.array_join(F.transform("_p", lambda p: p["text"]), " ").alias("text"))
+    unknown = attested(people, whole).filter("NOT attested").select("doc_id", F.lit("person").alias("kind"), F.col("name").alias("fact"))
     return lost.unionByName(late).unionByName(unknown)
 
 
@@ -262,16 +268,17 @@ def verdicts(runs: DataFrame, checks: DataFrame, problems: DataFrame, reviews: D
 
 
 def review_evidence(results: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, field, pos, text, told, in_source): what helps a reviewer. Numbers of the narrative and dates of contexts with whether the source has
+    """(doc_id, field, pos, text, told, in_source): what helps a reviewer. Numbers and dates of the narrative and dates of contexts with whether the source has
     them, contexts of amounts with the qualifiers named, and in Polish documents the letters from outside its alphabet."""
     said = results.select("doc_id", F.posexplode(F.concat(F.array("summary"), F.col("key_points"))).alias("pos", "body"))
     numbers = said.select("doc_id", F.lit("number").alias("field"), "pos", F.explode(let(F.col("body"), amount_tokens)).alias("t")).select("doc_id", "field", "pos", F.col("t.text").alias("text"), F.col("t.value").alias("v"))
     there = amounts(pages).select("doc_id", F.col("value").alias("v")).distinct().withColumn("_in", F.lit(True))
     numbers = numbers.join(there, ["doc_id", "v"], "left").select("doc_id", "field", "pos", "text", F.lit(None).cast("string").alias("told"), F.col("_in").isNotNull().alias("in_source"))
+    told_days = said.select("doc_id", "pos", F.explode(let(F.col("body"), date_tokens)).alias("t")).select("doc_id", F.lit("narrative date").alias("field"), "pos", F.col("t.text").alias("text"), F.col("t.date").cast("string").alias("told"))
     money = results.select("doc_id", F.lit("amount").alias("field"), F.posexplode("amounts").alias("pos", "x")).select("doc_id", "field", "pos", associated(F.col("x.context")).alias("text"), F.array_join(F.array_sort(let(associated(F.col("x.context")), qualifiers)), ",").alias("told"), F.lit(None).cast("boolean").alias("in_source"))
     days = dates(pages).select("doc_id", F.col("date").cast("string").alias("told")).distinct().withColumn("_in", F.lit(True))
     dated = results.select("doc_id", F.lit("date").alias("field"), F.posexplode("dates").alias("pos", "x")).select("doc_id", "field", "pos", F.col("x.context").alias("text"), F.col("x.date").alias("told"))
-    dated = dated.join(days, ["doc_id", "told"], "left").select("doc_id", "field", "pos", "text", "told", F.col("_in").isNotNull().alias("in_source"))
+    dated = dated.unionByName(told_days).join(days, ["doc_id", "told"], "left").select("doc_id", "field", "pos", "text", "told", F.col("_in").isNotNull().alias("in_source"))
     body = F.concat_ws("", "summary", F.array_join("key_points", ""), F.array_join(F.transform("amounts", lambda a: a["context"]), ""), F.array_join(F.transform("dates", lambda a: a["context"]), ""))
     odd = F.array_sort(F.array_distinct(F.split(F.regexp_replace(body, rf"(?iu)[^\p{{L}}]|[{POLISH}]", ""), "")))
     letters = results.filter("language = 'pl'").select("doc_id", F.lit("letters").alias("field"), F.lit(0).alias("pos"), F.array_join(odd, "").alias("text"), F.lit(None).cast("string").alias("told"), F.lit(None).cast("boolean").alias("in_source")).filter("text <> ''")

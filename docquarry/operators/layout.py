@@ -65,3 +65,25 @@ def with_recognised(pages: DataFrame, recognised: DataFrame) -> DataFrame:
     joined = pages.select("doc_id", "page", "text").join(found, ["doc_id", "page"], "left")
     take = ~has_letter(F.col("text")) & has_letter(F.col("_found"))
     return joined.select("doc_id", "page", F.when(take, F.col("_found")).otherwise(F.col("text")).alias("text"), take.alias("recognised"))
+
+
+def recognised_documents(documents: DataFrame, pages: DataFrame, recognised: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, pages_without_text, ocr_pages) and their pages (doc_id, page, text) after one more recognition.
+
+    recognised: (doc_id, pos, page, machine, edited); of several for a page the last counts. Only pages that are flagged as without text take
+    what was found for them, edited text before machine text, and only if it has a letter; others stay as they are, and flagged. Pages that were
+    recognised before stay named, so lists grow over successive recognitions.
+    """
+    flagged = documents.select("doc_id", F.explode("pages_without_text").alias("page")).distinct()
+    found = recognised.select("doc_id", "page", "pos", F.coalesce("edited", clean_recognised(F.col("machine"))).alias("found")).filter(has_letter(F.col("found")))
+    last = found.groupBy("doc_id", "page").agg(F.max_by("found", "pos").alias("_found")).join(flagged, ["doc_id", "page"], "left_semi")
+    after = pages.select("doc_id", "page", "text").join(last, ["doc_id", "page"], "left")
+    after = after.select("doc_id", "page", F.coalesce("_found", "text").alias("text"), F.col("_found").isNotNull().alias("_taken"))
+    with_text = F.when(has_letter(F.col("text")), F.col("page"))
+    lists = after.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.when(~has_letter(F.col("text")), F.col("page")))).alias("_blank"), F.collect_list(with_text).alias("_read"), F.collect_list(F.when(F.col("_taken"), F.col("page"))).alias("_taken"),
+    )
+    none = F.array().cast("array<int>")
+    named = F.array_union(F.coalesce("ocr_pages", none), F.coalesce("_taken", none))
+    told = documents.join(lists, "doc_id", "left").withColumns({"pages_without_text": F.coalesce("_blank", none), "ocr_pages": F.array_sort(F.array_intersect(named, F.coalesce("_read", none)))})
+    return told.select(*documents.columns), after.select("doc_id", "page", "text")

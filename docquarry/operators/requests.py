@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import strip
+from ..functions.shapes import PRETTY, child, json_text, kind_of, strict_json
+from ..functions.text import let
+from .contract import RESULT
+
 # Limits of files, requests, settings and log lines, and the codes of errors with their status and whether to try again.
 MOST_FILE, SIGNATURE, HEAD = 10 * 1024 * 1024, "%PDF-", 1_024
 MOST_PAGE_CHARS, MOST_CHARS, MOST_BODY, LEAST_LETTERS = 20_000, 64_000, 262_144, 200
 SETTINGS = {"max_body_bytes": ("int", 262_144, 1_024, 1_048_576), "timeout_seconds": ("double", 40.0, 1.0, 60.0), "total_seconds": ("double", 55.0, 1.0, 90.0), "max_tokens": ("int", 2_048, 256, 4_096)}
 LOGGED = ("label", "attempt", "outcome", "ms", "promptTokens", "completionTokens", "finishReason", "outputBytes", "providerCode")
+LOGGED_EVENT = (
+    "event", "outcome", "status", "ms", "attempts", "pageCount", "pagesWithoutText", "textChars", "model", "promptVersion", "modelCallsStarted", "modelCallsCompleted", "usageReportedCalls", "usageComplete", "reportedPromptTokens",
+    "reportedCompletionTokens", "mode", "chunks", "duplicateFacts", "ocrPages",
+)
 MOST_PROBLEMS, MOST_PROBLEM = 10, 160
+NO_JSON, NO_OBJECT = "response is not valid JSON", "response must be a JSON object"
+MODEL, OWN_ORIGINS = "@cf/meta/llama-3.3-70b-instruct-fp8-fast", ("http://localhost:5173", "http://127.0.0.1:5173")
 ERRORS = (
     ("INVALID_REQUEST", 400, False), ("ORIGIN_NOT_ALLOWED", 403, False), ("BODY_TOO_LARGE", 413, False), ("DOCUMENT_TOO_LONG", 413, False), ("UNSUPPORTED_MEDIA_TYPE", 415, False),
     ("TOO_MANY_CANDIDATES", 422, False), ("NO_TEXT_LAYER", 422, False), ("INSUFFICIENT_CONTENT", 422, False), ("RATE_LIMITED", 429, True), ("AI_INVALID_OUTPUT", 502, True),
@@ -55,11 +66,36 @@ def error_codes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([*ERRORS], "code string, status int, retryable boolean")
 
 
+def answer(raw: Column) -> Column:
+    """Struct (payload, problem) of a provider's answer: the JSON object that it holds, in either style or as it is, or why there is none.
+
+    An answer with a response is that, whatever it is; without one, it is the content of its first choice's message, where there is such a message.
+    Text inside is read as JSON once more. Anything but an object is refused.
+    """
+
+    def told(whole: Column) -> Column:
+        response, message = child(whole, "response"), child(whole, "choices[0].message")
+        said = F.when(response.isNotNull(), response).when(kind_of(message).startswith("OBJECT"), child(message, "content")).otherwise(whole)
+        return F.when(kind_of(whole).startswith("OBJECT"), said).otherwise(whole)
+
+    def read(found: Column) -> Column:
+        inner = F.when(kind_of(found) == "STRING", strict_json(child(found, "", "string"))).otherwise(found)
+        lost = F.when((kind_of(found) == "STRING") & inner.isNull(), NO_JSON)
+        return F.struct(inner.alias("inner"), lost.alias("lost"))
+
+    def judged(r: Column) -> Column:
+        whole = F.coalesce(kind_of(r["inner"]).startswith("OBJECT"), F.lit(False))
+        return F.struct(F.when(whole, r["inner"]).alias("payload"), F.coalesce(r["lost"], F.when(~whole, NO_OBJECT)).alias("problem"))
+
+    def of(whole: Column) -> Column:
+        return F.when(whole.isNull(), F.struct(F.lit(None).cast("variant").alias("payload"), F.lit(NO_JSON).alias("problem"))).otherwise(let(let(told(whole), read), judged))
+
+    return let(strict_json(raw), of)
+
+
 def payload(raw: Column) -> Column:
-    """The JSON of a model's answer in either style: in response, in the first choice's message, or the whole; null if it is no JSON."""
-    whole = F.try_parse_json(raw)
-    said = F.coalesce(F.try_variant_get(whole, "$.response", "string"), F.try_variant_get(whole, "$.choices[0].message.content", "string"))
-    return F.try_parse_json(F.coalesce(said, F.when(whole.isNotNull(), raw)))
+    """The JSON object of a model's answer, or null if there is none."""
+    return answer(raw)["payload"]
 
 
 def strict_type(value: Column, path: str) -> Column:
@@ -75,18 +111,43 @@ def call_usage(calls: DataFrame) -> DataFrame:
     return counted.select("doc_id", "started", "completed", "reported", (F.col("started") == F.col("reported")).alias("complete"), "prompt_tokens", "completion_tokens")
 
 
+def _may_be_logged(rows: DataFrame, names: tuple[str, ...]) -> list[str]:
+    """The named columns that hold text, whole numbers or flags."""
+    plain = ("string", "boolean", "tinyint", "smallint", "int", "bigint")
+    return [c for c in names if dict(rows.dtypes).get(c) in plain]
+
+
 def log_lines(calls: DataFrame) -> DataFrame:
-    """Calls as they may be logged: named fields only, and the first problems, cut short."""
+    """Calls as they may be logged: named fields of plain types only, and the first problems, cut short."""
     problems = F.transform(F.slice("problems", 1, MOST_PROBLEMS), lambda p: F.substring(p, 1, MOST_PROBLEM))
-    return calls.select(F.lit("model_call").alias("event"), *[c for c in LOGGED if c in calls.columns], problems.alias("problems"))
+    return calls.select(F.lit("model_call").alias("event"), *_may_be_logged(calls, LOGGED), F.when(F.size("problems") > 0, problems).alias("problems"))
+
+
+def event_lines(requests: DataFrame) -> DataFrame:
+    """(line): requests as JSON lines for the log, of the named fields of plain types; what is null is left out."""
+    return requests.select(F.to_json(F.struct(*_may_be_logged(requests, LOGGED_EVENT))).alias("line"))
 
 
 def result_text(result: Column) -> Column:
-    """A result as indented JSON and a line end. An absent list of recognised pages is left out, an absent date is not."""
-    text = F.to_json(result, {"pretty": "true", "ignoreNullFields": "false"})
-    return F.concat(F.regexp_replace(text, r',\s*"ocrPages" : null', ""), F.lit("\n"))
+    """A result (a JSON value of the shape RESULT) as it is saved: indented, and a line end."""
+    return F.concat(json_text(result, RESULT, PRETTY), F.lit("\n"))
 
 
 def result_digest(result: Column) -> Column:
-    """SHA-256 of a result as compact JSON; its fields must come in order of their names."""
-    return F.sha2(F.to_json(result, {"ignoreNullFields": "false"}), 256)
+    """SHA-256 of a result's canonical text: keys in order, no blanks, numbers that read back as themselves."""
+    return F.sha2(json_text(result, RESULT).cast("binary"), 256)
+
+
+def settings(given: Column) -> Column:
+    """Struct of all settings of a map of strings: what is missing or no number takes its default, numbers are held within their bounds, and anything but
+    an explicit development is production."""
+    of = lambda name: F.try_element_at(given, F.lit(name))
+    development = F.coalesce(of("ENVIRONMENT") == "development", F.lit(False))
+    listed = F.transform(F.split(F.coalesce(of("ALLOWED_ORIGINS"), F.lit("")), ","), lambda o: F.regexp_replace(strip(o), r"/+\z", ""))
+    origins = F.concat(F.filter(listed, lambda o: o != ""), F.when(development, F.array(*map(F.lit, OWN_ORIGINS))).otherwise(F.array().cast("array<string>")))
+    numbers = {"max_body_bytes": "MAX_BODY_BYTES", "timeout_seconds": "AI_TIMEOUT_SECONDS", "total_seconds": "AI_TOTAL_BUDGET_SECONDS", "max_tokens": "AI_MAX_TOKENS"}
+    mode, model = F.when(of("AI_MODE").isin("chunked", "compact"), of("AI_MODE")).otherwise("single"), F.coalesce(F.nullif(of("AI_MODEL"), F.lit("")), F.lit(MODEL))
+    return F.struct(
+        F.when(development, "development").otherwise("production").alias("environment"), F.array_sort(F.array_distinct(origins)).alias("allowed_origins"), model.alias("model"), mode.alias("mode"),
+        *[setting(of(raw), name).alias(name) for name, raw in numbers.items()],
+    )
