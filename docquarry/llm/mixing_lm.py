@@ -9,12 +9,15 @@ and the word so far with the two words before it. A context and the node of the
 slot, whose log-odds go into a logistic mixer. The mixer's weights are gated by which of the two long contexts have been
 seen. A table then refines the mixed probability by what came true after like predictions in training, and both are averaged. While
 a text is scored, its weights learn from it, STEP bits at a time, from the trained state on; the next text starts afresh
-(so does each PIECE of a very long text), so a score depends on the text and the model alone, not on how rows are dealt.
-
-Learning. Every training row is learned from, once, in the tasks. A task predicts each block of texts with the counts of the
-blocks before it, learns weights and refinement from that (a Newton step), and then counts the block. Counts of tasks are added slice by slice,
-weights are averaged by the bits that each gate had, refinement counts are added. The slots of the long contexts follow the input
-(SLOT_BYTES of stored text for each, up to 2**MOST_BITS for a predictor, which is what a worker can hold); what tasks get is a byte
+(so does each PIECE of a very long text), so a score depends on the text and the model alone.
+
+Learning. Every training row is learned from. Texts are dealt to learners by a hash of their content, and a learner takes them in order of that
+hash, so the model depends on the texts and not on how rows are dealt, read or estimated. Copies fold in the tasks before texts are moved, and a learner takes
+a text once, with the number of its copies. The number of learners follows the summed length of the training texts: one for LEARNER_BYTES, at most
+MOST_LEARNERS. A learner predicts each block of texts with the counts of the blocks before it, learns weights and refinement from that (a Newton
+step), and then counts the block, each text as often as it has copies. Counts of learners are added slice by slice,
+weights are averaged by the bits that each gate had, refinement counts are added. The slots of the long contexts follow the same length
+(SLOT_BYTES of text for each, up to 2**MOST_BITS for a predictor, which is what a worker can hold); what tasks get is a byte
 for each slot. Above that bound slots are shared by more contexts, and the word counts, a distributed table, go on growing.
 
 Unigram score: sum of log10((c + 1) / (N + V + 1)) over tokens, counts from training rows. Words fold in the tasks before
@@ -39,12 +42,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, id_bucket, input_bytes, materialize, table
+from .common import discard, id_bucket, materialize, table
 from .suffix_dedup import PrefixHashes, _mix
 
 FOLDS, HELD_OUT = 7, 2
 PREDICTORS, GATES = 4, 3
-#: Slots of a predictor in powers of two: one for so many stored bytes, and at most these; fewer for short contexts.
+#: Bytes of training text for a learner, and learners at most.
+LEARNER_BYTES, MOST_LEARNERS = 32 << 20, 4_096
+#: Slots of a predictor in powers of two: one for so many bytes of training text, and at most these; fewer for short contexts.
 SLOT_BYTES, LEAST_BITS, MOST_BITS = 1, 12, 22
 FEWER = (6, 1, 0, 0)
 #: Slots of all predictors that are added together.
@@ -60,6 +65,8 @@ STEP = 256
 #: Bytes of a piece of text, of context before it, and of pieces that are worked on together.
 PIECE, LEAD, BLOCK = 1 << 13, 96, 1 << 17
 FREQUENT, FREQUENT_LENGTH = 1 << 16, 64
+#: Bytes of texts whose copies fold together before they are moved.
+COPIES_BYTES = 64 << 20
 END = "\n"
 
 
@@ -249,7 +256,7 @@ def mixed(bit: np.ndarray, inputs: np.ndarray, sizes: np.ndarray, state: State)
 
 
 class Learner:
-    """Counts and mixer of one task."""
+    """Counts and mixer of the texts of one share."""
 
     def __init__(self, code: Code, bits: int) -> None:
         self.code, self.bits = code, bits
@@ -258,7 +265,8 @@ class Learner:
         self.sums = np.zeros((GATES, PREDICTORS))
         self.curved = np.zeros((GATES, PREDICTORS, PREDICTORS))
 
-    def learn(self, texts: list[bytes]) -> None:
+    def learn(self, texts: list[bytes], copies: list[int] | None = None) -> None:
+        many = copies is not None and max(copies, default=1) > 1
         for block in _pieces(texts):
             bit, slots, sizes = flattened(block, self.code, self.bits)
             pairs = self.counts.view(np.uint64)
@@ -268,14 +276,17 @@ class Learner:
                 ones = (both >> np.uint64(32)).astype(np.uint32).astype(np.float32) + np.float32(PRIOR)
                 inputs[k] = np.log(ones / (both.astype(np.uint32).astype(np.float32) + np.float32(PRIOR)))
             np.clip(inputs, -BOUND * UNIT, BOUND * UNIT, out=inputs)
-            self.mix(bit, inputs)
+            times = np.repeat(np.array([copies[k] for k, _, _ in block], np.uint32), sizes) if many else np.uint32(1)
+            self.mix(bit, inputs, times)
+            # of the table's type, which is the fast way
             for s in slots:
-                np.add.at(self.counts, s * 2 + bit, np.uint32(1))  # of the table's type, which is the fast way
+                np.add.at(self.counts, s * 2 + bit, times)
 
-    def mix(self, bit: np.ndarray, inputs: np.ndarray) -> None:
-        """Learns from a block: one step of each gate's weights, scaled by how curved its loss is, and the refinement's counts."""
+    def mix(self, bit: np.ndarray, inputs: np.ndarray, times: np.ndarray | np.uint32 = np.uint32(1)) -> None:
+        """Learns from a block: one step of each gate's weights, scaled by how curved its loss is, and the refinement's counts, for each bit as often as given."""
         gate, z = gates_of(inputs), np.empty(len(bit), np.float32)
-        gated = np.bincount(gate, minlength=GATES)
+        counted = lambda what, n, own: np.bincount(what, minlength=n) if own.ndim == 0 else np.bincount(what, own, n).astype(np.int64)
+        gated = counted(gate, GATES, times)
         for g in np.flatnonzero(gated):
             at = np.flatnonzero(gate == g)
             x, weights = inputs[:, at], self.state.weights[g]
@@ -287,30 +298,35 @@ class Learner:
         self.gated += gated
         self.sums += self.state.weights * gated[:, None]
         bucket = bucket_of(z)
-        self.state.seen += np.bincount(bucket, minlength=BUCKETS)
-        self.state.ones += np.bincount(bucket[bit > 0], minlength=BUCKETS)
+        self.state.seen += counted(bucket, BUCKETS, times)
+        self.state.ones += counted(bucket[bit > 0], BUCKETS, times if times.ndim == 0 else times[bit > 0])
 
-    def parts(self) -> Iterator[pa.RecordBatch]:
+    def parts(self, learner: int = 0) -> Iterator[pa.RecordBatch]:
         """The counts slice by slice, and the mixer as slice -1."""
         mixer = np.concatenate([self.gated, self.sums.ravel(), self.state.ones, self.state.seen])
-        yield _row(-1, mixer)
+        yield _row(-1, learner, mixer)
         for k in range(0, len(self.counts) // 2, SLICE):
             part = self.counts[2 * k : 2 * (k + SLICE)]
             if part.any():
-                yield _row(k // SLICE, part)
+                yield _row(k // SLICE, learner, part)
 
 
-def _row(k: int, values: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "blob": pa.array([zlib.compress(values.tobytes(), 1)], pa.binary())})
+def _row(k: int, learner: int, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "learner": pa.array([learner], pa.int32()), "blob": pa.array([zlib.compress(values.tobytes(), 1)], pa.binary())})
 
 
 def _united(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A slice's counts added and turned into bytes of log-odds; the mixer's sums added."""
-    k, total = key[0].as_py(), 0
+    """A slice's counts added and turned into bytes of log-odds; the mixers' sums added in order of the learners, as sums of doubles depend on it."""
+    k, total, mixers = key[0].as_py(), 0, {}
     for batch in rows:
-        for blob in batch.column("blob"):
+        for learner, blob in zip(batch.column("learner").to_pylist(), batch.column("blob")):
             raw = zlib.decompress(blob.as_py())
-            total = total + (np.frombuffer(raw, np.float64) if k < 0 else np.frombuffer(raw, np.uint32).astype(np.int64))
+            if k < 0:
+                mixers[learner] = np.frombuffer(raw, np.float64)
+            else:
+                total = total + np.frombuffer(raw, np.uint32).astype(np.int64)
+    for learner in sorted(mixers):
+        total = total + mixers[learner]
     if k >= 0:
         total = np.rint(np.clip(np.log((total[1::2] + PRIOR) / (total[::2] + PRIOR)) / UNIT, -BOUND, BOUND)).astype(np.int8)
     yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "blob": pa.array([total.tobytes()], pa.binary())})
@@ -398,20 +414,46 @@ def pair_counts(counts: DataFrame) -> np.ndarray:
     return out.reshape(256, 256)
 
 
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of a task with their copies, folded about COPIES_BYTES at a time."""
+    for batch in batches:
+        for texts in _texts(batch.column(0), COPIES_BYTES):
+            seen = Counter(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["raw", "n"])
+
+
 def train(rows: DataFrame, code: Code, size: int) -> Model:
-    """A model of all training rows (raw); size: bytes of the texts as stored."""
+    """A model of all training rows (raw); size: the summed length of the texts."""
     bits = min(MOST_BITS, max(LEAST_BITS, (size // SLOT_BYTES).bit_length()))
+    n = max(1, min(MOST_LEARNERS, -(-size // LEARNER_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner, any_ = Learner(code, bits), False
+        learner, number, held, copies, room = None, None, [], [], 0
         for batch in batches:
-            for texts in _texts(batch.column(0)):
-                any_ = True
-                learner.learn(texts)
-        if any_:
-            yield from learner.parts()
-
-    slices = materialize(rows.mapInArrow(run, "slice int, blob binary").repartition("slice").groupBy("slice").applyInArrow(_united, "slice int, blob binary"), "slices")
+            for raw, times, own in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                raw = raw.as_py()
+                if held and own == number and held[-1] == raw:
+                    copies[-1] += times
+                    continue
+                if held and (own != number or room >= 1 << 22):
+                    learner.learn(held, copies)
+                    held, copies, room = [], [], 0
+                if own != number:
+                    if learner is not None:
+                        yield from learner.parts(number)
+                    learner, number = Learner(code, bits), own
+                held.append(raw)
+                copies.append(times)
+                room += len(raw)
+        if held:
+            learner.learn(held, copies)
+        if learner is not None:
+            yield from learner.parts(number)
+
+    hashed = rows.mapInArrow(_copies, "raw binary, n long").withColumn("hash", F.xxhash64("raw"))
+    dealt = hashed.withColumn("learner", F.pmod("hash", F.lit(n)).cast("int")).repartitionById(n, F.col("learner")).sortWithinPartitions("learner", "hash", "raw")
+    learned = dealt.select("raw", "n", "learner").mapInArrow(run, "slice int, learner int, blob binary")
+    slices = materialize(learned.repartition("slice").groupBy("slice").applyInArrow(_united, "slice int, blob binary"), "slices")
     odds, state = np.zeros(slot_starts(bits)[-1], np.int8), State.fresh()
     for r in slices.collect():  # a byte for each slot
         if r["slice"] >= 0:
@@ -457,11 +499,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _held_out(doc_id).alias("held_out"), _raw(text).alias("raw"))
     training = rows.filter("NOT held_out").select("raw")
     counts = materialize(word_counts(training), "counts")
-    total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
+    total, distinct, size = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.col("c") * (F.octet_length("token") + 1))).first())
     most = counts.filter(F.octet_length("token") <= FREQUENT_LENGTH).orderBy(F.desc("c"), "token").limit(FREQUENT)
     send = docs.sparkSession.sparkContext.broadcast
     frequent = send({bytes(r["token"]): math.log10((r["c"] + 1) / (total + distinct + 1)) for r in most.collect()})
-    model = send(train(training, Code.of(pair_counts(counts)), input_bytes(docs)))
+    model = send(train(training, Code.of(pair_counts(counts)), size))
     scored = materialize(rows.mapInArrow(_scored(model, frequent), _SCORED).withColumn("key", F.monotonically_increasing_id()), "scored")
     pairs = scored.select("key", F.explode("rare").alias("r")).select("key", "r.token", "r.n")
     c = F.coalesce("c", F.lit(0))

@@ -134,3 +134,40 @@ def test_every_training_row_is_counted(spark):
     expected = np.clip(math.log((first[node, 1] + m.PRIOR) / (first[node, 0] + m.PRIOR)) / m.UNIT, -m.BOUND, m.BOUND)
     assert abs(model.odds[slot] - expected) <= 1
     assert model.state.seen.sum() == sum(len(m.flattened([(0, m.token_text((t or "").encode()), 0)], code, model.bits)[0]) for t in texts)
+
+
+def test_scores_do_not_depend_on_how_rows_lie(spark, monkeypatch):
+    """One partition or eight, in any order, with other columns or without, through one learner or several: equal rows, equal scores."""
+    rng = np.random.default_rng(4)
+    words = ["alpha", "beta", "gamma", "delta", "of", "the", "and", "żółć"]
+    rows = [(k, " ".join(rng.choice(words, int(rng.integers(0, 60)))), "x" * 900) for k in range(200)] + [(k, "one passage that many rows copy", "y") for k in range(200, 260)] + [(None, None, None)]
+    shape = "doc_id long, text string, more string"
+    scores = lambda frame: sorted((str(r["doc_id"]), r["score"]) for r in m.score(frame).collect())
+    for size in (m.LEARNER_BYTES, 4_000):
+        monkeypatch.setattr(m, "LEARNER_BYTES", size)
+        one = scores(spark.createDataFrame(rows, shape).coalesce(1))
+        assert scores(spark.createDataFrame(rows[::-1], shape).repartition(8)) == one
+        assert scores(spark.createDataFrame(rows, shape).select("doc_id", "text").repartition(3)) == one
+
+
+def test_a_learner_counts_copies():
+    """A text with copies is counted as that many texts are, and one step of the mixer is Newton's for the block."""
+    code = m.Code.of(np.ones((256, 256), np.int64))
+    once, often = m.Learner(code, 13), m.Learner(code, 13)
+    texts = [b"some text here", b"another one"]
+    once.learn(texts)
+    often.learn(texts, [1, 5])
+    alone = m.Learner(code, 13)
+    alone.learn(texts[1:])
+    assert (often.counts == once.counts + 4 * alone.counts).all() and often.state.seen.sum() == once.state.seen.sum() + 4 * alone.state.seen.sum()
+    rng = np.random.default_rng(3)
+    own = m.Learner(code, 13)
+    inputs, bit = rng.normal(0, 1, (m.PREDICTORS, 400)).astype(np.float32), rng.integers(0, 2, 400).astype(np.uint8)
+    gate = m.gates_of(inputs)
+    before = own.state.weights.copy()
+    own.mix(bit, inputs)
+    for g in np.unique(gate):
+        x, y = inputs[:, gate == g].astype(float), bit[gate == g]
+        p = 1 / (1 + np.exp(-np.clip(before[g] @ x, -m.WIDEST, m.WIDEST)))
+        gradient, curve = sum((b - q) * c for b, q, c in zip(y, p, x.T)), sum(q * (1 - q) * np.outer(c, c) for q, c in zip(p, x.T))
+        assert np.allclose(own.state.weights[g], np.clip(before[g] + np.linalg.solve(curve + np.eye(m.PREDICTORS), gradient), -4, 4), atol=1e-3)
