@@ -14,6 +14,8 @@ EDGE_LINES, LEAST_PAGES, MOST_CANDIDATES = 2, 3, 400
 # End of the fixed values.
 
 
+#: What a page's text must hold for any of its lines to have a marker; digits are not folded there yet.
+_MARKED = MARKER.replace("#", "[0-9]")
 _OWN = ("doc_id", "page", "start", "end", "text", "kind_no", "value", "currency", "date", "spans")
 
 
@@ -35,7 +37,8 @@ def edge_lines(pages: DataFrame) -> DataFrame:
 
 def running_lines(pages: DataFrame) -> DataFrame:
     """(doc_id, page, start, end): edge lines that repeat on LEAST_PAGES pages with the same dates each time."""
-    lines = edge_lines(pages)
+    # hardly any page has a marker, and only lines of such pages are cut and compared
+    lines = edge_lines(pages.filter(F.col("text").rlike(_MARKED)))
     key = F.regexp_replace(F.trim(F.regexp_replace("line", r"(?U)\s+", " ")), "[0-9]+", "#")
     lines = lines.withColumn("key", key).filter(F.col("key").rlike(MARKER))
     # the dates of a line are found in the line itself, so no join with the page's dates is needed
@@ -53,23 +56,26 @@ def candidates(pages: DataFrame) -> DataFrame:
     return numbered(tokens(pages), pages).drop("before", "after")
 
 
-def tokens(pages: DataFrame, *more: Column) -> DataFrame:
-    """(doc_id, page, start, end, text, kind_no, value, currency, date, before, after) and more of the pages: what may become a candidate."""
+def token_structs(text: Column) -> Column:
+    """Array of (start, end, text, kind_no, value, currency, date, before, after): what may become a candidate."""
     shape = "array<struct<start:int,end:int,text:string,kind_no:int,value:decimal(38,2),currency:string,date:date,before:int,after:int>>"
-    def found(text: Column) -> Column:
-        usable = F.filter(amount_tokens(text), lambda t: t["currency"].isNotNull() & (t["adjacent"] | t["text"].rlike(r"[.,][0-9]{2}\z")))
-        money = F.transform(usable, lambda t: F.struct(t["start"], t["end"], t["text"], F.lit(0), t["value"], t["currency"], F.lit(None).cast("date"), t["before"], t["after"])).cast(shape)
-        days = F.transform(date_tokens(text), lambda t: F.struct(t["start"], t["end"], t["text"], F.lit(1), F.lit(None).cast("decimal(38,2)"), F.lit(None).cast("string"), t["date"], F.lit(0), F.lit(0))).cast(shape)
-        return F.concat(money, days)
+    usable = F.filter(amount_tokens(text), lambda t: t["currency"].isNotNull() & (t["adjacent"] | t["text"].rlike(r"[.,][0-9]{2}\z")))
+    money = F.transform(usable, lambda t: F.struct(t["start"], t["end"], t["text"], F.lit(0), t["value"], t["currency"], F.lit(None).cast("date"), t["before"], t["after"])).cast(shape)
+    days = F.transform(date_tokens(text), lambda t: F.struct(t["start"], t["end"], t["text"], F.lit(1), F.lit(None).cast("decimal(38,2)"), F.lit(None).cast("string"), t["date"], F.lit(0), F.lit(0))).cast(shape)
+    return F.concat(money, days)
+
 
-    return pages.filter(has_letter(F.col("text"))).select("doc_id", "page", *more, F.inline(let(F.col("text"), found)))
+def tokens(pages: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, page, start, end, text, kind_no, value, currency, date, before, after) and more of the pages: what may become a candidate."""
+    return pages.filter(has_letter(F.col("text"))).select("doc_id", "page", *more, F.inline(let(F.col("text"), token_structs)))
 
 
 def numbered(found: DataFrame, pages: DataFrame) -> DataFrame:
     """tokens() without those in running lines, as candidates; columns beyond the tokens' own are kept."""
-    spans = running_lines(pages).groupBy("doc_id", "page").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    found = found.join(spans, ["doc_id", "page"], "left")
-    inside = F.exists("spans", lambda s: (s["start"] <= F.col("start")) & (F.col("start") < s["end"]))
+    # spans meet tokens by document, as the numbering needs them, so tokens are moved once
+    spans = running_lines(pages).groupBy("doc_id").agg(F.collect_list(F.struct("page", "start", "end")).alias("spans"))
+    found = found.join(spans, "doc_id", "left")
+    inside = F.exists("spans", lambda s: (s["page"] == F.col("page")) & (s["start"] <= F.col("start")) & (F.col("start") < s["end"]))
     found = found.filter(~F.coalesce(inside, F.lit(False)))
     order = Window.partitionBy("doc_id").orderBy("page", "start", "kind_no")
     return found.select(

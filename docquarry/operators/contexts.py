@@ -1,16 +1,16 @@
 """Source context of each candidate: the table row, labelled line or sentence that it stands in, with the value marked.
 
-A page's lines are a table of their own: what a line is, and the header or heading above it, are columns over bounded
-windows of lines, and a candidate meets its line by number. Everything else is read off the page's text around the value.
+A page's lines are arrays in its row: what a line is, and the header or heading above it, are judged once a line, and a candidate takes its
+line's by number. Everything else is read off the page's text around the value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, has_letter, let
-from .candidates import numbered, tokens
+from .candidates import numbered, token_structs
 from .tokens import NUMBER, amount_tokens, date_tokens, wrapped_numbers
 
 # Limits in lines and characters, capitals, currency words, ends of sentences, headings, paragraphs and marks.
@@ -32,40 +32,53 @@ def _words(text: Column) -> Column:
 
 def is_row(line: Column) -> Column:
     """A line with a bar, or with two cells or more, money or dates, and few words beside them."""
-    money = F.size(F.filter(amount_tokens(line), lambda t: t["adjacent"] | t["text"].rlike(r"[.,][0-9]{2}\z")))
     words = F.size(F.filter(_words(line), lambda w: has_letter(w) & ~F.lower(w).isin(*CURRENCY_WORDS)))
-    few = let(money + F.size(date_tokens(line)), lambda cells: (cells >= 2) & (words <= 2 * cells + 2))
-    return F.when(line.contains("|"), True).when(line.rlike(SENTENCE_INSIDE) | ~line.rlike("[0-9]"), False).otherwise(few)
-
-
-def lines(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, line_no, line, row, header, heading) of pages with text: header and heading are those above a line, or null."""
-    each = pages.filter(has_letter(F.col("text"))).select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    each = each.withColumn("row", is_row(F.col("line")))
-    order = Window.partitionBy("doc_id", "page").orderBy("line_no")
-    words, bare = _words(F.col("line")), F.regexp_replace("line", r"(?U)\s+\z", "")
-    capital = F.size(F.filter(words, lambda w: w.rlike(r"\A\p{Lu}"))) * 2 >= F.size(words)
-    over_row = F.coalesce(F.lead("row").over(order), F.lit(False)) & (F.char_length("line") <= ROW)
-    column_names = (F.size(words) >= 3) & ~F.col("line").rlike(NUMBER) & has_letter(F.col("line")) & ~bare.rlike(r"[.:;,]\z") & ~F.col("line").rlike("[–—]")
-    # the last line above that is a header, or that no table goes on across
-    judged = F.when(column_names & (F.col("line").contains("|") | capital | over_row), F.struct(collapse(F.col("line")).alias("text")))
-    judged = judged.when((bare == "") | F.col("line").rlike(PARAGRAPH) | bare.rlike(r"[.!?]\z"), F.struct(F.lit(None).cast("string").alias("text")))
-    heading = F.when(F.col("line").rlike(HEADING), collapse(F.col("line")))
-    above = lambda what, n: F.last(what, ignorenulls=True).over(order.rowsBetween(-n, -1))
-    each = each.withColumns({"_judged": judged, "_heading": heading})
-    return each.select("doc_id", "page", "line_no", "line", "row", above(F.col("_judged"), HEADER_LINES)["text"].alias("header"), above(F.col("_heading"), HEADING_LINES).alias("heading"))
-
-
-def _around(text: Column) -> Column:
-    """What a token's context needs of its page's text, for a token in columns start and end."""
-    head = F.substring(text, F.lit(1), F.col("start"))
-    low = F.greatest(F.col("start") - WINDOW, F.lit(0))
-    crossing = F.transform(wrapped_numbers(text), lambda w: F.struct(w["start"], w["end"]))
-    return F.struct(
-        F.regexp_count(head, F.lit("\n")).alias("line_no"), F.substring_index(head, "\n", -1).alias("line_left"), F.substring_index(F.substring(text, F.col("end") + 1, F.char_length(text)), "\n", 1).alias("line_right"),
-        F.substring(text, F.col("start") + 1, F.col("end") - F.col("start")).alias("value"), F.substring(text, low + 1, F.col("start") - low).alias("left"), F.substring(text, F.col("end") + 1, F.lit(WINDOW)).alias("right"),
-        (low > 0).alias("more_left"), (F.col("end") + WINDOW < F.char_length(text)).alias("more_right"), crossing.alias("wraps"),
-    )
+    money = F.size(F.filter(amount_tokens(line), lambda t: t["adjacent"] | t["text"].rlike(r"[.,][0-9]{2}\z")))
+    few = let(words, lambda n: F.when(n > 2 * F.regexp_count(line, F.lit("[0-9]+")) + 2, False).otherwise(let(money + F.size(date_tokens(line)), lambda cells: (cells >= 2) & (n <= 2 * cells + 2))))
+    # every cell has a run of digits of its own, which most lines do not have two of
+    return F.when(line.contains("|"), True).when(~line.rlike("[0-9][^0-9]+[0-9]") | line.rlike(SENTENCE_INSIDE), False).otherwise(few)
+
+
+def _judged(line: Column, next_is_row: Column) -> Column:
+    """Struct (text) of a line that names columns, or, with a null text, of one that no table goes on across; null for others."""
+    bare = F.regexp_replace(line, r"(?U)\s+\z", "")
+    capital = lambda ws: F.size(F.filter(ws, lambda w: w.rlike(r"\A\p{Lu}"))) * 2 >= F.size(ws)
+    over_row = F.coalesce(next_is_row, F.lit(False)) & (F.char_length(line) <= ROW)
+
+    def told(b: Column) -> Column:
+        shaped = ~b.rlike(r"[.:;,]\z") & ~line.rlike("[–—]") & has_letter(line) & ~line.rlike(NUMBER)
+        names = F.when(shaped, let(_words(line), lambda ws: (F.size(ws) >= 3) & (line.contains("|") | over_row | capital(ws)))).otherwise(False)
+        stops = (b == "") | b.rlike(r"[.!?]\z") | line.rlike(PARAGRAPH)
+        return F.when(names, F.struct(collapse(line).alias("text"))).when(stops, F.struct(F.lit(None).cast("string").alias("text")))
+
+    return let(bare, told)
+
+
+def _last_above(values: Column, line_no: Column, n: int) -> Column:
+    """The last value that is not null of the n lines above a line."""
+    above = F.slice(values, F.greatest(line_no - n, F.lit(0)) + 1, F.least(line_no, F.lit(n)))
+    return F.try_element_at(F.filter(above, lambda v: v.isNotNull()), F.lit(-1))
+
+
+def _with(frame: DataFrame, **columns: Column) -> DataFrame:
+    """Columns that are worked out once a row, also where lambda functions use them later: rows go through a generator of one."""
+    return frame.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _around(t: Column) -> Column:
+    """What a token's context needs of its page: columns text, lines, rows, judged, headings and wraps."""
+    text = F.col("text")
+    start, end = t["start"], t["end"]
+
+    def placed(h: Column) -> Column:
+        line_no = F.regexp_count(h["head"], F.lit("\n"))
+        return F.struct(
+            F.get("lines", line_no).alias("line"), F.get("rows", line_no).alias("row"), _last_above(F.col("judged"), line_no, HEADER_LINES)["text"].alias("header"), _last_above(F.col("headings"), line_no, HEADING_LINES).alias("heading"),
+            F.substring_index(h["head"], "\n", -1).alias("line_left"), F.substring_index(F.substring(text, end + 1, F.char_length(text)), "\n", 1).alias("line_right"), F.substring(text, start + 1, end - start).alias("value_text"),
+            F.substring(text, h["low"] + 1, start - h["low"]).alias("left"), F.substring(text, end + 1, F.lit(WINDOW)).alias("right"), (h["low"] > 0).alias("more_left"), (end + WINDOW < F.char_length(text)).alias("more_right"),
+        )
+
+    return let(F.struct(F.substring(text, F.lit(1), start).alias("head"), F.greatest(start - WINDOW, F.lit(0)).alias("low")), placed)
 
 
 def _clean(text: Column) -> Column:
@@ -73,15 +86,20 @@ def _clean(text: Column) -> Column:
 
 
 def candidate_contexts(pages: DataFrame) -> DataFrame:
-    """candidates() with their context: the first rule that applies gives its bounds."""
-    read = tokens(pages, F.col("text").alias("body")).withColumn("a", _around(F.col("body"))).drop("body")
-    found = numbered(read, pages)
-    at = {c: F.col(f"a.{c}") for c in ("line_left", "line_right", "left", "right", "value")}
-    table = lines(pages).select(F.col("doc_id").alias("_doc"), F.col("page").alias("_page"), F.col("line_no").alias("_line"), "line", "row", "header", "heading")
-    joined = found.join(table, (found["doc_id"] == table["_doc"]) & (found["page"] == table["_page"]) & (F.col("a.line_no") == table["_line"]))
+    """candidates() with their context: the first rule that applies gives its bounds.
+
+    A page's lines are judged once, within its row, and only on pages that have a candidate; contexts are made there too, so that no text is moved.
+    """
+    read = _with(pages.filter(has_letter(F.col("text"))).select("doc_id", "page", "text"), found=let(F.col("text"), token_structs)).filter(F.size("found") > 0)
+    read = _with(read, lines=F.split("text", "\n"), wraps=F.transform(wrapped_numbers(F.col("text")), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))))
+    read = _with(read, rows=F.transform("lines", is_row))
+    read = _with(read, judged=F.transform("lines", lambda x, i: _judged(x, F.get("rows", i + 1))), headings=F.transform("lines", lambda x: F.when(x.rlike(HEADING), collapse(x))))
+    near = read.select("doc_id", "page", "wraps", F.inline(F.transform("found", lambda t: F.struct(t.alias("t"), _around(t).alias("a")))))
+    joined = near.select("doc_id", "page", "wraps", "t.*", "a.*")
+    at = {c: F.col(c) for c in ("line_left", "line_right", "left", "right")}
     begin = F.col("start") - F.char_length(at["line_left"])
     stop = begin + F.char_length("line")
-    crossed = F.exists("a.wraps", lambda w: ((w["start"] < stop) & (stop < w["end"])) | ((w["start"] < begin - 1) & (begin - 1 < w["end"])))
+    crossed = F.exists("wraps", lambda w: ((w["start"] < stop) & (stop < w["end"])) | ((w["start"] < begin - 1) & (begin - 1 < w["end"])))
     on_line = (F.col("end") <= stop) & ~crossed
     label = on_line & (F.char_length(collapse(F.col("line"))) <= SHORT_LINE) & at["line_left"].contains(":")
     sentence = F.col("line").rlike(r"(?U)\.\s*\z") & (F.size(_words(F.col("line"))) >= 8)
@@ -90,14 +108,14 @@ def candidate_contexts(pages: DataFrame) -> DataFrame:
     prefix = F.when(on_line & F.col("row"), F.col("header")).when(label, F.col("heading")).when(flat, F.col("header"))
     # prose: back to the last end of a sentence, on to the next, at most WINDOW characters and whole words
     ended_left, ended_right = at["left"].rlike(SENTENCE_END), at["right"].rlike(SENTENCE_END)
-    cut_left, cut_right = ~ended_left & F.col("a.more_left"), ~ended_right & F.col("a.more_right")
+    cut_left, cut_right = ~ended_left & F.col("more_left"), ~ended_right & F.col("more_right")
     left = F.when(ended_left, F.regexp_replace(at["left"], rf"(?s)\A.*(?:{SENTENCE_END})", "")).when(cut_left, F.regexp_replace(at["left"], r"\A[^ ]* ", "")).otherwise(at["left"])
     right = F.when(ended_right, F.regexp_extract(at["right"], rf"(?s)\A(.*?(?=(?:{SENTENCE_END})).)", 1)).when(cut_right, F.regexp_replace(at["right"], r" [^ ]*\z", "")).otherwise(at["right"])
     parts = joined.select("*", whole_line.alias("_whole"), prefix.alias("_prefix"), (cut_left & ~whole_line).alias("_cl"), (cut_right & ~whole_line).alias("_cr"), F.when(whole_line, at["line_left"]).otherwise(left).alias("_l"), F.when(whole_line, at["line_right"]).otherwise(right).alias("_r"))
     # the mark takes in a currency beside the number, as far as the bounds go
     b, a = F.least(F.col("before"), F.char_length("_l")), F.least(F.col("after"), F.char_length("_r"))
     before, after = F.substring(F.col("_l"), F.lit(1), F.char_length("_l") - b), F.substring(F.col("_r"), a + 1, F.char_length("_r"))
-    value = F.concat(F.substring(F.col("_l"), F.char_length("_l") - b + 1, b), F.col("a.value"), F.substring(F.col("_r"), F.lit(1), a))
+    value = F.concat(F.substring(F.col("_l"), F.char_length("_l") - b + 1, b), F.col("value_text"), F.substring(F.col("_r"), F.lit(1), a))
     short = F.when(F.char_length("_prefix") > PREFIX, F.concat(F.regexp_replace(F.substring("_prefix", 1, PREFIX), r" [^ ]*\z", ""), F.lit(f" {CUT}"))).otherwise(F.col("_prefix"))
     head = F.concat(F.lit("s. "), F.col("page").cast("string"), F.lit(": "), F.coalesce(F.concat(F.lit("["), F.translate(_clean(short), "[]", "()"), F.lit("] ")), F.lit("")))
     spaced = lambda text, clean, edge, left_side: F.when((clean != "") & text.rlike(edge), F.concat(clean, F.lit(" ")) if left_side else F.concat(F.lit(" "), clean)).otherwise(clean)
@@ -110,4 +128,5 @@ def candidate_contexts(pages: DataFrame) -> DataFrame:
     fit_left = F.when(F.col("_kl") < n, F.regexp_replace(F.substring(F.col("_before"), n - F.col("_kl") + 1, F.col("_kl")), r"\A[^ ]* ", "")).otherwise(F.col("_before"))
     fit_right = F.when(F.col("_kr") < m, F.regexp_replace(F.substring(F.col("_after"), F.lit(1), F.col("_kr")), r"(?s) [^ ]*\z", "")).otherwise(F.col("_after"))
     context = F.concat("_head", F.when(F.col("_cl") | (F.col("_kl") < n), f"{CUT} ").otherwise(""), fit_left, "_mark", fit_right, F.when(F.col("_cr") | (F.col("_kr") < m), f" {CUT}").otherwise(""))
-    return parts.select(*[c for c in found.columns if c not in ("a", "before", "after")], context.alias("context"))
+    own = ("doc_id", "page", "start", "end", "text", "kind_no", "value", "currency", "date")
+    return numbered(parts.select(*own, context.alias("context")), pages)
