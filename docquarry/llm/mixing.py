@@ -9,7 +9,8 @@ probabilities moves through the null space of the balancing constraints (total t
 totals stay what they are, until each move has fixed one document at 0 or 1. Documents are dealt to blocks of
 a source by a hash of their ids; each block runs its flight in one pass and leaves at most two documents undecided.
 The undecided of all blocks meet again in larger blocks, and so on, until one block per source is left; its last
-documents are the landing problem and are rounded one by one so that taken words come nearest to the target.
+documents are the landing problem: they are rounded one by one, and single documents of that block change places, so that taken words come
+nearest to the target.
 
 Scale. The text is read once for its size; everything else works on (source, id, size). A block holds at most about
 BLOCK documents whatever its source's share; each round leaves 2 in BLOCK of them. Sources are never collected.
@@ -114,15 +115,31 @@ def flight(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
 
 
 def landing(p: np.ndarray, size: np.ndarray, draw: np.ndarray, gap: float) -> np.ndarray:
-    """Decides what the last flight of a source left, largest first, so that the words stay nearest to the target.
+    """Decides what the last flight of a source left, so that the words come nearest to the target.
 
-    gap: words that are still missing if all undecided documents were left out.
+    gap: words that are still missing if all undecided documents were left out. These are decided largest first. What is missing or too much
+    then is made good without the number of documents changing: a document that is taken and one that is not change places, the pair that
+    fits best, as long as that helps.
     """
     out = p.copy()
     undecided = np.flatnonzero((p > 0) & (p < 1))
     for i in undecided[np.lexsort((draw[undecided], -size[undecided]))]:
         out[i] = float(abs(gap - size[i]) < abs(gap))
         gap -= out[i] * size[i]
+    while gap:
+        taken, free = (np.flatnonzero(out == x) for x in (1.0, 0.0))
+        if not len(taken) or not len(free):
+            break
+        free = free[np.lexsort((draw[free], size[free]))]
+        wanted = size[taken] + gap
+        place = np.searchsorted(size[free], wanted)
+        sides = np.stack([np.maximum(place - 1, 0), np.minimum(place, len(free) - 1)])
+        miss = np.abs(size[free][sides] - wanted)
+        side, best = np.unravel_index(miss.argmin(), miss.shape)
+        if miss[side, best] >= abs(gap):
+            break
+        out[taken[best]], out[free[sides[side, best]]] = 0.0, 1.0
+        gap -= size[free[sides[side, best]]] - size[taken[best]]
     return out
 
 
