@@ -21,7 +21,7 @@ from ..operators.layout import page_text, with_recognised
 from ..operators.results import first_of_each, kept_results, marked_pages
 from ..operators.tokens import amounts, dates
 from ..sources import pages
-from . import exchange, reviews
+from . import edges, exchange, reviews
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,8 +358,9 @@ def queries() -> dict:
         "provider_problems_orders": provider_problems,
         **reviews.queries(),
         **exchange.queries(),
+        **edges.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_SQL, **reviews.oracle_sql(_RENDERED), **exchange.oracle_sql(_SQL["sentences_documents"])}
+    return {**_SQL, **reviews.oracle_sql(_RENDERED), **exchange.oracle_sql(_SQL["sentences_documents"]), **edges.oracle_sql()}

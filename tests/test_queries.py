@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.operators import contexts, requests, selection, validation
-from docquarry.plans import exchange, registry, reviews
+from docquarry.plans import edges, exchange, registry, reviews
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["candidates_orders", "contexts_invoices", "result_rules_orders", "attested_people_customer", "full_names_supplier", "assembled_orders", "file_gates_pages", "client_gates_documents", "settings_part", "error_status_events", "usage_events", "payloads_orders", "narrative_marks_orders", "layouts_conversations", *reviews.queries(), *exchange.queries()]
+NAMES = ["candidates_orders", "contexts_invoices", "result_rules_orders", "attested_people_customer", "full_names_supplier", "assembled_orders", "file_gates_pages", "client_gates_documents", "settings_part", "error_status_events", "usage_events", "payloads_orders", "narrative_marks_orders", "layouts_conversations", *reviews.queries(), *exchange.queries(), *edges.queries()]
 
 
 @pytest.fixture(scope="module")
