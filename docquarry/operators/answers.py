@@ -102,11 +102,12 @@ def bundles(documents: DataFrame, pages: DataFrame, found: DataFrame) -> DataFra
     no bundle. plain: texts as names are compared; found: candidates in order.
     """
     fact = F.struct("candidate_id", "kind", F.col("value").cast("double").alias("value"), "currency", F.col("date").cast("string").alias("date"), "context")
-    seen = found.filter("NOT too_many").groupBy("doc_id").agg(F.array_sort(F.collect_list(fact)).alias("found"))
+    seen = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(~F.col("too_many"), fact))).alias("found"), F.bool_or("too_many").alias("too_many"))
     sized = pages.select("doc_id", F.struct("page", "text").alias("p"), normal_name(composed(F.col("text"))).alias("n"), F.char_length("text").alias("chars"))
     whole = sized.groupBy("doc_id").agg(F.collect_list("p.text").alias("texts"), F.collect_list("n").alias("plain"), F.sum("chars").alias("chars")).filter(F.col("chars") <= MOST_CHARS)
     none = F.array().cast(seen.schema["found"].dataType)
-    return documents.join(whole.drop("chars"), "doc_id").join(seen, "doc_id", "left").withColumn("found", F.coalesce("found", none))
+    told = documents.join(whole.drop("chars"), "doc_id").join(seen, "doc_id", "left").filter(~F.coalesce("too_many", F.lit(False)))
+    return told.drop("too_many").withColumn("found", F.coalesce("found", none))
 
 
 def compact_answers(attempts: DataFrame, bundle: DataFrame) -> DataFrame:

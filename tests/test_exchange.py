@@ -283,3 +283,11 @@ def test_shapes_of_answers(spark, table):
         value, shape = {"amounts": [{"value": 1, "currency": "PLNX", "basis": "net", "period": "other", "status": "now", "context": " ", "page": 0, "evidence": "e" * 301}], "dates": [], "organizations": [], "people": [None], "keywords": []}, contract.CHUNK
         expected = ["amounts.0.currency: String should have at most 3 characters", "amounts.0.status: Input should be 'current', 'rejected', 'historical', 'proposed', 'estimated', 'budget', 'maximum' or 'unspecified'", "amounts.0.context: Value error, must not be blank", "amounts.0.page: Input should be greater than or equal to 1", "amounts.0.evidence: String should have at most 300 characters", "people.0: Input should be a valid string"]
     assert spark.createDataFrame([(json.dumps(value),)], "t string").select(shapes.problems(shapes.strict_json(F.col("t")), shape)).first()[0] == expected
+
+
+def test_no_bundle_over_the_limits(spark):
+    """A document with too many candidates or characters has no bundle, so nothing is made of its answers; one without any candidate has."""
+    pages = spark.createDataFrame([(1, 1, "kwota 5,00 zł\n" * 401), (2, 1, "x" * 64_001), (3, 1, "nic"), (4, 1, "kwota 5,00 zł")], "doc_id long, page int, text string")
+    papers = spark.createDataFrame([(i, "a", 1, [], []) for i in range(1, 5)], "doc_id long, file_name string, pages int, pages_without_text array<int>, ocr_pages array<int>")
+    found = answers.bundles(papers, pages, candidate_contexts(pages)).select("doc_id", F.size("found").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in found} == {3: 0, 4: 1}
