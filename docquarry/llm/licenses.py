@@ -4,8 +4,8 @@ A text is lower-cased (A-Z), cut into words of [a-z0-9] and non-ASCII characters
 carries a space of its own on both sides (" w1  w2 "). A phrase or a rule is then a pattern over such cells;
 neighbouring matches share no character, and a word's index is the number of spaces before it, halved.
 
-Method. `rules()` gives some hundred signature rules made from license names and templates: each has a keyword,
-a regular expression, a label, a priority (0 is strongest) and a confidence. A text without any keyword is left
+Method. `rules()` gives the signature rules: wordings of license texts and file headers (`WORDINGS`), and names of licenses in the ways in which they
+are cited. Each has a keyword, a regular expression, a label, a priority (0 is strongest) and a confidence. A text without any keyword is left
 at once; on the others only rules whose keyword occurs are matched. A detection is suppressed if an interval of
 the same or a stronger priority contains it; equal intervals keep the stronger, then the rule that comes first.
 All of it happens inside the row: there is no shuffle, and one license or source may hold any share of the rows.
@@ -16,6 +16,8 @@ Defined results. Null is the empty text: no words, counts 0, first_word and last
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,74 @@ FAMILIES: dict[str, tuple[list[str], list[str]]] = {
 GRANTS = ["licensed", "released", "distributed", "published", "available", "provided", "redistributable", "relicensed", "offered"]
 
 
+# What license texts, file headers and disclaimers say. label, words, priority, confidence; "..." stands for up to MOST_BETWEEN other words, "[x]" for words that may be left out.
+WORDINGS: list[tuple[str, str, int, float]] = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 1, 0.95),
+    ("mit", "permission is hereby granted free of charge", 2, 0.8),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies", 1, 0.9),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 0, 0.98),
+    ("isc", "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted", 1, 0.95),
+    ("hpnd", "permission to use copy modify and distribute this software and its documentation for any purpose", 1, 0.85),
+    ("bsd", "redistribution and use in source and binary forms", 2, 0.8),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", 1, 0.9),
+    ("bsd-2-clause", "redistributions in binary form must reproduce the above copyright notice", 2, 0.8),
+    ("bsd-3-clause", "neither the name ... may be used to endorse or promote products", 1, 0.95),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display", 1, 0.95),
+    ("apache-2.0", "you may not use this file except in compliance with the license", 1, 0.9),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 1, 0.9),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", 0, 0.98),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1", 0, 0.98),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", 0, 0.98),
+    ("epl-1.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0", 0, 0.98),
+    ("unlicense", "this is free and unencumbered software released into the public domain", 1, 0.95),
+    ("cc0", "to the extent possible under law ... has waived all copyright", 1, 0.95),
+    ("zlib", "altered source versions must be plainly marked as such", 1, 0.95),
+    ("wtfpl", "do what the fuck you want to", 1, 0.95),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied", 1, 0.95),
+    ("python", "psf hereby grants licensee a nonexclusive royalty free world wide license", 1, 0.95),
+    ("openssl", "this product includes software developed by the openssl project", 1, 0.95),
+    ("gpl", "this program is free software you can redistribute it and or modify it", 2, 0.8),
+    ("lgpl", "this library is free software you can redistribute it and or modify it", 2, 0.8),
+    ("gfdl", "permission is granted to copy distribute and or modify this document", 1, 0.9),
+    ("cc", "you are free to share copy and redistribute the material in any medium or format", 2, 0.7),
+    ("proprietary", "unauthorized copying of this file ... is strictly prohibited", 1, 0.9),
+    ("proprietary", "confidential and proprietary", 3, 0.6),
+    ("warranty-disclaimer", "provided as is without [any] warranty", 3, 0.6),
+    ("warranty-disclaimer", "provided as is without [any] express or implied warranty", 3, 0.6),
+    ("warranty-disclaimer", "as is without warranty of any kind express or implied", 3, 0.6),
+    ("warranty-disclaimer", "without any warranty without even the implied warranty of merchantability", 3, 0.6),
+    ("warranty-disclaimer", "provided by the copyright holders and contributors as is", 3, 0.6),
+    ("warranty-disclaimer", "there is no warranty for the program to the extent permitted by applicable law", 3, 0.6),
+]
+MOST_BETWEEN = 20
+#: Licenses of one family that are granted in a version alone, or in that and all later ones.
+GRADED = {"gpl": "general", "lgpl": "lesser general", "agpl": "affero general"}
+GRADES = {"gpl": ["1", "2", "3"], "lgpl": ["2", "2 1", "3"], "agpl": ["3"]}
+# End of the fixed values.
+
+
+def _wording(words: str) -> tuple[str, str]:
+    """Keyword and pattern of a wording: the keyword is its longest run of words that must be there and that the gate knows."""
+    parts = re.split(r" ?(\.\.\.|\[[^\]]*\]) ?", words)
+    pattern = "".join(f"(?: [^ ]+ ){{1,{MOST_BETWEEN}}}" if p == "..." else _optional(p[1:-1]) if p.startswith("[") else _cells(p) for p in parts)
+    return max((_cells(p) for p in parts[::2] if re.search(GATE, _cells(p))), key=len), pattern
+
+
+def _grades() -> list[tuple[str, str, str, int, float]]:
+    """Rules of "or later" and "only": as identifiers, beside a name, and in the header of a file."""
+    out = []
+    for stem, kind in GRADED.items():
+        for version in GRADES[stem]:
+            label, n = f"{stem}-{version.replace(' ', '.')}", _cells(version) + ("" if " " in version else "(?: 0 )?")
+            for grade in ("or later", "only"):
+                own = f"{label}-{grade.replace(' ', '-')}"
+                out.append((own, _cells(stem), _optional("spdx license identifier") + _cells(stem) + f"(?: (?:version|v|ver) )?{n}" + _cells(grade), 0, 0.97))
+                out.append((own, _cells(f"{kind} public license"), _optional("gnu") + _cells(f"{kind} public license") + f"(?: (?:version|v|ver) )?{n}" + _cells(grade), 0, 0.97))
+            later = _cells("either version") + _cells(version) + _cells("of the license or") + _optional("at your option") + _cells("any later")
+            out.append((f"{label}-or-later", _cells("any later"), _optional("gnu") + _cells(f"{kind} public license") + f"(?: [^ ]+ ){{1,{MOST_BETWEEN}}}" + later, 0, 0.98))
+    return out
+
+
 def _cells(words: str) -> str:
     """Pattern of consecutive words, each with its own spaces."""
     return "".join(f" {w} " for w in words.split())
@@ -84,7 +154,7 @@ def _optional(words: str) -> str:
 
 def rules() -> list[tuple[int, str, str, str, int, float]]:
     """(rule, label, keyword in cells, pattern, priority, confidence), strongest first."""
-    out = []
+    out = [(label, *_wording(words), priority, confidence) for label, words, priority, confidence in WORDINGS] + _grades()
     grant = f" (?:{'|'.join(GRANTS)}) " + " (?:under|with) " + _optional("the") + _optional("terms of") + _optional("the")
     for stem, (names, versions) in FAMILIES.items():
         for version in versions:
@@ -109,7 +179,10 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
 
 PRIORITIES = 5
 #: One cheap pattern that every text with a rule's keyword matches.
-GATE = r" (?:licen[sc]ed?|unlicense|gpl|lgpl|agpl|gfdl|mpl|epl|cddl|eupl|odbl|cc|cc0|creative|wtfpl|domain|reserved) "
+GATE = (
+    r" (?:licen[sc]ed?|unlicense|gpl|lgpl|agpl|gfdl|mpl|epl|cddl|eupl|odbl|cc|cc0|creative|wtfpl|domain|reserved|permission|redistributions?|endorse|advertising|unencumbered|waived|altered|fuck|intent|licensee|openssl"
+    r"|redistribute|prohibited|unauthorized|proprietary|warranty|contributors|later) "
+)
 
 
 def normalised(text: Column) -> Column:
