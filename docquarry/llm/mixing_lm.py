@@ -11,8 +11,11 @@ seen. A table then refines the mixed probability by what came true after like pr
 a text is scored, its weights learn from it, STEP bits at a time, from the trained state on; the next text starts afresh
 (so does each PIECE of a very long text), so a score depends on the text and the model alone.
 
+Copies. Texts are grouped by their bytes first, in the tasks before they are moved, and written with the number of training rows
+that hold them. Word counts, learning and scoring take each distinct text once, and rows find their text's score by its SHA-256.
+
 Learning. Every training row is learned from. Texts are dealt to learners by a hash of their content, and a learner takes them in order of that
-hash, so the model depends on the texts and not on how rows are dealt, read or estimated. Copies fold in the tasks before texts are moved, and a learner takes
+hash, so the model depends on the texts and not on how rows are dealt, read or estimated. A learner takes
 a text once, with the number of its copies. The number of learners follows the summed length of the training texts: one for LEARNER_BYTES, at most
 MOST_LEARNERS. A learner predicts each block of texts with the counts of the blocks before it, learns weights and refinement from that (a Newton
 step), and then counts the block, each text as often as it has copies. Counts of learners are added slice by slice,
@@ -145,11 +148,11 @@ def contexts(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     second = np.r_[np.uint64(0), before[:-1]]
     second[head] = 0
     m = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-    found, last, piece = {}, np.zeros(len(data), np.uint64), np.cumsum(first, dtype=np.int32)
+    found, last, since = {}, np.zeros(len(data), np.uint64), place - np.repeat(starts, np.diff(np.r_[starts, len(data)]))
+    value = data.astype(np.uint64) + np.uint64(1)
     for k in range(1, 7):
-        there = np.zeros(len(data), np.uint64)
-        there[k:] = np.where(piece[k:] == piece[:-k], data[:-k].astype(np.uint64) + np.uint64(1), np.uint64(0))
-        last = last * np.uint64(257) + there
+        last = last * np.uint64(257)
+        last[k:] += value[:-k] * (since[k:] >= k)
         found[k] = last
     words = prefix + (before * m[0] + second * m[1])[word]
     return [(_mix(x + np.uint64(k + 1) * m[2]) >> np.uint64(32)).astype(np.uint32) for k, x in enumerate((found[2], found[4], found[6], words))]
@@ -183,9 +186,10 @@ def flattened(block: list[tuple[int, bytes, int]], code: Code, bits: int) -> tup
     ends = np.cumsum(n)
     pick = np.arange(int(ends[-1])) + np.repeat(begin - (ends - n), n)
     spread = code.node[pick] * np.uint32(0x9E3779B1)
+    byte = np.repeat(at, n)
     slots = []
     for context, b, start in zip(found, slot_bits(bits), slot_starts(bits)):
-        h = (np.repeat(context[at], n) + spread) * np.uint32(0x85EBCA6B)
+        h = (context.take(byte) + spread) * np.uint32(0x85EBCA6B)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0xC2B2AE35)
         slots.append((h >> np.uint32(32 - b)).astype(np.intp) + start)
@@ -231,14 +235,12 @@ def mixed(bit: np.ndarray, inputs: np.ndarray, sizes: np.ndarray, state: State)
     chunk = np.cumsum(chunks) - chunks
     place = np.arange(len(bit)) + np.repeat(chunk * STEP - first, sizes)
     n = int(chunks.sum())
-    gates, true, x = np.full(n * STEP, -1, np.int8), np.zeros(n * STEP, np.float32), np.empty((n, GATES * PREDICTORS, STEP), np.float32)
-    gates[place], true[place] = gate, bit
-    masks = [(gates == g).astype(np.float32).reshape(n, STEP) for g in range(GATES)]
+    true, x = np.zeros(n * STEP, np.float32), np.zeros((n, GATES * PREDICTORS, STEP), np.float32)
+    true[place] = bit
+    # a bit's inputs stand in the rows of its gate, the other gates' rows are zero
+    cell = place // STEP * (GATES * PREDICTORS * STEP) + place % STEP + gate.astype(np.intp) * (PREDICTORS * STEP)
     for k in range(PREDICTORS):
-        spread = np.zeros(n * STEP, np.float32)
-        spread[place] = inputs[k]
-        for g in range(GATES):
-            np.multiply(spread.reshape(n, STEP), masks[g], out=x[:, g * PREDICTORS + k])
+        x.ravel()[cell + k * STEP] = inputs[k]
     true, z = true.reshape(n, STEP), np.zeros((n, STEP), np.float32)
     weights = np.tile(state.weights.ravel(), (len(sizes), 1))
     order = np.argsort(-chunks, kind="stable")
@@ -289,10 +291,10 @@ class Learner:
         gated = counted(gate, GATES, times)
         for g in np.flatnonzero(gated):
             at = np.flatnonzero(gate == g)
-            x, weights = inputs[:, at], self.state.weights[g]
+            x, weights = np.stack([row.take(at) for row in inputs]), self.state.weights[g]
             z[at] = zs = np.clip(weights @ x, -WIDEST, WIDEST)
             p = 1 / (1 + np.exp(-zs))
-            self.curved[g] = KEEP * self.curved[g] + (x * (p * (1 - p))) @ x.T
+            self.curved[g] = KEEP * self.curved[g] + np.array([[a @ b for b in x] for a in x * (p * (1 - p))])
             step = np.linalg.solve(self.curved[g] + np.eye(PREDICTORS), x @ (bit[at] - p))
             self.state.weights[g] = np.clip(weights + step, -4, 4)
         self.gated += gated
@@ -371,7 +373,7 @@ def _texts(column: pa.Array, most: int = 1 << 22) -> Iterator[list[bytes]]:
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of a task with their counts, folded about a million at a time."""
+    """Words of a task with their counts, each text's as often as it has copies (second column, if there is one), folded about a million at a time."""
     seen: Counter[bytes] = Counter()
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -382,17 +384,24 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen.clear()
 
     for batch in batches:
+        done = 0
+        copies = batch.column(1).to_pylist() if batch.num_columns > 1 else [1] * batch.num_rows
         for texts in _texts(batch.column(0)):
-            for t in texts:
-                seen.update(t.lower().split())
-            seen[END.encode()] += len(texts)
+            for t, n in zip(texts, copies[done:]):
+                if n == 1:
+                    seen.update(t.lower().split())
+                else:
+                    for w, k in Counter(t.lower().split()).items():
+                        seen[w] += k * n
+            seen[END.encode()] += sum(copies[done : done + len(texts)])
+            done += len(texts)
             if len(seen) > 500_000:
                 yield from flush()
     yield from flush()
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(token, c) of training rows (raw)."""
+    """(token, c) of training rows (raw), or of distinct texts and their copies (raw, n)."""
     return rows.mapInArrow(_folded, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
@@ -423,7 +432,7 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(rows: DataFrame, code: Code, size: int) -> Model:
-    """A model of all training rows (raw); size: the summed length of the texts."""
+    """A model of all training rows (raw), or of distinct texts and their copies (raw, n); size: the summed length of the texts."""
     bits = min(MOST_BITS, max(LEAST_BITS, (size // SLOT_BYTES).bit_length()))
     n = max(1, min(MOST_LEARNERS, -(-size // LEARNER_BYTES)))
 
@@ -450,7 +459,8 @@ def train(rows: DataFrame, code: Code, size: int) -> Model:
         if learner is not None:
             yield from learner.parts(number)
 
-    hashed = rows.mapInArrow(_copies, "raw binary, n long").withColumn("hash", F.xxhash64("raw"))
+    folded = rows if "n" in rows.columns else rows.mapInArrow(_copies, "raw binary, n long")
+    hashed = folded.withColumn("hash", F.xxhash64("raw"))
     dealt = hashed.withColumn("learner", F.pmod("hash", F.lit(n)).cast("int")).repartitionById(n, F.col("learner")).sortWithinPartitions("learner", "hash", "raw")
     learned = dealt.select("raw", "n", "learner").mapInArrow(run, "slice int, learner int, blob binary")
     slices = materialize(learned.repartition("slice").groupBy("slice").applyInArrow(_united, "slice int, blob binary"), "slices")
@@ -466,7 +476,7 @@ def train(rows: DataFrame, code: Code, size: int) -> Model:
     return Model(code, bits, odds, state)
 
 
-_SCORED = "doc_id long, held_out boolean, n_bytes long, bits double, n_tokens long, n_known long, base double, rare array<struct<token:binary,n:long>>"
+_SCORED = "digest binary, n_bytes long, bits double, n_tokens long, n_known long, base double, rare array<struct<token:binary,n:long>>"
 
 
 def _scored(model, frequent):
@@ -476,8 +486,8 @@ def _scored(model, frequent):
         known = frequent.value
         for batch in batches:
             done = 0
-            for texts in _texts(batch.column(2)):
-                rows = batch.slice(done, len(texts))
+            for texts in _texts(batch.column(1)):
+                digests = batch.column(0).slice(done, len(texts))
                 done += len(texts)
                 tokens, sure, base, rare = [], [], [], []
                 for t in texts:
@@ -489,7 +499,7 @@ def _scored(model, frequent):
                     base.append(math.fsum(n * known[w] for w, n in found.items() if w in known))
                     rare.append(unknown)
                 made = [pa.array([len(t) for t in texts], pa.int64()), pa.array(model.value.cost(texts)), pa.array(tokens, pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())])))]
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *made], names=["doc_id", "held_out", "n_bytes", "bits", "n_tokens", "n_known", "base", "rare"])
+                yield pa.RecordBatch.from_arrays([digests, *made], names=["digest", "n_bytes", "bits", "n_tokens", "n_known", "base", "rare"])
 
     return run
 
@@ -497,18 +507,21 @@ def _scored(model, frequent):
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of docs."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _held_out(doc_id).alias("held_out"), _raw(text).alias("raw"))
-    training = rows.filter("NOT held_out").select("raw")
+    texts = materialize(rows.groupBy("raw").agg(F.count_if(~F.col("held_out")).alias("n")), "texts")
+    training = texts.filter("n > 0")
     counts = materialize(word_counts(training), "counts")
     total, distinct, size = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.col("c") * (F.octet_length("token") + 1))).first())
     most = counts.filter(F.octet_length("token") <= FREQUENT_LENGTH).orderBy(F.desc("c"), "token").limit(FREQUENT)
     send = docs.sparkSession.sparkContext.broadcast
     frequent = send({bytes(r["token"]): math.log10((r["c"] + 1) / (total + distinct + 1)) for r in most.collect()})
     model = send(train(training, Code.of(pair_counts(counts)), size))
-    scored = materialize(rows.mapInArrow(_scored(model, frequent), _SCORED).withColumn("key", F.monotonically_increasing_id()), "scored")
+    digest = F.unhex(F.sha2("raw", 256)).alias("digest")
+    scored = materialize(texts.select(digest, "raw").mapInArrow(_scored(model, frequent), _SCORED).withColumn("key", F.monotonically_increasing_id()), "scored")
     pairs = scored.select("key", F.explode("rare").alias("r")).select("key", "r.token", "r.n")
     c = F.coalesce("c", F.lit(0))
     found = pairs.join(counts, "token", "left").groupBy("key").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10((c + 1) / F.lit(float(total + distinct + 1)))).alias("rest"))
-    whole = scored.drop("rare").join(found, "key", "left")
+    whole = rows.select("doc_id", "held_out", digest).join(scored.drop("rare").join(found, "key", "left"), "digest")
+    discard(texts)
     return whole.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("bits") * -math.log10(2)).alias("score"), F.when(F.col("n_bytes") > 0, F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"),
