@@ -11,6 +11,8 @@ the DEGREE nearest. Rounds are Spark joins and end when few links change. A quer
 each round opens its EXPAND best nodes that are not open yet, joins their neighbours, scores them in
 double precision and keeps the POOL best, until no query has a closed node among its best. For the search, rings through
 random groups of nodes add long links, so that tight groups of vectors, which only link among themselves, are left again.
+Rows without any structure need wider searches: the recall of PROBES queries is measured against all nodes, and as long as it is
+below GOAL, pools grow and the search goes on; a pool that holds every node is an exact search.
 
 Scale. A gathering holds at most 2 * DEGREE nodes: reverse links fold on the map side to one for each of DEGREE hash
 slots, and offers are cut to the nearest DEGREE of a node within each task before they are shuffled, so a node that everyone is
@@ -26,7 +28,7 @@ candidates all are found. An empty table gives an empty result. Other columns ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,6 +45,7 @@ BATCH = 64
 ROUNDS, ENOUGH = 8, 0.02
 PLANES, GROUP = 4, 64
 POOL, EXPAND, RINGS = 48, 12, 2
+PROBES, GOAL = 64, 0.95
 SEED = 42
 
 
@@ -178,6 +181,50 @@ def long_links(points: DataFrame) -> DataFrame:
     return out.filter("a <> b")
 
 
+def probes(asked: DataFrame, points: DataFrame, top: int) -> DataFrame:
+    """(q, k, least): of PROBES queries (q, qv), how many nodes are among the `top` nearest of all nodes, and the least score of these."""
+    chosen = asked.orderBy(F.xxhash64("q"), "q").limit(PROBES).collect()
+    if not chosen:
+        return asked.selectExpr("q", "1 AS k", "0D AS least")
+    ids, x = np.array([r["q"] for r in chosen]), np.array([r["qv"] for r in chosen])
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                s = x @ np.stack(batch["v"].to_numpy()).T
+                s = -np.sort(-s, axis=1)[:, :top]
+                yield pd.DataFrame({"q": np.repeat(ids, s.shape[1]), "s": s.ravel()})
+
+    each = points.select("v").mapInPandas(best, "q long, s double")
+    nearest_ = each.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s")))).filter(f"n <= {top}")
+    return materialize(nearest_.groupBy("q").agg(F.count(F.lit(1)).alias("k"), F.min("s").alias("least")), "probes")
+
+
+def probed_recall(pool: DataFrame, limits: DataFrame) -> float:
+    """The share of the probes' nearest nodes that their pools hold; scores are the same but for the order of their sums."""
+    near = limits.join(pool, "q", "left").groupBy("q").agg(F.max("k").alias("k"), F.count_if(F.col("s") >= F.col("least") - 1e-9 * F.abs("least")).alias("hit"))
+    share = near.agg(F.sum(F.least("hit", "k")).alias("hit"), F.sum("k").alias("k")).first()
+    return share["hit"] / share["k"] if share["k"] else 1.0
+
+
+def _explored(pool: DataFrame, lists: DataFrame, scored: Callable[[DataFrame], DataFrame], size: int) -> DataFrame:
+    """The pool (q, c, s, open) once its `size` best nodes of each query are open; lists: (a, near)."""
+    expand = EXPAND * size // POOL
+    while True:  # the best only get better, and each round opens some, so it ends
+        order = Window.partitionBy("q").orderBy("open", F.desc("s"), "c")
+        marked = pool.withColumn("now", (F.row_number().over(order) <= expand) & ~F.col("open"))
+        marked = materialize(marked, "marked")
+        if marked.filter("now").head(1) == []:
+            discard(marked)
+            return pool
+        fresh = marked.filter("now").join(lists, F.col("c") == F.col("a")).select("q", F.explode("near").alias("c")).distinct().join(pool.select("q", "c"), ["q", "c"], "left_anti")
+        both = marked.select("q", "c", "s", (F.col("open") | F.col("now")).alias("open")).union(scored(fresh))
+        best = both.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "c"))).filter(f"n <= {size}").drop("n")
+        following = materialize(best, "pool")
+        discard(pool, marked)
+        pool = following
+
+
 def search(queries: DataFrame, points: DataFrame, graph: DataFrame, members: DataFrame, top: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score) of queries (query_id, node, v) that are rows of the index themselves."""
     asked = queries.select(F.col("node").alias("q"), F.col("v").alias("qv")).dropDuplicates(["q"])
@@ -192,19 +239,15 @@ def search(queries: DataFrame, points: DataFrame, graph: DataFrame, members: Dat
         return pairs.join(v, "c").join(asked, "q").select("q", "c", score.alias("s"), F.lit(False).alias("open"))
 
     pool = materialize(scored(asked.select("q", F.col("q").alias("c"))), "pool")
-    while True:  # the POOL best only get better, and each round opens some, so it ends
-        order = Window.partitionBy("q").orderBy("open", F.desc("s"), "c")
-        marked = pool.withColumn("now", (F.row_number().over(order) <= EXPAND) & ~F.col("open"))
-        marked = materialize(marked, "marked")
-        if marked.filter("now").head(1) == []:
-            discard(marked)
+    size, n, limits = POOL, points.count(), probes(asked, points, top + 1)
+    while True:
+        pool = _explored(pool, out, scored, size)
+        found = probed_recall(pool, limits)
+        if found >= GOAL or size >= n:
             break
-        fresh = marked.filter("now").join(out, F.col("c") == F.col("a")).select("q", F.explode("near").alias("c")).distinct().join(pool.select("q", "c"), ["q", "c"], "left_anti")
-        both = marked.select("q", "c", "s", (F.col("open") | F.col("now")).alias("open")).union(scored(fresh))
-        best = both.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "c"))).filter(f"n <= {POOL}").drop("n")
-        following = materialize(best, "pool")
-        discard(pool, marked)
-        pool = following
+        size *= 2 if found > 0.8 else 4
+        # what fell out of the smaller pool is met again from its nodes
+        pool = pool.withColumn("open", F.lit(False))
     held = pool.join(members, F.col("c") == F.col("node")).select("q", "c", "s", "members", F.size("members").alias("k"))
     # members of nearer nodes; a node matters only where these are at most `top`, the query's own row included
     nearer = F.sum("k").over(Window.partitionBy("q").orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, 0)) - F.sum("k").over(Window.partitionBy("q", "s"))

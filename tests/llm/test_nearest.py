@@ -62,3 +62,10 @@ def test_tight_groups_and_one_long_vector(spark):
     rows = [(k, (centres[k % 60] + 1e-3 * rng.normal(size=12)).tolist()) for k in range(780)]
     assert recall_of(spark, rows) >= 0.9
     assert recall_of(spark, [*rows, (781, (1e4 * centres[0]).tolist())]) >= 0.9
+
+
+def test_rows_without_structure(spark):
+    """Nothing leads from one vector to the next, and lengths differ: the search must widen until it finds enough."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1500, 48)) * np.exp(rng.normal(size=(1500, 1)))
+    assert recall_of(spark, [(k, v.tolist()) for k, v in enumerate(x)]) >= 0.9
