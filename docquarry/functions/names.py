@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,10 +27,10 @@ def fold(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
-def clean_list(names: Column) -> Column:
-    """Names in order, stripped; blank ones and those equal to an earlier one but for case are dropped."""
+def clean_list(names: Column, same: Callable[[Column], Column] = fold) -> Column:
+    """Names in order, stripped; blank ones and those equal to an earlier one but for case are dropped. same: the form in which names are compared."""
     clean = F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), strip), lambda x: x != "")
-    return let(clean, lambda own: let(F.transform(own, fold), lambda low: F.filter(own, lambda x, i: F.array_position(low, fold(x)) == i + 1)))
+    return let(clean, lambda own: let(F.transform(own, same), lambda low: F.filter(own, lambda x, i: F.array_position(low, same(x)) == i + 1)))
 
 
 def distinct_names(names: Column) -> Column:

@@ -58,3 +58,12 @@ def test_rules_on_nothing(spark):
     (problems,) = empty.select(validation.result_problems()).first()
     assert "document.title" in problems and "analysis" not in problems and len(problems) == 12
     assert spark.range(1).select(requests.payload(F.lit(None).cast("string")).isNull()).first()[0]
+
+
+def test_keyword_caps_keep_sharp_s(spark, tmp_path):
+    """The SQL compares lower-case forms: ß and SS are two words."""
+    spark.createDataFrame([(1, "SS ß ss Ä ä"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = sorted(con.execute(registry.oracle_sql()["keyword_caps_documents"]).fetchall())
+    assert sorted(tuple(r) for r in edges.keyword_caps(spark, str(tmp_path)).collect()) == expected == [(1, 3, "SS|ß|Ä", "SS|ß|Ä"), (2, 0, "", "")]
