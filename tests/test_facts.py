@@ -96,3 +96,11 @@ def test_limits_on_a_stream(spark, tmp_path):
     query.awaitTermination(60)
     assert [(r["user_id"], r["n"]) for r in spark.table("limited").collect()] == [(1, 7)]
     assert checks.limited_minutes(batch).count() == 1
+
+
+def test_rebuilt_selection_makes_candidates_once(spark):
+    """What meets the candidates three times reads them as they were written."""
+    from docquarry.plans import reviews
+
+    plan = reviews.rebuilt_invoices(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and len(plan) < 50_000
