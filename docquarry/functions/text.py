@@ -16,7 +16,8 @@ def matches(text: Column, pattern: str) -> Column:
 
     Each match is wrapped in a mark, the text is split at the marks, and lengths are added up along the pieces.
     """
-    parts = F.split(F.regexp_replace(F.translate(text, _MARK, " "), f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK)
+    plain = F.when(text.contains(_MARK), F.translate(text, _MARK, " ")).otherwise(text)
+    parts = F.split(F.regexp_replace(plain, f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK)
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast(_FOUND).alias("found"))
 
     def step(acc: Column, part: Column) -> Column:

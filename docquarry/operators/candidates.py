@@ -14,8 +14,8 @@ EDGE_LINES, LEAST_PAGES, MOST_CANDIDATES = 2, 3, 400
 # End of the fixed values.
 
 
-#: What a page's text must hold for any of its lines to have a marker; digits are not folded there yet.
-_MARKED = MARKER.replace("#", "[0-9]")
+#: What a page's text must hold for any of its lines to have a marker; digits are not folded there yet, and the first letters are looked at first.
+_MARKED = MARKER.replace("#", "[0-9]").replace("(?iuU)", "(?iuU)(?=[spvwr])(?:", 1) + ")"
 _OWN = ("doc_id", "page", "start", "end", "text", "kind_no", "value", "currency", "date", "spans")
 
 

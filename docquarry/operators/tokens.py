@@ -28,12 +28,14 @@ EN_MONTHS = "january february march april may june july august september october
 WRAP_LINE, WRAP_WORDS = 60, 3
 _MONTHS = PL_MONTHS.split() + EN_MONTHS.split()
 _ANY_MONTH = "|".join(_MONTHS)
+#: NUMBER, with places that do not begin with a digit left at once.
+_NUMBER = "(?=[0-9])" + NUMBER
 #: What a text must hold, the form, its parts, and which of these are year, month and day.
 _DATES = (
     (r"[0-9]-[0-9]", r"(?<![0-9])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])", r"([0-9]{4})-([0-9]{2})-([0-9]{2})", (1, 2, 3)),
     (r"[0-9]\.[0-9]", r"(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9])", r"([0-9]+)\.([0-9]+)\.([0-9]+)", (3, 2, 1)),
     (r"(?U)[0-9]\s+\p{L}{3,}\s+[0-9]{4}", rf"(?iuU)(?<![0-9])[0-9]{{1,2}}\s+(?:{_ANY_MONTH})\s+[0-9]{{4}}(?![0-9])", r"(?U)([0-9]+)\s+(\S+)\s+([0-9]+)", (3, 2, 1)),
-    (r"(?U)\p{L}{3,}\s+[0-9]{1,2},\s*[0-9]{4}", rf"(?iuU)\b(?:{_ANY_MONTH})\s+[0-9]{{1,2}},\s*[0-9]{{4}}(?![0-9])", r"(?U)(\S+)\s+([0-9]+),\s*([0-9]+)", (3, 1, 2)),
+    (r"(?U)[0-9],\s*[0-9]{4}", rf"(?iuU)\b(?:{_ANY_MONTH})\s+[0-9]{{1,2}},\s*[0-9]{{4}}(?![0-9])", r"(?U)(\S+)\s+([0-9]+),\s*([0-9]+)", (3, 1, 2)),
 )
 
 
@@ -73,14 +75,16 @@ def amount_tokens(text: Column) -> Column:
 
     A number that goes on in the next line is one amount where its line is prose; elsewhere both parts are left out.
     """
-    numbers = F.when(text.rlike("[0-9]"), matches(text, NUMBER)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    numbers = F.when(text.rlike("[0-9]"), matches(text, _NUMBER)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
     declared = F.when(text.rlike("Waluta|Currency"), currency_code(F.regexp_extract(text, DECLARED, 1)))
 
     def beside(t: Column) -> Column:
         """The markers behind and before a number, and their codes."""
         behind, ahead = F.substring(text, t["end"] + 1, F.lit(12)), F.substring(text, F.greatest(t["start"] - 5, F.lit(1)), F.least(t["start"], F.lit(6)))
-        markers = F.struct(F.regexp_extract(behind, AFTER, 0).alias("after"), F.regexp_extract(behind, AFTER, 1).alias("a"), F.regexp_extract(ahead, BEFORE, 0).alias("before"), F.regexp_extract(ahead, BEFORE, 1).alias("b"), t.alias("t"))
-        coded = lambda m: F.struct(m["t"].alias("t"), m["after"].alias("after"), m["before"].alias("before"), F.when(m["a"] != "", currency_code(m["a"])).alias("a"), F.when(m["b"] != "", currency_code(m["b"])).alias("b"))
+        markers = F.struct(F.regexp_extract(behind, AFTER, 0).alias("after"), F.regexp_extract(ahead, BEFORE, 0).alias("before"), t.alias("t"))
+        # most numbers have no marker on one side, or on both
+        code = lambda marked, shape: F.when(marked != "", currency_code(F.regexp_extract(marked, shape, 1)))
+        coded = lambda m: F.struct(m["t"].alias("t"), m["after"].alias("after"), m["before"].alias("before"), code(m["after"], AFTER).alias("a"), code(m["before"], BEFORE).alias("b"))
         return let(markers, coded)
 
     def token(m: Column, page: Column) -> Column:
@@ -105,10 +109,13 @@ def amounts(pages: DataFrame) -> DataFrame:
 
 
 def _date(text: Column, shape: str, ymd: tuple[int, int, int]) -> Column:
+    if ymd == (1, 2, 3):
+        return text.try_cast("date")
     year, month, day = (F.regexp_extract(text, shape, k) for k in ymd)
-    number = F.array_position(F.split(F.lit(" ".join(_MONTHS)), " "), F.lower(month)).cast("int")
-    month = F.when(month.rlike("^[0-9]+$"), month.try_cast("int")).otherwise((number - 1) % 12 + 1)
-    return F.try_to_date(F.format_string("%s-%02d-%02d", year, month, day.try_cast("int")), "yyyy-MM-dd")
+    if "\\S" in shape:
+        number = F.array_position(F.split(F.lit(" ".join(_MONTHS)), " "), F.lower(month)).cast("int")
+        month = ((number - 1) % 12 + 1).cast("string")
+    return F.concat(year, F.lit("-"), month, F.lit("-"), day).try_cast("date")
 
 
 def date_tokens(text: Column) -> Column:

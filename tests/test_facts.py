@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from docquarry.operators import admission, candidates, checks, tokens
 from docquarry.streaming import limits
@@ -98,6 +99,27 @@ def test_limits_on_a_stream(spark, tmp_path):
     assert checks.limited_minutes(batch).count() == 1
 
 
+def test_rows_are_dealt_before_texts_are_made(spark):
+    """Filters on a rendered text stay behind the dealing of rows, and larger tables get more tasks."""
+    from docquarry.sources import pages
+
+    plan = pages.orders(spark, "/root/testdata/sf0.001").filter("text RLIKE 'x[0-9]'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("Repartition")
+    assert pages.table(spark, "/root/testdata/sf0.1", "orders").rdd.getNumPartitions() == 4
+    assert pages.table(spark, "/root/testdata/sf0.1", "lineitem").rdd.getNumPartitions() == 12
+
+
+def test_codes_and_dates_as_before(spark):
+    from docquarry.functions.codes import currency_code
+    from docquarry.operators.tokens import date_tokens
+
+    rows = spark.createDataFrame([(c,) for c in ("AED", "ED ", "D A", "AE", "", "zł", "euro", "XXX", "ZWG", None)], "c string")
+    assert [r[0] for r in rows.select(currency_code(F.col("c"))).collect()] == ["AED", None, None, None, None, "PLN", "EUR", None, "ZWG", None]
+    text = "2024-02-30 2024-02-29 1.2.2024 30.02.2024 0000-01-01 5 MARCA 2024 May 7, 2024 7 foo 2024 2024-13-01"
+    (found,) = spark.createDataFrame([(text,)], "t string").select(F.transform(date_tokens(F.col("t")), lambda d: d["date"].cast("string"))).first()
+    assert found == ["2024-02-29", "2024-02-01", "2024-03-05", "2024-05-07"]
+
+
 def test_rebuilt_selection_makes_candidates_once(spark):
     """What meets the candidates three times reads them as they were written."""
     from docquarry.plans import reviews
