@@ -220,3 +220,15 @@ def test_rules_and_licenses_survive_awkward_rows(docs, empty):
 
     assert quality_rules.apply_quality_rules(docs).count() == docs.count() and quality_rules.apply_quality_rules(empty).count() == 0
     assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(empty).count() == 0
+
+
+def test_any_list_of_frequent_words_gives_the_same_results(spark):
+    """The list only says which pre-tokens are looked up before the library's model is asked."""
+    import public_tokenizers
+
+    from docquarry.llm import bpe, token_counts
+
+    docs = spark.createDataFrame([(1, "The the theory, of naïve things"), (2, None), (3, "Zażółć 12 gęślą jaźń " * 5)], "doc_id long, text string")
+    counts = [sorted(token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), table_size=k).collect()) for k in (1, 50_000)]
+    digests = [sorted(bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_50k.json"), size=k).collect()) for k in (1, 50_000)]
+    assert counts[0] == counts[1] and digests[0] == digests[1]
