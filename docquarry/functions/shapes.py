@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -277,24 +279,30 @@ def json_text(value: Column, shape: Shape, style: Style = CANONICAL) -> Column:
         return number_text(x, 21, False, 6) if style.browser else number_text(x)
 
     def written(root: Column, at: str, own: Shape, level: int) -> Column:
-        v = child(root, at)
-        kind, plain = kind_of(v), child(root, at, "string")
+        # a record's or list's parts stand in its text once: what is written twice would be worked out twice on every level above
+        v, told = child(root, at), F.to_json(child(root, at))
         gap = lambda n: F.lit("" if style.indent is None else "\n" + " " * (style.indent * n))
         comma = style.comma if style.indent is None else f",\n{' ' * (style.indent * (level + 1))}"
-        wrapped = lambda opened, parts, closed: F.when(F.size(parts) == 0, opened + closed).otherwise(F.concat(F.lit(opened), gap(level + 1), F.array_join(parts, comma), gap(level), F.lit(closed)))
-        leaf = F.when(kind == "VOID", "null")
+        wrapped = lambda opened, parts, closed: F.concat(F.lit(opened), gap(level + 1), parts, gap(level), F.lit(closed))
+        # plain JSON text of a string differs from string_text() in codes of rare control characters only
+        rare = F.contains(told, F.lit("\\u00"))
         if isinstance(own, Text):
-            leaf = leaf.when(kind == "STRING", string_text(plain))
-        elif isinstance(own, Whole | Number):
-            leaf = leaf.when(_is_whole(kind), plain).when((kind == "DOUBLE") | kind.startswith("DECIMAL"), number(child(root, at, "double")))
-        leaf = leaf.otherwise(F.to_json(v))
+            return F.when(rare & (kind_of(v) == "STRING"), string_text(child(root, at, "string"))).otherwise(told)
+        if isinstance(own, Whole | Number):
+            kind = kind_of(v)
+            return F.when(_is_whole(kind), child(root, at, "string")).when((kind == "DOUBLE") | kind.startswith("DECIMAL"), number(child(root, at, "double"))).otherwise(told)
         if isinstance(own, Many):
-            parts = F.transform(child(root, at, "array<variant>"), lambda x: written(x, "", own.item, level + 1))
-            return F.when(kind.startswith("ARRAY"), wrapped("[", parts, "]")).otherwise(leaf)
+            found = child(root, at, "array<variant>")
+            parts = F.array_join(F.transform(found, lambda x: written(x, "", own.item, level + 1)), comma)
+            listed = F.when(found.isNull(), told).when(F.size(found) == 0, "[]").otherwise(wrapped("[", parts, "]"))
+            if isinstance(own.item, Text) and style.indent is None and comma == ",":
+                return F.when(rare, listed).otherwise(told)
+            return listed
         if isinstance(own, Record):
             names = sorted(own.fields) if style.ordered else list(own.fields)
-            each = lambda name: F.when(child(root, _under(at, name)).isNotNull(), F.concat(F.lit(f'"{name}"{style.colon}'), written(root, _under(at, name), own.fields[name], level + 1)))
-            return F.when(kind.startswith("OBJECT"), wrapped("{", F.array_compact(F.array(*map(each, names))), "}")).otherwise(leaf)
-        return leaf
+            some = reduce(or_, [child(root, _under(at, name)).isNotNull() for name in names], F.lit(False))
+            each = [F.concat(F.lit(f'"{name}"{style.colon}'), written(root, _under(at, name), own.fields[name], level + 1)) for name in names]
+            return F.when(some, wrapped("{", F.concat_ws(comma, *each), "}")).when(kind_of(v).startswith("OBJECT"), "{}").otherwise(told)
+        return told
 
     return written(value, "", shape, 0)

@@ -73,6 +73,17 @@ def changed(**fields):
     return out
 
 
+def test_text_is_written_once(spark):
+    value = spark.createDataFrame([("{}",)], "t string").select(F.try_parse_json("t").alias("v")).cache()
+    for style in (shapes.CANONICAL, shapes.PRETTY):
+        plan = value.select(shapes.json_text(F.col("v"), contract.RESULT, style).alias("x"))._jdf.queryExecution().analyzed().toString()
+        # a few reads for each of the 28 places of a result, not twice as many on every level
+        assert plan.count("try_variant_get") < 300
+    odd = '{"summary":"a\\u001f\\"\\\\u00ff","keyPoints":["\\t\\u0001",1,null,{"b":[],"a":1.50}],"amounts":[{"value":17.0,"zz":1},{},5],"entities":{},"dates":"no"}'
+    written = spark.createDataFrame([(odd,)], "t string").select(shapes.json_text(F.try_parse_json("t"), contract.RESULT)).first()[0]
+    assert written == '{"amounts":[{"value":17.0},{},5],"dates":"no","entities":{},"keyPoints":["\\t\\u0001",1,null,{"a":1.5,"b":[]}],"summary":"a\\u001f\\"\\\\u00ff"}'
+
+
 def test_results(spark):
     wrong = [changed(amounts__0__value=True), changed(amounts__0__value="5"), changed(document__pages=2.0), changed(extra=1), changed(analysis__complete=True), changed(analysis__ocrPages=[2]), changed(document__date="2026-02-30"), changed(keyPoints=["a", "b"]), changed(entities__people="Ewa"), changed(document__language="PL"), changed(summary="Raz. Dwa.")]
     right = [RESULT, changed(analysis=None), changed(keywords=["k"] * 20)]
