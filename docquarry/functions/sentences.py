@@ -13,8 +13,10 @@ ABBREVIATIONS = (
 TERMINAL, CLOSERS, OPENERS = r"[.!?…]", r"[\"'”’»)\]]", r"[\"'„“«(\[]"
 # End of the fixed values.
 
-# A letter after the blank is only looked at, so that it can be the token of the next boundary ("J. K. Nowak").
-_BOUNDARY = rf"(?U)((?:[\p{{L}}.]*\p{{L}})?)({TERMINAL}+){CLOSERS}*\s+{OPENERS}*(?:(?=(\p{{L}}))|(\S))"
+# A letter after the blank is only looked at, so that it can be the token of the next boundary ("J. K. Nowak"). A token begins where its letters and
+# stops begin, or behind the boundary before: whatever matches from further inside matches from there too, so words are read once, not once a letter.
+_MARK, _PART = "\x01", "\x02"
+_BOUNDARY = rf"(?U)(?:\G|(?<![\p{{L}}.]))((?:[\p{{L}}.]*\p{{L}})?)({TERMINAL}+){CLOSERS}*\s+{OPENERS}*(?:(?=(\p{{L}}))|(\S))"
 
 
 def sentence_interval(text: Column) -> Column:
@@ -24,10 +26,13 @@ def sentence_interval(text: Column) -> Column:
     stops or an abbreviation, makes it uncertain. Anything else than a digit or a capital makes it none.
     """
     body = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\A\s+|\s+\z", "")
-    token, run, letter, other = (F.regexp_extract_all(body, F.lit(_BOUNDARY), F.lit(k)) for k in (1, 2, 3, 4))
-    found = F.arrays_zip(token.alias("token"), run.alias("run"), letter.alias("letter"), other.alias("other"))
+    # all boundaries are marked in one pass; marks that a text has are no letters, digits or blanks, and become another such character
+    plain = F.when(body.rlike(f"[{_MARK}{_PART}]"), F.translate(body, _MARK + _PART, "\x03\x03")).otherwise(body)
+    pieces = F.split(F.regexp_replace(plain, _BOUNDARY, f"{_MARK}$1{_PART}$2{_PART}$3{_PART}$4{_MARK}"), _MARK)
+    found = F.transform(F.filter(pieces, lambda p, i: i % 2 == 1), lambda p: F.split(p, _PART))
 
-    def kind(b: Column) -> Column:
+    def kind(parts: Column) -> Column:
+        b = {name: F.get(parts, F.lit(k)) for k, name in enumerate(("token", "run", "letter", "other"))}
         word = F.lower(F.regexp_replace(b["token"], r"^\.+", ""))
         short = (F.char_length(word) == 1) | word.contains(".") | F.array_contains(F.split(F.lit(ABBREVIATIONS), " "), word)
         return F.when(b["other"].rlike(r"^\p{Nd}"), 1).when(~b["letter"].rlike(r"^\p{Lu}"), 0).when((b["run"] == ".") & (word != "") & short, 1).otherwise(2)

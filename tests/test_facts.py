@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from docquarry.functions.sentences import sentence_interval
 from docquarry.operators import admission, candidates, checks, tokens
 from docquarry.streaming import limits
 
@@ -126,3 +127,13 @@ def test_rebuilt_selection_makes_candidates_once(spark):
 
     plan = reviews.rebuilt_invoices(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" not in plan and len(plan) < 50_000
+
+
+def test_sentences_of_long_words(spark):
+    # words are read once: this took time in the square of a word's length
+    word = "a" * 300_000
+    rows = [(1, f"{word} B. {word}. C."), (2, "\x01. A\x02. 1"), (3, "x. . J.K. Nowak, etc... B? c! D")]
+    found = spark.createDataFrame(rows, "doc_id int, text string").select("doc_id", sentence_interval(F.col("text")).alias("s")).orderBy("doc_id")
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "regexp_extract_all" not in plan
+    assert [tuple(r["s"]) for r in found.collect()] == [(2, 2, True), (2, 3, False), (3, 4, False)]
