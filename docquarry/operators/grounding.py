@@ -6,7 +6,7 @@ place in its chunk's list of its kind; page: where the model says it is; context
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import distinct_names, distinct_organisations, strip
@@ -35,9 +35,6 @@ SENTENCE_END = r"[.!?;](?=\s)|\n"
 WINDOW, SHORTEST = 200, 3
 # End of the fixed values.
 
-_FACT = ["doc_id", "chunk", "kind", "pos"]
-
-
 def named(text: Column) -> Column:
     """Array of the qualifiers that a text names."""
     told = lambda low: F.array_compact(F.array(*[F.when(low.rlike(f"(?U){shape}"), key) for key, shape in NAMED.items()]))
@@ -62,17 +59,22 @@ def located(facts: DataFrame, segments: DataFrame) -> DataFrame:
     """facts with found_page, start, end: where the chunk's own text holds the evidence, or nulls.
 
     segments: as chunks() gives them. The page that the model names is looked at first, then the chunk's pages in order; the first place counts.
-    Every fact meets its own chunk only; a literal search rules out nearly all texts before offsets are found.
+    Every fact meets its own chunk only, as one row; a literal search rules out nearly all texts before offsets are found. Facts are read once and
+    stay rows all along, so what gives them is not worked out again.
     """
-    lead = F.char_length("overlap")
-    own = segments.select("doc_id", "chunk", "seq", F.col("page").alias("_page"), (F.col("start") - lead).alias("_base"), F.concat("overlap", "new_text").alias("_text"))
-    own = own.withColumn("_plain", comparable(F.col("_text")))
-    asked = facts.withColumn("_needle", comparable(F.col("evidence"))).filter(F.char_length("_needle") >= SHORTEST)
-    met = asked.select(*_FACT, "page", "_needle", spelled(F.col("evidence")).alias("_shape")).join(own, ["doc_id", "chunk"]).filter(F.col("_plain").contains(F.col("_needle")))
-    met = met.withColumn("_in", first_place(F.col("_text"), F.col("_shape"))).filter("_in IS NOT NULL")
-    place = F.struct(F.coalesce(F.col("_page") != F.col("page"), F.lit(True)).alias("other"), "seq", F.col("_page").alias("page"), (F.col("_base") + F.col("_in.start")).alias("start"), (F.col("_base") + F.col("_in.end")).alias("end"))
-    first = met.groupBy(*_FACT).agg(F.min(place).alias("_at"))
-    out = facts.join(first, _FACT, "left")
+    lead, text = F.char_length("overlap"), F.concat("overlap", "new_text")
+    part = F.struct("seq", "page", (F.col("start") - lead).alias("base"), text.alias("text"), comparable(text).alias("plain"))
+    own = segments.select("doc_id", "chunk", part.alias("p")).groupBy("doc_id", "chunk").agg(F.collect_list("p").alias("_parts"))
+    asked = facts.withColumns({"_needle": comparable(F.col("evidence")), "_shape": spelled(F.col("evidence"))})
+
+    def place(p: Column) -> Column:
+        at = lambda m: F.when(m.isNotNull(), F.struct(F.coalesce(p["page"] != F.col("page"), F.lit(True)).alias("other"), p["seq"].alias("seq"), p["page"].alias("page"), (p["base"] + m["start"]).alias("start"), (p["base"] + m["end"]).alias("end")))
+        return let(first_place(p["text"], F.col("_shape")), at)
+
+    near = F.filter("_parts", lambda p: F.contains(p["plain"], F.col("_needle")))
+    found = F.when(F.char_length("_needle") >= SHORTEST, F.array_min(F.transform(near, place)))
+    # one row goes through the generator, so that its place is found once for all that is read off it
+    out = asked.join(own, ["doc_id", "chunk"], "left").select(*facts.columns, F.inline(F.array(F.struct(found.alias("_at")))))
     return out.withColumns({"found_page": F.col("_at.page"), "start": F.col("_at.start"), "end": F.col("_at.end")}).drop("_at")
 
 
@@ -80,21 +82,25 @@ def grounded(facts: DataFrame, segments: DataFrame, pages: DataFrame) -> DataFra
     """located() with problem: "evidence", "value", "currency", "qualifier" or "date" for the first thing that the source does not state, or null.
 
     An amount's value must be inside the quote, one such number must have the currency, and one of these must have every claimed qualifier in
-    its sentence. Values are join keys, so a page with many numbers meets only the equal ones.
+    its sentence. Values are join keys, so a page with many numbers meets only the equal ones: a page's tokens of one value are one row.
     """
     where = located(facts, segments)
-    token = lambda t: F.struct(t["start"].alias("s"), t["end"].alias("e"), F.bround(t["value"], 2).alias("v"), t["currency"].alias("c"), named(sentence_around(F.col("text"), t["start"], t["end"])).alias("q"))
-    cited = where.filter("kind = 'amount' AND found_page IS NOT NULL").select("doc_id", F.col("found_page").alias("page")).distinct()
-    tokens = pages.join(cited, ["doc_id", "page"], "left_semi").select("doc_id", F.col("page").alias("found_page"), F.inline(F.transform(let(F.col("text"), amount_tokens), token)))
-    asked = where.filter("kind = 'amount'").select(*_FACT, "found_page", "start", "end", F.bround(F.col("value").cast("decimal(38,2)"), 2).alias("v"), F.upper("currency").alias("_currency"), claimed().alias("_claimed"))
-    hits = asked.join(tokens, ["doc_id", "found_page", "v"]).filter("s >= start AND e <= end")
-    same = F.coalesce(F.col("c") == F.col("_currency"), F.lit(False))
-    told = same & (F.size(F.array_except("_claimed", "q")) == 0)
-    judged = hits.groupBy(*_FACT).agg(F.max(same).alias("_same"), F.max(told).alias("_told"))
+    # qualifiers are only asked of numbers that have a currency
+    told = lambda t: F.when(t["currency"].isNotNull(), named(sentence_around(F.col("text"), t["start"], t["end"])))
+    token = lambda t: F.struct(F.bround(t["value"], 2).alias("_v"), F.struct(t["start"].alias("s"), t["end"].alias("e"), t["currency"].alias("c"), told(t).alias("q")).alias("t"))
+    each = pages.select("doc_id", F.col("page").alias("found_page"), F.inline(F.transform(let(F.col("text"), amount_tokens), token)))
+    tokens = each.groupBy("doc_id", "found_page", "_v").agg(F.collect_list("t").alias("_tokens"))
+    asked = where.withColumns({"_v": F.when(F.col("kind") == "amount", F.bround(F.col("value").cast("decimal(38,2)"), 2)), "_currency": F.upper("currency"), "_claimed": claimed()})
+    inside = F.filter("_tokens", lambda t: (t["s"] >= F.col("start")) & (t["e"] <= F.col("end")))
+    same = lambda t: F.coalesce(t["c"] == F.col("_currency"), F.lit(False))
+
+    def amount(hits: Column) -> Column:
+        whole = F.exists(hits, lambda t: same(t) & (F.size(F.array_except("_claimed", t["q"])) == 0))
+        return F.when(F.coalesce(F.size(hits), F.lit(0)) <= 0, "value").when(~F.exists(hits, same), "currency").when(~whole, "qualifier")
+
     dated = F.exists(let(F.col("evidence"), date_tokens), lambda d: d["date"] == F.col("date").try_cast("date"))
-    amount = F.when(F.col("_same").isNull(), "value").when(~F.col("_same"), "currency").when(~F.col("_told"), "qualifier")
-    problem = F.when(F.col("found_page").isNull(), "evidence").when(F.col("kind") == "amount", amount).when(~F.coalesce(dated, F.lit(False)), "date")
-    return where.join(judged, _FACT, "left").withColumn("problem", problem).drop("_same", "_told")
+    problem = F.when(F.col("found_page").isNull(), "evidence").when(F.col("kind") == "amount", let(inside, amount)).when(~F.coalesce(dated, F.lit(False)), "date")
+    return asked.join(tokens, ["doc_id", "found_page", "_v"], "left").select(*where.columns, problem.alias("problem"))
 
 
 def invalid_chunks(judged: DataFrame) -> DataFrame:
@@ -109,7 +115,9 @@ def merged_facts(judged: DataFrame) -> DataFrame:
     Facts are equal only if they cite the same place of the source and agree in value, currency, qualifiers and context, or in date and event;
     the first chunk's stays. Amounts are never added up.
     """
-    held = judged.join(invalid_chunks(judged), ["doc_id", "chunk"], "left_anti")
+    # a chunk's facts meet in a window, as a join with invalid_chunks() would work out all of them twice
+    wrong = F.coalesce(F.bool_or(F.col("problem").isNotNull()).over(Window.partitionBy("doc_id", "chunk")), F.lit(False))
+    held = judged.withColumn("_wrong", wrong).filter("NOT _wrong").drop("_wrong")
     key = {"_value": F.col("value").cast("decimal(38,2)"), "_currency": F.upper("currency"), "_context": comparable(F.col("context")), "_date": F.col("date").try_cast("date")}
     same = ["doc_id", "kind", "found_page", "start", "end", "basis", "period", "status", *key]
     kept = F.struct("chunk", "pos", strip(F.col("context")).alias("context"))

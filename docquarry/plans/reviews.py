@@ -20,9 +20,9 @@ def _key():
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of orders, each with "Net " before it, and the order's price, currency, amount as written and due date."""
-    rows = pages.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"), F.when(F.col("o_orderstatus") == "F", "PLN").when(F.col("o_orderstatus") == "O", "USD").otherwise("EUR").alias("currency"), F.date_format(F.date_add("o_orderdate", 30), "yyyy-MM-dd").alias("due"))
-    texts = pages.orders(spark, sf_dir).select("doc_id", "page", F.concat(F.lit("Net "), "text").alias("text"), F.regexp_extract("text", "amounts to (.*), payable", 1).alias("written"))
-    return rows.join(texts, "doc_id")
+    currency = F.when(F.col("o_orderstatus") == "F", "PLN").when(F.col("o_orderstatus") == "O", "USD").otherwise("EUR")
+    rows = pages.orders(spark, sf_dir, F.col("o_totalprice").cast("decimal(18,2)").alias("price"), currency.alias("currency"), F.date_format(F.date_add("o_orderdate", 30), "yyyy-MM-dd").alias("due"))
+    return rows.select("doc_id", "price", "currency", "due", "page", F.concat(F.lit("Net "), "text").alias("text"), F.regexp_extract("text", "amounts to (.*), payable", 1).alias("written"))
 
 
 def _segments(rows: DataFrame, *numbers: int) -> DataFrame:

@@ -35,12 +35,12 @@ def conversations(spark: SparkSession, sf_dir: str, footer: bool = False) -> Dat
     return paged(table(spark, sf_dir, "conversations"), F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), text=text)
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as prose: an amount in one of three ways of writing, and two dates."""
+def orders(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Orders as prose: an amount in one of three ways of writing, and two dates; with more columns of the order on request."""
     grouped = F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
     amount = F.when(F.col("o_orderstatus") == "F", F.concat(F.translate(grouped, ",.", ".,"), F.lit(" zł"))).when(F.col("o_orderstatus") == "O", F.concat(F.lit("USD "), grouped)).otherwise(F.concat(F.translate(grouped, ",.", " ,"), F.lit(" EUR")))
     text = F.concat(F.lit("Order "), "o_orderkey", F.lit(" of "), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" amounts to "), amount, F.lit(", payable by "), F.date_format(F.date_add("o_orderdate", 30), "yyyy-MM-dd"), F.lit("."))
-    return paged(table(spark, sf_dir, "orders"), F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), text=text)
+    return paged(table(spark, sf_dir, "orders"), F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), *more, text=text)
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:

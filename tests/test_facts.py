@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.functions.sentences import sentence_interval
-from docquarry.operators import admission, candidates, checks, tokens
+from docquarry.operators import admission, candidates, checks, grounding, tokens
 from docquarry.streaming import limits
 
 PROSE = "Najemca wpłaci wynajmującemu kaucję za lokal użytkowy w wysokości "
@@ -137,3 +137,17 @@ def test_sentences_of_long_words(spark):
     plan = found._jdf.queryExecution().analyzed().toString()
     assert "regexp_extract_all" not in plan
     assert [tuple(r["s"]) for r in found.collect()] == [(2, 2, True), (2, 3, False), (3, 4, False)]
+
+
+def test_grounding_works_facts_out_once(spark):
+    rows = [(1, 1, 0, "amount", 1, "5.00", "eur", "net", None, "cena  5,00"), (1, 1, 1, "amount", 2, "5.00", "PLN", "net", None, "Cena 5,00"), (1, 1, 2, "amount", 1, "6.00", "EUR", "net", None, "cena 5,00"), (1, 2, 0, "date", 1, None, None, None, "2026-01-02", "dnia 02.01.2026"), (1, 2, 1, "date", 1, None, None, None, "2026-01-02", "ab")]
+    facts = spark.createDataFrame(rows, "doc_id long, chunk int, pos int, kind string, page int, value string, currency string, basis string, date string, evidence string").withColumns({"value": F.col("value").cast("decimal(18,2)"), "period": F.lit("unspecified"), "status": F.lit("current"), "context": F.lit("c")})
+    pages = spark.createDataFrame([(1, 1, "Tu cena 5,00 EUR netto."), (1, 2, "Dnia 02.01.2026 i Cena\n5,00 zł"), (2, 1, None)], "doc_id long, page int, text string")
+    parts = [(1, 1, 0, 1, 0, "", "Tu cena 5,00 EUR netto."), (1, 1, 1, 2, 0, "", "Dnia 02.01.2026 i Cena\n5,00 zł"), (1, 2, 2, 2, 0, "", "Dnia 02.01.2026 i Cena\n5,00 zł")]
+    segments = spark.createDataFrame(parts, "doc_id long, chunk int, seq int, page int, start int, overlap string, new_text string")
+    judged = grounding.grounded(facts, segments, pages)
+    found = {(r["chunk"], r["pos"]): (r["found_page"], r["start"], r["end"], r["problem"]) for r in judged.collect()}
+    assert found == {(1, 0): (1, 3, 12, None), (1, 1): (2, 18, 27, "qualifier"), (1, 2): (1, 3, 12, "value"), (2, 0): (2, 0, 15, None), (2, 1): (None, None, None, "evidence")}
+    assert [r["chunk"] for r in grounding.merged_facts(judged.filter("pos = 0")).orderBy("chunk").collect()] == [1, 2] and grounding.merged_facts(judged).count() == 0
+    # facts are one branch of the plan, however often what is made of them is looked at
+    assert grounding.merged_facts(judged)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3
