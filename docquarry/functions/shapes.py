@@ -163,7 +163,7 @@ def _parts(root: Column, path: str, shape: Shape, lead: Column | None, guard: Co
         case = F.when(~ok, None) if not required else F.when(~ok, None).when(v.isNull(), said(REQUIRED))
         case = case.when(~there, None)
         if isinstance(own, Record):
-            right = kind.startswith("OBJECT")
+            right = _is_record(root, at, own)
             plain.append(case.when(~right, said(NO_RECORD)))
             below = ok & there & right
             for name, inner in own.fields.items():
@@ -185,6 +185,16 @@ def _parts(root: Column, path: str, shape: Shape, lead: Column | None, guard: Co
     return F.concat(*out) if len(out) > 1 else out[0]
 
 
+def _some(root: Column, at: str, shape: Record) -> Column:
+    """Whether any of a record's own fields is there."""
+    return reduce(or_, [child(root, _under(at, name)).isNotNull() for name in shape.fields], F.lit(False))
+
+
+def _is_record(root: Column, at: str, shape: Record) -> Column:
+    """Whether an object stands at a path. What has a field is one; only without, the kind of all that it holds is worked out."""
+    return _some(root, at, shape) | kind_of(child(root, at)).startswith("OBJECT")
+
+
 def _many(found: Column, shape: Many, lead: Column, wrong: Column, right: Column) -> Column:
     """Problems of a list: of its kind, of too many items, of single items, or of too few."""
     size = F.size(found)
@@ -300,9 +310,8 @@ def json_text(value: Column, shape: Shape, style: Style = CANONICAL) -> Column:
             return listed
         if isinstance(own, Record):
             names = sorted(own.fields) if style.ordered else list(own.fields)
-            some = reduce(or_, [child(root, _under(at, name)).isNotNull() for name in names], F.lit(False))
             each = [F.concat(F.lit(f'"{name}"{style.colon}'), written(root, _under(at, name), own.fields[name], level + 1)) for name in names]
-            return F.when(some, wrapped("{", F.concat_ws(comma, *each), "}")).when(kind_of(v).startswith("OBJECT"), "{}").otherwise(told)
+            return F.when(_some(root, at, own), wrapped("{", F.concat_ws(comma, *each), "}")).when(kind_of(v).startswith("OBJECT"), "{}").otherwise(told)
         return told
 
     return written(value, "", shape, 0)

@@ -73,6 +73,16 @@ def changed(**fields):
     return out
 
 
+def test_records_are_told_by_their_fields(spark):
+    value = spark.createDataFrame([("{}",)], "t string").select(F.try_parse_json("t").alias("v")).cache()
+    plan = value.select(shapes.problems(F.col("v"), contract.COMPACT).alias("x"))._jdf.queryExecution().analyzed().toString()
+    # the kind of a whole answer, which all of it is read for, is only asked of one without any field
+    assert "OR StartsWith(schema_of_variant(try_variant_get(v#" in plan
+    odd = spark.createDataFrame([(1, "[]"), (2, "{}"), (3, "5"), (4, '{"zz":1}')], "i int, t string").select("i", shapes.problems(F.try_parse_json("t"), contract.COMPACT).alias("p"))
+    found = {r["i"]: r["p"] for r in odd.collect()}
+    assert found[1] == found[3] == ["root: Input should be an object"] and found[2] == found[4] and len(found[2]) == 12
+
+
 def test_text_is_written_once(spark):
     value = spark.createDataFrame([("{}",)], "t string").select(F.try_parse_json("t").alias("v")).cache()
     for style in (shapes.CANONICAL, shapes.PRETTY):
