@@ -69,3 +69,34 @@ def test_rows_without_structure(spark):
     rng = np.random.default_rng(11)
     x = rng.normal(size=(1500, 48)) * np.exp(rng.normal(size=(1500, 1)))
     assert recall_of(spark, [(k, v.tolist()) for k, v in enumerate(x)]) >= 0.9
+
+
+def test_several_shards_and_few_jobs(spark, monkeypatch):
+    """Shards of 60 nodes, an own one for each query's search; rounds of the descent and of the searches are no Spark jobs of their own."""
+    from docquarry.llm import nn_descent
+
+    monkeypatch.setattr(nn_descent, "LEAST", 60, raising=False)
+    x = np.random.default_rng(12).normal(size=(700, 24))
+    context = spark.sparkContext
+    context.setJobGroup("nearest", "nearest")
+    try:
+        assert recall_of(spark, [(k, v.tolist()) for k, v in enumerate(x)]) >= 0.9
+        assert len(context.statusTracker().getJobIdsForGroup("nearest")) < 80
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_pools_as_large_as_a_shard_find_all():
+    from docquarry.llm import nn_descent
+
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(90, 6))
+    lists = nn_descent._followed(nn_descent._descended(x / np.linalg.norm(x, axis=1).max(), rng), len(x), rng)
+    near = np.full((len(x), max(map(len, lists))), -1)
+    for k, r in enumerate(lists):
+        near[k, : len(r)] = r
+    at, c, s = nn_descent._explored(x[:5], x, near, np.array([7]), np.array([0, 1, -1, 3, 4]), len(x))
+    for q in range(5):
+        assert sorted(c[at == q]) == list(range(90)) and np.allclose(s[at == q], -np.sort(-(x @ x[q])))
+    only = nn_descent._descended(x[:1], rng)
+    assert len(only) == 0 and [len(r) for r in nn_descent._followed(only, 1, rng)] == [0]
