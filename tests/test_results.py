@@ -67,6 +67,21 @@ def test_chunks(spark):
     assert found[-1]["chunk"] <= 8 and sum(len(r["new_text"]) for r in found) == 60_000
 
 
+def test_documents_that_one_chunk_holds_are_not_packed(spark, monkeypatch):
+    """Their pages are the pieces, as packing would make them; the packing itself is not called for them."""
+    pages = [(1, 3, "c" * 4_000), (1, 1, "ąb 😀\n\nc"), (1, 2, "12 34"), (2, 7, "d e " * 2_500), (3, 1, "  ")]
+    frame = spark.createDataFrame(pages, "doc_id long, page int, text string")
+
+    def refuse(group):
+        raise ValueError("packed")
+
+    packed = sorted((1, c, k, p, s, e, o) for k, (c, p, s, e, o) in enumerate(chunks._pieces([(p, t) for d, p, t in sorted(pages) if d == 1 and p != 2], False)))
+    monkeypatch.setattr(chunks, "_chunked", refuse)
+    found = sorted(tuple(r) for r in chunks.chunks(frame).collect())
+    assert [r[:7] for r in found if r[0] == 1] == packed
+    assert [r[7] for r in found] == ["ąb 😀\n\nc", "c" * 4_000, "d e " * 2_500]
+
+
 def test_layout(spark):
     items = [(1, 1, 0, "World", 60.0, 700.0, 40.0, 10.0), (1, 1, 1, "Hello", 10.0, 703.0, 45.0, 10.0), (1, 1, 2, "be", 10.0, 680.0, 10.0, 10.0), (1, 1, 3, "low", 21.0, 680.0, 10.0, 10.0), (1, 1, 4, "", 0.0, 900.0, 1.0, 1.0), (1, 1, 5, " \t", 0.0, 650.0, 1.0, 1.0)]
     df = spark.createDataFrame(items, "doc_id long, page int, n int, str string, x double, y double, w double, h double")
