@@ -133,8 +133,10 @@ def rebuilt_invoices(spark, sf_dir):
 def segments_orders(spark, sf_dir):
     written = F.regexp_extract("text", "amounts to (.*), payable", 1)
     context = F.concat(F.lit("s. 1: [Raty brutto] Pierwsza rata 10,00 zł. Druga rata netto »"), written, F.when(_key() % 2 == 0, F.lit("« miesięcznie, potem 5,00 zł rocznie")).otherwise("« na »zawsze«"))
+    # segments go through a generator of one row, so that each is found once
     rows = pages.orders(spark, sf_dir).select("doc_id", context.alias("context"))
-    return rows.select("doc_id", evaluation.segment(F.col("context")).alias("segment"), F.array_join(evaluation.qualifiers(evaluation.associated(F.col("context"))), ",").alias("qualifiers"))
+    rows = rows.select("doc_id", "context", F.inline(F.array(F.struct(evaluation.segment(F.col("context")).alias("segment")))))
+    return rows.select("doc_id", "segment", F.array_join(evaluation.qualifiers(F.coalesce("segment", "context")), ",").alias("qualifiers"))
 
 
 _VALID = {

@@ -110,6 +110,14 @@ def test_rows_are_dealt_before_texts_are_made(spark):
     assert pages.table(spark, "/root/testdata/sf0.1", "lineitem").rdd.getNumPartitions() == 12
 
 
+def test_segments_are_found_once(spark):
+    from docquarry.operators import evaluation
+    from docquarry.plans import registry
+
+    plan = registry.queries()["segments_orders"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(evaluation.LEAD) == 1
+
+
 def test_codes_and_dates_as_before(spark):
     from docquarry.functions.codes import currency_code
     from docquarry.operators.tokens import date_tokens
