@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Bytes of a table for each task and core: rows of tables that a few bytes hold take long to work on.
-SHARE = 1 << 20
+#: Bytes and rows of a table for each task and core: rows of tables that a few bytes hold take long to work on, and how many a MB holds depends on how the
+#: table is compressed.
+SHARE, ROWS = 1 << 20, 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     as few tasks would read and work on alone; dealing rows costs little beside that work."""
     found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     size, cores = int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), spark.sparkContext.defaultParallelism
-    return found.repartition(cores * max(1, -(-size // (SHARE * cores))))
+    # rows are counted from the files' footers
+    return found.repartition(cores * max(1, -(-size // (SHARE * cores)), -(-found.count() // (ROWS * cores))))
 
 
 def paged(rows: DataFrame, *columns: Column, text: Column) -> DataFrame:

@@ -110,6 +110,15 @@ def test_rows_are_dealt_before_texts_are_made(spark):
     assert pages.table(spark, "/root/testdata/sf0.1", "lineitem").rdd.getNumPartitions() == 12
 
 
+def test_many_rows_in_few_bytes_are_dealt_to_more_tasks(spark, tmp_path):
+    """A task's rows are bounded however well a table is compressed."""
+    from docquarry.sources import pages
+
+    spark.range(400_000).selectExpr("CAST(1 AS LONG) AS a").coalesce(1).write.parquet(f"{tmp_path}/many.parquet")
+    dealt = pages.table(spark, str(tmp_path), "many")
+    assert dealt.rdd.getNumPartitions() == 8 and dealt.count() == 400_000
+
+
 def test_segments_are_found_once(spark):
     from docquarry.operators import evaluation
     from docquarry.plans import registry
