@@ -121,12 +121,13 @@ def fact_checks(expected: DataFrame, results: DataFrame) -> DataFrame:
     """Checks of every expected fact: present, each qualifier on its one best entry, and nothing against it. A date's event (array of groups of
     patterns, optional column) must be named by one entry: one pattern of each group."""
     best = best_entries(expected, results)
-    present = best.select(*_row("_", F.concat(F.lit("present: "), "label"), F.col("n") > 0), "kind").withColumn("category", F.concat("kind", F.lit("s"))).drop("kind")
-    money = best.filter("kind = 'amount'")
-    each = money.withColumn("_q", F.explode("qualifiers"))
-    told = each.select(*_row("qualifiers", F.concat("label", F.lit(": "), "_q"), F.array_contains("found", F.col("_q"))))
-    clean = money.filter("n > 0").select(*_row("qualifiers", F.concat("label", F.lit(": no contradiction")), F.size("problems") == 0))
-    out = present.unionByName(told).unionByName(clean)
+    # a fact's checks are made in its row, so that entries are met and judged once
+    check = lambda category, name, ok: F.struct(category.alias("category"), name.alias("name"), F.coalesce(ok, F.lit(False)).alias("ok"), F.lit(False).alias("manual"))
+    amount, none = F.col("kind") == "amount", F.array().cast("array<struct<category:string,name:string,ok:boolean,manual:boolean>>")
+    present = F.array(check(F.concat("kind", F.lit("s")), F.concat(F.lit("present: "), "label"), F.col("n") > 0))
+    told = F.when(amount, F.transform("qualifiers", lambda q: check(F.lit("qualifiers"), F.concat("label", F.lit(": "), q), F.array_contains("found", q)))).otherwise(none)
+    clean = F.when(amount & (F.col("n") > 0), F.array(check(F.lit("qualifiers"), F.concat("label", F.lit(": no contradiction")), F.size("problems") == 0))).otherwise(none)
+    out = best.select("doc_id", F.inline(F.concat(present, told, clean)))
     return out.unionByName(event_checks(expected, results)) if "event" in expected.columns else out
 
 

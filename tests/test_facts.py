@@ -1,6 +1,7 @@
 """Amounts, dates, running lines and gates on small texts with known results."""
 
 import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +128,21 @@ def test_segments_are_found_once(spark):
     assert plan.count(evaluation.LEAD) == 1
 
 
+def test_entries_are_judged_once_for_all_checks(spark):
+    from docquarry.operators import evaluation
+    from docquarry.plans import registry
+
+    found = registry.queries()["fact_checks_orders"](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("not applicable") == 1
+    schema = "doc_id long, pos int, kind string, value decimal(18,2), currency string, date string, qualifiers array<string>, label string"
+    asked = spark.createDataFrame([(1, 0, "amount", Decimal(5), "PLN", None, ["net", None], "fee"), (1, 1, "amount", Decimal(6), "PLN", None, None, None), (2, 0, "date", None, None, "2026-01-02", ["net"], "signed")], schema)
+    results = spark.createDataFrame([(1, [(5.0, "PLN", "netto")], None), (2, None, [("2026-01-02", "x")])], "doc_id long, amounts array<struct<value:double,currency:string,context:string>>, dates array<struct<date:string,context:string>>")
+    assert sorted(map(str, map(tuple, evaluation.fact_checks(asked, results).collect()))) == sorted(map(str, [
+        (1, "amounts", "present: fee", True, False), (1, "amounts", None, False, False), (2, "dates", "present: signed", True, False),
+        (1, "qualifiers", "fee: net", True, False), (1, "qualifiers", None, False, False), (1, "qualifiers", "fee: no contradiction", True, False),
+    ]))
+
+
 def test_codes_and_dates_as_before(spark):
     from docquarry.functions.codes import currency_code
     from docquarry.operators.tokens import date_tokens
