@@ -9,23 +9,25 @@ from pyspark.sql import functions as F
 
 _MARK = "\x01"
 _FOUND = "array<struct<start:int,end:int,text:string>>"
+#: What collapse() changes: a blank that is no space, and runs of blanks.
+_RUNS = r"(?U)\s{2,}|(?! )\s"
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, text) of all matches of a Java pattern that never matches the empty string.
 
-    Each match is wrapped in a mark, the text is split at the marks, and lengths are added up along the pieces.
+    Each match is wrapped in a mark, the text is split at the marks, and lengths are added up along the pieces: as numbers alone, since a struct is
+    copied with all that it holds at every step.
     """
     plain = F.when(text.contains(_MARK), F.translate(text, _MARK, " ")).otherwise(text)
-    parts = F.split(F.regexp_replace(plain, f"({pattern})", f"{_MARK}$1{_MARK}"), _MARK)
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast(_FOUND).alias("found"))
+    marked = F.regexp_replace(plain, f"({pattern})", f"{_MARK}$1{_MARK}")
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.char_length(part)
-        hit = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("text")))
-        return F.struct(end.alias("at"), (acc["n"] + 1).alias("n"), F.when(acc["n"] % 2 == 1, F.concat(acc["found"], hit)).otherwise(acc["found"]).alias("found"))
+    def placed(parts: Column) -> Column:
+        ends = F.aggregate(parts, F.array(F.lit(0)), lambda acc, part: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(part))))
+        hits = F.filter(parts, lambda _, i: i % 2 == 1)
+        return let(ends, lambda e: F.transform(hits, lambda hit, i: F.struct(F.get(e, i * 2 + 1).alias("start"), F.get(e, i * 2 + 2).alias("end"), hit.alias("text"))))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["found"])
+    return let(marked, lambda m: F.when(m.contains(_MARK), let(F.split(m, _MARK), placed)).when(m.isNotNull(), F.array().cast(_FOUND)))
 
 
 def first_place(text: Column, shape: Column) -> Column:
@@ -50,7 +52,7 @@ def has_letter(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """Runs of blanks become one space; blanks at both ends go."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, _RUNS, " "))
 
 
 def clean_recognised(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_letter, let
-from .tokens import amount_tokens, date_tokens
+from .tokens import amounts_of, date_tokens, is_cell, marked_numbers
 
 # Marks of a page number or a version in a running line, and limits.
 MARKER = r"(?iuU)\b(?:strona|str\.|page|seite)\s*#+\s*(?:z|of|/|von)\s*#+|\b(?:wersja|version|ver\.|rev\.?)\s*#"
@@ -58,11 +58,30 @@ def candidates(pages: DataFrame) -> DataFrame:
 
 def token_structs(text: Column) -> Column:
     """Array of (start, end, text, kind_no, value, currency, date, before, after): what may become a candidate."""
-    shape = "array<struct<start:int,end:int,text:string,kind_no:int,value:decimal(38,2),currency:string,date:date,before:int,after:int>>"
-    usable = F.filter(amount_tokens(text), lambda t: t["currency"].isNotNull() & (t["adjacent"] | t["text"].rlike(r"[.,][0-9]{2}\z")))
-    money = F.transform(usable, lambda t: F.struct(t["start"], t["end"], t["text"], F.lit(0), t["value"], t["currency"], F.lit(None).cast("date"), t["before"], t["after"])).cast(shape)
-    days = F.transform(date_tokens(text), lambda t: F.struct(t["start"], t["end"], t["text"], F.lit(1), F.lit(None).cast("decimal(38,2)"), F.lit(None).cast("string"), t["date"], F.lit(0), F.lit(0))).cast(shape)
-    return F.concat(money, days)
+    return let(F.struct(marked_numbers(text).alias("numbers"), date_tokens(text).alias("days")), lambda v: _structs(text, v["numbers"], v["days"]))
+
+
+def tokens_and_cells(text: Column) -> Column:
+    """Struct (found, cells): token_structs(), and the line, counted from 0, of each amount with a currency in its line or with cents and of each date within a line."""
+
+    def both(v: Column) -> Column:
+        head = lambda t: F.substring(text, F.lit(1), t["start"])
+        line_no = lambda t: let(head(t), lambda h: F.char_length(h) - F.char_length(F.replace(h, F.lit("\n"), F.lit(""))))
+        cells = F.concat(F.transform(F.filter(v["numbers"], is_cell), line_no), F.transform(F.filter(v["days"], lambda d: ~d["text"].contains("\n")), line_no))
+        return F.struct(_structs(text, v["numbers"], v["days"]).alias("found"), cells.alias("cells"))
+
+    return let(F.struct(marked_numbers(text).alias("numbers"), date_tokens(text).alias("days")), both)
+
+
+def _structs(text: Column, numbers: Column, days: Column) -> Column:
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def shaped(t: Column, kind_no: int, value: Column, currency: Column, date: Column, before: Column, after: Column) -> Column:
+        return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["text"].alias("text"), F.lit(kind_no).alias("kind_no"), value.alias("value"), currency.alias("currency"), date.alias("date"), before.alias("before"), after.alias("after"))
+
+    money = F.transform(amounts_of(text, numbers, usable=True), lambda t: shaped(t, 0, t["value"], t["currency"], none("date"), t["before"], t["after"]))
+    dated = F.transform(days, lambda t: shaped(t, 1, none("decimal(38,2)"), none("string"), t["date"], F.lit(0), F.lit(0)))
+    return F.concat(money, dated)
 
 
 def tokens(pages: DataFrame, *more: Column) -> DataFrame:

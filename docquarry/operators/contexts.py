@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, has_letter, let
-from .candidates import numbered, token_structs
-from .tokens import NUMBER, amount_tokens, date_tokens, wrapped_numbers
+from .candidates import numbered, tokens_and_cells
+from .tokens import NUMBER, wrapped_numbers
 
 # Limits in lines and characters, capitals, currency words, ends of sentences, headings, paragraphs and marks.
 WINDOW, HEADER_LINES, HEADING_LINES, SHORT_LINE, ROW, PREFIX, CONTEXT = 190, 30, 10, 80, 160, 90, 500
@@ -27,16 +27,13 @@ OPEN, CLOSE, CUT = "»", "«", "…"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(F.regexp_replace(text, r"(?U)\s+", " "), " "), lambda w: w != "")
 
 
-def is_row(line: Column) -> Column:
+def is_row(line: Column, cells: Column) -> Column:
     """A line with a bar, or with two cells or more, money or dates, and few words beside them."""
     words = F.size(F.filter(_words(line), lambda w: has_letter(w) & ~F.lower(w).isin(*CURRENCY_WORDS)))
-    money = F.size(F.filter(amount_tokens(line), lambda t: t["adjacent"] | t["text"].rlike(r"[.,][0-9]{2}\z")))
-    few = let(words, lambda n: F.when(n > 2 * F.regexp_count(line, F.lit("[0-9]+")) + 2, False).otherwise(let(money + F.size(date_tokens(line)), lambda cells: (cells >= 2) & (n <= 2 * cells + 2))))
-    # every cell has a run of digits of its own, which most lines do not have two of
-    return F.when(line.contains("|"), True).when(~line.rlike("[0-9][^0-9]+[0-9]") | line.rlike(SENTENCE_INSIDE), False).otherwise(few)
+    return F.when(line.contains("|"), True).when(cells < 2, False).when(line.rlike(SENTENCE_INSIDE), False).otherwise(words <= 2 * cells + 2)
 
 
 def _judged(line: Column, next_is_row: Column) -> Column:
@@ -46,7 +43,7 @@ def _judged(line: Column, next_is_row: Column) -> Column:
     over_row = F.coalesce(next_is_row, F.lit(False)) & (F.char_length(line) <= ROW)
 
     def told(b: Column) -> Column:
-        shaped = ~b.rlike(r"[.:;,]\z") & ~line.rlike("[–—]") & has_letter(line) & ~line.rlike(NUMBER)
+        shaped = ~b.rlike(r"[.:;,]\z") & ~line.contains("–") & ~line.contains("—") & has_letter(line) & ~(line.rlike("[0-9]") & line.rlike(NUMBER))
         names = F.when(shaped, let(_words(line), lambda ws: (F.size(ws) >= 3) & (line.contains("|") | over_row | capital(ws)))).otherwise(False)
         stops = (b == "") | b.rlike(r"[.!?]\z") | line.rlike(PARAGRAPH)
         return F.when(names, F.struct(collapse(line).alias("text"))).when(stops, F.struct(F.lit(None).cast("string").alias("text")))
@@ -65,61 +62,59 @@ def _with(frame: DataFrame, **columns: Column) -> DataFrame:
     return frame.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def _around(t: Column) -> Column:
-    """What a token's context needs of its page: columns text, lines, rows, judged, headings and wraps."""
-    text = F.col("text")
-    start, end = t["start"], t["end"]
-
-    def placed(h: Column) -> Column:
-        line_no = F.regexp_count(h["head"], F.lit("\n"))
-        return F.struct(
-            F.get("lines", line_no).alias("line"), F.get("rows", line_no).alias("row"), _last_above(F.col("judged"), line_no, HEADER_LINES)["text"].alias("header"), _last_above(F.col("headings"), line_no, HEADING_LINES).alias("heading"),
-            F.substring_index(h["head"], "\n", -1).alias("line_left"), F.substring_index(F.substring(text, end + 1, F.char_length(text)), "\n", 1).alias("line_right"), F.substring(text, start + 1, end - start).alias("value_text"),
-            F.substring(text, h["low"] + 1, start - h["low"]).alias("left"), F.substring(text, end + 1, F.lit(WINDOW)).alias("right"), (h["low"] > 0).alias("more_left"), (end + WINDOW < F.char_length(text)).alias("more_right"),
-        )
-
-    return let(F.struct(F.substring(text, F.lit(1), start).alias("head"), F.greatest(start - WINDOW, F.lit(0)).alias("low")), placed)
+def _clean(text: Column) -> Column:
+    return collapse(F.replace(F.replace(text, F.lit(OPEN), F.lit('"')), F.lit(CLOSE), F.lit('"')))
 
 
-def _clean(text: Column) -> Column:
-    return collapse(F.translate(text, OPEN + CLOSE, '""'))
+def _bound(text: Column, cut: bool) -> Column:
+    return F.struct(text.alias("text"), F.lit(cut).alias("cut"))
 
 
 def candidate_contexts(pages: DataFrame) -> DataFrame:
     """candidates() with their context: the first rule that applies gives its bounds.
 
-    A page's lines are judged once, within its row, and only on pages that have a candidate; contexts are made there too, so that no text is moved.
+    A page's numbers and dates are found once, and its lines are judged by them, within its row, and only on pages that have a candidate. A candidate is then
+    a row beside its page's text: what is made of it stands in columns, each worked out once and only where a rule asks for it.
     """
-    read = _with(pages.filter(has_letter(F.col("text"))).select("doc_id", "page", "text"), found=let(F.col("text"), token_structs)).filter(F.size("found") > 0)
-    read = _with(read, lines=F.split("text", "\n"), wraps=F.transform(wrapped_numbers(F.col("text")), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))))
-    read = _with(read, rows=F.transform("lines", is_row))
+    read = _with(pages.filter(has_letter(F.col("text"))).select("doc_id", "page", F.col("text").alias("body")), t=let(F.col("body"), tokens_and_cells)).filter(F.size("t.found") > 0)
+    read = _with(read, found=F.col("t.found"), cells=F.col("t.cells"), lines=F.split("body", "\n"), wraps=F.transform(wrapped_numbers(F.col("body")), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))))
+    read = _with(read.drop("t"), rows=F.transform("lines", lambda x, i: is_row(x, F.size(F.filter("cells", lambda c: c == i)))))
     read = _with(read, judged=F.transform("lines", lambda x, i: _judged(x, F.get("rows", i + 1))), headings=F.transform("lines", lambda x: F.when(x.rlike(HEADING), collapse(x))))
-    near = read.select("doc_id", "page", "wraps", F.inline(F.transform("found", lambda t: F.struct(t.alias("t"), _around(t).alias("a")))))
-    joined = near.select("doc_id", "page", "wraps", "t.*", "a.*")
-    at = {c: F.col(c) for c in ("line_left", "line_right", "left", "right")}
-    begin = F.col("start") - F.char_length(at["line_left"])
+    near = read.select("doc_id", "page", "body", "lines", "rows", "judged", "headings", "wraps", F.inline("found"))
+    near = near.withColumn("_head", F.substring("body", F.lit(1), F.col("start"))).withColumn("_line_left", F.substring_index("_head", "\n", -1))
+    near = near.withColumn("_line_no", F.char_length("_head") - F.char_length(F.replace("_head", F.lit("\n"), F.lit(""))))
+    near = near.withColumn("line", F.get("lines", F.col("_line_no")))
+    begin = F.col("start") - F.char_length("_line_left")
     stop = begin + F.char_length("line")
     crossed = F.exists("wraps", lambda w: ((w["start"] < stop) & (stop < w["end"])) | ((w["start"] < begin - 1) & (begin - 1 < w["end"])))
-    on_line = (F.col("end") <= stop) & ~crossed
-    label = on_line & (F.char_length(collapse(F.col("line"))) <= SHORT_LINE) & at["line_left"].contains(":")
+    on_line = (F.col("end") <= stop) & ((F.size("wraps") == 0) | ~crossed)
+    label = F.col("_line_left").contains(":") & (F.char_length(collapse(F.col("line"))) <= SHORT_LINE)
     sentence = F.col("line").rlike(r"(?U)\.\s*\z") & (F.size(_words(F.col("line"))) >= 8)
-    flat = on_line & (F.char_length("line") <= ROW) & ~F.col("line").rlike(PARAGRAPH) & ~F.col("line").rlike(SENTENCE_INSIDE) & F.col("header").isNotNull() & ~sentence
-    whole_line = (on_line & F.col("row")) | label | flat
-    prefix = F.when(on_line & F.col("row"), F.col("header")).when(label, F.col("heading")).when(flat, F.col("header"))
+    flat = (F.char_length("line") <= ROW) & ~F.col("line").rlike(PARAGRAPH) & ~F.col("line").rlike(SENTENCE_INSIDE) & ~sentence
+    # 1: a row, 2: a labelled line, 3: a flattened row, if it has a header
+    near = near.withColumn("_rule", F.when(on_line, F.when(F.get("rows", F.col("_line_no")), 1).when(label, 2).when(flat, 3).otherwise(0)).otherwise(0))
+    header, heading = _last_above(F.col("judged"), F.col("_line_no"), HEADER_LINES)["text"], _last_above(F.col("headings"), F.col("_line_no"), HEADING_LINES)
+    near = near.withColumn("_prefix", F.when(F.col("_rule").isin(1, 3), header).when(F.col("_rule") == 2, heading))
+    near = near.withColumn("_whole", F.col("_rule").isin(1, 2) | ((F.col("_rule") == 3) & F.col("_prefix").isNotNull()))
     # prose: back to the last end of a sentence, on to the next, at most WINDOW characters and whole words
-    ended_left, ended_right = at["left"].rlike(SENTENCE_END), at["right"].rlike(SENTENCE_END)
-    cut_left, cut_right = ~ended_left & F.col("more_left"), ~ended_right & F.col("more_right")
-    left = F.when(ended_left, F.regexp_replace(at["left"], rf"(?s)\A.*(?:{SENTENCE_END})", "")).when(cut_left, F.regexp_replace(at["left"], r"\A[^ ]* ", "")).otherwise(at["left"])
-    right = F.when(ended_right, F.regexp_extract(at["right"], rf"(?s)\A(.*?(?=(?:{SENTENCE_END})).)", 1)).when(cut_right, F.regexp_replace(at["right"], r" [^ ]*\z", "")).otherwise(at["right"])
-    parts = joined.select("*", whole_line.alias("_whole"), prefix.alias("_prefix"), (cut_left & ~whole_line).alias("_cl"), (cut_right & ~whole_line).alias("_cr"), F.when(whole_line, at["line_left"]).otherwise(left).alias("_l"), F.when(whole_line, at["line_right"]).otherwise(right).alias("_r"))
+    low = F.greatest(F.col("start") - WINDOW, F.lit(0))
+    whole_right = F.substring(F.col("line"), F.col("end") - begin + 1, F.char_length("line"))
+    lefts = lambda x: F.when(x.rlike(SENTENCE_END), _bound(F.regexp_replace(x, rf"(?s)\A.*(?:{SENTENCE_END})", ""), False)).when(low > 0, _bound(F.regexp_replace(x, r"\A[^ ]* ", ""), True)).otherwise(_bound(x, False))
+    rights = lambda x: F.when(x.rlike(SENTENCE_END), _bound(F.regexp_extract(x, rf"(?s)\A(.*?(?=(?:{SENTENCE_END})).)", 1), False)).when(F.col("end") + WINDOW < F.char_length("body"), _bound(F.regexp_replace(x, r" [^ ]*\z", ""), True)).otherwise(_bound(x, False))
+    near = near.withColumns({
+        "_l": F.when(F.col("_whole"), _bound(F.col("_line_left"), False)).otherwise(let(F.substring(F.col("body"), low + 1, F.col("start") - low), lefts)),
+        "_r": F.when(F.col("_whole"), _bound(whole_right, False)).otherwise(let(F.substring(F.col("body"), F.col("end") + 1, F.lit(WINDOW)), rights)),
+    })
+    own = ("doc_id", "page", "start", "end", "text", "kind_no", "value", "currency", "date")
+    parts = near.select(*own, "before", "after", "_prefix", F.col("_l.cut").alias("_cl"), F.col("_r.cut").alias("_cr"), F.substring("body", F.col("start") + 1, F.col("end") - F.col("start")).alias("value_text"), F.col("_l.text").alias("_l"), F.col("_r.text").alias("_r"))
     # the mark takes in a currency beside the number, as far as the bounds go
     b, a = F.least(F.col("before"), F.char_length("_l")), F.least(F.col("after"), F.char_length("_r"))
     before, after = F.substring(F.col("_l"), F.lit(1), F.char_length("_l") - b), F.substring(F.col("_r"), a + 1, F.char_length("_r"))
     value = F.concat(F.substring(F.col("_l"), F.char_length("_l") - b + 1, b), F.col("value_text"), F.substring(F.col("_r"), F.lit(1), a))
     short = F.when(F.char_length("_prefix") > PREFIX, F.concat(F.regexp_replace(F.substring("_prefix", 1, PREFIX), r" [^ ]*\z", ""), F.lit(f" {CUT}"))).otherwise(F.col("_prefix"))
     head = F.concat(F.lit("s. "), F.col("page").cast("string"), F.lit(": "), F.coalesce(F.concat(F.lit("["), F.translate(_clean(short), "[]", "()"), F.lit("] ")), F.lit("")))
-    spaced = lambda text, clean, edge, left_side: F.when((clean != "") & text.rlike(edge), F.concat(clean, F.lit(" ")) if left_side else F.concat(F.lit(" "), clean)).otherwise(clean)
-    parts = parts.select("*", head.alias("_head"), F.concat(F.lit(OPEN), _clean(value), F.lit(CLOSE)).alias("_mark"), spaced(before, _clean(before), r"(?U)\s\z", True).alias("_before"), spaced(after, _clean(after), r"(?U)\A\s", False).alias("_after"))
+    spaced = lambda text, edge, left_side: let(_clean(text), lambda clean: F.when((clean != "") & text.rlike(edge), F.concat(clean, F.lit(" ")) if left_side else F.concat(F.lit(" "), clean)).otherwise(clean))
+    parts = parts.select("*", head.alias("_head"), F.concat(F.lit(OPEN), _clean(value), F.lit(CLOSE)).alias("_mark"), spaced(before, r"(?U)\s\z", True).alias("_before"), spaced(after, r"(?U)\A\s", False).alias("_after"))
     room = F.lit(CONTEXT - 4) - F.char_length("_head") - F.char_length("_mark")
     n, m = F.char_length("_before"), F.char_length("_after")
     keep_left = F.least(n, F.greatest(F.floor(room * 2 / 3).cast("int"), room - m))
@@ -128,5 +123,4 @@ def candidate_contexts(pages: DataFrame) -> DataFrame:
     fit_left = F.when(F.col("_kl") < n, F.regexp_replace(F.substring(F.col("_before"), n - F.col("_kl") + 1, F.col("_kl")), r"\A[^ ]* ", "")).otherwise(F.col("_before"))
     fit_right = F.when(F.col("_kr") < m, F.regexp_replace(F.substring(F.col("_after"), F.lit(1), F.col("_kr")), r"(?s) [^ ]*\z", "")).otherwise(F.col("_after"))
     context = F.concat("_head", F.when(F.col("_cl") | (F.col("_kl") < n), f"{CUT} ").otherwise(""), fit_left, "_mark", fit_right, F.when(F.col("_cr") | (F.col("_kr") < m), f" {CUT}").otherwise(""))
-    own = ("doc_id", "page", "start", "end", "text", "kind_no", "value", "currency", "date")
     return numbered(parts.select(*own, context.alias("context")), pages)

@@ -26,6 +26,8 @@ EN_MONTHS = "january february march april may june july august september october
 # End of the fixed values.
 
 WRAP_LINE, WRAP_WORDS = 60, 3
+#: The end of an amount that has cents.
+CENTS = r"[.,][0-9]{2}\z"
 _MONTHS = PL_MONTHS.split() + EN_MONTHS.split()
 _ANY_MONTH = "|".join(_MONTHS)
 #: NUMBER, with places that do not begin with a digit left at once.
@@ -70,36 +72,69 @@ def wrapped_numbers(text: Column) -> Column:
     return let(_wraps(text), _joined)
 
 
-def amount_tokens(text: Column) -> Column:
-    """Array of (start, end, text, value, currency, adjacent, before, after): before and after are the lengths of a currency beside it.
+def _behind(text: Column, t: Column) -> Column:
+    return F.regexp_extract(F.substring(text, t["end"] + 1, F.lit(12)), AFTER, 0)
+
+
+def _ahead(text: Column, t: Column) -> Column:
+    return F.regexp_extract(F.substring(text, F.greatest(t["start"] - 5, F.lit(1)), F.least(t["start"], F.lit(6))), BEFORE, 0)
 
-    A number that goes on in the next line is one amount where its line is prose; elsewhere both parts are left out.
-    """
-    numbers = F.when(text.rlike("[0-9]"), matches(text, _NUMBER)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
-    declared = F.when(text.rlike("Waluta|Currency"), currency_code(F.regexp_extract(text, DECLARED, 1)))
+
+def _code(marked: Column, shape: str) -> Column:
+    """ISO code of what a shape found, or null; most numbers have no marker on one side, or on both."""
+    return F.when(marked != "", currency_code(F.regexp_extract(marked, shape, 1)))
+
+
+def _written(t: Column) -> Column:
+    """A number that can be an amount by how it is written."""
+    return ~t["text"].rlike("^0[0-9]")
+
+
+def marked_numbers(text: Column, numbers: Column | None = None) -> Column:
+    """Array of (start, end, text, after, before, a, b) of all numbers, also over line ends, or of those given: the markers behind and before them, and their codes."""
+    found = F.when(text.rlike("[0-9]"), matches(text, _NUMBER)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>")) if numbers is None else numbers
 
     def beside(t: Column) -> Column:
-        """The markers behind and before a number, and their codes."""
-        behind, ahead = F.substring(text, t["end"] + 1, F.lit(12)), F.substring(text, F.greatest(t["start"] - 5, F.lit(1)), F.least(t["start"], F.lit(6)))
-        markers = F.struct(F.regexp_extract(behind, AFTER, 0).alias("after"), F.regexp_extract(ahead, BEFORE, 0).alias("before"), t.alias("t"))
-        # most numbers have no marker on one side, or on both
-        code = lambda marked, shape: F.when(marked != "", currency_code(F.regexp_extract(marked, shape, 1)))
-        coded = lambda m: F.struct(m["t"].alias("t"), m["after"].alias("after"), m["before"].alias("before"), code(m["after"], AFTER).alias("a"), code(m["before"], BEFORE).alias("b"))
-        return let(markers, coded)
+        markers = F.struct(_behind(text, t).alias("after"), _ahead(text, t).alias("before"))
+        return let(markers, lambda m: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["text"].alias("text"), m["after"].alias("after"), m["before"].alias("before"), _code(m["after"], AFTER).alias("a"), _code(m["before"], BEFORE).alias("b")))
+
+    return F.transform(F.filter(found, _written), beside)
+
+
+def is_cell(m: Column) -> Column:
+    """A marked number with cents, or with a currency on its own line."""
+    own = lambda code, marked: code.isNotNull() & ~marked.contains("\n")
+    return m["text"].rlike(CENTS) | own(m["a"], m["after"]) | own(m["b"], m["before"])
+
+
+def amounts_of(text: Column, marked: Column, usable: bool = False) -> Column:
+    """amount_tokens() of a text whose marked numbers are given. usable: only amounts with a currency, beside them or, where they have cents, declared by
+    the page; other numbers are not read then."""
+    declared = F.when(text.rlike("Waluta|Currency"), currency_code(F.regexp_extract(text, DECLARED, 1)))
 
     def token(m: Column, page: Column) -> Column:
-        t, near = m["t"], F.coalesce(m["a"], m["b"])
+        near = F.coalesce(m["a"], m["b"])
         return F.struct(
-            t["start"].alias("start"), t["end"].alias("end"), t["text"].alias("text"), parse_number(t["text"]).alias("value"), F.coalesce(near, page).alias("currency"), near.isNotNull().alias("adjacent"),
+            m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), parse_number(m["text"]).alias("value"), F.coalesce(near, page).alias("currency"), near.isNotNull().alias("adjacent"),
             F.when(m["a"].isNull() & m["b"].isNotNull(), F.char_length(m["before"])).otherwise(0).alias("before"), F.when(m["a"].isNotNull(), F.char_length(m["after"])).otherwise(0).alias("after"),
         )
 
     def found(v: Column) -> Column:
-        alone = F.filter(v["numbers"], lambda n: ~F.exists(v["wraps"], lambda w: (n["start"] >= w["start"]) & (n["start"] < w["end"])))
-        kept = F.filter(F.concat(alone, _joined(v["wraps"])), lambda t: ~t["text"].rlike("^0[0-9]"))
-        return F.transform(F.transform(kept, beside), lambda m: token(m, v["declared"]))
+        alone = F.filter(marked, lambda n: ~F.exists(v["wraps"], lambda w: (n["start"] >= w["start"]) & (n["start"] < w["end"])))
+        kept = F.when(F.size(v["wraps"]) == 0, marked).otherwise(F.concat(alone, marked_numbers(text, _joined(v["wraps"]))))
+        if usable:
+            kept = F.filter(kept, lambda m: m["a"].isNotNull() | m["b"].isNotNull() | (v["declared"].isNotNull() & m["text"].rlike(CENTS)))
+        return F.transform(kept, lambda m: token(m, v["declared"]))
+
+    return let(F.struct(_wraps(text).alias("wraps"), declared.alias("declared")), found)
 
-    return let(F.struct(_wraps(text).alias("wraps"), numbers.alias("numbers"), declared.alias("declared")), found)
+
+def amount_tokens(text: Column) -> Column:
+    """Array of (start, end, text, value, currency, adjacent, before, after): before and after are the lengths of a currency beside it.
+
+    A number that goes on in the next line is one amount where its line is prose; elsewhere both parts are left out.
+    """
+    return let(marked_numbers(text), lambda marked: amounts_of(text, marked))
 
 
 def amounts(pages: DataFrame) -> DataFrame:
@@ -111,7 +146,10 @@ def amounts(pages: DataFrame) -> DataFrame:
 def _date(text: Column, shape: str, ymd: tuple[int, int, int]) -> Column:
     if ymd == (1, 2, 3):
         return text.try_cast("date")
-    year, month, day = (F.regexp_extract(text, shape, k) for k in ymd)
+    if ymd == (3, 2, 1) and "\\S" not in shape:
+        day, month, year = F.substring_index(text, ".", 1), F.substring_index(F.substring_index(text, ".", 2), ".", -1), F.substring_index(text, ".", -1)
+    else:
+        year, month, day = (F.regexp_extract(text, shape, k) for k in ymd)
     if "\\S" in shape:
         number = F.array_position(F.split(F.lit(" ".join(_MONTHS)), " "), F.lower(month)).cast("int")
         month = ((number - 1) % 12 + 1).cast("string")

@@ -184,3 +184,18 @@ def test_grounding_works_facts_out_once(spark):
     assert [r["chunk"] for r in grounding.merged_facts(judged.filter("pos = 0")).orderBy("chunk").collect()] == [1, 2] and grounding.merged_facts(judged).count() == 0
     # facts are one branch of the plan, however often what is made of them is looked at
     assert grounding.merged_facts(judged)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3
+
+
+def test_contexts_find_numbers_once_a_page(spark):
+    """Lines are judged by what the page's numbers and dates are, and a row is one by its cells, also where two share digits."""
+    from docquarry.operators import contexts
+    from docquarry.plans import registry
+
+    plan = registry.queries()["contexts_invoices"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f"({tokens._NUMBER})") == 1
+    line = "€ 5 marca 2026EUR ustalają łączną kwotę zobowiązania na"
+    found = contexts.candidate_contexts(pages(spark, f"a\n{line}\nb", "100\nEUR, 12.03.2026 i 5\nmarca 2026")).orderBy("page", "start", "kind").collect()
+    assert [r["context"] for r in found] == [
+        "s. 1: »€ 5« marca 2026EUR ustalają łączną kwotę zobowiązania na", "s. 1: € »5 marca 2026«EUR ustalają łączną kwotę zobowiązania na", "s. 1: € 5 marca »2026EUR« ustalają łączną kwotę zobowiązania na",
+        "s. 2: »100 EUR«, 12.03.2026 i 5 marca 2026", "s. 2: 100 EUR, »12.03.2026« i 5 marca 2026", "s. 2: 100 EUR, 12.03.2026 i »5 marca 2026«",
+    ]
