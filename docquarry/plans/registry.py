@@ -177,8 +177,8 @@ def sentences(spark, sf_dir):
 
 
 def chunk_cover(spark, sf_dir):
-    """Each chunked document's new text in order, which must be the document's."""
-    pieces = chunks(pages.documents(spark, sf_dir))
+    """Each document's new text in order, which must be the document's, however long it is."""
+    pieces = chunks(pages.documents(spark, sf_dir), most_chars=None)
     piece = F.struct("seq", "new_text")
     sized = pieces.groupBy("doc_id", "chunk").agg(F.sum(F.char_length("overlap") + F.char_length("new_text")).alias("size"), F.collect_list(piece).alias("pieces"))
     whole = F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("pieces"))), lambda p: p["new_text"]), "")
@@ -297,7 +297,7 @@ k AS (SELECT doc_id, CASE WHEN regexp_matches(c, '\p{{Nd}}') THEN 1 WHEN NOT reg
 s AS (SELECT doc_id, count(*) FILTER (kind = 2) AS sure, count(*) FILTER (kind = 1) AS unsure FROM k GROUP BY doc_id)
 SELECT w.doc_id, CASE WHEN len(ws) = 0 THEN 0 ELSE coalesce(sure, 0) + 1 END::INT AS least, CASE WHEN len(ws) = 0 THEN 0 ELSE coalesce(sure + unsure, 0) + 1 END::INT AS most,
   coalesce(regexp_matches(ws[-1], '[.!?…][\"''”’»)\]]*$'), false) AS closed FROM w LEFT JOIN s USING (doc_id)""",
-    "chunks_documents": r"SELECT doc_id, md5(text) AS digest, true AS bounded, length(text) <= 10000 AS whole FROM documents WHERE regexp_matches(text, '\p{L}') AND length(text) <= 64000",
+    "chunks_documents": r"SELECT doc_id, md5(text) AS digest, true AS bounded, length(text) <= 10000 AS whole FROM documents WHERE regexp_matches(text, '\p{L}')",
     "too_long_documents": r"SELECT doc_id, sum(length(text))::BIGINT AS n_chars FROM documents WHERE regexp_matches(text, '\p{L}') GROUP BY doc_id HAVING sum(length(text)) > 10000",
     "overviews_conversations": r"""WITH RECURSIVE p AS (SELECT conv_id AS doc_id, (turn + 1)::INT AS page, length(text)::INT AS n_chars, row_number() OVER (PARTITION BY conv_id ORDER BY length(text), turn) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE regexp_matches(text, '\p{L}')),
 t AS (SELECT doc_id, page, n_chars, r, n, least(n_chars, 300 // n) AS share, 300 - least(n_chars, 300 // n) AS budget FROM p WHERE r = 1

@@ -82,6 +82,19 @@ def test_documents_that_one_chunk_holds_are_not_packed(spark, monkeypatch):
     assert [r[7] for r in found] == ["ąb 😀\n\nc", "c" * 4_000, "d e " * 2_500]
 
 
+def test_long_documents_are_chunked_too(spark):
+    """Without the limit of admission a document of any length has chunks, each within its bounds, that hold all of it."""
+    text = "".join(f"word{k} " + "\n" * (k % 7 == 0) for k in range(17_000))
+    frame = spark.createDataFrame([(1, 1, text), (1, 2, "y" * 64_001), (2, 1, "z z " * 3_000)], "doc_id long, page int, text string")
+    found = chunks.chunks(frame, most_chars=None).orderBy("doc_id", "seq").collect()
+    assert len(text) > 2 * chunks.MOST_CHARS and "".join(r["new_text"] for r in found if r["doc_id"] == 1) == text + "y" * 64_001
+    sizes = {}
+    for r in found:
+        sizes[r["doc_id"], r["chunk"]] = sizes.get((r["doc_id"], r["chunk"]), 0) + len(r["overlap"]) + len(r["new_text"])
+    assert max(sizes.values()) <= chunks.CHUNK and max(c for d, c in sizes if d == 1) > chunks.MOST_CHUNKS
+    assert {r["doc_id"] for r in chunks.chunks(frame).collect()} == {2}
+
+
 def test_layout(spark):
     items = [(1, 1, 0, "World", 60.0, 700.0, 40.0, 10.0), (1, 1, 1, "Hello", 10.0, 703.0, 45.0, 10.0), (1, 1, 2, "be", 10.0, 680.0, 10.0, 10.0), (1, 1, 3, "low", 21.0, 680.0, 10.0, 10.0), (1, 1, 4, "", 0.0, 900.0, 1.0, 1.0), (1, 1, 5, " \t", 0.0, 650.0, 1.0, 1.0)]
     df = spark.createDataFrame(items, "doc_id long, page int, n int, str string, x double, y double, w double, h double")
