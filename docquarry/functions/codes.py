@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let
-
 # ISO 4217 and ISO 639-1 codes that results may hold, and what a currency is called beside a number.
 CURRENCIES = (
     "AED AFN ALL AMD AOA ARS AUD AWG AZN BAM BBD BDT BHD BIF BMD BND BOB BOV BRL BSD BTN BWP BYN BZD CAD CDF CHE CHF CHW CLF CLP CNY COP COU CRC CUP CVE "
@@ -26,16 +24,16 @@ ALIASES = {"zł": "PLN", "złotych": "PLN", "euro": "EUR", "€": "EUR", "$": "U
 
 
 def is_currency(code: Column) -> Column:
-    # three characters without a space between them are in the list only as a whole code
-    return (F.char_length(code) == 3) & ~code.contains(" ") & F.contains(F.lit(CURRENCIES), code)
+    # a list of constants becomes a set, in which one code costs one look
+    return code.isin(*CURRENCIES.split())
 
 
 def is_language(code: Column) -> Column:
-    return F.array_contains(F.split(F.lit(LANGUAGES), " "), code)
+    return code.isin(*LANGUAGES.split())
 
 
 def currency_code(marker: Column) -> Column:
     """ISO code of a currency marker, or null."""
     names = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    code = F.coalesce(F.element_at(names, marker), F.element_at(names, F.lower(marker)), marker)
-    return let(code, lambda c: F.when(is_currency(c), c))
+    # no alias is a code in small letters, so codes need no other case
+    return F.coalesce(F.element_at(names, marker), F.when(is_currency(marker), marker), F.element_at(names, F.lower(marker)))

@@ -9,25 +9,32 @@ from pyspark.sql import functions as F
 
 _MARK = "\x01"
 _FOUND = "array<struct<start:int,end:int,text:string>>"
+#: Pieces of a text up to which each match counts what stands before it.
+_FEW = 41
 #: What collapse() changes: a blank that is no space, and runs of blanks.
-_RUNS = r"(?U)\s{2,}|(?! )\s"
+_RUNS = r"(?U)\s(?:\s+|(?<! ))"
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, text) of all matches of a Java pattern that never matches the empty string.
 
-    Each match is wrapped in a mark, the text is split at the marks, and lengths are added up along the pieces: as numbers alone, since a struct is
-    copied with all that it holds at every step.
+    Each match is wrapped in a mark and the text is split at the marks. A match's place is the length of what stands before its mark; where there are
+    many, lengths are added up along the pieces instead: as numbers alone, since a struct is copied with all that it holds at every step.
     """
     plain = F.when(text.contains(_MARK), F.translate(text, _MARK, " ")).otherwise(text)
     marked = F.regexp_replace(plain, f"({pattern})", f"{_MARK}$1{_MARK}")
+    hits = lambda parts: F.filter(parts, lambda _, i: i % 2 == 1)
 
-    def placed(parts: Column) -> Column:
+    def added(parts: Column) -> Column:
         ends = F.aggregate(parts, F.array(F.lit(0)), lambda acc, part: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(part))))
-        hits = F.filter(parts, lambda _, i: i % 2 == 1)
-        return let(ends, lambda e: F.transform(hits, lambda hit, i: F.struct(F.get(e, i * 2 + 1).alias("start"), F.get(e, i * 2 + 2).alias("end"), hit.alias("text"))))
+        return let(ends, lambda e: F.transform(hits(parts), lambda hit, i: F.struct(F.get(e, i * 2 + 1).alias("start"), F.get(e, i * 2 + 2).alias("end"), hit.alias("text"))))
 
-    return let(marked, lambda m: F.when(m.contains(_MARK), let(F.split(m, _MARK), placed)).when(m.isNotNull(), F.array().cast(_FOUND)))
+    def placed(m: Column) -> Column:
+        before = lambda i: F.char_length(F.call_function("substring_index", m, F.lit(_MARK), i * 2 + 1)) - i * 2
+        few = lambda parts: F.transform(hits(parts), lambda hit, i: let(before(i), lambda s: F.struct(s.alias("start"), (s + F.char_length(hit)).alias("end"), hit.alias("text"))))
+        return let(F.split(m, _MARK), lambda parts: F.when(F.size(parts) <= _FEW, few(parts)).otherwise(added(parts)))
+
+    return let(marked, lambda m: F.when(m.contains(_MARK), placed(m)).when(m.isNotNull(), F.array().cast(_FOUND)))
 
 
 def first_place(text: Column, shape: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_letter, let
-from .tokens import amounts_of, date_tokens, is_cell, marked_numbers
+from .tokens import amounts_of, date_tokens, is_cell, joined, marked_numbers, wraps_of
 
 # Marks of a page number or a version in a running line, and limits.
 MARKER = r"(?iuU)\b(?:strona|str\.|page|seite)\s*#+\s*(?:z|of|/|von)\s*#+|\b(?:wersja|version|ver\.|rev\.?)\s*#"
@@ -14,8 +14,8 @@ EDGE_LINES, LEAST_PAGES, MOST_CANDIDATES = 2, 3, 400
 # End of the fixed values.
 
 
-#: What a page's text must hold for any of its lines to have a marker; digits are not folded there yet, and the first letters are looked at first.
-_MARKED = MARKER.replace("#", "[0-9]").replace("(?iuU)", "(?iuU)(?=[spvwr])(?:", 1) + ")"
+#: What a page's text must hold for any of its lines to have a marker; digits are not folded there yet, and the first letters are looked at first, in either case.
+_MARKED = "(?=[spvwrSPVWR\u017f])" + MARKER.replace("#", "[0-9]").replace("(?iuU)", "(?iuU:", 1) + ")"
 _OWN = ("doc_id", "page", "start", "end", "text", "kind_no", "value", "currency", "date", "spans")
 
 
@@ -43,8 +43,10 @@ def running_lines(pages: DataFrame) -> DataFrame:
     lines = lines.withColumn("key", key).filter(F.col("key").rlike(MARKER))
     # the dates of a line are found in the line itself, so no join with the page's dates is needed
     lines = lines.withColumn("set", F.array_join(F.array_sort(F.array_distinct(F.transform(date_tokens(F.col("line")), lambda d: d["date"].cast("string")))), ","))
-    running = lines.groupBy("doc_id", "key").agg(F.count_distinct("page").alias("n"), F.min("set").alias("a"), F.max("set").alias("b")).filter(f"n >= {LEAST_PAGES} AND a = b")
-    return lines.join(running.select("doc_id", "key"), ["doc_id", "key"], "left_semi").select("doc_id", "page", "start", "end")
+    # lines with the same key are kept beside their number, so that pages are read once
+    span = F.struct("page", "start", "end")
+    running = lines.groupBy("doc_id", "key").agg(F.collect_list(span).alias("spans"), F.min("set").alias("a"), F.max("set").alias("b")).filter("a = b")
+    return running.filter(F.size(F.array_distinct("spans.page")) >= LEAST_PAGES).select("doc_id", F.inline("spans"))
 
 
 def candidates(pages: DataFrame) -> DataFrame:
@@ -58,28 +60,34 @@ def candidates(pages: DataFrame) -> DataFrame:
 
 def token_structs(text: Column) -> Column:
     """Array of (start, end, text, kind_no, value, currency, date, before, after): what may become a candidate."""
-    return let(F.struct(marked_numbers(text).alias("numbers"), date_tokens(text).alias("days")), lambda v: _structs(text, v["numbers"], v["days"]))
+    return let(F.struct(marked_numbers(text, worth=True).alias("numbers"), date_tokens(text).alias("days")), lambda v: _structs(text, v["numbers"], v["days"]))
+
+
+def line_number(text: Column, start: Column) -> Column:
+    """The line, counted from 0, that an offset of a text stands in."""
+    return let(F.substring(text, F.lit(1), start), lambda head: F.octet_length(head) - F.octet_length(F.replace(head, F.lit("\n"), F.lit(""))))
 
 
 def tokens_and_cells(text: Column) -> Column:
-    """Struct (found, cells): token_structs(), and the line, counted from 0, of each amount with a currency in its line or with cents and of each date within a line."""
+    """Struct (found, cells, wraps): token_structs(), the line, counted from 0, of each amount with a currency in its line or with cents and of each date
+    within a line, and (start, end) of the numbers that go on in the next line."""
 
     def both(v: Column) -> Column:
-        head = lambda t: F.substring(text, F.lit(1), t["start"])
-        line_no = lambda t: let(head(t), lambda h: F.char_length(h) - F.char_length(F.replace(h, F.lit("\n"), F.lit(""))))
+        line_no = lambda t: line_number(text, t["start"])
         cells = F.concat(F.transform(F.filter(v["numbers"], is_cell), line_no), F.transform(F.filter(v["days"], lambda d: ~d["text"].contains("\n")), line_no))
-        return F.struct(_structs(text, v["numbers"], v["days"]).alias("found"), cells.alias("cells"))
+        wraps = F.transform(joined(v["wraps"]), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end")))
+        return F.struct(_structs(text, v["numbers"], v["days"], v["wraps"]).alias("found"), cells.alias("cells"), wraps.alias("wraps"))
 
-    return let(F.struct(marked_numbers(text).alias("numbers"), date_tokens(text).alias("days")), both)
+    return let(F.struct(marked_numbers(text, worth=True).alias("numbers"), date_tokens(text).alias("days"), wraps_of(text).alias("wraps")), both)
 
 
-def _structs(text: Column, numbers: Column, days: Column) -> Column:
+def _structs(text: Column, numbers: Column, days: Column, wraps: Column | None = None) -> Column:
     none = lambda kind: F.lit(None).cast(kind)
 
     def shaped(t: Column, kind_no: int, value: Column, currency: Column, date: Column, before: Column, after: Column) -> Column:
         return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["text"].alias("text"), F.lit(kind_no).alias("kind_no"), value.alias("value"), currency.alias("currency"), date.alias("date"), before.alias("before"), after.alias("after"))
 
-    money = F.transform(amounts_of(text, numbers, usable=True), lambda t: shaped(t, 0, t["value"], t["currency"], none("date"), t["before"], t["after"]))
+    money = F.transform(amounts_of(text, numbers, True, wraps), lambda t: shaped(t, 0, t["value"], t["currency"], none("date"), t["before"], t["after"]))
     dated = F.transform(days, lambda t: shaped(t, 1, none("decimal(38,2)"), none("string"), t["date"], F.lit(0), F.lit(0)))
     return F.concat(money, dated)
 

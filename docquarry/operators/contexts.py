@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, has_letter, let
-from .candidates import numbered, tokens_and_cells
-from .tokens import NUMBER, wrapped_numbers
+from .candidates import line_number, numbered, tokens_and_cells
+from .tokens import NUMBER
 
 # Limits in lines and characters, capitals, currency words, ends of sentences, headings, paragraphs and marks.
 WINDOW, HEADER_LINES, HEADING_LINES, SHORT_LINE, ROW, PREFIX, CONTEXT = 190, 30, 10, 80, 160, 90, 500
@@ -25,6 +25,11 @@ PARAGRAPH = r"(?U)\A\s*[0-9]+\.\s"
 OPEN, CLOSE, CUT = "»", "«", "…"
 # End of the fixed values.
 
+# The same forms, with the rare character looked for before what stands around it.
+_NO_INITIAL = rf"(?<![\s(\-][{CAPITAL}][.!?;])"
+_END = rf"(?=[.!?;\n])(?:[.!?;]{_NO_INITIAL}\s+(?=[{CAPITAL}])|\n[ \t]*\n|\n(?=[ \t]*[0-9]+\.\s))"
+_INSIDE = rf"[.!?]{_NO_INITIAL}\s+[{CAPITAL}]"
+
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, r"(?U)\s+", " "), " "), lambda w: w != "")
@@ -33,7 +38,13 @@ def _words(text: Column) -> Column:
 def is_row(line: Column, cells: Column) -> Column:
     """A line with a bar, or with two cells or more, money or dates, and few words beside them."""
     words = F.size(F.filter(_words(line), lambda w: has_letter(w) & ~F.lower(w).isin(*CURRENCY_WORDS)))
-    return F.when(line.contains("|"), True).when(cells < 2, False).when(line.rlike(SENTENCE_INSIDE), False).otherwise(words <= 2 * cells + 2)
+    return F.when(line.contains("|"), True).when(cells < 2, False).when(line.rlike(_INSIDE), False).otherwise(words <= 2 * cells + 2)
+
+
+def _is_flat(line: Column) -> Column:
+    """Whether a line may be a row whose cells have run together: short, and neither a paragraph nor sentences."""
+    sentence = line.rlike(r"(?U)\.\s*\z") & (F.size(_words(line)) >= 8)
+    return (F.char_length(line) <= ROW) & ~line.rlike(PARAGRAPH) & ~line.rlike(_INSIDE) & ~sentence
 
 
 def _judged(line: Column, next_is_row: Column) -> Column:
@@ -73,34 +84,36 @@ def _bound(text: Column, cut: bool) -> Column:
 def candidate_contexts(pages: DataFrame) -> DataFrame:
     """candidates() with their context: the first rule that applies gives its bounds.
 
-    A page's numbers and dates are found once, and its lines are judged by them, within its row, and only on pages that have a candidate. A candidate is then
-    a row beside its page's text: what is made of it stands in columns, each worked out once and only where a rule asks for it.
+    A page's numbers and dates are found once, and its lines are judged by them, within its row, and only on pages that have a candidate; a line is judged as
+    a header or a heading only above the last line that asks for one. A candidate is then a row beside its page's text: what is made of it stands in
+    columns, each worked out once and only where a rule asks for it.
     """
-    read = _with(pages.filter(has_letter(F.col("text"))).select("doc_id", "page", F.col("text").alias("body")), t=let(F.col("body"), tokens_and_cells)).filter(F.size("t.found") > 0)
-    read = _with(read, found=F.col("t.found"), cells=F.col("t.cells"), lines=F.split("body", "\n"), wraps=F.transform(wrapped_numbers(F.col("body")), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))))
-    read = _with(read.drop("t"), rows=F.transform("lines", lambda x, i: is_row(x, F.size(F.filter("cells", lambda c: c == i)))))
-    read = _with(read, judged=F.transform("lines", lambda x, i: _judged(x, F.get("rows", i + 1))), headings=F.transform("lines", lambda x: F.when(x.rlike(HEADING), collapse(x))))
-    near = read.select("doc_id", "page", "body", "lines", "rows", "judged", "headings", "wraps", F.inline("found"))
+    read = _with(pages.filter(has_letter(F.col("text"))).select("doc_id", "page", F.col("text").alias("body")), t=let(F.col("body"), lambda x: tokens_and_cells(x))).filter(F.size("t.found") > 0)
+    spots = F.transform("t.found", lambda t: line_number(F.col("body"), t["start"]))
+    read = read.select("doc_id", "page", "body", F.col("t.found").alias("found"), F.col("t.cells").alias("cells"), F.col("t.wraps").alias("wraps"), F.split("body", "\n").alias("lines"), spots.alias("spots"))
+    read = _with(read, rows=F.transform("lines", lambda x, i: is_row(x, F.size(F.filter("cells", lambda c: c == i)))), flats=F.transform("lines", lambda x, i: F.when(F.array_contains("spots", i), _is_flat(x))))
+    last = lambda asks: F.coalesce(F.array_max(F.filter("spots", asks)), F.lit(0))
+    read = read.select("*", last(lambda i: F.get("rows", i) | F.get("flats", i)).alias("tabled"), last(lambda i: F.get("lines", i).contains(":")).alias("labelled"))
+    judged = F.transform("lines", lambda x, i: F.when(i < F.col("tabled"), _judged(x, F.get("rows", i + 1))))
+    read = _with(read, judged=judged, headings=F.transform("lines", lambda x, i: F.when((i < F.col("labelled")) & x.rlike(HEADING), collapse(x))))
+    near = read.select("doc_id", "page", "body", "lines", "rows", "flats", "judged", "headings", "wraps", F.inline(F.arrays_zip("found", F.col("spots").alias("_line_no")))).select("*", "found.*").drop("found")
     near = near.withColumn("_head", F.substring("body", F.lit(1), F.col("start"))).withColumn("_line_left", F.substring_index("_head", "\n", -1))
-    near = near.withColumn("_line_no", F.char_length("_head") - F.char_length(F.replace("_head", F.lit("\n"), F.lit(""))))
-    near = near.withColumn("line", F.get("lines", F.col("_line_no")))
+    near = near.withColumn("line", F.get("lines", "_line_no"))
     begin = F.col("start") - F.char_length("_line_left")
     stop = begin + F.char_length("line")
     crossed = F.exists("wraps", lambda w: ((w["start"] < stop) & (stop < w["end"])) | ((w["start"] < begin - 1) & (begin - 1 < w["end"])))
     on_line = (F.col("end") <= stop) & ((F.size("wraps") == 0) | ~crossed)
     label = F.col("_line_left").contains(":") & (F.char_length(collapse(F.col("line"))) <= SHORT_LINE)
-    sentence = F.col("line").rlike(r"(?U)\.\s*\z") & (F.size(_words(F.col("line"))) >= 8)
-    flat = (F.char_length("line") <= ROW) & ~F.col("line").rlike(PARAGRAPH) & ~F.col("line").rlike(SENTENCE_INSIDE) & ~sentence
     # 1: a row, 2: a labelled line, 3: a flattened row, if it has a header
-    near = near.withColumn("_rule", F.when(on_line, F.when(F.get("rows", F.col("_line_no")), 1).when(label, 2).when(flat, 3).otherwise(0)).otherwise(0))
+    near = near.withColumn("_rule", F.when(on_line, F.when(F.get("rows", F.col("_line_no")), 1).when(label, 2).when(F.get("flats", F.col("_line_no")), 3).otherwise(0)).otherwise(0))
     header, heading = _last_above(F.col("judged"), F.col("_line_no"), HEADER_LINES)["text"], _last_above(F.col("headings"), F.col("_line_no"), HEADING_LINES)
     near = near.withColumn("_prefix", F.when(F.col("_rule").isin(1, 3), header).when(F.col("_rule") == 2, heading))
     near = near.withColumn("_whole", F.col("_rule").isin(1, 2) | ((F.col("_rule") == 3) & F.col("_prefix").isNotNull()))
     # prose: back to the last end of a sentence, on to the next, at most WINDOW characters and whole words
     low = F.greatest(F.col("start") - WINDOW, F.lit(0))
     whole_right = F.substring(F.col("line"), F.col("end") - begin + 1, F.char_length("line"))
-    lefts = lambda x: F.when(x.rlike(SENTENCE_END), _bound(F.regexp_replace(x, rf"(?s)\A.*(?:{SENTENCE_END})", ""), False)).when(low > 0, _bound(F.regexp_replace(x, r"\A[^ ]* ", ""), True)).otherwise(_bound(x, False))
-    rights = lambda x: F.when(x.rlike(SENTENCE_END), _bound(F.regexp_extract(x, rf"(?s)\A(.*?(?=(?:{SENTENCE_END})).)", 1), False)).when(F.col("end") + WINDOW < F.char_length("body"), _bound(F.regexp_replace(x, r" [^ ]*\z", ""), True)).otherwise(_bound(x, False))
+    lefts = lambda x: F.when(x.rlike(_END), _bound(F.regexp_replace(x, rf"(?s)\A.*(?:{_END})", ""), False)).when(low > 0, _bound(F.regexp_replace(x, r"\A[^ ]* ", ""), True)).otherwise(_bound(x, False))
+    rights = lambda x: F.when(x.rlike(_END), _bound(F.regexp_extract(x, rf"(?s)\A(.*?(?=(?:{_END})).)", 1), False)).when(F.col("end") + WINDOW < F.char_length("body"), _bound(F.regexp_replace(x, r" [^ ]*\z", ""), True)).otherwise(_bound(x, False))
     near = near.withColumns({
         "_l": F.when(F.col("_whole"), _bound(F.col("_line_left"), False)).otherwise(let(F.substring(F.col("body"), low + 1, F.col("start") - low), lefts)),
         "_r": F.when(F.col("_whole"), _bound(whole_right, False)).otherwise(let(F.substring(F.col("body"), F.col("end") + 1, F.lit(WINDOW)), rights)),

@@ -32,12 +32,20 @@ _MONTHS = PL_MONTHS.split() + EN_MONTHS.split()
 _ANY_MONTH = "|".join(_MONTHS)
 #: NUMBER, with places that do not begin with a digit left at once.
 _NUMBER = "(?=[0-9])" + NUMBER
+_BLANKS = "[ \u00a0]"
+#: Of these, the ones with cents or with what may be a currency beside them: a number is taken whole or not at all, and what begins inside of one that is left
+#: out ends where that ends and has digits before it, so it is left out as well.
+_WORTH = (
+    rf"(?=[0-9])(?<![0-9.,])(?:(?<=(?:[A-Z]{{3}}|[€$]){_BLANKS}{{0,6}}\n?)(?>{NUMBER})|(?>({_NUMBER}))(?:(?<=[.,][0-9]{{2}})|(?={_BLANKS}*(?:\n{_BLANKS}*)?(?:zł|euro|[€$]|[A-Z]{{3}}))))"
+)
+#: What a date with a month's name looks like, whichever way it goes.
+_NAMED = r"(?U)[0-9](?:,|\s+\p{L}{3,}\s)\s*[0-9]{4}"
 #: What a text must hold, the form, its parts, and which of these are year, month and day.
 _DATES = (
-    (r"[0-9]-[0-9]", r"(?<![0-9])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])", r"([0-9]{4})-([0-9]{2})-([0-9]{2})", (1, 2, 3)),
-    (r"[0-9]\.[0-9]", r"(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9])", r"([0-9]+)\.([0-9]+)\.([0-9]+)", (3, 2, 1)),
-    (r"(?U)[0-9]\s+\p{L}{3,}\s+[0-9]{4}", rf"(?iuU)(?<![0-9])[0-9]{{1,2}}\s+(?:{_ANY_MONTH})\s+[0-9]{{4}}(?![0-9])", r"(?U)([0-9]+)\s+(\S+)\s+([0-9]+)", (3, 2, 1)),
-    (r"(?U)[0-9],\s*[0-9]{4}", rf"(?iuU)\b(?:{_ANY_MONTH})\s+[0-9]{{1,2}},\s*[0-9]{{4}}(?![0-9])", r"(?U)(\S+)\s+([0-9]+),\s*([0-9]+)", (3, 1, 2)),
+    ("[0-9]", r"(?=[0-9])(?<![0-9])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])", r"([0-9]{4})-([0-9]{2})-([0-9]{2})", (1, 2, 3)),
+    ("[0-9]", r"(?=[0-9])(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9])", r"([0-9]+)\.([0-9]+)\.([0-9]+)", (3, 2, 1)),
+    (_NAMED, rf"(?iuU)(?<![0-9])[0-9]{{1,2}}\s+(?:{_ANY_MONTH})\s+[0-9]{{4}}(?![0-9])", r"(?U)([0-9]+)\s+(\S+)\s+([0-9]+)", (3, 2, 1)),
+    (_NAMED, rf"(?iuU)\b(?:{_ANY_MONTH})\s+[0-9]{{1,2}},\s*[0-9]{{4}}(?![0-9])", r"(?U)(\S+)\s+([0-9]+),\s*([0-9]+)", (3, 1, 2)),
 )
 
 
@@ -48,8 +56,8 @@ def parse_number(raw: Column) -> Column:
     return point.try_cast("decimal(38,2)")
 
 
-def _wraps(text: Column) -> Column:
-    """Numbers over a line end: (start, end, text, at, joined); at: offset of the suffix."""
+def wraps_of(text: Column) -> Column:
+    """Numbers over a line end: (start, end, text, joined); joined: whether they are one number."""
 
     def judged(m: Column) -> Column:
         line = F.substring_index(F.substring(text, F.lit(1), m["start"]), "\n", -1)
@@ -60,16 +68,16 @@ def _wraps(text: Column) -> Column:
         joined = (whole >= WRAP_LINE) & (words >= WRAP_WORDS) & ~line.rlike(REFERENCE)
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.concat(prefix, F.lit(" "), suffix).alias("text"), joined.alias("joined"))
 
-    return F.when(text.rlike(r"[0-9][ \t]*\n[ \t]*[0-9]{3}"), F.transform(matches(text, WRAPPED), judged)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,joined:boolean>>"))
+    return F.when(text.rlike(r"[0-9][ \t]*\n[ \t]*[0-9]{3}"), F.transform(matches(text, WRAPPED), lambda m: judged(m))).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,joined:boolean>>"))
 
 
-def _joined(wraps: Column) -> Column:
+def joined(wraps: Column) -> Column:
     return F.transform(F.filter(wraps, lambda w: w["joined"]), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["text"].alias("text")))
 
 
 def wrapped_numbers(text: Column) -> Column:
     """Array of (start, end, text) of the numbers that go on in the next line."""
-    return let(_wraps(text), _joined)
+    return let(wraps_of(text), _joined)
 
 
 def _behind(text: Column, t: Column) -> Column:
@@ -82,7 +90,7 @@ def _ahead(text: Column, t: Column) -> Column:
 
 def _code(marked: Column, shape: str) -> Column:
     """ISO code of what a shape found, or null; most numbers have no marker on one side, or on both."""
-    return F.when(marked != "", currency_code(F.regexp_extract(marked, shape, 1)))
+    return F.when(marked != "", let(F.regexp_extract(marked, shape, 1), lambda m: currency_code(m)))
 
 
 def _written(t: Column) -> Column:
@@ -90,9 +98,10 @@ def _written(t: Column) -> Column:
     return ~t["text"].rlike("^0[0-9]")
 
 
-def marked_numbers(text: Column, numbers: Column | None = None) -> Column:
-    """Array of (start, end, text, after, before, a, b) of all numbers, also over line ends, or of those given: the markers behind and before them, and their codes."""
-    found = F.when(text.rlike("[0-9]"), matches(text, _NUMBER)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>")) if numbers is None else numbers
+def marked_numbers(text: Column, numbers: Column | None = None, worth: bool = False) -> Column:
+    """Array of (start, end, text, after, before, a, b) of all numbers, also over line ends, or of those given: the markers behind and before them, and their
+    codes. worth: only numbers with cents or with a marker, and maybe others."""
+    found = F.when(text.rlike("[0-9]"), matches(text, _WORTH if worth else _NUMBER)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>")) if numbers is None else numbers
 
     def beside(t: Column) -> Column:
         markers = F.struct(_behind(text, t).alias("after"), _ahead(text, t).alias("before"))
@@ -107,10 +116,10 @@ def is_cell(m: Column) -> Column:
     return m["text"].rlike(CENTS) | own(m["a"], m["after"]) | own(m["b"], m["before"])
 
 
-def amounts_of(text: Column, marked: Column, usable: bool = False) -> Column:
-    """amount_tokens() of a text whose marked numbers are given. usable: only amounts with a currency, beside them or, where they have cents, declared by
-    the page; other numbers are not read then."""
-    declared = F.when(text.rlike("Waluta|Currency"), currency_code(F.regexp_extract(text, DECLARED, 1)))
+def amounts_of(text: Column, marked: Column, usable: bool = False, wraps: Column | None = None) -> Column:
+    """amount_tokens() of a text whose marked numbers, and numbers over line ends where they are known, are given. usable: only amounts with a currency, beside
+    them or, where they have cents, declared by the page; other numbers are not read then."""
+    declared = F.when(text.contains("Waluta") | text.contains("Currency"), currency_code(F.regexp_extract(text, DECLARED, 1)))
 
     def token(m: Column, page: Column) -> Column:
         near = F.coalesce(m["a"], m["b"])
@@ -121,12 +130,12 @@ def amounts_of(text: Column, marked: Column, usable: bool = False) -> Column:
 
     def found(v: Column) -> Column:
         alone = F.filter(marked, lambda n: ~F.exists(v["wraps"], lambda w: (n["start"] >= w["start"]) & (n["start"] < w["end"])))
-        kept = F.when(F.size(v["wraps"]) == 0, marked).otherwise(F.concat(alone, marked_numbers(text, _joined(v["wraps"]))))
+        kept = F.when(F.size(v["wraps"]) == 0, marked).otherwise(F.concat(alone, marked_numbers(text, joined(v["wraps"]))))
         if usable:
             kept = F.filter(kept, lambda m: m["a"].isNotNull() | m["b"].isNotNull() | (v["declared"].isNotNull() & m["text"].rlike(CENTS)))
         return F.transform(kept, lambda m: token(m, v["declared"]))
 
-    return let(F.struct(_wraps(text).alias("wraps"), declared.alias("declared")), found)
+    return let(F.struct((wraps_of(text) if wraps is None else wraps).alias("wraps"), declared.alias("declared")), found)
 
 
 def amount_tokens(text: Column) -> Column:
@@ -161,11 +170,14 @@ def date_tokens(text: Column) -> Column:
     none = F.array().cast("array<struct<start:int,end:int,text:string,date:date>>")
     first = F.lit("0001-01-01").cast("date")
 
-    def valid(gate: str, pattern: str, shape: str, ymd: tuple[int, int, int]) -> Column:
+    def valid(pattern: str, shape: str, ymd: tuple[int, int, int]) -> Column:
         each = F.transform(matches(text, pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), _date(m["text"], shape, ymd).alias("date")))
-        return F.when(text.rlike(gate), F.filter(each, lambda d: d["date"] >= first)).otherwise(none)
+        return F.filter(each, lambda d: d["date"] >= first)
 
-    return F.concat(*[valid(*form) for form in _DATES])
+    # forms with the same gate are looked for behind one look at the text
+    gates = dict.fromkeys(gate for gate, *_ in _DATES)
+    of = lambda gate: [valid(*form) for g, *form in _DATES if g == gate]
+    return F.concat(*[F.when(text.rlike(gate), F.concat(*of(gate))).otherwise(none) for gate in gates])
 
 
 def dates(pages: DataFrame) -> DataFrame:

@@ -199,3 +199,25 @@ def test_contexts_find_numbers_once_a_page(spark):
         "s. 1: »€ 5« marca 2026EUR ustalają łączną kwotę zobowiązania na", "s. 1: € »5 marca 2026«EUR ustalają łączną kwotę zobowiązania na", "s. 1: € 5 marca »2026EUR« ustalają łączną kwotę zobowiązania na",
         "s. 2: »100 EUR«, 12.03.2026 i 5 marca 2026", "s. 2: 100 EUR, »12.03.2026« i 5 marca 2026", "s. 2: 100 EUR, 12.03.2026 i »5 marca 2026«",
     ]
+
+
+def test_only_numbers_that_may_be_amounts_are_looked_at(spark):
+    """A page's numbers without cents and currency are not wrapped in marks; what is found is what all numbers would give, in texts of few and of many numbers."""
+    bits = ["1 234", "12 345,5", "7,50", "007", "12 345 %", "1 234,567", "PLN 5", "€\u00a03", "1 000 EUR", "2 000\nzł", "1.234.567,89", "19.09.1995", "1995-08-20", "10 200 300,7", "USD\n8 100", "XYZ 4", "6 euro", "nr 12 zł", "12 345 678"]
+    rows = [(1, k + 1, "a " + " ; ".join(bits[j % len(bits)] + " " * (j % 3) for j in range(k, k * 3 + 4))) for k in range(len(bits) * 2)]
+    frame = pages(spark, *[t for _, _, t in rows])
+    every = frame.select("page", F.inline(tokens.marked_numbers(F.col("text")))).filter((F.col("a").isNotNull()) | F.col("b").isNotNull() | F.col("text").rlike(tokens.CENTS))
+    worth = frame.select("page", F.inline(tokens.marked_numbers(F.col("text"), worth=True)))
+    kept = worth.filter((F.col("a").isNotNull()) | F.col("b").isNotNull() | F.col("text").rlike(tokens.CENTS))
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, every.collect())) and kept.count() > 100
+    assert worth.count() < frame.select(F.explode(tokens.marked_numbers(F.col("text")))).count()
+    # offsets are the text's own, however many matches there are
+    for r in worth.join(frame.select("page", F.col("text").alias("whole")), "page").collect():
+        assert r["whole"][r["start"] : r["end"]] == r["text"]
+
+
+def test_running_lines_read_pages_once(spark):
+    frame = pages(spark, *[f"tytuł\ntekst {k}\nStrona {k} z 9" for k in range(1, 4)], "Strona 4 z 9 tu")
+    found = candidates.running_lines(frame)
+    assert sorted((r["page"], r["start"]) for r in found.collect()) == [(1, 14), (2, 14), (3, 14)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
