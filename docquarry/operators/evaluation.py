@@ -233,11 +233,15 @@ def ideal_selection(expected: DataFrame, pages: DataFrame, found: DataFrame) ->
 
 def rebuilt_selection(results: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, kind, candidate_id) that saved results were made of: the first candidate with the same fact and context."""
-    money = results.select("doc_id", F.inline("amounts")).select("doc_id", F.lit("amount").alias("kind"), F.concat_ws(" ", F.col("value").cast("decimal(38,2)").cast("string"), "currency").alias("fact"), "context")
-    days = results.select("doc_id", F.inline("dates")).select("doc_id", F.lit("date").alias("kind"), F.col("date").alias("fact"), F.translate("context", "»«", "").alias("context"))
+    told = lambda kind, fact, context: F.struct(F.lit(kind).alias("kind"), fact.alias("fact"), context.alias("context"))
+    money = F.transform("amounts", lambda a: told("amount", F.concat_ws(" ", a["value"].cast("decimal(38,2)").cast("string"), a["currency"]), a["context"]))
+    days = F.transform("dates", lambda d: told("date", d["date"].cast("string"), F.translate(d["context"], "»«", "")))
+    none = F.array().cast("array<struct<kind:string,fact:string,context:string>>")
+    asked = results.select("doc_id", F.inline(F.concat(F.coalesce(money, none), F.coalesce(days, none))))
     fact = F.when(F.col("kind") == "amount", F.concat_ws(" ", F.col("value").cast("decimal(38,2)").cast("string"), "currency")).otherwise(F.col("date").cast("string"))
     seen = found.select("doc_id", "kind", "candidate_id", fact.alias("fact"), F.when(F.col("kind") == "date", F.translate("context", "»«", "")).otherwise(F.col("context")).alias("context"))
-    return money.unionByName(days).join(seen, ["doc_id", "kind", "fact", "context"]).groupBy("doc_id", "kind", "fact", "context").agg(F.min("candidate_id").alias("candidate_id")).drop("fact", "context")
+    # all candidates with their contexts are estimated by the table they were made of: without the hint, the driver would gather and broadcast them
+    return asked.join(seen.hint("merge"), ["doc_id", "kind", "fact", "context"]).groupBy("doc_id", "kind", "fact", "context").agg(F.min("candidate_id").alias("candidate_id")).drop("fact", "context")
 
 
 def verdicts(runs: DataFrame, checks: DataFrame, problems: DataFrame, reviews: DataFrame) -> DataFrame:

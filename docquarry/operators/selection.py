@@ -106,7 +106,8 @@ def first_problem(*stages: Column) -> Column:
 
 def chosen_facts(selected: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, amounts, dates) of selections (doc_id, candidate_id): facts in order of candidates, without repeats; found: candidates with context."""
-    facts = first_of_each(found.join(selected.select("doc_id", "candidate_id").distinct(), ["doc_id", "candidate_id"], "left_semi"))
+    # selections grow with the documents, but are estimated by what they are exploded from: without the hint, the driver would gather and broadcast them
+    facts = first_of_each(found.join(selected.select("doc_id", "candidate_id").distinct().hint("merge"), ["doc_id", "candidate_id"], "left_semi"))
     amount = F.when(F.col("kind") == "amount", F.struct("candidate_id", F.col("value").cast("double").alias("value"), "currency", "context"))
     date = F.when(F.col("kind") == "date", F.struct("candidate_id", F.col("date").cast("string").alias("date"), "context"))
     both = facts.groupBy("doc_id").agg(F.array_sort(F.collect_list(amount)).alias("a"), F.array_sort(F.collect_list(date)).alias("d"))

@@ -95,6 +95,15 @@ def test_long_documents_are_chunked_too(spark):
     assert {r["doc_id"] for r in chunks.chunks(frame).collect()} == {2}
 
 
+def test_candidates_and_selections_are_not_broadcast(spark):
+    """Their size is estimated by the table that they are made of, however small that is in files; what grows with the rows never goes through the driver."""
+    from docquarry.plans import registry
+
+    found = registry.queries()["rebuilt_selection_invoices"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2 and found.count() == 4_500
+
+
 def test_layout(spark):
     items = [(1, 1, 0, "World", 60.0, 700.0, 40.0, 10.0), (1, 1, 1, "Hello", 10.0, 703.0, 45.0, 10.0), (1, 1, 2, "be", 10.0, 680.0, 10.0, 10.0), (1, 1, 3, "low", 21.0, 680.0, 10.0, 10.0), (1, 1, 4, "", 0.0, 900.0, 1.0, 1.0), (1, 1, 5, " \t", 0.0, 650.0, 1.0, 1.0)]
     df = spark.createDataFrame(items, "doc_id long, page int, n int, str string, x double, y double, w double, h double")
