@@ -34,7 +34,7 @@ def sentence_interval(text: Column) -> Column:
     def kind(parts: Column) -> Column:
         b = {name: F.get(parts, F.lit(k)) for k, name in enumerate(("token", "run", "letter", "other"))}
         word = F.lower(F.regexp_replace(b["token"], r"^\.+", ""))
-        short = (F.char_length(word) == 1) | word.contains(".") | F.array_contains(F.split(F.lit(ABBREVIATIONS), " "), word)
+        short = (F.char_length(word) == 1) | word.contains(".") | word.isin(*ABBREVIATIONS.split())
         return F.when(b["other"].rlike(r"^\p{Nd}"), 1).when(~b["letter"].rlike(r"^\p{Lu}"), 0).when((b["run"] == ".") & (word != "") & short, 1).otherwise(2)
 
     kinds = F.transform(found, kind)

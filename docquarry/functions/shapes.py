@@ -83,12 +83,15 @@ def filled(most: int, *tests: tuple[Callable[[Column], Column], str], nullable:
 
 def strict_json(text: Column) -> Column:
     """The one JSON value that a text consists of, or null. What stands behind a value, which the parser would pass over, is looked at too: the text is
-    set into an object with a mark behind it. Keys that are there twice make it null."""
+    set into a list with a mark behind it. Keys that are there twice make it null."""
     mark = F.xxhash64(text).cast("string")
-    whole = F.try_parse_json(F.concat(F.lit('{"value":'), text, F.lit(',"mark":'), mark, F.lit("}")))
-    keys = F.try_variant_get(whole, "$", "map<string,variant>")
-    alone = (F.size(keys) == 2) & (F.try_variant_get(whole, "$.mark", "string") == mark)
-    return F.when(alone, F.try_variant_get(whole, "$.value", "variant"))
+    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark, F.lit("]")))
+
+    def alone(w: Column) -> Column:
+        two = (F.try_variant_get(w, "$[1]", "string") == mark) & F.try_variant_get(w, "$[2]", "variant").isNull()
+        return F.when(two, F.try_variant_get(w, "$[0]", "variant"))
+
+    return let(whole, alone)
 
 
 def kind_of(value: Column) -> Column:
@@ -96,12 +99,19 @@ def kind_of(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
+def is_object(value: Column) -> Column:
+    """Whether a value is an object, without working out the kind of all that it holds."""
+    return F.try_variant_get(value, "$", "struct<_:boolean>").isNotNull()
+
+
 def _is_whole(kind: Column) -> Column:
     # a decimal without a fraction that a long could hold was written with one
     return (kind == "BIGINT") | kind.rlike(r"^DECIMAL\((19|2\d|3\d),0\)$")
 
 
 def child(value: Column, path: str, kind: str = "variant") -> Column:
+    if not path and kind == "variant":
+        return value
     return F.try_variant_get(value, f"$.{path}" if path else "$", kind)
 
 
@@ -156,16 +166,19 @@ def _parts(root: Column, path: str, shape: Shape, lead: Column | None, guard: Co
     def label(at: str) -> Column:
         return F.lit(at or "root") if lead is None else F.concat(lead, F.lit(f".{at}")) if at else lead
 
-    def walk(at: str, own: Shape, ok: Column, required: bool) -> None:
+    def walk(at: str, own: Shape, ok: Column, required: bool, below: Column | None = None) -> None:
         v = child(root, at)
         kind, said = kind_of(v), lambda m: F.concat(label(at), F.lit(": "), F.lit(m) if isinstance(m, str) else m)
-        there = v.isNotNull() if not own.nullable else v.isNotNull() & (kind != "VOID")
-        case = F.when(~ok, None) if not required else F.when(~ok, None).when(v.isNull(), said(REQUIRED))
-        case = case.when(~there, None)
+        is_there = lambda v, kind: v.isNotNull() if not own.nullable else v.isNotNull() & (kind != "VOID")
+
+        def case_of(v: Column, kind: Column) -> Column:
+            case = F.when(~ok, None) if not required else F.when(~ok, None).when(v.isNull(), said(REQUIRED))
+            return case.when(~is_there(v, kind), None)
+
         if isinstance(own, Record):
             right = _is_record(root, at, own)
-            plain.append(case.when(~right, said(NO_RECORD)))
-            below = ok & there & right
+            plain.append(case_of(v, kind).when(~right, said(NO_RECORD)))
+            below = ok & is_there(v, kind) & right if below is None else below
             for name, inner in own.fields.items():
                 walk(_under(at, name), inner, below, name not in own.optional)
             if own.closed:
@@ -176,13 +189,28 @@ def _parts(root: Column, path: str, shape: Shape, lead: Column | None, guard: Co
                 out.append(F.when(below, F.transform(other, named)).otherwise(_none()))
         elif isinstance(own, Many):
             flush()
-            out.append(_many(child(root, at, "array<variant>"), own, label(at), F.array_compact(F.array(case.when(~kind.startswith("ARRAY"), said(NO_LIST)))), ok & there & kind.startswith("ARRAY")))
-        else:
-            plain.append(case.otherwise(F.concat(label(at), F.lit(": "), _leaf(root, at, kind, own))))
 
-    walk(path, shape, guard, True)
-    flush()
-    return F.concat(*out) if len(out) > 1 else out[0]
+            def listed(x: Column, found: Column) -> Column:
+                case = case_of(x, kind_of(x)).when(found.isNull(), said(NO_LIST))
+                right = ok & is_there(x, kind_of(x)) & found.isNotNull()
+                return _many(found, own, label(at), F.array_compact(F.array(case)), right)
+
+            out.append(let(v, lambda x: let(items(x), lambda found: listed(x, found))))
+        else:
+            # a field is read out once, and its kind is worked out once
+            told = lambda f: case_of(f["v"], f["kind"]).otherwise(F.concat(label(at), F.lit(": "), _leaf(f["v"], "", f["kind"], own)))
+            plain.append(let(v, lambda x: let(F.struct(x.alias("v"), kind_of(x).alias("kind")), told)))
+
+    def whole(below: Column | None = None) -> Column:
+        walk(path, shape, guard, True, below)
+        flush()
+        return F.concat(*out) if len(out) > 1 else out[0]
+
+    if not isinstance(shape, Record) or path:
+        return whole()
+    # whether the whole is a record is looked at once, not once a field
+    there = root.isNotNull() & (kind_of(root) != "VOID") if shape.nullable else root.isNotNull()
+    return let(guard & there & _is_record(root, path, shape), whole)
 
 
 def _some(root: Column, at: str, shape: Record) -> Column:

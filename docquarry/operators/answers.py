@@ -106,7 +106,8 @@ def bundles(documents: DataFrame, pages: DataFrame, found: DataFrame) -> DataFra
     sized = pages.select("doc_id", F.struct("page", "text").alias("p"), normal_name(composed(F.col("text"))).alias("n"), F.char_length("text").alias("chars"))
     whole = sized.groupBy("doc_id").agg(F.collect_list("p.text").alias("texts"), F.collect_list("n").alias("plain"), F.sum("chars").alias("chars")).filter(F.col("chars") <= MOST_CHARS)
     none = F.array().cast(seen.schema["found"].dataType)
-    told = documents.join(whole.drop("chars"), "doc_id").join(seen, "doc_id", "left").filter(~F.coalesce("too_many", F.lit(False)))
+    # texts and candidates are estimated by the table that they are made of: without hints, a driver would gather and broadcast them
+    told = documents.join(whole.drop("chars").hint("merge"), "doc_id").join(seen.hint("merge"), "doc_id", "left").filter(~F.coalesce("too_many", F.lit(False)))
     return told.drop("too_many").withColumn("found", F.coalesce("found", none))
 
 
@@ -123,7 +124,7 @@ def compact_answers(attempts: DataFrame, bundle: DataFrame) -> DataFrame:
     read = read.withColumn("insufficient", F.coalesce(insufficient, F.lit(False)))
     read = read.withColumn("open", (F.size("typed") == 0) & F.col("error").isNull() & ~F.col("insufficient"))
     ids = [child(v, f, "array<long>").alias(f) for f in ("amountIds", "dateIds")]
-    told = read.join(bundle, "doc_id").select("*", *_narrative(v, without_copied_marks), *ids, F.array_compact(F.array(child(v, "mainDateId", "long"))).alias("mainDateId"))
+    told = read.join(bundle.hint("merge"), "doc_id").select("*", *_narrative(v, without_copied_marks), *ids, F.array_compact(F.array(child(v, "mainDateId", "long"))).alias("mainDateId"))
     names = F.split(normal_names(F.col("people")), "\x01")
     told = told.withColumn("names", F.when(F.size("people") > 0, names).otherwise(_none()))
     early = let(_marks(), lambda m: F.when(F.size(m) > 0, m).otherwise(_overview()))

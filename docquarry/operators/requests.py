@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import strip
-from ..functions.shapes import PRETTY, child, json_text, kind_of, strict_json
+from ..functions.shapes import PRETTY, child, is_object, json_text, kind_of, strict_json
 from ..functions.text import let
 from .contract import RESULT
 
@@ -74,18 +74,16 @@ def answer(raw: Column) -> Column:
     """
 
     def told(whole: Column) -> Column:
-        response, message = child(whole, "response"), child(whole, "choices[0].message")
+        said = F.struct(child(whole, "response").alias("response"), child(whole, "choices[0].message").alias("message"))
         # only objects have fields, so the kind of a whole answer need not be worked out
-        return F.when(response.isNotNull(), response).when(kind_of(message).startswith("OBJECT"), child(message, "content")).otherwise(whole)
+        return let(said, lambda p: F.when(p["response"].isNotNull(), p["response"]).when(is_object(p["message"]), child(p["message"], "content")).otherwise(whole))
 
     def read(found: Column) -> Column:
-        inner = F.when(kind_of(found) == "STRING", strict_json(child(found, "", "string"))).otherwise(found)
-        lost = F.when((kind_of(found) == "STRING") & inner.isNull(), NO_JSON)
-        return F.struct(inner.alias("inner"), lost.alias("lost"))
+        text = F.when(~is_object(found), F.when(kind_of(found) == "STRING", child(found, "", "string")))
+        return let(text, lambda t: let(strict_json(t), lambda inner: F.struct(F.when(t.isNull(), found).otherwise(inner).alias("inner"), F.when(t.isNotNull() & inner.isNull(), NO_JSON).alias("lost"))))
 
     def judged(r: Column) -> Column:
-        whole = F.coalesce(kind_of(r["inner"]).startswith("OBJECT"), F.lit(False))
-        return F.struct(F.when(whole, r["inner"]).alias("payload"), F.coalesce(r["lost"], F.when(~whole, NO_OBJECT)).alias("problem"))
+        return let(is_object(r["inner"]), lambda whole: F.struct(F.when(whole, r["inner"]).alias("payload"), F.coalesce(r["lost"], F.when(~whole, NO_OBJECT)).alias("problem")))
 
     def of(whole: Column) -> Column:
         return F.when(whole.isNull(), F.struct(F.lit(None).cast("variant").alias("payload"), F.lit(NO_JSON).alias("problem"))).otherwise(let(let(told(whole), read), judged))

@@ -26,12 +26,12 @@ KEYWORDS, CHUNK_KEYWORDS = 20, 12
 
 def without_copied_marks(text: Column) -> Column:
     """Text without the marks that were copied together with the number behind them."""
-    return F.regexp_replace(text, COPIED_MARK, "")
+    return F.when(text.contains("⟦"), F.regexp_replace(text, COPIED_MARK, "")).otherwise(text)
 
 
 def has_mark(text: Column) -> Column:
     """Whether a mark is left, which no narrative may hold."""
-    return F.coalesce(without_copied_marks(text).rlike("[⟦⟧]"), F.lit(False))
+    return F.when(text.contains("⟦") | text.contains("⟧"), F.regexp_replace(text, COPIED_MARK, "").rlike("[⟦⟧]")).otherwise(F.lit(False))
 
 
 def fallback_title(title: Column, language: Column) -> Column:

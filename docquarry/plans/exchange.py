@@ -67,9 +67,9 @@ def strict_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analysed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoices with one or two answers each: right at once, after a correction, never, insufficient, and calls that fail."""
-    rows = pages.invoices(spark, sf_dir)
+    rows, keys = pages.invoices(spark, sf_dir), pages.order_keys(spark, sf_dir)
     d = F.col("doc_id")
-    papers = rows.select("doc_id", F.lit("a.pdf").alias("file_name"), F.lit(1).alias("pages"), F.array().cast("array<int>").alias("pages_without_text"), F.array().cast("array<int>").alias("ocr_pages"))
+    papers = keys.select("doc_id", F.lit("a.pdf").alias("file_name"), F.lit(1).alias("pages"), F.array().cast("array<int>").alias("pages_without_text"), F.array().cast("array<int>").alias("ocr_pages"))
 
     def told(ids: str, people: str, summary: str, main: str = "1", short: str = "false") -> str:
         return f'{{"insufficientContent":{short},"language":"PL","type":"faktura","title":null,"mainDateId":{main},"summary":"{summary}","keyPoints":["a","b ","A","c"],"organizations":[],"people":[{people}],"keywords":["k"],"amountIds":[{ids}],"dateIds":[3,1]}}'
@@ -79,8 +79,8 @@ def analysed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = {1: fine, 2: told("2", "", "Raz."), 5: fine, 6: fine, 7: told("4", "", "⟦A4⟧ 5 razy. Dwa. Trzy.", "2")}
     pick = lambda of: F.create_map(*[x for k, v in of.items() for x in (F.lit(k), F.lit(v))])
     k = (d % 8).cast("int")
-    one = rows.select("doc_id", F.lit(1).alias("attempt"), F.try_element_at(pick(first), k).alias("raw"), F.when(k == 4, F.when(d % 16 == 4, "quota").otherwise("timeout")).alias("error"), F.lit(50.0).alias("left"))
-    two = rows.filter(k.isin(*second)).select("doc_id", F.lit(2).alias("attempt"), F.try_element_at(pick(second), k).alias("raw"), F.lit(None).cast("string").alias("error"), F.when(d % 16 == 6, 3.0).otherwise(20.0).alias("left"))
+    one = keys.select("doc_id", F.lit(1).alias("attempt"), F.try_element_at(pick(first), k).alias("raw"), F.when(k == 4, F.when(d % 16 == 4, "quota").otherwise("timeout")).alias("error"), F.lit(50.0).alias("left"))
+    two = keys.filter(k.isin(*second)).select("doc_id", F.lit(2).alias("attempt"), F.try_element_at(pick(second), k).alias("raw"), F.lit(None).cast("string").alias("error"), F.when(d % 16 == 6, 3.0).otherwise(20.0).alias("left"))
     judged = answers.compact_answers(one.unionByName(two), answers.bundles(papers, rows, candidate_contexts(rows)))
     out, r = answers.analyses(judged), F.col("result")
     money = F.array_join(F.transform(r["amounts"], lambda a: F.bround(a["value"] * 100, 0).cast("long").cast("string")), "|")

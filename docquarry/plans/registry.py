@@ -94,12 +94,12 @@ def full_names(spark, sf_dir):
 
 def assembled_orders(spark, sf_dir):
     """Invoices whose candidates 2 and 4, and 3 twice, are chosen; the narrative has no title for every third."""
-    rows = pages.invoices(spark, sf_dir)
-    facts = selection.chosen_facts(rows.select("doc_id", F.explode(F.array(F.lit(4), F.lit(2), F.lit(3), F.lit(3))).alias("candidate_id")), candidate_contexts(rows))
-    papers = rows.select("doc_id", F.lit("a.pdf").alias("file_name"), F.lit(1).alias("pages"), F.array().cast("array<int>").alias("pages_without_text"), F.lit(None).cast("array<int>").alias("ocr_pages"))
+    rows, keys = pages.invoices(spark, sf_dir), pages.order_keys(spark, sf_dir)
+    facts = selection.chosen_facts(keys.select("doc_id", F.explode(F.array(F.lit(4), F.lit(2), F.lit(3), F.lit(3))).alias("candidate_id")), candidate_contexts(rows))
+    papers = keys.select("doc_id", F.lit("a.pdf").alias("file_name"), F.lit(1).alias("pages"), F.array().cast("array<int>").alias("pages_without_text"), F.lit(None).cast("array<int>").alias("ocr_pages"))
     words = F.array(F.lit("B"), F.lit("a"), F.lit(" b "))
     said = {"language": F.lit("de"), "type": F.lit("faktura"), "title": F.when(F.col("doc_id") % 3 > 0, "T"), "date": F.lit(None).cast("string"), "summary": F.lit("s"), "key_points": words, "organizations": words, "people": words, "keywords": words}
-    out = selection.assembled(papers, rows.select("doc_id").withColumns(said), facts)
+    out = selection.assembled(papers, keys.select("doc_id").withColumns(said), facts)
     amount = F.array_join(F.transform("amounts", lambda a: F.concat_ws(" ", F.bround(a["value"] * 100, 0).cast("long").cast("string"), a["currency"])), "|")
     return out.select("doc_id", "title", "title_fallback", F.array_join("people", "|").alias("people"), amount.alias("amounts"), F.array_join("dates.date", "|").alias("dates"))
 

@@ -126,7 +126,7 @@ def rebuilt_invoices(spark, sf_dir):
     """Candidates 4, 2 and 3 chosen, made to results, and found again. Candidates are met twice; written once, they are made once, by one short plan."""
     rows = pages.invoices(spark, sf_dir)
     found = settled(candidate_contexts(rows))
-    facts = selection.chosen_facts(rows.select("doc_id", F.explode(F.array(F.lit(4), F.lit(2), F.lit(3))).alias("candidate_id")), found)
+    facts = selection.chosen_facts(pages.order_keys(spark, sf_dir).select("doc_id", F.explode(F.array(F.lit(4), F.lit(2), F.lit(3))).alias("candidate_id")), found)
     return evaluation.rebuilt_selection(facts, found)
 
 

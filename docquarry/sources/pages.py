@@ -45,6 +45,11 @@ def orders(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     return paged(table(spark, sf_dir, "orders"), F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), *more, text=text)
 
 
+def order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id) of orders, for what is not made of their text: a text that goes through a generator is rendered even where no one asks for it."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+
+
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as pages with a heading, a labelled line, a table of one row and a sentence."""
     grouped = F.translate(F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2), ",.", " ,")

@@ -312,3 +312,24 @@ def test_no_bundle_over_the_limits(spark):
     papers = spark.createDataFrame([(i, "a", 1, [], []) for i in range(1, 5)], "doc_id long, file_name string, pages int, pages_without_text array<int>, ocr_pages array<int>")
     found = answers.bundles(papers, pages, candidate_contexts(pages)).select("doc_id", F.size("found").alias("n")).collect()
     assert {r["doc_id"]: r["n"] for r in found} == {3: 0, 4: 1}
+
+
+def test_fields_of_an_answer_are_read_out_once(spark):
+    """A field's value and kind are worked out once, however many tests it must pass; a whole answer's kind is not worked out at all."""
+    frame = spark.range(1).select(F.parse_json(F.lit('{"summary":"a"}')).alias("v"))
+    plan = frame.select(shapes.problems(F.col("v"), contract.COMPACT))._jdf.queryExecution().analyzed().toString()
+    # the others look whether the whole has any field, so is an object
+    assert [plan.count(f"$.{name},") for name in ("summary", "title", "amountIds", "mainDateId")] == [3, 3, 3, 3]
+    raws = ['{"a":1}', '[{"a":1}]', '{"response":"{\\"a\\":1}"}', '{"a":1},{"a":2}', '{"a":1}]', '{"a":1} x', '{"response":5}', '{"response":"5"}', '{"response":"{"}', '"{}"', None]
+    rows = spark.createDataFrame([(k, r) for k, r in enumerate(raws)], "k int, raw string").select("k", requests.answer(F.col("raw")).alias("a"))
+    found = [(r[0], r[1]) for r in rows.orderBy("k").select(F.col("a.payload").cast("string"), "a.problem").collect()]
+    bad, no = (None, requests.NO_JSON), (None, requests.NO_OBJECT)
+    assert found == [('{"a":1}', None), no, ('{"a":1}', None), bad, bad, bad, no, no, bad, ("{}", None), bad]
+
+
+def test_bundles_are_not_broadcast(spark):
+    """Bundles hold the documents' texts, and grow with them, whatever their estimated size."""
+    from docquarry.plans import exchange
+
+    plan = exchange.analysed_orders(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3
