@@ -220,7 +220,7 @@ def _some(root: Column, at: str, shape: Record) -> Column:
 
 def _is_record(root: Column, at: str, shape: Record) -> Column:
     """Whether an object stands at a path. What has a field is one; only without, the kind of all that it holds is worked out."""
-    return _some(root, at, shape) | kind_of(child(root, at)).startswith("OBJECT")
+    return _some(root, at, shape) | kind_of(F.try_variant_get(root, f"$.{at}" if at else "$", "variant")).startswith("OBJECT")
 
 
 def _many(found: Column, shape: Many, lead: Column, wrong: Column, right: Column) -> Column:
