@@ -38,10 +38,13 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def first_place(text: Column, shape: Column) -> Column:
-    """Struct (start, end) of the first match of a pattern that is itself a column and never matches the empty string, or null."""
-    whole = F.concat(F.lit(r"(?s)\A(.*?)("), shape, F.lit(")"))
-    part = lambda k: F.char_length(F.call_function("regexp_extract", text, whole, F.lit(k)))
-    return let(F.struct(part(1).alias("a"), part(2).alias("n")), lambda m: F.when(m["n"] > 0, F.struct(m["a"].alias("start"), (m["a"] + m["n"]).alias("end"))))
+    """Struct (start, end) of the first match of a pattern that is itself a column, never matches the empty string and looks at nothing around a match, or null.
+
+    Such a pattern matches wherever what it found stands, so the first place of that text is the match's; the pattern is compiled once a text.
+    """
+    found = F.call_function("regexp_extract", text, shape, F.lit(0))
+    start = lambda m: F.call_function("locate", m, text) - 1
+    return let(found, lambda m: F.when(m != "", let(start(m), lambda s: F.struct(s.alias("start"), (s + F.char_length(m)).alias("end")))))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

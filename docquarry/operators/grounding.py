@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import distinct_names, distinct_organisations, strip
 from ..functions.normal import comparable, spelled
-from ..functions.text import first_place, let, matches
+from ..functions.text import first_place, let
 from .selection import CHUNK_KEYWORDS, assembled
 from .tokens import amount_tokens, date_tokens
 
@@ -35,6 +35,10 @@ SENTENCE_END = r"[.!?;](?=\s)|\n"
 WINDOW, SHORTEST = 200, 3
 # End of the fixed values.
 
+#: SENTENCE_END, to which the control character that stands for a mark elsewhere is a blank.
+_STOP = SENTENCE_END.replace(r"(?=\s)", r"(?=[\s\x01])")
+
+
 def named(text: Column) -> Column:
     """Array of the qualifiers that a text names."""
     told = lambda low: F.array_compact(F.array(*[F.when(low.rlike(f"(?U){shape}"), key) for key, shape in NAMED.items()]))
@@ -43,16 +47,16 @@ def named(text: Column) -> Column:
 
 def claimed() -> Column:
     """Array of a fact's qualifiers that its source must name."""
-    return F.filter(F.array("basis", "period", "status"), lambda q: F.array_contains(F.array(*map(F.lit, NAMED)), q))
+    return F.filter(F.array("basis", "period", "status"), lambda q: q.isin(*NAMED))
 
 
 def sentence_around(text: Column, start: Column, end: Column) -> Column:
     """The sentence or line around [start, end), at most WINDOW characters to each side."""
     low = F.greatest(start - WINDOW, F.lit(0))
     # a stop needs the blank behind it to end a sentence, also where it is the last character of its part
-    ends = lambda part: F.substring(part, F.coalesce(F.array_max(F.transform(matches(part, SENTENCE_END), lambda m: m["end"])), F.lit(0)) + 1, F.lit(WINDOW))
-    stops = lambda part: F.substring(part, F.lit(1), F.coalesce(F.array_min(F.transform(matches(part, SENTENCE_END), lambda m: m["start"] + 1)), F.char_length(part)))
-    return F.concat(let(F.substring(text, low + 1, start - low), ends), F.substring(text, start + 1, end - start), let(F.substring(text, end + 1, F.lit(WINDOW)), stops))
+    ends = lambda part: F.regexp_replace(part, rf"(?s)\A.*(?:{_STOP})", "")
+    stops = lambda part: let(F.regexp_extract(part, rf"(?s)\A.*?(?:{_STOP})", 0), lambda found: F.when(found != "", found).otherwise(part))
+    return F.concat(ends(F.substring(text, low + 1, start - low)), F.substring(text, start + 1, end - start), let(F.substring(text, end + 1, F.lit(WINDOW)), stops))
 
 
 def located(facts: DataFrame, segments: DataFrame) -> DataFrame:
@@ -63,18 +67,22 @@ def located(facts: DataFrame, segments: DataFrame) -> DataFrame:
     stay rows all along, so what gives them is not worked out again.
     """
     lead, text = F.char_length("overlap"), F.concat("overlap", "new_text")
-    part = F.struct("seq", "page", (F.col("start") - lead).alias("base"), text.alias("text"), comparable(text).alias("plain"))
+    part = F.struct("seq", "page", (F.col("start") - lead).alias("base"), text.alias("text"))
     own = segments.select("doc_id", "chunk", part.alias("p")).groupBy("doc_id", "chunk").agg(F.collect_list("p").alias("_parts"))
-    asked = facts.withColumns({"_needle": comparable(F.col("evidence")), "_shape": spelled(F.col("evidence"))})
+    # texts and quotes are brought into the form in which they are compared behind the shuffles, which move them once then
+    own = own.select("doc_id", "chunk", "_parts", F.inline(F.array(F.struct(F.transform("_parts", lambda p: comparable(p["text"])).alias("_plain")))))
+    # segments are estimated by the table they are made of: without the hint, a driver would gather and broadcast them
+    met = facts.join(own.hint("merge"), ["doc_id", "chunk"], "left")
+    met = met.select("*", F.inline(F.array(F.struct(comparable(F.col("evidence")).alias("_needle"), spelled(F.col("evidence")).alias("_shape")))))
 
     def place(p: Column) -> Column:
         at = lambda m: F.when(m.isNotNull(), F.struct(F.coalesce(p["page"] != F.col("page"), F.lit(True)).alias("other"), p["seq"].alias("seq"), p["page"].alias("page"), (p["base"] + m["start"]).alias("start"), (p["base"] + m["end"]).alias("end")))
         return let(first_place(p["text"], F.col("_shape")), at)
 
-    near = F.filter("_parts", lambda p: F.contains(p["plain"], F.col("_needle")))
+    near = F.filter("_parts", lambda p, i: F.contains(F.get("_plain", i), F.col("_needle")))
     found = F.when(F.char_length("_needle") >= SHORTEST, F.array_min(F.transform(near, place)))
     # one row goes through the generator, so that its place is found once for all that is read off it
-    out = asked.join(own, ["doc_id", "chunk"], "left").select(*facts.columns, F.inline(F.array(F.struct(found.alias("_at")))))
+    out = met.select(*facts.columns, F.inline(F.array(F.struct(found.alias("_at")))))
     return out.withColumns({"found_page": F.col("_at.page"), "start": F.col("_at.start"), "end": F.col("_at.end")}).drop("_at")
 
 
@@ -100,7 +108,7 @@ def grounded(facts: DataFrame, segments: DataFrame, pages: DataFrame) -> DataFra
 
     dated = F.exists(let(F.col("evidence"), date_tokens), lambda d: d["date"] == F.col("date").try_cast("date"))
     problem = F.when(F.col("found_page").isNull(), "evidence").when(F.col("kind") == "amount", let(inside, amount)).when(~F.coalesce(dated, F.lit(False)), "date")
-    return asked.join(tokens, ["doc_id", "found_page", "_v"], "left").select(*where.columns, problem.alias("problem"))
+    return asked.join(tokens.hint("merge"), ["doc_id", "found_page", "_v"], "left").select(*where.columns, problem.alias("problem"))
 
 
 def invalid_chunks(judged: DataFrame) -> DataFrame:

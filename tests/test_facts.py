@@ -221,3 +221,23 @@ def test_running_lines_read_pages_once(spark):
     found = candidates.running_lines(frame)
     assert sorted((r["page"], r["start"]) for r in found.collect()) == [(1, 14), (2, 14), (3, 14)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_quotes_and_sentences_are_found_in_one_search(spark):
+    """A quote's first place, and the sentence around a value, as they were found match by match."""
+    from docquarry.functions.normal import spelled
+    from docquarry.functions.text import first_place
+
+    rows = [("😀 Ala „ma”  KOTA i ala \"ma\" kota", 'ala "ma" kota', (2, 16)), ("straße STRASSE", "strasse", (0, 6)), ("a.b", "x", None), (None, "x", None), ("x", None, None), ("ab a-b", "a–b", (3, 6))]
+    frame = spark.createDataFrame([(k, t, q) for k, (t, q, _) in enumerate(rows)], "k int, t string, q string")
+    found = frame.select("k", first_place(F.col("t"), spelled(F.col("q"))).alias("p")).orderBy("k").collect()
+    assert [r["p"] and tuple(r["p"]) for r in found] == [p for _, _, p in rows]
+    plan = frame.select(first_place(F.col("t"), F.col("q")).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") == 1
+    around = [("Raz. Dwa 5 trzy; cztery", "5", " Dwa 5 trzy;"), ("a\nb 5 c\nd", "5", "b 5 c\n"), ("x.5.", "5", "x.5."), ("x.\x015 y.\x01z", "5", "\x015 y."), ("5", "5", "5"), ("a" * 300 + " 5 " + "b" * 300, "5", "a" * 199 + " 5 " + "b" * 199)]
+    frame = spark.createDataFrame([(k, t, t.index(v), t.index(v) + 1) for k, (t, v, _) in enumerate(around)], "k int, t string, s int, e int")
+    found = frame.select("k", grounding.sentence_around(F.col("t"), F.col("s"), F.col("e")).alias("x")).orderBy("k").collect()
+    assert [r["x"] for r in found] == [x for _, _, x in around]
+    segments = spark.createDataFrame([], "doc_id long, chunk int, seq int, page int, start int, overlap string, new_text string")
+    facts = spark.createDataFrame([], "doc_id long, chunk int, page int, evidence string")
+    assert "BroadcastHashJoin" not in grounding.located(facts, segments)._jdf.queryExecution().executedPlan().toString()
