@@ -36,14 +36,13 @@ def clean_list(names: Column, same: Callable[[Column], Column] = fold) -> Column
 def distinct_names(names: Column) -> Column:
     """Names in order, blanks collapsed; blank ones and those equal to an earlier one but for case are dropped."""
     clean = F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda x: collapse(x)), lambda x: x != "")
-    return F.filter(clean, lambda x, i: F.array_position(F.transform(clean, lambda y: F.lower(y)), F.lower(x)) == i + 1)
+    return let(clean, lambda own: let(F.transform(own, lambda x: F.lower(x)), lambda low: F.filter(own, lambda x, i: F.array_position(low, F.get(low, i)) == i + 1)))
 
 
 def distinct_organisations(names: Column) -> Column:
     """distinct_names() without those that are in the list with a legal form too."""
-    unique = distinct_names(names)
-    longer = lambda x: F.exists(unique, lambda y: F.lower(y).startswith(F.concat(F.lower(x), F.lit(" "))) & F.substring(F.lower(y), F.char_length(x) + 2, F.char_length(y)).rlike(LEGAL_FORM))
-    return F.filter(unique, lambda x: ~longer(x))
+    longer = lambda x, unique: F.exists(unique, lambda y: F.lower(y).startswith(F.concat(F.lower(x), F.lit(" "))) & F.substring(F.lower(y), F.char_length(x) + 2, F.char_length(y)).rlike(LEGAL_FORM))
+    return let(distinct_names(names), lambda unique: F.filter(unique, lambda x: ~longer(x, unique)))
 
 
 def without_tags(text: Column) -> Column:

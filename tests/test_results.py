@@ -128,3 +128,9 @@ def test_marks(spark):
     pages = spark.createDataFrame([(1, 1, "⟦A9⟧ 5 zł <page>"), (1, 2, None)], "doc_id long, page int, text string")
     found = spark.createDataFrame([(1, 1, 1, "amount", 5)], "doc_id long, page int, candidate_id int, kind string, start int")
     assert sorted((r["page"], r["text"]) for r in results.marked_pages(pages, found).collect()) == [(1, "[A9] ⟦A1⟧5 zł [tag]"), (2, None)]
+
+
+def test_names_are_compared_with_a_list_made_once(spark):
+    plan = spark.range(1).select(names.distinct_organisations(F.array(F.lit("Lis"), F.lit("Lis S.A."))).alias("x"))._jdf.queryExecution().analyzed().toString()
+    # names were collapsed again for each name that they were compared with
+    assert plan.count("array(Lis, Lis S.A.)") == 1
